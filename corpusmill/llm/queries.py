@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import licenses, mixing, packing, topk, warc
+from corpusmill.llm import licenses, mixing, ngram_join, packing, substring, topk, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -31,6 +31,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(_table(spark, sf_dir, "documents"))
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
 
@@ -39,6 +43,11 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring.dedup(_table(spark, sf_dir, "documents"), carry=[])
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def _sql_str(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -89,8 +98,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_mixing": op1_mixing,
         "op2_packing": op2_packing,
         "op3_warc": op3_warc,
+        "op4_ngram_join": op4_ngram_join,
         "op5_topk": op5_topk,
         "op8_licenses": op8_licenses,
+        "op9_substring": op9_substring,
     }
 
 
