@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import licenses, mixing, ngram_join, packing, substring, topk, warc
+from corpusmill.llm import licenses, mixing, ngram_join, packing, substring, suffix, topk, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -48,6 +48,11 @@ def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix.dedup(_table(spark, sf_dir, "documents"), carry=[])
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def _sql_str(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -102,6 +107,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_topk": op5_topk,
         "op8_licenses": op8_licenses,
         "op9_substring": op9_substring,
+        "op10_suffix": op10_suffix,
     }
 
 
