@@ -173,3 +173,36 @@ def cover(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     np.add.at(edge, starts, 1)
     np.add.at(edge, ends, -1)
     return np.cumsum(edge[:-1]) > 0
+
+
+def slices(offsets: np.ndarray, most: int = 4 << 20) -> list[tuple[int, int]]:
+    """Runs of texts of at most ``most`` bytes together, or one longer text."""
+    out, a = [], 0
+    while a < len(offsets) - 1:
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, "right")) - 1)
+        out.append((a, min(b, len(offsets) - 1)))
+        a = out[-1][1]
+    return out
+
+
+def stem_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, sizes: tuple[int, ...], table: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each size: which spans are longer, and the hashes of their first bytes; spans rise and are disjoint."""
+    long = [ends - starts > n for n in sizes]
+    out = [np.empty(int(x.sum()), np.uint64) for x in long]
+    done = [0] * len(sizes)
+    i, most = 0, max(sizes)
+    while i < len(starts):
+        lo = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(starts, lo + _SEGMENT)))
+        s = starts[i:j] - lo
+        hi = min(len(data), int(starts[j - 1]) + most)
+        up, down = powers(hi - lo + 1)
+        sums = np.empty(hi - lo + 1, np.uint64)
+        sums[0] = 0
+        np.cumsum(table[data[lo:hi]] * up[:-1], out=sums[1:])
+        for k, n in enumerate(sizes):
+            own = s[long[k][i:j]]
+            out[k][done[k] : done[k] + len(own)] = (sums[own + n] - sums[own]) * down[own]
+            done[k] += len(own)
+        i = j
+    return [(x, mix(h) ^ _U(n)) for x, h, n in zip(long, out, sizes, strict=True)]

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import licenses, mixing, ngram_join, packing, substring, suffix, topk, warc
+from corpusmill.llm import licenses, mixing, ngram_join, packing, substring, suffix, topk, toxicity, warc
 
 TOKENIZER = "byte_bpe_50k.json"
+TOXIC_FROM = 0.3
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +40,17 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
 
 
+def toxicity_model(spark: SparkSession, sf_dir: str):
+    """The model for the table documents: labels whose id's crc32 leaves 2 of 4 stay unseen."""
+    labels = _table(spark, sf_dir, "labels")
+    return toxicity.fit(_table(spark, sf_dir, "documents"), labels.filter(~toxicity.held_out()))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = toxicity.score(_table(spark, sf_dir, "documents"), *toxicity_model(spark, sf_dir))
+    return rows.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"), "evidence")
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
@@ -105,6 +117,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_warc": op3_warc,
         "op4_ngram_join": op4_ngram_join,
         "op5_topk": op5_topk,
+        "op6_toxicity": op6_toxicity,
         "op8_licenses": op8_licenses,
         "op9_substring": op9_substring,
         "op10_suffix": op10_suffix,
