@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import licenses, mixing, ngram_join, packing, substring, suffix, topk, toxicity, warc
+from corpusmill.llm import licenses, mixing, ngram_join, packing, quality, substring, suffix, topk, toxicity, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 TOXIC_FROM = 0.3
@@ -51,6 +51,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"), "evidence")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    rows = quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+    return rows.select("doc_id", *quality.BASE, "base_failed", "kept", "score")
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
@@ -118,6 +124,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_ngram_join": op4_ngram_join,
         "op5_topk": op5_topk,
         "op6_toxicity": op6_toxicity,
+        "op7_quality": op7_quality,
         "op8_licenses": op8_licenses,
         "op9_substring": op9_substring,
         "op10_suffix": op10_suffix,

@@ -80,7 +80,7 @@ def _later(parts: list[list[bytes]]) -> list[bytes]:
     return [K.pack_bits(x) for x in g.deal(ids > least)]
 
 
-def _remove(window: int, block: int, bits: int, schema: pa.Schema):
+def _remove(window: int, block: int, bits: int, schema: pa.Schema, whole: bool):
     def remove(chunk: int, docs: pa.Table, notes: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return schema.empty_table()
@@ -99,6 +99,9 @@ def _remove(window: int, block: int, bits: int, schema: pa.Schema):
         ends = c.ends[kept]
         text[ends[follows]] = 32
         keep = K.cover(c.starts[kept], ends + follows, len(text))
+        if whole:
+            same = np.repeat(removed == 0, np.diff(c.offsets))
+            keep, text = keep | same, np.where(same, c.data, text)
         sums = np.append(0, np.cumsum(keep))[c.offsets]
         out = pa.Array.from_buffers(pa.large_string(), c.n, [None, pa.py_buffer(sums.astype(np.int64)), pa.py_buffer(text[keep])]).cast(pa.string())
         carried = [c.table[f"c_{i}"] for i in range(len(schema) - 4)]
@@ -107,11 +110,11 @@ def _remove(window: int, block: int, bits: int, schema: pa.Schema):
     return remove
 
 
-def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = 13, carry: list[str] | None = None) -> DataFrame:
+def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = 13, carry: list[str] | None = None, whole: bool = False) -> DataFrame:
     """Remove each word covered by a window of words that also starts in a document with a smaller doc_id.
 
     Returns doc_id, the carried columns (default: all others), n_words, n_removed and kept (the kept words joined by
-    one space). Reference documents are cut into blocks of (window + 1) // 2 words, so that any window holds a
+    one space; with ``whole`` a text that loses nothing is returned as it is). Reference documents are cut into blocks of (window + 1) // 2 words, so that any window holds a
     whole block; the blocks are the index and every rolling window of that length probes it. Hits are extended to
     all windows around them; those that start in a smaller document, with their neighbours, are the maximal exact
     repeats. Documents whose whole text a smaller doc_id has are not indexed: their windows are that document's.
@@ -131,7 +134,7 @@ def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window
     notes = notes.unionByName(later)
     fields = [T.StructField("doc_id", T.LongType()), *[T.StructField(f"c_{i}", docs.schema[c].dataType) for i, c in enumerate(corpus.carried)], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]
     schema = T.StructType(fields)
-    out = corpus.each_chunk(_remove(window, block, bits, to_arrow_schema(schema)), notes, schema)
+    out = corpus.each_chunk(_remove(window, block, bits, to_arrow_schema(schema), whole), notes, schema)
     return out.toDF(doc_id, *corpus.carried, "n_words", "n_removed", "kept")
 
 

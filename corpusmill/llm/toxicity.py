@@ -244,26 +244,29 @@ def fit(docs: DataFrame, examples: DataFrame, *, doc_id: str = "doc_id", text: s
     return Index(vocabulary, idf, own, flat("terms"), flat("tf"), np.array([r.toxic == 1 for r in rows], np.float64), prior), [r.doc_id for r in rows]
 
 
-def score(docs: DataFrame, index: Index, names: list[int], *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, index: Index, names: list[int], *, doc_id: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
     """doc_id, score and evidence (doc_ids of the examples that voted, nearest first) for each row of docs.
 
-    The score is the weighted share of toxic neighbours, steadied by half a vote of the training share. Null, empty
-    and other texts without a term of the model: half the training share, no evidence. Whole texts of any length
-    are read; no rows meet. Null doc_id stays null, repeated rows return repeated. No labelled documents: 0 for all.
+    With ``carry`` all columns of docs stand before score and evidence. The score is the weighted share of toxic
+    neighbours, steadied by half a vote of the training share. Null, empty and other texts without a term of the
+    model: half the training share, no evidence. Whole texts of any length are read; no rows meet. Null doc_id stays
+    null, repeated rows return repeated. No labelled documents: 0 for all.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((index, np.array(names, np.int64)))  # bounded by TERMS and EXAMPLES
+    shared = docs.sparkSession.sparkContext.broadcast((index, np.array(names, np.int64)))  # bounded by TERMS and EXAMPLES
+    rows = docs.drop("score", "evidence") if carry else docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text))
+    at = rows.columns.index(text)
+    out = [f for f in rows.schema.fields if carry or f.name == "doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, ids = shared.value
         seen: dict = {}
         for batch in batches:
-            for a, b, data, offsets in _parts(batch.column(1)):
+            for a, b, data, offsets in _parts(batch.column(at)):
                 got, evidence = model.score(data, offsets, seen)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(got), pa.array([ids[e] for e in evidence], pa.list_(pa.int64()))], names=["doc_id", "score", "evidence"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[: len(out)]), pa.array(got), pa.array([ids[e] for e in evidence], pa.list_(pa.int64()))], names=[*(f.name for f in out), "score", "evidence"])
 
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("evidence", T.ArrayType(T.LongType()))])
-    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(run, schema)
+    schema = T.StructType([*out, T.StructField("score", T.DoubleType()), T.StructField("evidence", T.ArrayType(T.LongType()))])
+    return rows.mapInArrow(run, schema)
 
 
 def held_out(doc_id: str = "doc_id", part: int = 2, parts: int = 4):

@@ -84,3 +84,23 @@ def jaccard(rows, num=80, den=100):
 
 def sha256(s):
     return hashlib.sha256(s if isinstance(s, bytes) else s.encode()).hexdigest()
+
+
+def statistics(text):
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words)"""
+    t = text or ""
+    ws = WORD.findall(t)
+    lines, seen, dup = t.split("\n"), set(), 0
+    for x in lines:
+        if WORD.search(x):
+            dup += x in seen
+            seen.add(x)
+    count = {}
+    for i in range(len(ws) - 7):
+        k = tuple(ws[i : i + 8])
+        count[k] = count.get(k, 0) + 1
+    words = set()
+    for i in range(len(ws) - 7):
+        if count[tuple(ws[i : i + 8])] > 1:
+            words.update(range(i, i + 8))
+    return len(ws), sum(map(len, ws)), sum(c in "#*$%&|<>" for c in t), dup, len(words)
