@@ -55,26 +55,27 @@ def header() -> Column:
 def write_archive(pages: DataFrame, root: str, *, least: int = 0, **columns: str) -> None:
     """Write the two tables of an archive under ``root``: headers (a row per record) and payloads (a row per digest).
 
-    The join for headers carries no payloads. A payload is taken from the row with its digest's smallest page_id, by
-    a join on both, so that the copies of a hot payload are dealt over all tasks. Cases as for ``records``.
+    The join for headers carries no payloads. Payloads are reduced to one a digest in each task before they are
+    dealt by digest, so that a hot payload moves once a task. Cases as for ``records``.
     """
     rows = records(pages, least=least, **columns)
     rows.select("page_id", "payload_digest", header().alias("header")).write.option("compression", "zstd").parquet(f"{root}/headers")
-    rows, first = _digested(pages, **columns)
-    same = (rows["payload_digest"] == first["payload_digest"]) & rows["page_id"].eqNullSafe(first["first_id"])
-    own = rows.join(first, same, "left_semi").select("payload_digest", "payload")
-    own.dropDuplicates(["payload_digest"]).write.option("compression", "zstd").parquet(f"{root}/payloads")
+    own, _ = _digested(pages, **columns)
+    own.groupBy("payload_digest").agg(F.any_value("payload").alias("payload")).write.option("compression", "zstd").parquet(f"{root}/payloads")
 
 
 def read_archive(spark, root: str) -> DataFrame:
     """Rebuild every record from its header and the payload with its digest; fails on a payload that is not its digest's.
 
-    Returns header, payload, record (the bytes of the WARC record) and the fields parsed from the header.
+    Returns the fields parsed from the header, the header and the payload, and what was measured on the payload:
+    payload_bytes and payload_digest. A plan that selects no payload joins these measures alone.
     """
     heads = spark.read.schema("page_id long, payload_digest string, header string").parquet(f"{root}/headers")
     loads = spark.read.schema("payload_digest string, payload binary").parquet(f"{root}/payloads")
-    right = F.when(base32_sha1(F.col("payload")) == F.col("payload_digest"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("damaged payload "), F.col("payload_digest"))).cast("binary"))
-    rows = heads.join(loads.select("payload_digest", right.alias("payload")), "payload_digest", "left")
+    found = base32_sha1(F.col("payload"))
+    right = F.when(found == F.col("payload_digest"), found).otherwise(F.raise_error(F.concat(F.lit("damaged payload "), F.col("payload_digest"))).cast("string"))
+    loads = loads.select("payload_digest", right.alias("measured"), F.octet_length("payload").cast("long").alias("payload_bytes"), "payload")
+    rows = heads.join(loads, "payload_digest", "left")
 
     def field(name: str) -> Column:
         got = F.regexp_extract("header", rf"(?:^|\n){name}: ([^\r\n]*)", 1)
@@ -83,7 +84,7 @@ def read_archive(spark, root: str) -> DataFrame:
     page = lambda name: F.regexp_extract(field(name), r"<urn:page:(-?\d+)>", 1).try_cast("long")
     return rows.select(
         page("WARC-Record-ID").alias("page_id"), field("WARC-Target-URI").alias("url"), field("WARC-Type").alias("record_type"),
-        F.regexp_replace(field("WARC-Payload-Digest"), "^sha1:", "").alias("payload_digest"), page("WARC-Refers-To").alias("refers_to"),
+        F.col("measured").alias("payload_digest"), "payload_bytes", page("WARC-Refers-To").alias("refers_to"),
         field("Content-Length").cast("long").alias("content_length"), "header", "payload",
     )
 
@@ -98,5 +99,4 @@ def round_trip(pages: DataFrame, **options) -> DataFrame:
     spark = pages.sparkSession
     root = f"{Scratch(spark, 'warc').root}/archive"
     write_archive(pages, root, **options)
-    rows = read_archive(spark, root)
-    return rows.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"), "record_type", "refers_to")
+    return read_archive(spark, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
