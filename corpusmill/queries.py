@@ -5,15 +5,665 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusmill import synthetic
+from corpusmill.functions.text import redact
+from corpusmill.operators import context_rules, folds, line_rules, relations, views
+from corpusmill.plans import findings as P
+from corpusmill.plans import fixes, reports
+from corpusmill.sources.files import as_files, language_counts, manifest_dependencies
+from corpusmill.streaming.changes import quiet
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f):
+        QUERIES[name or f.__name__] = f
+        if sql is not None:
+            SQL[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as Markdown-free source files, so that code rules read them."""
+    rows = table(spark, sf_dir, "documents")
+    return as_files(rows, F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".ts")), F.col("text"))
+
+
+def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "pages")
+    return as_files(rows, F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".html")), F.col("html"))
+
+
+DOCS = """files AS (SELECT 'docs/' || doc_id || '.ts' AS path, 'typescript' AS lang, coalesce(text, '') AS content FROM documents),
+lines AS (SELECT path, lang, unnest(string_split(content, chr(10))) AS text, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS num FROM files)"""
+PAGES = DOCS.replace("'docs/' || doc_id || '.ts'", "'pages/' || page_id || '.html'").replace("'typescript'", "'html'").replace("coalesce(text, '')", "coalesce(html, '')").replace("FROM documents", "FROM pages")
+SYN = synthetic.sql()
+OUT = "path, '{rule}' AS rule, '{sev}' AS severity, {line}::INT AS line, 1 AS col, {msg}::VARCHAR AS message"
+
+
+def out(rule: str, sev: str, line: str = "num", msg: str = "''") -> str:
+    return OUT.format(rule=rule, sev=sev, line=line, msg=msg)
+
+
+def syn(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    f = synthetic.files(spark, sf_dir)
+    return f, views.lines(f)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["max_line_length"](spark, sf_dir)
+    return QUERIES["max_line_length"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+# ---- sources and views
+
+
+@query(f"WITH {DOCS} SELECT path, count(*) AS n_lines, sum(length(text))::BIGINT AS n_chars, max(length(text))::INT AS longest FROM lines GROUP BY path")
+def line_stats(spark, sf_dir):
+    return views.lines(doc_files(spark, sf_dir)).groupBy("path").agg(F.count("*").alias("n_lines"), F.sum(F.length("text").cast("long")).alias("n_chars"), F.max(F.length("text")).alias("longest"))
+
+
+@query(f"WITH {SYN} SELECT lang, count(*) AS n_files FROM files WHERE lang IS NOT NULL GROUP BY lang")
+def languages(spark, sf_dir):
+    return language_counts(synthetic.files(spark, sf_dir))
+
+
+@query(f"WITH {SYN} SELECT path, num::INT AS num, regexp_extract(text, '{views.EXPORT}', 1) AS name FROM lines WHERE lang IN ('typescript', 'javascript') AND regexp_extract(text, '{views.EXPORT}', 1) <> ''")
+def exports(spark, sf_dir):
+    return views.exports(syn(spark, sf_dir)[1])
+
+
+@query(f"WITH {SYN}, w AS (SELECT path, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) AS word FROM lines) SELECT word, count(*) AS n, count(DISTINCT path) AS n_files FROM w GROUP BY word")
+def word_counts(spark, sf_dir):
+    return views.words(syn(spark, sf_dir)[1]).groupBy("word").agg(F.count("*").alias("n"), F.countDistinct("path").alias("n_files"))
+
+
+def _imports_sql() -> str:
+    q = lambda s: s.replace("'", "''")
+    js = f"coalesce(nullif(regexp_extract(text, '{q(views.IMPORT_TS)}', 1), ''), nullif(regexp_extract(text, '{q(views.IMPORT_CALL)}', 1), ''))"
+    py = f"coalesce(nullif(regexp_extract(text, '{q(views.IMPORT_PY)}', 1), ''), nullif(regexp_extract(text, '{q(views.IMPORT_PY)}', 2), ''))"
+    return rf"""imp AS (SELECT path, lang, num, text, CASE WHEN lang IN ('typescript', 'javascript') THEN {js} WHEN lang = 'python' THEN {py} END AS source FROM lines),
+imports AS (SELECT path, lang, num, source, regexp_matches(text, '^\s*import\s+type\s') AS type_only,
+  list_filter(list_concat([coalesce(nullif(regexp_extract(text, '^\s*import\s+(?:type\s+)?(?:\*\s+as\s+)?(\w+)\s*(?:,\s*\{{[^}}]*\}}\s*)?from\b', 1), ''), '')],
+    CASE WHEN regexp_matches(text, '^\s*import\b') THEN list_transform(string_split(regexp_extract(text, '\{{([^}}]*)\}}', 1), ','), lambda s: trim(regexp_replace(s, '^.*\s+as\s+', ''), ' ')) ELSE [] END), lambda s: s <> '') AS symbols
+  FROM imp WHERE source IS NOT NULL)"""
+
+
+IMPORTS = f"{SYN}, {_imports_sql()}"
+
+
+@query(f"WITH {IMPORTS} SELECT path, num::INT AS num, source, array_to_string(symbols, ',') AS symbols, type_only FROM imports")
+def imports(spark, sf_dir):
+    return views.imports(syn(spark, sf_dir)[1]).select("path", "num", "source", F.array_join("symbols", ",").alias("symbols"), "type_only")
+
+
+@query(f"WITH {SYN} SELECT path, strpos(content, chr(13) || chr(10)) > 0 AS has_crlf, 'lf' AS line_ending, strpos(content, chr(65279)) > 0 AS has_zwnbsp FROM files")
+def encoding(spark, sf_dir):
+    return views.encoding(synthetic.files(spark, sf_dir))
+
+
+# ---- line rules
+
+
+@query(f"WITH {DOCS} " + line_rules.sql([r for r in line_rules.RULES if r.id == "format-lint/max-line-length"]))
+def max_line_length(spark, sf_dir):
+    return line_rules.detect(views.lines(doc_files(spark, sf_dir)), [r for r in line_rules.RULES if r.id == "format-lint/max-line-length"])
+
+
+@query(f"WITH {PAGES} " + line_rules.sql([r for r in line_rules.RULES if "html" in r.langs]))
+def html_rules(spark, sf_dir):
+    return line_rules.detect(views.lines(page_files(spark, sf_dir)), [r for r in line_rules.RULES if "html" in r.langs])
+
+
+def _line_query(prefix: str) -> None:
+    own = [r for r in line_rules.RULES if r.id.startswith(prefix + "/")]
+    query(f"WITH {SYN} {line_rules.sql(own)}", f"rules_{prefix.replace('-', '_')}")(lambda spark, sf_dir: line_rules.detect(syn(spark, sf_dir)[1], own))
+
+
+for _prefix in dict.fromkeys(r.id.split("/")[0] for r in line_rules.RULES):
+    _line_query(_prefix)
+
+
+# ---- context rules
+
+_TRIM = r"regexp_replace(text, '^[\t-\r ]+|[\t-\r ]+\z', '', 'g')"
+_W = "(PARTITION BY path ORDER BY num)"
+
+
+@query(f"WITH {SYN}, b AS (SELECT path, num, num - row_number() OVER {_W} AS island FROM lines WHERE {_TRIM} = '') SELECT {out('format-lint/blank-line-cluster', 'suggestion', 'min(num)', 'count(*)')} FROM b GROUP BY path, island HAVING count(*) >= 3")
+def blank_line_cluster(spark, sf_dir):
+    return context_rules.blank_line_cluster(syn(spark, sf_dir)[1])
+
+
+@query(f"WITH {DOCS} SELECT {out('syntax-deep/missing-final-newline', 'info', 'len(string_split(content, chr(10)))')} FROM files WHERE length(content) > 0 AND NOT ends_with(content, chr(10))")
+def missing_final_newline(spark, sf_dir):
+    return context_rules.missing_final_newline(doc_files(spark, sf_dir))
+
+
+def _vote_sql(rule: str, sev: str, one: str, other: str, source: str = "lines") -> str:
+    q = lambda s: s.replace("'", "''")
+    return f"""SELECT {out(rule, sev)} FROM (
+  SELECT path, num, side, minor, row_number() OVER (PARTITION BY path, side ORDER BY num) AS r FROM (
+    SELECT path, num, side, CASE WHEN count(*) FILTER (side = 1) OVER (PARTITION BY path) <= count(*) FILTER (side = 2) OVER (PARTITION BY path) THEN 1 ELSE 2 END AS minor,
+           count(*) FILTER (side = 1) OVER (PARTITION BY path) AS n1, count(*) FILTER (side = 2) OVER (PARTITION BY path) AS n2
+    FROM (SELECT path, num, CASE WHEN regexp_matches(text, '{q(one)}') THEN 1 WHEN regexp_matches(text, '{q(other)}') THEN 2 END AS side FROM {source}) WHERE side IS NOT NULL)
+  WHERE n1 > 0 AND n2 > 0) WHERE side = minor AND r <= 5"""
+
+
+_JS = "lang IN ('typescript', 'javascript')"
+
+
+@query(f"""WITH {SYN}, js AS (SELECT * FROM lines WHERE {_JS}),
+last AS (SELECT * FROM (SELECT *, lead(text) OVER {_W} AS nxt FROM js) WHERE regexp_matches(nxt, '^\\s*[}}\\]]'))
+{_vote_sql('format-lint/inconsistent-indent', 'warning', context_rules.INDENT_SPACE, context_rules.INDENT_TAB)}
+UNION ALL {_vote_sql('format-lint/inconsistent-quotes', 'info', context_rules.QUOTE_ONE, context_rules.QUOTE_TWO, 'js')}
+UNION ALL {_vote_sql('format-lint/inconsistent-semicolons', 'info', context_rules.SEMI, context_rules.NO_SEMI, 'js')}
+UNION ALL {_vote_sql('format-lint/trailing-comma-inconsistency', 'info', context_rules.COMMA, context_rules.NO_COMMA, 'last')}""")
+def style_votes(spark, sf_dir):
+    return context_rules.styles(syn(spark, sf_dir)[1])
+
+
+_DEPTH = f"""steps AS (SELECT *, CASE WHEN regexp_matches(text, '^\\s*(?://|\\*|/\\*)') THEN 0 ELSE len(regexp_extract_all(text, '{{open}}')) - len(regexp_extract_all(text, '{{close}}')) END AS step FROM lines WHERE lang IN ({{langs}})),
+sums AS (SELECT *, sum(step) OVER (PARTITION BY path ORDER BY num) AS s FROM steps),
+deep AS (SELECT path, num, text, (s - least(0, min(s) OVER (PARTITION BY path ORDER BY num)))::INT AS depth FROM sums)"""
+
+
+def _depth(langs: str, open_: str = r"\{", close: str = r"\}") -> str:
+    return _DEPTH.format(langs=langs, open=open_, close=close)
+
+
+@query(f"WITH {SYN}, {_depth(chr(39) + 'typescript' + chr(39) + ', ' + chr(39) + 'javascript' + chr(39))} SELECT path, num::INT AS num, depth FROM deep")
+def nesting(spark, sf_dir):
+    return context_rules.nesting(syn(spark, sf_dir)[1].filter(F.col("lang").isin("typescript", "javascript"))).select("path", "num", "depth")
+
+
+def _deep_sql(rule: str, most: int, langs: str, *brackets: str) -> str:
+    return f"WITH {SYN}, {_depth(langs, *brackets)}, worst AS (SELECT path, max(depth) AS d FROM deep GROUP BY path HAVING max(depth) > {most}) SELECT {out(rule, 'warning', 'min(num)', 'd')} FROM deep JOIN worst USING (path) WHERE depth = d GROUP BY path, d"
+
+
+@query(_deep_sql("arch-constraints/deep-nesting", 4, "'typescript', 'javascript', 'go', 'rust'"))
+def deep_nesting(spark, sf_dir):
+    return context_rules.deep_nesting(syn(spark, sf_dir)[1])
+
+
+@query(_deep_sql("json/deep-nesting", 5, "'json'", r"[{\[]", r"[}\]]"))
+def json_depth(spark, sf_dir):
+    return context_rules.deep_nesting(syn(spark, sf_dir)[1], 5, "json/deep-nesting", ("json",), r"[{\[]", r"[}\]]")
+
+
+@query(rf"""WITH {SYN}, n AS (SELECT *, lead(text) OVER {_W} AS nxt FROM lines)
+SELECT {out('ast-slop/swallowed-exception', 'info')} FROM n
+WHERE ({_JS} AND (regexp_matches(text, 'catch\s*(?:\([^)]*\))?\s*\{{\s*\}}') OR (regexp_matches(text, 'catch\s*(?:\([^)]*\))?\s*\{{\s*\z') AND regexp_matches(nxt, '^\s*\}}'))))
+   OR (lang = 'python' AND regexp_matches(text, '^\s*except\b.*:\s*(?:#.*)?\z') AND regexp_matches(nxt, '^\s*(?:pass|\.\.\.|continue)\s*\z'))""")
+def swallowed_exception(spark, sf_dir):
+    return context_rules.swallowed(syn(spark, sf_dir)[1])
+
+
+@query(rf"""WITH {SYN}, n AS (SELECT *, coalesce(lead(text) OVER {_W}, '') AS nxt, regexp_extract(text, '^\s*(?:def|class)\s+([A-Za-z_]\w*).*:\s*(?:#.*)?\z', 1) AS name FROM lines WHERE lang = 'python')
+SELECT {out('python-deep/pass-stub', 'warning', msg='name')} FROM n WHERE name <> '' AND regexp_matches(nxt, '^\s*(?:pass|\.\.\.)\s*(?:#.*)?\z')
+UNION ALL SELECT {out('python-deep/missing-docstring', 'suggestion', msg='name')} FROM n WHERE name <> '' AND NOT starts_with(name, '_') AND NOT regexp_matches(nxt, '^\s*(?:r|u|b|br|rb)?(?:"|'')')""")
+def first_body_line(spark, sf_dir):
+    return context_rules.first_body_line(syn(spark, sf_dir)[1])
+
+
+@query(rf"""WITH {SYN}, n AS (SELECT *, coalesce(lag(text) OVER {_W}, '') AS prv, regexp_extract(text, '^(?:func|type|var|const)\s+(?:\([^)]*\)\s*)?([A-Z]\w*)', 1) AS name FROM lines)
+SELECT {out('go-deep/exported-no-doc', 'warning', msg='name')} FROM n WHERE lang = 'go' AND name <> '' AND NOT starts_with(prv, '// ' || name)
+UNION ALL SELECT {out('rust-deep/unsafe-usage', 'error')} FROM n WHERE lang = 'rust' AND regexp_matches(text, '\bunsafe\s*\{{') AND NOT regexp_matches(prv, '(?i)(?://|/\*)\s*SAFETY[:\s]')""")
+def undocumented(spark, sf_dir):
+    return context_rules.undocumented(syn(spark, sf_dir)[1])
+
+
+@query(rf"""WITH {SYN}, v AS (SELECT path, num, regexp_extract(text, '^\s*(?:const|let|var)\s+(\w+)', 1) AS name, text FROM lines WHERE {_JS}),
+seen AS (SELECT path, word AS name FROM (SELECT path, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) AS word FROM lines WHERE {_JS}) GROUP BY path, word HAVING count(*) <= 1)
+SELECT {out('dead-flow/unused-variable', 'suggestion', msg='name')} FROM v SEMI JOIN seen USING (path, name) WHERE name <> '' AND NOT starts_with(name, '_') AND NOT (regexp_matches(name, '^[A-Z]') AND regexp_matches(text, '=>|function'))""")
+def unused_variable(spark, sf_dir):
+    return context_rules.unused_variable(syn(spark, sf_dir)[1])
+
+
+@query(rf"""WITH {SYN}, css AS (SELECT *, sum(CASE WHEN contains(text, '{{') THEN 1 ELSE 0 END) OVER {_W} AS block, regexp_extract(text, '^\s*([a-z-]+)\s*:', 1) AS prop FROM lines WHERE lang = 'css'),
+again AS (SELECT *, row_number() OVER (PARTITION BY path, block, prop ORDER BY num) AS r FROM css WHERE prop <> '')
+SELECT {out('css/duplicate-property', 'warning', msg='prop')} FROM again WHERE r > 1
+UNION ALL SELECT {out('css/important-overuse', 'warning', 'min(num)', 'count(*)')} FROM css WHERE regexp_matches(text, '(?i)!important\b') GROUP BY path HAVING count(*) > 3""")
+def css_blocks(spark, sf_dir):
+    return context_rules.css_blocks(syn(spark, sf_dir)[1])
+
+
+@query(rf"""WITH {SYN}, md AS (SELECT *, coalesce(lead(text) OVER {_W}, '') AS nxt, regexp_matches(text, '^\s*#{{1,6}}\s') AS atx FROM lines WHERE lang = 'markdown')
+SELECT {out('md/inconsistent-heading', 'info')} FROM md WHERE NOT atx AND regexp_matches(text, '\S') AND regexp_matches(nxt, '^\s*(?:=+|-+)\s*\z') AND path IN (SELECT path FROM md WHERE atx)""")
+def headings(spark, sf_dir):
+    return context_rules.headings(syn(spark, sf_dir)[1])
+
+
+@query(rf"""WITH {SYN}, js AS (SELECT * FROM lines WHERE lang = 'json'), f AS (SELECT *, lead(text) OVER {_W} AS nxt FROM js WHERE regexp_matches(text, '\S')),
+c AS (SELECT *, regexp_matches(text, '^\s*"[^"]+"\s*:\s*[^,]+,\s*"[^"]+"\s*:') AS compact, regexp_matches(text, '^\s*"[^"]+"\s*:\s*[^,]+\s*,?\s*\z') AS single FROM js),
+m AS (SELECT path FROM c GROUP BY path HAVING count(*) FILTER (compact) >= 2 AND count(*) FILTER (single AND NOT compact) >= 2)
+SELECT {out('json/trailing-comma', 'error')} FROM f WHERE regexp_matches(text, ',\s*\z') AND regexp_matches(nxt, '^\s*[}}\]]')
+UNION ALL SELECT {out('json/inconsistent-spacing', 'info')} FROM c SEMI JOIN m USING (path) WHERE compact""")
+def json_lines(spark, sf_dir):
+    return context_rules.json_lines(syn(spark, sf_dir)[1])
+
+
+@query(rf"""WITH {SYN}, y AS (SELECT * FROM lines WHERE lang = 'yaml'),
+a AS (SELECT path, name, min(num) AS num FROM (SELECT path, num, regexp_extract(text, '&(\w+)', 1) AS name FROM y) WHERE name <> '' GROUP BY ALL),
+u AS (SELECT path, name FROM (SELECT path, unnest(regexp_extract_all(text, '\*(\w+)', 1)) AS name FROM y) GROUP BY ALL HAVING count(*) >= 3),
+t AS (SELECT path, num, num - lag(num) OVER {_W} AS gap FROM y WHERE regexp_matches(text, '^[A-Za-z_][\w-]*\s*:')),
+p AS (SELECT path, min(num) AS num FROM t GROUP BY path HAVING count(*) >= 4 AND count(*) FILTER (gap > 2) >= 2)
+SELECT {out('yaml/complex-anchor', 'info', msg='name')} FROM a JOIN u USING (path, name)
+UNION ALL SELECT {out('yaml/multi-doc-unseparated', 'warning')} FROM p WHERE path NOT IN (SELECT path FROM y WHERE regexp_matches(text, '^---'))""")
+def yaml_files(spark, sf_dir):
+    return context_rules.yaml_files(syn(spark, sf_dir)[1])
+
+
+# rows of these are checked by unit tests, not by SQL
+@query()
+def other_context_rules(spark, sf_dir):
+    f, ls = syn(spark, sf_dir)
+    out_ = context_rules.trivial_comment(ls)
+    for d in (context_rules.line_endings, context_rules.indent_styles, context_rules.as_any_context, context_rules.class_lists, context_rules.first_marks, context_rules.unreachable):
+        out_ = out_.unionByName(d(ls))
+    for d in (context_rules.marks, context_rules.god_file, context_rules.next_client, context_rules.tags):
+        out_ = out_.unionByName(d(f))
+    return out_
+
+
+@query()
+def fold_rules(spark, sf_dir):
+    return folds.all_folds(synthetic.files(spark, sf_dir))
+
+
+@query()
+def block_comment_state(spark, sf_dir):
+    return folds.comment_lines(syn(spark, sf_dir)[1])
+
+
+# ---- relations
+
+
+_BLOCKS = r"""blocks AS (SELECT path, s + 1 AS start, array_to_string(list_filter(list_transform(ls[s + 1:s + 14], lambda x: regexp_replace(regexp_replace(x, '(?://|#).*\z', ''), '^[\t-\r ]+|[\t-\r ]+\z', '', 'g')), lambda x: x <> ''), chr(10)) AS text
+  FROM (SELECT path, ls, unnest(range(0, len(ls) - 13, 5)) AS s FROM (SELECT path, string_split(content, chr(10)) AS ls FROM files) WHERE len(ls) BETWEEN 14 AND 2000))"""
+
+
+@query(f"""WITH {DOCS}, {_BLOCKS}, k AS (SELECT path, start, md5(text) AS key FROM blocks WHERE length(text) >= 10)
+SELECT key, count(DISTINCT path) AS n_files, count(*) AS n, arg_min(path, (path, start)) AS first_path, arg_min(start, (path, start))::INT AS first_line FROM k GROUP BY key HAVING count(DISTINCT path) >= 2""")
+def identical_blocks(spark, sf_dir):
+    return relations.identical_blocks(relations.blocks(doc_files(spark, sf_dir)))
+
+
+@query()
+def merged_block_regions(spark, sf_dir):
+    return relations.merged_regions(relations.blocks(doc_files(spark, sf_dir)))
+
+
+@query(f"""WITH {SYN}, s AS (SELECT path AS id, list_distinct(regexp_extract_all(content, '[A-Za-z_]+')) AS t FROM files WHERE lang IN ('go', 'html')),
+p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.t, b.t)) AS n_both, len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)) AS n_either FROM s a JOIN s b ON a.id < b.id WHERE a.id LIKE '%0.%' AND b.id LIKE '%0.%')
+SELECT a, b, n_both::BIGINT AS n_both, n_either::BIGINT AS n_either FROM p WHERE n_both * 100 >= n_either * 90""")
+def similar_files(spark, sf_dir):
+    f = synthetic.files(spark, sf_dir).filter(F.col("lang").isin("go", "html") & F.col("path").like("%0.%"))
+    return relations.similar_sets(f.select(F.col("path").alias("id"), F.array_distinct(F.regexp_extract_all("content", F.lit("([A-Za-z_]+)"), 1)).alias("tokens")))
+
+
+@query(rf"""WITH {SYN}, s AS (SELECT path, num, unnest(list_concat(regexp_extract_all(text, '''([^''\n]*)''', 1), regexp_extract_all(text, '"([^"\n]*)"', 1))) AS value FROM lines),
+u AS (SELECT * FROM s WHERE length(value) >= 8 AND NOT regexp_matches(value, '^(?:https?://|\.{{1,2}}/|@|use )') AND NOT regexp_matches(value, '^[a-z-]+/[a-z0-9/_-]+\z') AND regexp_matches(value, '[A-Za-z]'))
+SELECT value, count(*) AS n, count(DISTINCT path) AS n_files, arg_min(path, (path, num)) AS path, arg_min(num, (path, num))::INT AS line, array_to_string(list_sort(list(DISTINCT path || ':' || num))[1:10], ',') AS places
+FROM u GROUP BY value HAVING count(*) >= 3 AND count(DISTINCT path) >= 3""")
+def repeated_constants(spark, sf_dir):
+    return relations.repeated_constants(views.strings(syn(spark, sf_dir)[1]))
+
+
+@query(f"WITH {DOCS} SELECT text, count(*) AS n, count(DISTINCT path) AS n_files FROM lines WHERE length(text) >= 8 GROUP BY text HAVING count(DISTINCT path) >= 3")
+def repeated_lines(spark, sf_dir):
+    return views.lines(doc_files(spark, sf_dir)).filter(F.length("text") >= 8).groupBy("text").agg(F.count("*").alias("n"), F.countDistinct("path").alias("n_files")).filter("n_files >= 3")
+
+
+_FUNCS = rf"""fs AS (SELECT path, num, regexp_extract(text, '^\s*(?:export\s+)?(?:async\s+)?function\s+(\w+)\s*\(([^)]*)\)', 1) AS name, regexp_extract(text, '^\s*(?:export\s+)?(?:async\s+)?function\s+(\w+)\s*\(([^)]*)\)', 2) AS params, regexp_replace(coalesce(lead(text) OVER {_W}, ''), '\s+', ' ', 'g') AS body FROM lines),
+funcs AS (SELECT path, num, name, body, array_to_string(list_transform(string_split(params, ','), lambda p: trim(regexp_replace(p, '^[^:]*:?', ''), ' ')), ',') AS types FROM fs WHERE name <> '')"""
+
+
+@query(f"WITH {SYN}, {_FUNCS} SELECT md5(body) AS key, count(*) AS n, count(DISTINCT name) AS n_names, arg_min(path, (path, num, name)) AS path, arg_min(name, (path, num, name)) AS name FROM funcs WHERE length(body) > 20 GROUP BY md5(body) HAVING count(*) >= 2 AND count(DISTINCT name) >= 2")
+def copied_functions(spark, sf_dir):
+    return relations.copied_functions(relations.one_line_functions(syn(spark, sf_dir)[1]))
+
+
+@query(f"WITH {SYN}, {_FUNCS} SELECT a.path, a.types, a.name AS a, b.name AS b FROM funcs a JOIN funcs b ON a.path = b.path AND a.types = b.types AND a.num < b.num AND a.name <> b.name WHERE length(a.types) >= 4")
+def copied_signatures(spark, sf_dir):
+    return relations.copied_signatures(relations.one_line_functions(syn(spark, sf_dir)[1]))
+
+
+@query(f"""WITH {IMPORTS}, f AS (SELECT source, count(DISTINCT path) AS n_files FROM imports GROUP BY source HAVING count(DISTINCT path) >= 15),
+s AS (SELECT source, symbol, count(DISTINCT path) AS n FROM (SELECT source, path, unnest(symbols) AS symbol FROM imports) GROUP BY ALL),
+c AS (SELECT source, array_to_string(list_sort(list(symbol)), ',') AS symbols FROM s JOIN f USING (source) WHERE n >= 0.3 * n_files GROUP BY source)
+SELECT source, n_files, coalesce(symbols, '') AS symbols FROM f LEFT JOIN c USING (source)""")
+def spread_imports(spark, sf_dir):
+    return relations.spread_imports(views.imports(syn(spark, sf_dir)[1]))
+
+
+@query(f"""WITH {IMPORTS}, l AS (SELECT path, word, max(num) AS last FROM (SELECT path, num, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) AS word FROM lines) GROUP BY ALL),
+i AS (SELECT path, num, source, len(symbols) AS n, unnest(symbols) AS word FROM imports WHERE lang <> 'python'),
+u AS (SELECT path, num, source, n, count(*) AS k, array_to_string(list_sort(list(DISTINCT word)), ',') AS symbols FROM i LEFT JOIN l USING (path, word) WHERE last IS NULL OR last <= num GROUP BY ALL)
+SELECT path, CASE WHEN k = n THEN 'import-intelligence/unused-import' ELSE 'import-intelligence/unused-symbol' END AS rule, 'warning' AS severity, num::INT AS line, 1 AS col, symbols AS message FROM u""")
+def unused_imports(spark, sf_dir):
+    ls = syn(spark, sf_dir)[1]
+    return relations.unused_imports(views.imports(ls), ls)
+
+
+@query(f"WITH {IMPORTS} SELECT {out('import-intelligence/duplicate-import', 'suggestion', 'min(num)', 'source')} FROM imports WHERE lang <> 'python' GROUP BY path, source HAVING count(*) >= 2")
+def duplicate_imports(spark, sf_dir):
+    return relations.duplicate_imports(views.imports(syn(spark, sf_dir)[1]))
+
+
+@query(f"WITH {IMPORTS} SELECT {out('import-intelligence/tree-shakeable', 'suggestion', msg='source')} FROM imports WHERE source IN ('lodash', 'moment', 'rxjs', 'antd', 'date-fns', 'ramda', '@mui/material') AND len(symbols) > 0")
+def tree_shakeable(spark, sf_dir):
+    return relations.tree_shakeable(views.imports(syn(spark, sf_dir)[1]))
+
+
+@query(rf"""WITH {IMPORTS}, p AS (SELECT *, CASE WHEN starts_with(source, '@') THEN regexp_extract(source, '^(@[^/]+/[^/]+)', 1) ELSE regexp_extract(source, '^([^/]+)', 1) END AS name FROM imports WHERE lang <> 'python' AND NOT regexp_matches(source, '^(?:[./]|node:|@/|~/)'))
+SELECT {out('ast-slop/hallucinated-import', 'error', msg='name')} FROM p WHERE name NOT IN ('react', 'fs', 'path')""")
+def undeclared_imports(spark, sf_dir):
+    declared = spark.createDataFrame([("react",), ("fs",), ("path",)], "name string")
+    return relations.undeclared_imports(views.imports(syn(spark, sf_dir)[1]), declared)
+
+
+@query(f"""WITH {IMPORTS}, e AS (SELECT path, num, regexp_extract(text, '{views.EXPORT}', 1) AS name FROM lines WHERE {_JS}),
+taken AS (SELECT DISTINCT unnest(symbols) AS name FROM imports)
+SELECT {out('dead-flow/unused-export', 'info', msg='name')} FROM e ANTI JOIN taken USING (name) WHERE name <> '' AND NOT regexp_matches(name, '^[A-Z]|Engine\\z')""")
+def unused_exports(spark, sf_dir):
+    ls = syn(spark, sf_dir)[1]
+    return relations.unused_exports(views.exports(ls), views.imports(ls))
+
+
+@query(f"WITH {IMPORTS} SELECT {out('arch-constraints/high-coupling', 'warning', 'min(num)', 'count(DISTINCT source)')} FROM imports WHERE NOT type_only GROUP BY path HAVING count(DISTINCT source) > 2")
+def high_coupling(spark, sf_dir):
+    return relations.high_coupling(views.imports(syn(spark, sf_dir)[1]), 2)
+
+
+@query(rf"""WITH {IMPORTS} SELECT {out('arch-constraints/layer-violation', 'warning', msg='source')} FROM imports
+WHERE regexp_matches(source, '(?i)(?:(?:^|\.\./|\./)(?:db|database|models?|repositor(?:y|ies)|entit(?:y|ies)|knex|prisma|drizzle|sequelize|typeorm|mongoose)/|/db/|/lib/db/)')
+  AND (regexp_matches(path, '(?i)(?:/components?/|/views?/|/pages?/|/ui/|/screens?/|\.(?:tsx|jsx)\z)') OR (regexp_matches(path, '(?i)/(?:api|routes?|controllers?|handlers?|endpoints?)/') AND NOT regexp_matches(source, '(?i)/(?:services?|use-?cases?|business|domain)/')))""")
+def layer_violation(spark, sf_dir):
+    return relations.layer_violation(views.imports(syn(spark, sf_dir)[1]))
+
+
+@query(rf"""WITH {IMPORTS} SELECT {out('arch-rules/no-lodash', 'error', msg='source')} FROM imports WHERE regexp_matches(path, '^src/(?:[^/]*/)*[^/]*\.ts\z') AND source = 'lodash'
+UNION ALL SELECT {out('arch-rules/export-something', 'info', 'min(num)', "'^export '")} FROM lines WHERE regexp_matches(path, '^src/') AND path NOT IN (SELECT path FROM lines WHERE regexp_matches(text, '^export ')) GROUP BY path""")
+def user_rules(spark, sf_dir):
+    ls = syn(spark, sf_dir)[1]
+    rules = [{"name": "no-lodash", "type": "forbid_import", "forbid": "lodash", "severity": "error", "where": "src/**/*.ts"}, {"name": "export-something", "type": "require_pattern", "pattern": "^export ", "severity": "info", "where": "src/**"}]
+    return relations.user_rules(rules, views.imports(ls), ls)
+
+
+_EDGES = "edges AS (SELECT DISTINCT s_nationkey::VARCHAR AS src, ((s_suppkey * 7) % 25)::VARCHAR AS dst FROM supplier WHERE s_suppkey % 3 = 0)"
+
+
+@query(f"""WITH RECURSIVE {_EDGES},
+walk(start, last, members) AS (SELECT src, dst, [src, dst] FROM edges WHERE src < dst
+  UNION ALL SELECT start, e.dst, list_append(members, e.dst) FROM walk JOIN edges e ON walk.last = e.src WHERE e.src <> e.dst AND e.dst > start AND NOT list_contains(members, e.dst) AND len(members) < 3),
+found AS (SELECT members FROM walk JOIN edges e ON walk.last = e.src AND e.dst = walk.start UNION ALL SELECT [src] FROM edges WHERE src = dst)
+SELECT DISTINCT len(members)::BIGINT AS n, array_to_string(members, ' > ') AS cycle FROM found""")
+def cycles(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").filter("s_suppkey % 3 = 0")
+    return relations.cycles(s.select(F.col("s_nationkey").cast("string").alias("src"), (F.col("s_suppkey") * 7 % 25).cast("string").alias("dst")).distinct(), 3)
+
+
+@query()
+def import_graph(spark, sf_dir):
+    f, ls = syn(spark, sf_dir)
+    return relations.import_edges(views.imports(ls), f)
+
+
+@query(rf"""WITH {SYN}, css AS (SELECT path, num, unnest(regexp_extract_all(text, '\.([A-Za-z_][\w-]*)\s*[,{{:]', 1)) AS name FROM lines WHERE lang = 'css'),
+used AS (SELECT DISTINCT unnest(string_split_regex(l, '\s+')) AS name FROM (SELECT unnest(list_concat(regexp_extract_all(text, 'class(?:Name)?\s*=\s*"([^"]*)"', 1), regexp_extract_all(text, 'class(?:Name)?\s*=\s*''([^'']*)''', 1))) AS l FROM lines WHERE lang IN ('html', 'typescript', 'javascript')))
+SELECT {out('css/unused-selector', 'info', msg='name')} FROM css ANTI JOIN used USING (name)""")
+def unused_selectors(spark, sf_dir):
+    return relations.unused_selectors(syn(spark, sf_dir)[1])
+
+
+@query(rf"""WITH {SYN}, used AS (SELECT DISTINCT unnest(regexp_extract_all(text, '\bt\(\s*[''"]([\w.-]+)[''"]', 1)) AS name FROM lines WHERE {_JS}),
+keys AS (SELECT * FROM (VALUES ('en', 'menu.open'), ('en', 'menu.other'), ('de', 'menu.open'), ('fr', 'menu.other')) AS t(locale, name)), ls AS (SELECT DISTINCT locale FROM keys)
+SELECT 'i18n-lint/missing-translation-key' AS rule, name, locale FROM used CROSS JOIN ls ANTI JOIN keys USING (name, locale)
+UNION ALL SELECT 'i18n-lint/untranslated-locale', name, locale FROM (SELECT DISTINCT name FROM keys) CROSS JOIN ls ANTI JOIN keys USING (name, locale)""")
+def translations(spark, sf_dir):
+    keys = spark.createDataFrame([("en", "menu.open"), ("en", "menu.other"), ("de", "menu.open"), ("fr", "menu.other")], "locale string, name string")
+    return relations.translations(relations.translation_keys(syn(spark, sf_dir)[1]), keys)
+
+
+# ---- findings
+
+
+def found(spark, sf_dir) -> DataFrame:
+    return line_rules.detect(syn(spark, sf_dir)[1])
+
+
+FOUND = f"{SYN}, found AS ({line_rules.sql()})"
+_RANK = "CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 WHEN 'info' THEN 2 WHEN 'suggestion' THEN 3 ELSE 4 END"
+_OVERRIDES = [("ast-slop/todo-stub", "error"), ("types/*", "off"), ("ast-slop/*", "info"), ("ast-slop/as-any", "off")]
+
+
+@query(f"""WITH {FOUND} SELECT path, rule, CASE WHEN rule = 'ast-slop/todo-stub' THEN 'error' WHEN starts_with(rule, 'ast-slop') THEN 'info' ELSE severity END AS severity, line, col, message FROM found WHERE NOT starts_with(rule, 'types') AND rule <> 'ast-slop/as-any'""")
+def rule_override(spark, sf_dir):
+    return P.override(found(spark, sf_dir), _OVERRIDES)
+
+
+@query(rf"""WITH {FOUND}, d AS (SELECT path, num, regexp_extract(text, '(?://|#|/\*|<!--)\s*lint-(ignore-next|ignore-line|ignore-start|ignore-end|ignore)\b', 1) AS kind FROM lines),
+e AS (SELECT *, min(CASE WHEN kind = 'ignore-end' THEN num END) OVER (PARTITION BY path ORDER BY num RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS stop FROM d WHERE kind IN ('ignore-start', 'ignore-end')),
+s AS (SELECT path, CASE WHEN kind = 'ignore-line' THEN num ELSE num + 1 END AS a, CASE WHEN kind = 'ignore-line' THEN num ELSE num + 1 END AS b FROM d WHERE kind IN ('ignore-next', 'ignore-line', 'ignore') UNION ALL SELECT path, num, coalesce(stop, 999999) FROM e WHERE kind = 'ignore-start')
+SELECT f.* FROM found f WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.path = f.path AND f.line BETWEEN a AND b)""")
+def suppressed(spark, sf_dir):
+    return P.suppress(found(spark, sf_dir), syn(spark, sf_dir)[1])
+
+
+@query(f"WITH {FOUND} SELECT path, rule, severity, line, col, message FROM (SELECT *, row_number() OVER (PARTITION BY path, line, rule ORDER BY {_RANK}, col, message) AS r FROM found) WHERE r = 1")
+def first_of_each(spark, sf_dir):
+    return P.first_of_each(found(spark, sf_dir))
+
+
+@query(f"WITH {FOUND} SELECT * FROM found WHERE {_RANK} <= 1")
+def severity_floor(spark, sf_dir):
+    return P.at_least(found(spark, sf_dir), "warning")
+
+
+@query(f"WITH {FOUND}, d AS (SELECT * FROM (VALUES (0, 'error'), (1, 'warning'), (2, 'info'), (3, 'suggestion')) AS t(rank, severity)) SELECT severity, rank, count(path) AS n FROM d LEFT JOIN found USING (severity) GROUP BY ALL")
+def severity_counts(spark, sf_dir):
+    return P.severity_counts(found(spark, sf_dir))
+
+
+@query(f"WITH {FOUND} SELECT split_part(rule, '/', 1) AS engine, rule, count(*) AS n FROM found GROUP BY ROLLUP (split_part(rule, '/', 1), rule)")
+def engine_rollup(spark, sf_dir):
+    return P.engine_rollup(found(spark, sf_dir))
+
+
+@query(f"WITH {FOUND} SELECT rule, count(*) AS n, min({_RANK})::INT AS worst FROM found GROUP BY rule ORDER BY n DESC, rule LIMIT 10")
+def top_rules(spark, sf_dir):
+    return P.top_rules(found(spark, sf_dir))
+
+
+@query(f"WITH {FOUND} SELECT rule, r::INT AS r, path, line FROM (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY path, line, col, message) AS r FROM found) WHERE r <= 3")
+def first_places(spark, sf_dir):
+    return P.first_places(found(spark, sf_dir))
+
+
+def _score_sql(by: str = "", log: bool = True, n: int = 100, smoothing: int = 20) -> str:
+    keys, only = f"{by}, " if by else "", f"PARTITION BY {by}, rule" if by else "PARTITION BY rule"
+    raw = "100.0 - 100.0 * ln(1 + total * density) / ln(1 + 100.0 + total * density)" if log else "100.0 - total"
+    return f"""WITH {FOUND}, f AS (SELECT *, split_part(rule, '/', 1) AS engine FROM found),
+r AS (SELECT *, row_number() OVER ({only} ORDER BY path, line, col, message) AS r FROM f),
+w AS (SELECT *, CASE WHEN r <= 16 THEN 0.5 * CASE severity WHEN 'error' THEN 10.0 WHEN 'warning' THEN 1.0 ELSE 0.0 END ELSE 0.0 END::DOUBLE AS w FROM r),
+u AS (SELECT *, sum(w) OVER ({only} ORDER BY r) AS run FROM w),
+g AS (SELECT {keys}rule, sum(w) AS w, count(*) FILTER (r > 16 {'OR (w > 0 AND run > 5)' if log else ''}) AS capped, count(*) FILTER (severity IN ('error', 'warning')) AS bad FROM u GROUP BY ALL),
+t AS (SELECT {keys}sum({'least(w, 5.0)' if log else 'w'})::DOUBLE AS total, sum(capped)::BIGINT AS n_capped, least(1.0, sum(bad) / {n + smoothing}.0)::DOUBLE AS density FROM g {'GROUP BY ' + by if by else ''}),
+s AS (SELECT *, floor(greatest(0.0, least(100.0, {raw})) + 0.5)::INT AS score FROM t)
+SELECT {keys}score, CASE WHEN score >= 75 THEN 'healthy' WHEN score >= 50 THEN 'needs work' ELSE 'critical' END AS label, round(density, 9) AS density, round(total, 6) AS total, n_capped FROM s"""
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumn("density", F.round("density", 9)).withColumn("total", F.round("total", 6))
+
+
+@query(_score_sql())
+def score_log(spark, sf_dir):
+    return _rounded(P.score(found(spark, sf_dir), 100, smoothing=20.0))
+
+
+@query(_score_sql(log=False))
+def score_linear(spark, sf_dir):
+    return _rounded(P.score(found(spark, sf_dir), 100, smoothing=20.0, mode="linear"))
+
+
+@query(_score_sql("engine"))
+def score_by_engine(spark, sf_dir):
+    return _rounded(P.score(found(spark, sf_dir).withColumn("engine", P.engine()), 100, smoothing=20.0, by=("engine",)))
+
+
+@query("SELECT o_orderkey, (o_orderkey % 101)::INT AS score, o_orderkey % 7 = 0 AS has_errors, o_orderkey % 5 <> 0 AS scoreable, CASE WHEN o_orderkey % 7 = 0 THEN 1 WHEN o_orderkey % 5 = 0 THEN 2 WHEN o_orderkey % 101 < 70 THEN 3 ELSE 0 END AS code, o_orderkey % 101 >= 60 AS passed FROM orders")
+def gates(spark, sf_dir):
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", (k % 101).cast("int").alias("score"), (k % 7 == 0).alias("has_errors"), (k % 5 != 0).alias("scoreable"))
+    return P.baseline_gate(P.exit_code(rows), 60)
+
+
+@query(f"WITH {SYN} SELECT round(count(*) FILTER (lang NOT IN ('typescript', 'javascript', 'python')) / count(*), 6) AS unsupported, count(*) FILTER (lang NOT IN ('typescript', 'javascript', 'python')) / count(*) < 0.8 AS scoreable FROM files WHERE lang IS NOT NULL")
+def scoreable(spark, sf_dir):
+    return P.scoreable(synthetic.files(spark, sf_dir), ("typescript", "javascript", "python")).withColumn("unsupported", F.round("unsupported", 6))
+
+
+_ASSESS = f"""SELECT *, CASE WHEN regexp_matches(rule, 'comment|whitespace|trailing|blank-line|print-statement|console-leftover') THEN 'trivial' WHEN regexp_matches(rule, 'import|quotes|semicolons|todo|missing-alt|missing-lang') THEN 'simple' WHEN regexp_matches(rule, 'god-file|circular|cycle|layer-violation|high-coupling') THEN 'complex' WHEN severity = 'error' THEN 'moderate' ELSE 'simple' END AS complexity, 4 - {_RANK} AS priority FROM found"""
+
+
+@query(f"""WITH {FOUND}, a AS ({_ASSESS}), m AS (SELECT *, CASE complexity WHEN 'trivial' THEN 1 WHEN 'simple' THEN 5 WHEN 'moderate' THEN 15 ELSE 60 END AS minutes FROM a), t AS (SELECT count(*) AS n, sum(minutes)::BIGINT AS minutes, max(priority)::INT AS priority FROM m)
+SELECT n, minutes, priority, CASE WHEN minutes >= 60 THEN (minutes // 60) || 'h ' || (minutes % 60) || 'm' ELSE minutes || 'm' END AS effort FROM t""")
+def effort_summary(spark, sf_dir):
+    return P.effort(P.assess(found(spark, sf_dir)))
+
+
+_DAILY = "days AS (SELECT date_trunc('day', ts) AS day, (count(*) % 100)::INT AS score FROM events GROUP BY 1)"
+
+
+@query(f"""WITH {_DAILY}, c AS (SELECT *, lag(score) OVER (ORDER BY day) AS before FROM days)
+SELECT strftime(day, '%Y-%m-%d') AS day, score, before, score - before AS change, CASE WHEN score - before < -10 THEN 'severe-regression' WHEN score - before < -3 THEN 'degrading' WHEN score - before > 5 THEN 'improving' WHEN before IS NOT NULL THEN 'stable' END AS kind, least(floor(score / 100.0 * 8), 7)::INT AS level FROM c""")
+def score_trend(spark, sf_dir):
+    days = table(spark, sf_dir, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg((F.count("*") % 100).cast("int").alias("score"))
+    return P.trend(days, "day")
+
+
+@query("""WITH n AS (SELECT event_type AS engine, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY 1), b AS (SELECT event_type AS engine, count(*) AS before FROM events WHERE ts < TIMESTAMP '2024-01-16' GROUP BY 1)
+SELECT engine, coalesce(n, 0)::BIGINT AS n, coalesce(before, 0)::BIGINT AS before FROM n FULL JOIN b USING (engine) WHERE coalesce(n, 0) - coalesce(before, 0) > 10""")
+def engine_spikes(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("engine", F.col("event_type"))
+    count = lambda c: e.filter(c).groupBy("engine").agg(F.count("*").alias("n"))
+    return P.spikes(count("ts >= TIMESTAMP '2024-01-16'"), count("ts < TIMESTAMP '2024-01-16'"))
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM g)
+SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n_changes FROM s GROUP BY user_id, session""")
+def change_sessions(spark, sf_dir):
+    return quiet(table(spark, sf_dir, "events"), "30 minutes", by=("user_id",))
+
+
+@query(f"WITH {FOUND} SELECT DISTINCT rule, split_part(rule, '/', 1) AS engine, CASE split_part(rule, '/', 1) WHEN 'security-deep' THEN 'strict' ELSE 'mechanical' END AS tier FROM found")
+def rule_catalogue(spark, sf_dir):
+    strict = {r.id: "strict" for r in line_rules.RULES if r.id.startswith("security-deep/")}
+    return P.catalogue(found(spark, sf_dir), strict)
+
+
+@query(f"""WITH {FOUND}, c AS (SELECT DISTINCT rule, split_part(rule, '/', 1) AS engine, 'mechanical' AS tier FROM found)
+SELECT *, CASE WHEN rule = 'python' THEN 10 WHEN starts_with(rule, 'python') THEN 8 WHEN contains(rule, 'python') THEN 5 WHEN contains(engine, 'python') THEN 2 ELSE 0 END AS fit, levenshtein(rule, 'python')::INT AS distance FROM c""")
+def rule_search(spark, sf_dir):
+    return P.search(P.catalogue(found(spark, sf_dir), {"x": "strict"}), "python")
+
+
+# ---- reports and fixes
+
+
+@query(f"WITH {FOUND} SELECT rule, CASE severity WHEN 'error' THEN 'error' WHEN 'warning' THEN 'warning' ELSE 'note' END AS level FROM (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY path, line, col, message) AS r FROM found) WHERE r = 1")
+def sarif_rules(spark, sf_dir):
+    return reports.sarif_rules(found(spark, sf_dir)).select("rule", "level")
+
+
+@query()
+def sarif_results(spark, sf_dir):
+    return reports.sarif_results(found(spark, sf_dir))
+
+
+@query()
+def report_by_file(spark, sf_dir):
+    return reports.by_file(found(spark, sf_dir))
+
+
+@query(f"WITH {FOUND} SELECT path, rule, greatest(line - 1, 0) AS start_line, greatest(col - 1, 0) AS start_char, ({_RANK}) + 1 AS severity FROM found")
+def lsp_ranges(spark, sf_dir):
+    return reports.lsp(found(spark, sf_dir))
+
+
+def _redact_sql() -> str:
+    from corpusmill.functions.text import REDACTIONS
+
+    s = "coalesce(text, '')"
+    for pattern, mask in REDACTIONS:
+        s = f"regexp_replace({s}, '{pattern}', '{mask}', 'g')"
+    return f"SELECT doc_id, md5({s}) AS redacted FROM documents"
+
+
+@query(_redact_sql())
+def redaction(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(redact(F.coalesce("text", F.lit("")))).alias("redacted"))
+
+
+_FIX_SURE = " ".join(f"WHEN '{r}' THEN {c}" for r, c in fixes.DELETE.items()) + " " + " ".join(f"WHEN '{r}' THEN {v[2]}" for r, v in fixes.REPLACE.items())
+_FIX_NEW = " ".join(f"WHEN '{r}' THEN regexp_replace(text, '{v[0]}', '{v[1]}', 'g')" for r, v in fixes.REPLACE.items())
+_STEPS = f"""{FOUND}, steps AS (SELECT f.path, f.line, rule, CASE WHEN rule IN ({', '.join(repr(r) for r in fixes.DELETE)}) THEN 'delete' ELSE 'replace' END AS kind, text AS old, CASE rule {_FIX_NEW} ELSE '' END AS new, (CASE rule {_FIX_SURE} END)::DOUBLE AS confidence
+  FROM found f JOIN lines l ON f.path = l.path AND f.line = l.num WHERE rule IN ({', '.join(repr(r) for r in [*fixes.DELETE, *fixes.REPLACE])})),
+one AS (SELECT *, row_number() OVER (PARTITION BY path, line ORDER BY confidence DESC, rule) AS r FROM steps WHERE confidence >= 0.8),
+plan AS (SELECT path, line, rule, kind, old, new, confidence, row_number() OVER (PARTITION BY path ORDER BY line DESC)::INT AS step FROM one WHERE r = 1)"""
+
+
+def _steps(spark, sf_dir) -> DataFrame:
+    return fixes.plan(fixes.propose(found(spark, sf_dir), syn(spark, sf_dir)[1]))
+
+
+@query(f"WITH {_STEPS} SELECT * FROM plan")
+def fix_plan(spark, sf_dir):
+    return _steps(spark, sf_dir)
+
+
+@query(f"""WITH {_STEPS} SELECT l.path, string_agg(CASE WHEN p.path IS NULL THEN l.text ELSE p.new END, chr(10) ORDER BY l.num) AS content FROM lines l LEFT JOIN plan p ON l.path = p.path AND l.num = p.line
+WHERE l.path IN (SELECT path FROM plan) AND (p.kind IS NULL OR p.kind <> 'delete') GROUP BY l.path""")
+def fix_apply(spark, sf_dir):
+    f, ls = syn(spark, sf_dir)
+    return fixes.apply(f, ls, _steps(spark, sf_dir))
+
+
+@query(f"WITH {_STEPS} SELECT f.path, f.rule, f.line, f.severity, f.col, f.message FROM found f ANTI JOIN plan p ON f.path = p.path AND f.rule = p.rule AND f.line = p.line")
+def fix_remaining(spark, sf_dir):
+    return fixes.remaining(found(spark, sf_dir), _steps(spark, sf_dir))
+
+
+@query(f"WITH {_STEPS} SELECT path, line, '-' || old AS before, CASE WHEN kind <> 'delete' THEN '+' || new END AS after FROM plan")
+def fix_preview(spark, sf_dir):
+    return fixes.preview(_steps(spark, sf_dir))
+
+
+_MANIFEST = '{"dependencies": {"react": "^18.0.0", "request": "*"}, "devDependencies": {"react": "17.1.0"}, "peerDependencies": {"react": "x"}}'
+
+
+@query("""SELECT 'a/package.json' AS path, rule, severity, 1 AS line, 1 AS col, message FROM (VALUES ('dep-audit/unpinned', 'warning', 'request'), ('dep-audit/unpinned', 'warning', 'react'), ('dep-audit/cross-listed', 'warning', 'react'), ('dep-audit/peer-in-deps', 'warning', 'react'), ('dep-audit/deprecated', 'warning', 'request'), ('dep-audit/major-outdated', 'warning', 'react'), ('dep-audit/minor-outdated', 'info', 'react')) AS t(rule, severity, message)""")
+def dependency_audit(spark, sf_dir):
+    f = as_files(spark.createDataFrame([("a/package.json", _MANIFEST)], "p string, c string"), F.col("p"), F.col("c"))
+    latest = spark.createDataFrame([("react", "18.2.0")], "name string, version string")
+    return reports.dependency_audit(manifest_dependencies(f), latest)
