@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 from corpusmill.llm import kernels as K
 from corpusmill.plans.storage import Scratch
 
-#: Bounds of the model: terms, labelled examples, examples in a block of the index, neighbours that vote.
-TERMS, EXAMPLES, BLOCK, NEIGHBOURS = 4096, 4096, 64, 15
+#: Bounds of the model: labelled rows, terms, examples in the index, examples in a block of it, neighbours that vote.
+ROWS, TERMS, EXAMPLES, BLOCK, NEIGHBOURS = 30_000, 4096, 4096, 64, 15
 #: A term enters the model if it stands in so many toxic training documents, and these are such a share of its own.
 MIN_TOXIC, MIN_SHARE = 4, 0.7
 #: Besides whole words, the first 4, 5 and 6 bytes of longer words are terms: endings vary, stems recur.
@@ -174,7 +174,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 low = np.full(b - a, np.uint64((1 << 64) - 1))
                 np.minimum.at(low, d, K.mix(h * np.uint64(2 * salt + 1)))
                 signs.append(pa.array(low.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(3)), *signs], names=["doc_id", "text", "toxic", "sign0", "sign1"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), *signs], names=["l_id", "toxic", "sign0", "sign1"])
 
 
 def _term_rows(vocabulary: np.ndarray):
@@ -201,26 +201,33 @@ def _vectors(vocabulary: np.ndarray):
     return run
 
 
-def fit(docs: DataFrame, examples: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", terms: int = TERMS, most: int = EXAMPLES) -> tuple[Index, list[int]]:
+def fit(docs: DataFrame, examples: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = ROWS, terms: int = TERMS, most: int = EXAMPLES) -> tuple[Index, list[int]]:
     """An index of labelled examples, and their doc_ids. ``examples`` has doc_id and label and only what may be learnt.
 
-    Terms are chosen by counts over all labelled documents: the ``terms`` whose share in toxic ones is least likely
-    by chance, of those that beat chance by MARGIN and stand in MIN_TOXIC toxic ones; their idf is counted over all of ``docs``. Of the labelled documents at most ``most`` (a
-    documented bound), by hash of the id among those with a term, become examples.
+    At most ``rows`` labelled documents (a documented bound), by hash of the id, are learnt from. Terms are chosen
+    by counts over them, one of each group of near copies: the ``terms`` whose share in toxic ones is least likely
+    by chance, of those that beat chance by MARGIN and stand in MIN_TOXIC toxic ones; their idf is counted over all of ``docs``. Of those documents at most ``most`` (a
+    documented bound too) with a term become examples.
     """
     scratch = Scratch(docs.sparkSession, "toxicity")
-    marks = examples.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("l_id")).agg(F.max(F.col(label).cast("int")).alias("toxic"))
-    known = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(marks, F.col("doc_id") == F.col("l_id")).select("doc_id", "text", "toxic")
-    known = scratch.keep(known.mapInArrow(_signed, "doc_id long, text string, toxic int, sign0 long, sign1 long"), "known")
+    marks = examples.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).cast("long").alias("l_id")).agg(F.max(F.col(label).cast("int")).alias("toxic"))
+    picked = scratch.keep(marks.orderBy(F.xxhash64("l_id"), "l_id").limit(rows), "picked")
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+
+    def known(ids: DataFrame) -> DataFrame:  # at most ``rows`` ids are broadcast, so that no text moves
+        return texts.join(F.broadcast(ids), F.col("doc_id") == F.col("l_id")).select("doc_id", "text", "toxic")
+
     # Near copies would lend chance words the weight of many documents: one stands for those with an equal signature.
-    apart = known
+    signed = scratch.keep(known(picked).mapInArrow(_signed, "l_id long, toxic int, sign0 long, sign1 long"), "signed")
+    apart = signed
     for name in ("sign0", "sign1"):
-        apart = apart.join(known.groupBy(name).agg(F.min("doc_id").alias("own")).withColumnRenamed(name, "s"), (F.col(name) == F.col("s")) & (F.col("doc_id") == F.col("own")), "left_semi")
-    apart = scratch.keep(apart.select("text", "toxic"), "apart")
+        first = signed.groupBy(F.col(name).alias("s")).agg(F.min("l_id").alias("own"))
+        apart = apart.join(first, (F.col(name) == F.col("s")) & (F.col("l_id") == F.col("own")), "left_semi")
+    apart = scratch.keep(apart.select("l_id", "toxic").distinct(), "apart")
     sizes = {r.toxic: r.n for r in apart.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = sizes.get(1, 0), sum(n for k, n in sizes.items() if k != 1)
     prior = n_toxic / max(1, n_toxic + n_clean)
-    by = apart.mapInArrow(_class_counts, "term long, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    by = known(apart).select("text", "toxic").mapInArrow(_class_counts, "term long, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     by = scratch.keep(by.filter("toxic > 0"), "terms")
     all_ = F.col("toxic") + F.col("clean")
     # The log-likelihood ratio of the term's share among toxic documents against chance.
@@ -236,12 +243,12 @@ def fit(docs: DataFrame, examples: DataFrame, *, doc_id: str = "doc_id", text: s
             df[r.place] = r.n
     idf = np.log((1 + n_docs) / df)
     # The same share of toxic and clean documents, so that shares of neighbours are calibrated.
-    vectors = scratch.keep(known.select("doc_id", "text", "toxic").mapInArrow(_vectors(vocabulary), "doc_id long, toxic int, terms array<bigint>, tf array<bigint>").filter(F.size("terms") > 0), "vectors")
-    rows = sorted(vectors.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect(), key=lambda r: r.doc_id)
+    vectors = scratch.keep(known(picked).mapInArrow(_vectors(vocabulary), "doc_id long, toxic int, terms array<bigint>, tf array<bigint>").filter(F.size("terms") > 0), "vectors")
+    got = sorted(vectors.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect(), key=lambda r: r.doc_id)
     scratch.close()
-    own = np.repeat(np.arange(len(rows)), [len(r.terms) for r in rows])
-    flat = lambda name: np.array([x for r in rows for x in r[name]], np.int64)
-    return Index(vocabulary, idf, own, flat("terms"), flat("tf"), np.array([r.toxic == 1 for r in rows], np.float64), prior), [r.doc_id for r in rows]
+    own = np.repeat(np.arange(len(got)), [len(r.terms) for r in got])
+    flat = lambda name: np.array([x for r in got for x in r[name]], np.int64)
+    return Index(vocabulary, idf, own, flat("terms"), flat("tf"), np.array([r.toxic == 1 for r in got], np.float64), prior), [r.doc_id for r in got]
 
 
 def score(docs: DataFrame, index: Index, names: list[int], *, doc_id: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
