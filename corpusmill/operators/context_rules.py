@@ -255,3 +255,64 @@ def all_rules(files: DataFrame, lines: DataFrame) -> DataFrame:
     for detector in (missing_final_newline, marks, god_file, next_client, tags):
         out = out.unionByName(detector(files))
     return out
+
+
+def console_leftover(lines: DataFrame) -> DataFrame:
+    """Printing left in code: not in tests, not in a catch block close by, not below a main guard."""
+    t = F.col("text")
+    near = F.concat_ws("\n", F.collect_list("text").over(_BY_FILE.rowsBetween(-5, -1)))
+    rows = lines.withColumn("near", near).filter(~matches(F.col("path"), r"(?:\.(?:test|spec)\.[a-z]+\z|(?:^|/)(?:tests?|__tests__)/)"))
+    caught = matches(F.col("near"), r"catch\s*(?:\([^)]*\))?\s*\{[^}]*\z")
+    js = F.col("lang").isin("typescript", "javascript") & matches(t, r"console\.(?:log|debug)\s*\(") & ~caught
+    py = (F.col("lang") == "python") & matches(t, r"^\s*print\s*\(") & ~F.contains("near", F.lit("if __name__"))
+    return _found(rows.filter(js | py), "ast-slop/console-leftover", "suggestion")
+
+
+def silent_recovery(lines: DataFrame, reach: int = 7) -> DataFrame:
+    """Catches whose next lines, up to the one that closes, hold neither code nor comment."""
+    after = F.collect_list("text").over(_BY_FILE.rowsBetween(1, reach))
+    rows = lines.filter(F.col("lang").isin("typescript", "javascript", "go", "rust")).withColumn("after", after).filter(matches(F.col("text"), r"catch\s*(?:\([^)]*\))?\s*\{\s*\z"))
+    first = F.element_at(F.filter("after", lambda x: matches(x, r"\S")), 1)
+    rows = rows.withColumn("first", F.when(F.size(F.filter("after", lambda x: matches(x, r"\S"))) > 0, first))
+    return _found(rows.filter(matches(F.col("first"), r"^\s*\}")), "ast-slop/silent-recovery", "info")
+
+
+def placeholder_impl(lines: DataFrame) -> DataFrame:
+    """Functions with a marker and a stub of a return in their first lines."""
+    near = F.concat_ws("\n", F.collect_list("text").over(_BY_FILE.rowsBetween(1, 9)))
+    rows = lines.withColumn("near", near).filter(matches(F.col("text"), r"(?:\bfunction\s+\w+\s*\(|=>\s*\{\s*\z|^\s*def\s+\w+)"))
+    hit = matches(F.col("near"), r"(?i)(?://|#)\s*(?:TODO|FIXME|implement)") & matches(F.col("near"), r"(?m)^\s*(?:return\s+(?:null|None|undefined|\[\]|\{\}|''|\"\"|0|false|False)?\s*;?|pass|throw new Error\(.*not implemented.*)\s*$")
+    return _found(rows.filter(hit), "ast-slop/placeholder-impl", "warning")
+
+
+def overdefensive_type(lines: DataFrame) -> DataFrame:
+    """typeof tests of a variable against the type that it is declared with; the last declaration counts."""
+    ts = lines.filter("lang = 'typescript'")
+    declared = ts.withColumn("name", extract(F.col("text"), r"\b(\w+)\s*:\s*(?:string|number|boolean)\b", 1)).withColumn("type", extract(F.col("text"), r"\b\w+\s*:\s*(string|number|boolean)\b", 1)).filter("name <> ''").filter(~matches(F.col("text"), r":\s*\w+\s*\|"))
+    declared = declared.groupBy("path", "name").agg(F.max_by("type", "num").alias("type"))
+    tests = ts.withColumn("name", extract(F.col("text"), r"typeof\s+(\w+)\s*[!=]==?\s*['\"]\w+['\"]", 1)).withColumn("type", extract(F.col("text"), r"typeof\s+\w+\s*[!=]==?\s*['\"](\w+)['\"]", 1)).filter("name <> ''")
+    return _found(tests.join(declared, ["path", "name", "type"], "left_semi"), "ast-slop/overdefensive-type", "info", F.col("name"))
+
+
+def unnecessary_abstraction(lines: DataFrame) -> DataFrame:
+    """Interfaces with one implementor and abstract classes with one subclass in their file."""
+    ts = lines.filter("lang = 'typescript'")
+    made = ts.withColumn("name", extract(F.col("text"), r"\b(?:interface|abstract\s+class)\s+(\w+)", 1)).filter("name <> ''")
+    used = ts.select("path", F.explode(F.concat(F.regexp_extract_all("text", F.lit(r"\bimplements\s+(\w+)"), 1), F.regexp_extract_all("text", F.lit(r"\bclass\s+\w+\s+extends\s+(\w+)"), 1))).alias("name")).groupBy("path", "name").agg(F.count("*").alias("n")).filter("n = 1")
+    return _found(made.join(used, ["path", "name"], "left_semi"), "ast-slop/unnecessary-abstraction", "info", F.col("name"))
+
+
+def both_branches_end(lines: DataFrame) -> DataFrame:
+    """Statements behind an if and else that both end, at the depth of the if."""
+    rows = nesting(lines.filter(F.col("lang").isin("typescript", "javascript"))).filter(matches(F.col("text"), r"\S"))
+    back = lambda k: F.lag("text", k, "").over(_BY_FILE)
+    ends = r"^\s*(?:return\b.*|throw\b.*);?\s*\z"
+    hit = matches(back(1), r"^\s*\}\s*\z") & matches(back(2), ends) & matches(back(3), r"^\s*\}\s*else\s*\{\s*\z") & matches(back(4), ends) & matches(back(5), r"^\s*if\s*\(.*\)\s*\{\s*\z")
+    return _found(rows.withColumn("hit", hit).filter("hit").filter(~matches(F.col("text"), r"^\s*[})\]]")), "dead-flow/unreachable-after-if-else-return", "warning")
+
+
+def more_rules(files: DataFrame, lines: DataFrame) -> DataFrame:
+    out = console_leftover(lines)
+    for detector in (silent_recovery, placeholder_impl, overdefensive_type, unnecessary_abstraction, both_branches_end):
+        out = out.unionByName(detector(lines))
+    return out

@@ -238,3 +238,60 @@ def translations(used: DataFrame, locale_keys: DataFrame) -> DataFrame:
 
 def translation_keys(lines: DataFrame) -> DataFrame:
     return lines.filter(F.col("lang").isin("typescript", "javascript")).select("path", "num", F.explode(F.regexp_extract_all("text", F.lit(r"\bt\(\s*['\"]([\w.-]+)['\"]"), 1)).alias("name"))
+
+
+# ---- more on imports
+
+def type_only_imports(imports: DataFrame, lines: DataFrame) -> DataFrame:
+    """Imports all of whose symbols stand in type positions alone (behind a colon, <, as, extends or implements)."""
+    ts = lines.filter("lang = 'typescript'").filter(~matches(F.col("text"), r"^\s*import\b"))
+    bare = F.regexp_replace("text", r"(?::\s*|<\s*|\bas\s+|\bextends\s+|\bimplements\s+)[A-Za-z_][\w.]*", "")
+    values = words(ts.select("path", "num", bare.alias("text"))).select("path", "word").distinct()
+    any_ = words(ts).select("path", "word").distinct()
+    rows = imports.filter("lang = 'typescript' AND NOT type_only AND size(symbols) > 0").select("path", "num", "source", F.size("symbols").alias("n"), F.explode("symbols").alias("word"))
+    typed = rows.join(any_, ["path", "word"], "left_semi").join(values, ["path", "word"], "left_anti").groupBy("path", "num", "source", "n").agg(F.count("*").alias("k")).filter("k = n")
+    return _found(typed, "import-intelligence/type-only-import", "suggestion", F.col("source"))
+
+
+def reexports(lines: DataFrame) -> DataFrame:
+    """path, source, symbol of index files that pass symbols on."""
+    index = lines.filter(F.col("path").rlike(r"/index\.[jt]sx?\z"))
+    names = F.transform(F.split(extract(F.col("text"), r"^export\s+(?:type\s+)?\{([^}]*)\}\s*from\b", 1), ","), lambda s: trim_all(F.regexp_replace(s, r"\s+as\s+.*\z", "")))
+    source = extract(F.col("text"), r"^export\s+.*\bfrom\s+['\"]([^'\"]+)['\"]", 1)
+    return index.select("path", source.alias("source"), F.explode(F.filter(names, lambda s: s != "")).alias("symbol")).filter("source <> ''")
+
+
+def barrel_bypass(imports: DataFrame, passed_on: DataFrame) -> DataFrame:
+    """Symbols imported through an index file although their own file is known."""
+    folder = F.regexp_replace(F.regexp_replace("source", r"/index(?:\.[jt]sx?)?\z", ""), r"^(?:\.{1,2}/)+", "")
+    rows = imports.filter(F.startswith("source", F.lit("."))).select("path", "num", "source", folder.alias("folder"), F.explode("symbols").alias("symbol"))
+    known = passed_on.select(F.element_at(F.split(F.regexp_replace("path", r"/index\.[jt]sx?\z", ""), "/"), -1).alias("last"), "symbol", F.col("source").alias("own")).dropDuplicates(["last", "symbol"])
+    rows = rows.withColumn("last", F.element_at(F.split("folder", "/"), -1))
+    return _found(rows.join(known, ["last", "symbol"]), "import-intelligence/barrel-bypass", "suggestion", F.concat_ws(" ", "symbol", "own"))
+
+
+def aliases(imports: DataFrame, files: DataFrame, alias: str = "@/", root: str = "src/") -> DataFrame:
+    """Climbing imports that have an alias, and aliased ones whose target no file is."""
+    climb = imports.filter(F.col("source").rlike(r"^(?:\.\./){2,}")).withColumn("to", F.concat(F.lit(alias), F.regexp_replace("source", r"^(?:\.\./)+", "")))
+    out = _found(climb, "import-intelligence/alias-canonical", "suggestion", F.col("to"))
+    named = imports.filter(F.startswith("source", F.lit(alias))).withColumn("to", F.concat(F.lit(root), F.substring(F.col("source"), len(alias) + 1, 1 << 20)))
+    tries = named.select("path", "num", "source", F.explode(F.array(*[F.concat("to", F.lit(s)) for s in SUFFIXES])).alias("target"))
+    found = tries.join(files.select(F.col("path").alias("target")), "target", "left_semi").select("path", "num").distinct()
+    return out.unionByName(_found(named.join(found, ["path", "num"], "left_anti"), "import-intelligence/broken-alias", "error", F.col("source")))
+
+
+def package_edges(lines: DataFrame) -> DataFrame:
+    """src, dst between Go packages, by the last part of what they import."""
+    go = lines.filter("lang = 'go'")
+    own = go.withColumn("src", extract(F.col("text"), r"^package\s+(\w+)", 1)).filter("src <> ''").select("path", "src").distinct()
+    to = go.withColumn("dst", extract(F.col("text"), r"^\s*(?:import\s+)?(?:\w+\s+)?\"(?:[^\"]*/)?([A-Za-z_]\w*)\"\s*\z", 1)).filter("dst <> ''").select("path", "dst")
+    local = own.select(F.col("src").alias("dst")).distinct()
+    return to.join(local, "dst", "left_semi").join(own, "path").select("src", "dst").distinct()
+
+
+def workspaces(files: DataFrame) -> DataFrame:
+    """Workspace folders of a manifest that hold no file."""
+    listed = files.filter(F.col("path").rlike(r"(?:^|/)package\.json\z")).select("path", F.explode(F.from_json("content", "struct<workspaces:array<string>>")["workspaces"]).alias("glob"))
+    base = F.concat(F.regexp_replace("path", r"package\.json\z", ""), F.regexp_replace("glob", r"/?\*.*\z", ""))
+    folders = files.select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(F.split("path", "/")) - 1)), lambda i: F.array_join(F.slice(F.split("path", "/"), F.lit(1), i), "/"))).alias("folder")).distinct()
+    return _found(listed.withColumn("folder", F.rtrim(base, F.lit("/"))).withColumn("num", F.lit(1)).join(folders, "folder", "left_anti"), "ast-slop/workspace-misconfig", "warning", F.col("glob"))

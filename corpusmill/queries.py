@@ -667,3 +667,71 @@ def dependency_audit(spark, sf_dir):
     f = as_files(spark.createDataFrame([("a/package.json", _MANIFEST)], "p string, c string"), F.col("p"), F.col("c"))
     latest = spark.createDataFrame([("react", "18.2.0")], "name string, version string")
     return reports.dependency_audit(manifest_dependencies(f), latest)
+
+
+# ---- whole scans and probes
+
+
+def _result(spark, sf_dir) -> DataFrame:
+    from corpusmill.plans import scan
+
+    f = synthetic.files(spark, sf_dir)
+    return scan.findings(f)
+
+
+@query()
+def scan_findings(spark, sf_dir):
+    return _result(spark, sf_dir)
+
+
+@query()
+def more_context_rules(spark, sf_dir):
+    f, ls = syn(spark, sf_dir)
+    return context_rules.more_rules(f, ls)
+
+
+@query()
+def type_only_imports(spark, sf_dir):
+    ls = syn(spark, sf_dir)[1]
+    return relations.type_only_imports(views.imports(ls), ls)
+
+
+_PROJECT = [
+    ("package.json", '{"dependencies": {"next": "14.0.0", "react": "18.0.0"}, "scripts": {"build": "x"}, "workspaces": ["packages/*", "gone/*"]}'),
+    ("tsconfig.json", '{"compilerOptions": {"target": "es5"}}'), ("yarn.lock", ""), ("packages/a/index.ts", "export { one } from './one'\n"), ("next.config.js", "module.exports = {}"),
+    ("src/locales/en.json", '{"menu": {"open": "Open", "sub": {"deep": "x"}}, "title": "T"}'), ("src/locales/de.json", '{"menu": {"open": "Auf"}}'),
+]
+
+
+def _project(spark) -> DataFrame:
+    return as_files(spark.createDataFrame(_PROJECT, "p string, c string"), F.col("p"), F.col("c"))
+
+
+@query("SELECT * FROM (VALUES ('framework', 'nextjs'), ('framework', 'react'), ('package-manager', 'yarn')) AS t(kind, name)")
+def project_tools(spark, sf_dir):
+    from corpusmill.operators.project import detect
+
+    return detect(_project(spark))
+
+
+@query("""SELECT path, rule, severity, 1 AS line, 1 AS col, message FROM (VALUES ('tsconfig.json', 'config-lint/tsconfig-strict', 'warning', ''), ('tsconfig.json', 'config-lint/tsconfig-target', 'info', 'es5'), ('package.json', 'config-lint/missing-eslint', 'info', ''),
+('package.json', 'config-lint/missing-prettier', 'info', ''), ('package.json', 'config-lint/missing-editorconfig', 'info', ''), ('package.json', 'config-lint/package-json-scripts', 'info', 'test,lint'), ('next.config.js', 'config-lint/next-config', 'info', ''), ('package.json', 'ast-slop/workspace-misconfig', 'warning', 'gone/*')) AS t(path, rule, severity, message)""")
+def config_rules(spark, sf_dir):
+    from corpusmill.operators.project import config_lint
+
+    return config_lint(_project(spark)).unionByName(relations.workspaces(_project(spark)))
+
+
+@query("SELECT * FROM (VALUES ('en', 'menu.open'), ('en', 'menu.sub.deep'), ('en', 'title'), ('de', 'menu.open')) AS t(locale, name)")
+def locale_key_rows(spark, sf_dir):
+    from corpusmill.operators.project import locale_keys
+
+    return locale_keys(_project(spark))
+
+
+@query("SELECT event_type AS engine, count(*) AS n, round(avg(value), 6) AS avg_ms, min(value) AS min_ms, max(value) AS max_ms, round(sum(value), 4) AS total_ms FROM events GROUP BY 1")
+def engine_timings(spark, sf_dir):
+    from corpusmill.plans.scan import timings
+
+    rows = timings(table(spark, sf_dir, "events").select(F.col("event_type").alias("engine"), F.col("value").alias("ms")))
+    return rows.withColumn("avg_ms", F.round("avg_ms", 6)).withColumn("total_ms", F.round("total_ms", 4))
