@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import extract, matches, trim_all
 
-_BY_FILE = Window.partitionBy("path").orderBy("num")
+def _by_file() -> WindowSpec:
+    return Window.partitionBy("path").orderBy("num")
 
 
 def _found(rows: DataFrame, rule: str, severity: str, message: Column | None = None, line: str = "num") -> DataFrame:
@@ -16,7 +17,7 @@ def _found(rows: DataFrame, rule: str, severity: str, message: Column | None = N
 
 def blank_line_cluster(lines: DataFrame, least: int = 3) -> DataFrame:
     """Runs of blank lines: gaps and islands."""
-    blank = lines.filter(trim_all(F.col("text")) == "").withColumn("island", F.col("num") - F.row_number().over(_BY_FILE))
+    blank = lines.filter(trim_all(F.col("text")) == "").withColumn("island", F.col("num") - F.row_number().over(_by_file()))
     runs = blank.groupBy("path", "island").agg(F.min("num").alias("num"), F.count("*").alias("n")).filter(F.col("n") >= least)
     return _found(runs, "format-lint/blank-line-cluster", "suggestion", F.col("n"))
 
@@ -46,7 +47,7 @@ def vote(lines: DataFrame, rule: str, severity: str, one: Column, other: Column,
     counts = marked.groupBy("path").agg(F.count(F.when(F.col("side") == 1, 1)).alias("n1"), F.count(F.when(F.col("side") == 2, 1)).alias("n2")).filter("n1 > 0 AND n2 > 0")
     minority = F.when(F.col("n1") <= F.col("n2"), 1).otherwise(2)
     rows = marked.join(counts.withColumn("minor", minority).select("path", "minor"), "path").filter("side = minor")
-    return _found(rows.withColumn("r", F.row_number().over(_BY_FILE)).filter(F.col("r") <= first), rule, severity)
+    return _found(rows.withColumn("r", F.row_number().over(_by_file())).filter(F.col("r") <= first), rule, severity)
 
 
 INDENT_SPACE, INDENT_TAB = r"^ {2,}\S", r"^\t+\S"
@@ -62,7 +63,7 @@ def styles(lines: DataFrame) -> DataFrame:
     out = out.unionByName(vote(js, "format-lint/inconsistent-quotes", "info", m(QUOTE_ONE), m(QUOTE_TWO)))
     out = out.unionByName(vote(js, "format-lint/inconsistent-semicolons", "info", m(SEMI), m(NO_SEMI)))
     # a comma behind the last entry, against none: the next line closes
-    close = F.lead("text").over(_BY_FILE)
+    close = F.lead("text").over(_by_file())
     last = js.withColumn("closes", F.coalesce(matches(close, r"^\s*[}\]]"), F.lit(False))).filter("closes").drop("closes")
     return out.unionByName(vote(last, "format-lint/trailing-comma-inconsistency", "info", m(COMMA), m(NO_COMMA)))
 
@@ -77,7 +78,7 @@ def indent_styles(lines: DataFrame) -> DataFrame:
 
 def trivial_comment(lines: DataFrame) -> DataFrame:
     """Comments most of whose words (at least two, and 60%) the next line of code holds."""
-    text, after = F.col("text"), F.lead("text").over(_BY_FILE)
+    text, after = F.col("text"), F.lead("text").over(_by_file())
     body = F.lower(extract(text, r"^\s*(?://|#)\s*(.*)\z", 1))
     body = F.regexp_replace(body, r"^(?:set|get|create|update|delete|add|remove|check|return|call|initialize|define|increment|loop)\s+(?:the\s+|a\s+|an\s+)?", "")
     words = F.filter(F.split(F.regexp_replace(body, r"[^a-z0-9_ ]", ""), " +"), lambda w: F.length(w) > 2)
@@ -88,7 +89,7 @@ def trivial_comment(lines: DataFrame) -> DataFrame:
 
 def swallowed(lines: DataFrame) -> DataFrame:
     """Exceptions that are caught and dropped: an empty catch, or one whose next line closes it; except, then pass."""
-    t, after = F.col("text"), F.lead("text").over(_BY_FILE)
+    t, after = F.col("text"), F.lead("text").over(_by_file())
     js = F.col("lang").isin("typescript", "javascript") & (matches(t, r"catch\s*(?:\([^)]*\))?\s*\{\s*\}") | (matches(t, r"catch\s*(?:\([^)]*\))?\s*\{\s*\z") & F.coalesce(matches(after, r"^\s*\}"), F.lit(False))))
     py = (F.col("lang") == "python") & matches(t, r"^\s*except\b.*:\s*(?:#.*)?\z") & F.coalesce(matches(after, r"^\s*(?:pass|\.\.\.|continue)\s*\z"), F.lit(False))
     return _found(lines.withColumn("hit", js | py).filter("hit"), "ast-slop/swallowed-exception", "info")
@@ -96,7 +97,7 @@ def swallowed(lines: DataFrame) -> DataFrame:
 
 def first_body_line(lines: DataFrame) -> DataFrame:
     """Python stubs (a body of pass or ...) and public definitions without a docstring."""
-    t, after = F.col("text"), F.coalesce(F.lead("text").over(_BY_FILE), F.lit(""))
+    t, after = F.col("text"), F.coalesce(F.lead("text").over(_by_file()), F.lit(""))
     rows = lines.filter("lang = 'python'").withColumn("after", after).withColumn("name", extract(t, r"^\s*(?:def|class)\s+([A-Za-z_]\w*).*:\s*(?:#.*)?\z", 1)).filter("name <> ''")
     stub = _found(rows.filter(matches(F.col("after"), r"^\s*(?:pass|\.\.\.)\s*(?:#.*)?\z")), "python-deep/pass-stub", "warning", F.col("name"))
     bare = rows.filter(~F.startswith("name", F.lit("_")) & ~matches(F.col("after"), r"^\s*(?:r|u|b|br|rb)?(?:\"|')"))
@@ -105,7 +106,7 @@ def first_body_line(lines: DataFrame) -> DataFrame:
 
 def undocumented(lines: DataFrame) -> DataFrame:
     """Go: exported declarations whose line before is no comment that starts with their name. Rust: unsafe without SAFETY."""
-    before = F.coalesce(F.lag("text").over(_BY_FILE), F.lit(""))
+    before = F.coalesce(F.lag("text").over(_by_file()), F.lit(""))
     rows = lines.withColumn("before", before).withColumn("name", extract(F.col("text"), r"^(?:func|type|var|const)\s+(?:\([^)]*\)\s*)?([A-Z]\w*)", 1))
     go = rows.filter("lang = 'go' AND name <> ''").filter(~F.startswith("before", F.concat(F.lit("// "), F.col("name"))))
     rust = rows.filter("lang = 'rust'").filter(matches(F.col("text"), r"\bunsafe\s*\{") & ~matches(F.col("before"), r"(?i)(?://|/\*)\s*SAFETY[:\s]"))
@@ -114,7 +115,7 @@ def undocumented(lines: DataFrame) -> DataFrame:
 
 def as_any_context(lines: DataFrame, reach: int = 5) -> DataFrame:
     """`as any`, named by the first context that its line or the lines around it show."""
-    near = F.concat_ws("\n", F.collect_list("text").over(_BY_FILE.rowsBetween(-reach, reach)))
+    near = F.concat_ws("\n", F.collect_list("text").over(_by_file().rowsBetween(-reach, reach)))
     t = F.col("text")
     rows = lines.filter("lang = 'typescript'").withColumn("near", near).filter(matches(t, r"\bas\s+any\b"))
     orm = matches(F.col("near"), r"(?:\.\s*(?:findFirst|findMany|findUnique|create|update|delete|upsert|query|execute|select|from|where)\s*\(|prisma\.|drizzle\.)")
@@ -126,7 +127,7 @@ def as_any_context(lines: DataFrame, reach: int = 5) -> DataFrame:
 def nesting(lines: DataFrame, opens: str = r"\{", closes: str = r"\}") -> DataFrame:
     """path, num, depth behind each line, never under 0: a running sum, raised by how far it has been under 0."""
     step = F.regexp_count("text", F.lit(opens)) - F.regexp_count("text", F.lit(closes))
-    run = _BY_FILE.rowsBetween(Window.unboundedPreceding, 0)
+    run = _by_file().rowsBetween(Window.unboundedPreceding, 0)
     rows = lines.withColumn("step", F.when(matches(F.col("text"), r"^\s*(?://|\*|/\*)"), 0).otherwise(step)).withColumn("sum", F.sum("step").over(run))
     return rows.withColumn("depth", (F.col("sum") - F.least(F.lit(0), F.min("sum").over(run))).cast("int")).drop("step", "sum")
 
@@ -184,7 +185,7 @@ def class_lists(lines: DataFrame, most: int = 15) -> DataFrame:
 def css_blocks(lines: DataFrame, most_important: int = 3) -> DataFrame:
     """Style sheets: properties repeated in a rule block, and files with much !important."""
     css = lines.filter("lang = 'css'")
-    block = F.sum(F.when(F.contains("text", F.lit("{")), 1).otherwise(0)).over(_BY_FILE.rowsBetween(Window.unboundedPreceding, 0))
+    block = F.sum(F.when(F.contains("text", F.lit("{")), 1).otherwise(0)).over(_by_file().rowsBetween(Window.unboundedPreceding, 0))
     props = css.withColumn("block", block).withColumn("prop", extract(F.col("text"), r"^\s*([a-z-]+)\s*:", 1)).filter("prop <> ''")
     again = props.withColumn("r", F.row_number().over(Window.partitionBy("path", "block", "prop").orderBy("num"))).filter("r > 1")
     many = css.filter(matches(F.col("text"), r"(?i)!important\b")).groupBy("path").agg(F.count("*").alias("n"), F.min("num").alias("num")).filter(F.col("n") > most_important)
@@ -193,7 +194,7 @@ def css_blocks(lines: DataFrame, most_important: int = 3) -> DataFrame:
 
 def headings(lines: DataFrame) -> DataFrame:
     """Underlined headings in documents that also have marked ones."""
-    md = lines.filter("lang = 'markdown'").withColumn("after", F.coalesce(F.lead("text").over(_BY_FILE), F.lit("")))
+    md = lines.filter("lang = 'markdown'").withColumn("after", F.coalesce(F.lead("text").over(_by_file()), F.lit("")))
     atx = matches(F.col("text"), r"^\s*#{1,6}\s")
     under = ~atx & matches(F.col("text"), r"\S") & matches(F.col("after"), r"^\s*(?:=+|-+)\s*\z")
     has = md.groupBy("path").agg(F.bool_or(atx).alias("atx")).filter("atx")
@@ -201,14 +202,14 @@ def headings(lines: DataFrame) -> DataFrame:
 
 
 def first_marks(lines: DataFrame, first: int = 10) -> DataFrame:
-    rows = lines.filter("lang = 'markdown'").filter(matches(F.col("text"), r"\b(?:TODO|FIXME|HACK|XXX)\b")).withColumn("r", F.row_number().over(_BY_FILE))
+    rows = lines.filter("lang = 'markdown'").filter(matches(F.col("text"), r"\b(?:TODO|FIXME|HACK|XXX)\b")).withColumn("r", F.row_number().over(_by_file()))
     return _found(rows.filter(F.col("r") <= first), "md/todo-in-doc", "info")
 
 
 def json_lines(lines: DataFrame) -> DataFrame:
     """Commas before a closing bracket; and entries on one line where others stand alone."""
     js = lines.filter("lang = 'json'")
-    filled = js.filter(matches(F.col("text"), r"\S")).withColumn("after", F.lead("text").over(_BY_FILE))
+    filled = js.filter(matches(F.col("text"), r"\S")).withColumn("after", F.lead("text").over(_by_file()))
     comma = filled.filter(matches(F.col("text"), r",\s*\z") & matches(F.col("after"), r"^\s*[}\]]"))
     compact, single = matches(F.col("text"), r"^\s*\"[^\"]+\"\s*:\s*[^,]+,\s*\"[^\"]+\"\s*:"), matches(F.col("text"), r"^\s*\"[^\"]+\"\s*:\s*[^,]+\s*,?\s*\z")
     mixed = js.groupBy("path").agg(F.count(F.when(compact, 1)).alias("c"), F.count(F.when(single & ~compact, 1)).alias("s")).filter("c >= 2 AND s >= 2")
@@ -220,7 +221,7 @@ def yaml_files(lines: DataFrame) -> DataFrame:
     y = lines.filter("lang = 'yaml'")
     anchors = y.withColumn("name", extract(F.col("text"), r"&(\w+)", 1)).filter("name <> ''").groupBy("path", "name").agg(F.min("num").alias("num"))
     uses = y.select("path", F.explode(F.regexp_extract_all("text", F.lit(r"\*(\w+)"), 1)).alias("name")).groupBy("path", "name").agg(F.count("*").alias("n")).filter("n >= 3")
-    top = y.filter(matches(F.col("text"), r"^[A-Za-z_][\w-]*\s*:")).withColumn("gap", F.col("num") - F.lag("num").over(_BY_FILE))
+    top = y.filter(matches(F.col("text"), r"^[A-Za-z_][\w-]*\s*:")).withColumn("gap", F.col("num") - F.lag("num").over(_by_file()))
     parts = top.groupBy("path").agg(F.count("*").alias("n"), F.count(F.when(F.col("gap") > 2, 1)).alias("gaps"), F.min("num").alias("num")).filter("n >= 4 AND gaps >= 2")
     marked = y.filter(matches(F.col("text"), r"^---")).select("path").distinct()
     return _found(anchors.join(uses, ["path", "name"]), "yaml/complex-anchor", "info", F.col("name")).unionByName(_found(parts.join(marked, "path", "left_anti"), "yaml/multi-doc-unseparated", "warning"))
@@ -238,10 +239,10 @@ def unused_variable(lines: DataFrame) -> DataFrame:
 def unreachable(lines: DataFrame) -> DataFrame:
     """A statement behind a return, throw, break or continue at the same depth, in the same block."""
     rows = nesting(lines.filter(F.col("lang").isin("typescript", "javascript"))).filter(matches(F.col("text"), r"\S") & ~matches(F.col("text"), r"^\s*(?://|\*|/\*)"))
-    before, depth = F.lag("text").over(_BY_FILE), F.lag("depth").over(_BY_FILE)
+    before, depth = F.lag("text").over(_by_file()), F.lag("depth").over(_by_file())
     ended = matches(before, r"^\s*(?:return\b[^({\[]*;|throw\b.*;|break\s*;|continue\s*;)\s*\z")
     live = matches(F.col("text"), r"^\s*(?:[})\]]|case\b|default\b|else\b|catch\b|finally\b|function\b|export\b)")
-    hit = rows.withColumn("hit", ended & (depth == F.col("depth")) & ~live & ~matches(F.lag("text", 2, "").over(_BY_FILE), r"^\s*(?:if|for|while|else)\b[^{]*\z")).withColumn("soft", matches(before, r"^\s*return\b")).filter("hit")
+    hit = rows.withColumn("hit", ended & (depth == F.col("depth")) & ~live & ~matches(F.lag("text", 2, "").over(_by_file()), r"^\s*(?:if|for|while|else)\b[^{]*\z")).withColumn("soft", matches(before, r"^\s*return\b")).filter("hit")
     rule = "dead-flow/unreachable-after-terminator"
     return _found(hit.filter("soft"), rule, "warning").unionByName(_found(hit.filter("NOT soft"), rule, "error"))
 
@@ -260,7 +261,7 @@ def all_rules(files: DataFrame, lines: DataFrame) -> DataFrame:
 def console_leftover(lines: DataFrame) -> DataFrame:
     """Printing left in code: not in tests, not in a catch block close by, not below a main guard."""
     t = F.col("text")
-    near = F.concat_ws("\n", F.collect_list("text").over(_BY_FILE.rowsBetween(-5, -1)))
+    near = F.concat_ws("\n", F.collect_list("text").over(_by_file().rowsBetween(-5, -1)))
     rows = lines.withColumn("near", near).filter(~matches(F.col("path"), r"(?:\.(?:test|spec)\.[a-z]+\z|(?:^|/)(?:tests?|__tests__)/)"))
     caught = matches(F.col("near"), r"catch\s*(?:\([^)]*\))?\s*\{[^}]*\z")
     js = F.col("lang").isin("typescript", "javascript") & matches(t, r"console\.(?:log|debug)\s*\(") & ~caught
@@ -270,7 +271,7 @@ def console_leftover(lines: DataFrame) -> DataFrame:
 
 def silent_recovery(lines: DataFrame, reach: int = 7) -> DataFrame:
     """Catches whose next lines, up to the one that closes, hold neither code nor comment."""
-    after = F.collect_list("text").over(_BY_FILE.rowsBetween(1, reach))
+    after = F.collect_list("text").over(_by_file().rowsBetween(1, reach))
     rows = lines.filter(F.col("lang").isin("typescript", "javascript", "go", "rust")).withColumn("after", after).filter(matches(F.col("text"), r"catch\s*(?:\([^)]*\))?\s*\{\s*\z"))
     first = F.element_at(F.filter("after", lambda x: matches(x, r"\S")), 1)
     rows = rows.withColumn("first", F.when(F.size(F.filter("after", lambda x: matches(x, r"\S"))) > 0, first))
@@ -279,7 +280,7 @@ def silent_recovery(lines: DataFrame, reach: int = 7) -> DataFrame:
 
 def placeholder_impl(lines: DataFrame) -> DataFrame:
     """Functions with a marker and a stub of a return in their first lines."""
-    near = F.concat_ws("\n", F.collect_list("text").over(_BY_FILE.rowsBetween(1, 9)))
+    near = F.concat_ws("\n", F.collect_list("text").over(_by_file().rowsBetween(1, 9)))
     rows = lines.withColumn("near", near).filter(matches(F.col("text"), r"(?:\bfunction\s+\w+\s*\(|=>\s*\{\s*\z|^\s*def\s+\w+)"))
     hit = matches(F.col("near"), r"(?i)(?://|#)\s*(?:TODO|FIXME|implement)") & matches(F.col("near"), r"(?m)^\s*(?:return\s+(?:null|None|undefined|\[\]|\{\}|''|\"\"|0|false|False)?\s*;?|pass|throw new Error\(.*not implemented.*)\s*$")
     return _found(rows.filter(hit), "ast-slop/placeholder-impl", "warning")
@@ -305,7 +306,7 @@ def unnecessary_abstraction(lines: DataFrame) -> DataFrame:
 def both_branches_end(lines: DataFrame) -> DataFrame:
     """Statements behind an if and else that both end, at the depth of the if."""
     rows = nesting(lines.filter(F.col("lang").isin("typescript", "javascript"))).filter(matches(F.col("text"), r"\S"))
-    back = lambda k: F.lag("text", k, "").over(_BY_FILE)
+    back = lambda k: F.lag("text", k, "").over(_by_file())
     ends = r"^\s*(?:return\b.*|throw\b.*);?\s*\z"
     hit = matches(back(1), r"^\s*\}\s*\z") & matches(back(2), ends) & matches(back(3), r"^\s*\}\s*else\s*\{\s*\z") & matches(back(4), ends) & matches(back(5), r"^\s*if\s*\(.*\)\s*\{\s*\z")
     return _found(rows.withColumn("hit", hit).filter("hit").filter(~matches(F.col("text"), r"^\s*[})\]]")), "dead-flow/unreachable-after-if-else-return", "warning")

@@ -117,7 +117,7 @@ def score(findings: DataFrame, n_files: int, *, tiers: dict[str, str] | None = N
     rules = rows.groupBy(*by, "rule").agg(F.sum("w").alias("w"), F.count(F.when(over, 1)).alias("capped"), F.count(F.when(F.col("severity").isin("error", "warning"), 1)).alias("bad"))
     total = F.sum(F.least("w", F.lit(max_per_rule)) if log else F.col("w")).alias("total")
     out = rules.groupBy(*by).agg(total, F.sum("capped").cast("long").alias("n_capped"), F.sum("bad").alias("bad"))
-    density = F.least(F.lit(1.0), F.col("bad") / F.lit(n_files + smoothing))
+    density = F.least(F.lit(1.0), F.col("bad") / F.lit(float(n_files + smoothing))) if n_files + smoothing > 0 else F.lit(1.0)
     x = F.col("total") * density
     raw = 100.0 - 100.0 * F.log1p(x) / F.log1p(100.0 + x) if log else F.lit(100.0) - F.col("total")
     out = out.withColumn("density", density).withColumn("score", round_half_up(F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw))).cast("int"))
