@@ -14,7 +14,9 @@ from corpusmill.llm.exchange import NOTE, NOTE_ARROW, SENT, Chunk, Corpus, Gathe
 _SHARED, _SPANS = 1, 2
 _U = np.uint64
 #: Bytes of distinct contexts that are sorted as one text.
-SORT_BYTES = 1 << 20
+SORT_BYTES = 1 << 18
+#: Bytes of the corpus whose recurring places meet in one bucket, at most.
+BUCKET_BYTES = 16 << 20
 #: More than the bytes whose anchors are found at once.
 _PART = 1 << 20
 
@@ -186,7 +188,7 @@ def _gather(data: np.ndarray, lo: np.ndarray, size: np.ndarray) -> np.ndarray:
     return data[np.repeat(lo - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-def _contexts(width: int, gram: int, bits: int):
+def _contexts(width: int, gram: int, bits: int, near: int):
     """Each run whose anchor recurs, with its bytes: distinct ones once, and all places where they stand."""
 
     def contexts(chunk: int, docs: pa.Table, notes: pa.Table) -> pa.Table:
@@ -205,7 +207,7 @@ def _contexts(width: int, gram: int, bits: int):
         ids, start = c.ids[doc], lo - c.offsets[doc]
         order = np.lexsort((start, ids, content, anchor))
         rows = []
-        of = (anchor[order] >> _U(64 - bits)).astype(np.int64)
+        of = (anchor[order] >> _U(64 - near)).astype(np.int64)
         at, n = K.groups(of)
         for b, x, m in zip(of[at].tolist(), at.tolist(), n.tolist(), strict=True):
             own = order[x : x + m]
@@ -369,7 +371,8 @@ def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width:
     corpus = Corpus(docs, "suffix", doc_id=doc_id, text=text, carry=carry)
     bits = corpus.bits(corpus.bytes // 8)
     shared = corpus.answers(corpus.each_chunk(_send(width, gram, bits), corpus.notes, SENT), _shared, _SHARED)
-    found = corpus.each_chunk(_contexts(width, gram, bits), corpus.notes.unionByName(shared), SENT)
+    near = max(5, int(corpus.bytes // BUCKET_BYTES).bit_length())
+    found = corpus.each_chunk(_contexts(width, gram, bits, near), corpus.notes.unionByName(shared), SENT)
     spans = corpus.scratch.keep(found.groupBy("bucket").applyInArrow(_spans(width), NOTE), "spans")
     schema = T.StructType([T.StructField("doc_id", T.LongType()), *[T.StructField(f"c_{i}", docs.schema[c].dataType) for i, c in enumerate(corpus.carried)], *[T.StructField(c, T.LongType()) for c in own[:3]], T.StructField("kept", T.BinaryType())])
     out = corpus.each_chunk(_remove(width, to_arrow_schema(schema)), corpus.notes.unionByName(spans), schema)
