@@ -15,6 +15,7 @@ from corpusmill.plans.storage import Scratch
 MAX_BLOCKS = 1 << 15
 MIN_BLOCK_WORDS = 1 << 14
 BLOCKS_A_SHARD = 64
+RESULTS = ("mix_size", "mix_source_size", "mix_target", "mix_draws", "mix_taken")
 
 
 def targets(sizes: list[int], weights: list[float], share: float = 1.5, most: float = 2.0) -> list[float]:
@@ -73,7 +74,7 @@ def _cuts(sized: DataFrame, edges: list[tuple], seed: int) -> dict[int, tuple[in
 
 
 def plan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, whole: bool = False, seed: int = 20240501) -> DataFrame:
-    """All columns of ``docs`` and those of the mix: mix_size, mix_source_size, mix_target, mix_draws, mix_taken.
+    """All columns of ``docs`` and those of the mix, RESULTS, which replace columns of these names.
 
     Sources in code point order, null last, take ``weights`` in turn. A source is cut into blocks of documents by
     hash. Every pass over a source draws its blocks in another order; the last pass stops at the target, inside one
@@ -125,9 +126,11 @@ def plan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
             rows.setdefault((i, b), []).append((epoch, int(shard[j]), cut, int(at)))
     taken = spark.createDataFrame([(i, b, d) for (i, b), d in rows.items()], "mix_sid int, mix_block long, mix_plan array<struct<epoch:int,shard:int,cut:long,at:long>>")
 
-    names = docs.columns
-    out = docs.withColumn("mix_size", n_words).join(F.broadcast(sources), F.col(source).eqNullSafe(F.col("mix_source")), "left")
-    out = out.withColumn("mix_block_", _block(F.col(doc_id), F.col("blocks"), seed)).withColumn("mix_hash", F.xxhash64(F.col(doc_id), F.lit(seed + 1)))
+    # The columns of docs travel as one struct, so that none of their names meets one of these.
+    names = [c for c in docs.columns if c not in RESULTS]
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(doc_id).alias("key"), F.col(source).alias("source"), n_words.alias("mix_size"))
+    out = out.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("mix_source")), "left")
+    out = out.withColumn("mix_block_", _block(F.col("key"), F.col("blocks"), seed)).withColumn("mix_hash", F.xxhash64(F.col("key"), F.lit(seed + 1)))
     out = out.join(F.broadcast(taken), (F.col("sid") == F.col("mix_sid")) & (F.col("mix_block_") == F.col("mix_block")), "left")
     size, own = F.col("mix_size"), F.col("mix_hash")
 
@@ -140,7 +143,7 @@ def plan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
 
     draws = F.transform(F.filter(F.coalesce(F.col("mix_plan"), F.array().cast("array<struct<epoch:int,shard:int,cut:long,at:long>>")), drawn), lambda d: F.struct(d["epoch"].alias("epoch"), d["shard"].alias("shard"), part(d).alias("words")))
     out = out.withColumn("mix_draws", draws).withColumn("mix_taken", F.aggregate("mix_draws", F.lit(0).cast("long"), lambda a, d: a + d["words"]))
-    return out.select(*[F.col(f"`{c}`") for c in names], "mix_size", "mix_source_size", "mix_target", "mix_draws", "mix_taken")
+    return out.select(*[F.col("row").getField(c).alias(c) for c in names], *RESULTS)
 
 
 def mix(docs: DataFrame, *, doc_id: str = "doc_id", seed: int = 20240501, **options) -> DataFrame:
@@ -148,6 +151,7 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", seed: int = 20240501, **opti
 
     Adds mix_shard, mix_epoch and mix_words (words taken this time). Options and cases as for ``plan``.
     """
-    rows = plan(docs, doc_id=doc_id, seed=seed, **options).withColumn("mix_draw", F.explode("mix_draws"))
-    rows = rows.select(*docs.columns, F.col("mix_draw.shard").alias("mix_shard"), F.col("mix_draw.epoch").alias("mix_epoch"), F.col("mix_draw.words").alias("mix_words"))
+    rows = plan(docs, doc_id=doc_id, seed=seed, **options)
+    names = [c for c in docs.columns if c not in (*RESULTS, "mix_shard", "mix_epoch", "mix_words")]
+    rows = rows.select(*[F.col(f"`{c}`") for c in names], F.inline(F.transform("mix_draws", lambda d: F.struct(d["shard"].alias("mix_shard"), d["epoch"].alias("mix_epoch"), d["words"].alias("mix_words")))))
     return rows.repartition("mix_shard").sortWithinPartitions("mix_shard", F.xxhash64(F.col(doc_id), "mix_epoch", F.lit(seed + 2)))

@@ -141,6 +141,9 @@ def test_mixing(spark):
     assert sorted(str((r.doc_id, r.mix_taken)) for r in got) == sorted(str((r.doc_id, r.mix_taken)) for r in again)
     drawn = mixing.mix(frame, whole=True).collect()
     assert {r.mix_words for r in drawn if r.doc_id == 39} <= {39}
+    clash = frame.selectExpr("*", "1 AS sid", "2 AS blocks", "3 AS mix_size", "4 AS row", "5 AS key", "6 AS mix_draw")
+    assert sorted(str((r.doc_id, r.mix_taken, r.sid, r.row)) for r in mixing.plan(clash).collect()) == sorted(str((r.doc_id, r.mix_taken, 1, 4)) for r in got)
+    assert mixing.mix(clash).columns == [*frame.columns, "sid", "blocks", "row", "key", "mix_draw", "mix_shard", "mix_epoch", "mix_words"]
     assert mixing.plan(frame.limit(0)).count() == 0
 
 
