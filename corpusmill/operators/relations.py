@@ -36,6 +36,23 @@ def identical_blocks(all_blocks: DataFrame) -> DataFrame:
     return by.filter("n_files >= 2").select("key", F.col("n_files").cast("long"), F.col("n").cast("long").alias("n"), F.col("first.path").alias("first_path"), F.col("first.start").alias("first_line"))
 
 
+def is_boilerplate(text: Column) -> Column:
+    """Windows that are half imports, or mostly comments."""
+    rows = F.split(text, "\n")
+    share = lambda p: F.size(F.filter(rows, lambda x: matches(x, p))) / F.size(rows)
+    return (share(r"^\s*(?:import\b|from\b|export\s+\*|.*require\()") >= 0.5) | (share(r"^\s*(?://|/\*|\*|#)") >= 0.7)
+
+
+def similar_blocks(all_blocks: DataFrame, num: int = 90, den: int = 100) -> DataFrame:
+    """Pairs of distinct window texts of token sets alike, each with its first place; equal texts are one before the join."""
+    one = all_blocks.filter(~is_boilerplate(F.col("text"))).groupBy("key").agg(F.min(F.struct("path", "start")).alias("first"), F.first("text").alias("text"))
+    tokens = F.filter(F.array_distinct(F.split("text", r"[^A-Za-z0-9_]+")), lambda t: t != "")
+    pairs = similar_sets(one.select(F.col("key").alias("id"), tokens.alias("tokens")).filter(F.size("tokens") > 0), num, den)
+    place = one.select("key", F.col("first.path").alias("path"), F.col("first.start").alias("start"))
+    left, right = place.toDF("a", "path_a", "start_a"), place.toDF("b", "path_b", "start_b")
+    return pairs.join(left, "a").join(right, "b").filter("path_a <> path_b").select("path_a", "start_a", "path_b", "start_b", "n_both", "n_either")
+
+
 def merged_regions(all_blocks: DataFrame) -> DataFrame:
     """Regions of a file made of windows that recur elsewhere and overlap by more than half.
 

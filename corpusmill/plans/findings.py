@@ -219,3 +219,26 @@ def ast_preferred(findings: DataFrame, confirmed: str = "confirmed", confidence:
 def is_ignored_list(text: DataFrame) -> DataFrame:
     """Rule ids of an ignore list: a line each, without comments and file: entries."""
     return text.select(F.trim("value").alias("rule")).filter(~matches(F.col("rule"), r"^(?:#|file:|\z)"))
+
+
+def verified(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row: the two scores, and whether a fix holds (a lower score rolls it back)."""
+    one = lambda df, name: df.select(F.col("score").alias(name), F.lit(1).alias("one"))
+    return one(before, "before").join(one(after, "after"), "one").select("before", "after", (F.col("after") >= F.col("before")).alias("holds"))
+
+
+def coverage(files: DataFrame, supported: tuple[str, ...], least: float = 0.3) -> DataFrame:
+    """One row: the share of the languages in use that are supported, and whether it suffices."""
+    langs = files.filter("lang IS NOT NULL").select("lang").distinct()
+    return langs.agg((F.count(F.when(F.col("lang").isin(*supported), 1)) / F.greatest(F.lit(1), F.count("*"))).alias("share")).select("share", (F.col("share") >= least).alias("covered"))
+
+
+def category_scores(findings: DataFrame, n_files: int, **options) -> DataFrame:
+    """A score for each engine's findings."""
+    return score(findings.withColumn("engine", engine()), n_files, by=("engine",), **options)
+
+
+def slower(now: DataFrame, before: DataFrame) -> DataFrame:
+    """Engines' mean times against an earlier run, in percent."""
+    both = now.select("engine", F.col("avg_ms").alias("ms")).join(before.select("engine", F.col("avg_ms").alias("before_ms")), "engine")
+    return both.withColumn("change", F.try_divide((F.col("ms") - F.col("before_ms")) * 100, F.col("before_ms")))

@@ -71,6 +71,28 @@ def npm_audit(rows: DataFrame) -> DataFrame:
     return _tool(d, F.lit("package.json"), F.lit("security-deep/dependency-vulnerability"), severity, F.lit(1), F.lit(1), F.concat_ws(" ", "d.name", "d.range"))
 
 
+def pip_audit(rows: DataFrame) -> DataFrame:
+    one = "struct<dependencies:array<struct<name:string,version:string,vulns:array<struct<id:string,fix_versions:array<string>>>>>>"
+    d = rows.select(F.explode(F.from_json("json", one)["dependencies"]).alias("p")).select("p.name", F.explode("p.vulns").alias("v"))
+    return _vulnerable(d, "requirements.txt", F.lit("error"), F.concat_ws(" ", "name", "v.id"))
+
+
+def cargo_audit(rows: DataFrame) -> DataFrame:
+    one = "struct<vulnerabilities:struct<list:array<struct<advisory:struct<id:string,title:string>,package:struct<name:string,version:string>>>>>"
+    d = rows.select(F.explode(F.from_json("json", one)["vulnerabilities"]["list"]).alias("v"))
+    return _vulnerable(d, "Cargo.toml", F.lit("error"), F.concat_ws(" ", "v.package.name", "v.advisory.id"))
+
+
+def govulncheck(rows: DataFrame) -> DataFrame:
+    """A JSON object a line; those with a finding count."""
+    d = rows.select(F.from_json("json", "struct<finding:struct<osv:string,fixed_version:string>>")["finding"].alias("v")).filter("v.osv IS NOT NULL").distinct()
+    return _vulnerable(d, "go.mod", F.lit("error"), F.col("v.osv"))
+
+
+def _vulnerable(d: DataFrame, path: str, severity, message) -> DataFrame:
+    return _tool(d, F.lit(path), F.lit("security-deep/dependency-vulnerability"), severity, F.lit(1), F.lit(1), message)
+
+
 def knip(rows: DataFrame) -> DataFrame:
     """Sections of unused files, dependencies, exports and types."""
     one = "struct<files:array<string>,issues:array<struct<file:string,dependencies:array<struct<name:string>>,exports:array<struct<name:string,line:int,col:int>>,types:array<struct<name:string,line:int,col:int>>>>>"

@@ -735,3 +735,33 @@ def engine_timings(spark, sf_dir):
 
     rows = timings(table(spark, sf_dir, "events").select(F.col("event_type").alias("engine"), F.col("value").alias("ms")))
     return rows.withColumn("avg_ms", F.round("avg_ms", 6)).withColumn("total_ms", F.round("total_ms", 4))
+
+
+@query()
+def similar_blocks(spark, sf_dir):
+    return relations.similar_blocks(relations.blocks(doc_files(spark, sf_dir)))
+
+
+@query("SELECT 1.0::DOUBLE * count(DISTINCT l) FILTER (l IN ('typescript', 'python')) / count(DISTINCT l) AS share, count(DISTINCT l) FILTER (l IN ('typescript', 'python')) / count(DISTINCT l) >= 0.3 AS covered FROM (SELECT lang AS l FROM (" + f"WITH {SYN} SELECT lang FROM files" + "))")
+def language_coverage(spark, sf_dir):
+    return P.coverage(synthetic.files(spark, sf_dir), ("typescript", "python"))
+
+
+_OTHER_TOOLS = {
+    "ruff": '[{"code": "F401", "message": "unused", "filename": "a.py", "location": {"row": 2, "column": 3}}, {"code": "W291", "message": "space", "filename": "b.py", "location": {"row": 1, "column": 9}}]',
+    "pip_audit": '{"dependencies": [{"name": "pkg", "version": "1", "vulns": [{"id": "V-1", "fix_versions": []}, {"id": "V-2", "fix_versions": []}]}]}',
+    "cargo_audit": '{"vulnerabilities": {"list": [{"advisory": {"id": "R-1", "title": "t"}, "package": {"name": "c", "version": "1"}}]}}',
+    "govulncheck": '{"finding": {"osv": "GO-1", "fixed_version": "v2"}}',
+    "npm_audit": '{"vulnerabilities": {"a": {"name": "a", "severity": "high", "range": "<1"}, "b": {"name": "b", "severity": "low", "range": "<2"}}}',
+}
+
+
+@query("""SELECT path, rule, severity, line::INT AS line, col::INT AS col, message FROM (VALUES ('a.py', 'lint-external/ruff/F401', 'error', 2, 3, 'unused'), ('b.py', 'lint-external/ruff/W291', 'warning', 1, 9, 'space'),
+('requirements.txt', 'security-deep/dependency-vulnerability', 'error', 1, 1, 'pkg V-1'), ('requirements.txt', 'security-deep/dependency-vulnerability', 'error', 1, 1, 'pkg V-2'), ('Cargo.toml', 'security-deep/dependency-vulnerability', 'error', 1, 1, 'c R-1'),
+('go.mod', 'security-deep/dependency-vulnerability', 'error', 1, 1, 'GO-1'), ('package.json', 'security-deep/dependency-vulnerability', 'error', 1, 1, 'a <1'), ('package.json', 'security-deep/dependency-vulnerability', 'info', 1, 1, 'b <2')) AS t(path, rule, severity, line, col, message)""")
+def other_tools(spark, sf_dir):
+    rows = [getattr(reports, name)(spark.createDataFrame([(text,)], "json string")) for name, text in _OTHER_TOOLS.items()]
+    out_ = rows[0]
+    for r in rows[1:]:
+        out_ = out_.unionByName(r)
+    return out_

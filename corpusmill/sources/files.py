@@ -62,6 +62,12 @@ def read_tree(spark: SparkSession, root: str, **options) -> DataFrame:
     return collect(as_files(rows, F.col("path"), F.decode("content", "UTF-8")), **options)
 
 
+def byte_order_marks(raw: DataFrame) -> DataFrame:
+    """Findings on binary files (path, content) that start with the bytes of a mark."""
+    rows = raw.filter(F.hex(F.substring("content", 1, 3)) == "EFBBBF")
+    return rows.select("path", F.lit("syntax-deep/bom-present").alias("rule"), F.lit("warning").alias("severity"), F.lit(1).alias("line"), F.lit(1).alias("col"), F.lit("").alias("message"))
+
+
 def changed(files: DataFrame, paths: DataFrame) -> DataFrame:
     """Files whose name, or whose path's end, is that of a changed path."""
     base = lambda c: F.element_at(F.split(c, "/"), -1)

@@ -148,6 +148,23 @@ def test_reports(spark):
     assert json.loads(reports.as_json(rows).first().json)["rule"] in ("x/a", "x/b")
 
 
+def test_verify_and_speed(spark):
+    a, b = (spark.createDataFrame([(s,)], "score int") for s in (60, 59))
+    assert P.verified(a, b).first().holds is False and P.verified(b, a).first().holds is True
+    runs = spark.createDataFrame([("x", 10.0), ("x", 30.0)], "engine string, ms double")
+    now, before = scan.timings(runs), scan.timings(runs.withColumn("ms", F.col("ms") * 1.25))
+    assert P.slower(now, before).first().change == pytest.approx(-20)
+    rows = found(spark, ("a", "x/a", "error", 1, 1), ("a", "y/b", "info", 1, 1))
+    assert {r.engine for r in P.category_scores(rows, 1, smoothing=0.0).collect()} == {"x", "y"}
+
+
+def test_marks(spark):
+    from corpusmill.sources.files import byte_order_marks
+
+    raw = spark.createDataFrame([("a", bytearray(b"\xef\xbb\xbfx")), ("b", bytearray(b"x"))], "path string, content binary")
+    assert [r.path for r in byte_order_marks(raw).collect()] == ["a"]
+
+
 def test_project(spark):
     f = files(spark, ("package.json", '{"dependencies": {"next": "1"}, "scripts": {"build": "", "test": "", "lint": ""}}'), (".eslintrc.json", "{}"), ("pnpm-lock.yaml", ""), ("tsconfig.json", '{"compilerOptions": {"strict": true, "target": "es2022"}}'))
     assert {(r.kind, r.name) for r in project.detect(f).collect()} == {("framework", "nextjs"), ("package-manager", "pnpm"), ("linter", "eslint")}
