@@ -50,12 +50,12 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(v, root) for each vertex that is not the smallest of its component; edges has two long columns.
 
     Each round makes a forest of every partition's edges, so that a vertex has one row a partition at most; then
-    each vertex takes the smallest of its roots and links the others to it. The links, far fewer, are the edges of
-    the next round. What is left when ONE_TASK rows suffice is finished in one task. Labels are then followed from
+    each vertex takes the smallest of its roots. What ties roots to each other (two of them at one vertex, or a root
+    that has a root elsewhere) are the edges of the next round, far fewer. What is left when ONE_TASK rows suffice is finished in one task. Labels are then followed from
     round to round. No edges: no rows.
     """
     rounds: list[DataFrame] = []
-    left, last = edges, 0
+    left, parts = edges, 0
     while True:
         forest = scratch.keep(left.mapInArrow(star, "v long, root long"), f"{name}-forest{len(rounds)}")
         n = forest.count()
@@ -64,8 +64,11 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
             break
         by = forest.groupBy("v").agg(F.min("root").alias("low"))
         rounds.append(scratch.keep(by.select("v", F.col("low").alias("root")), f"{name}-label{len(rounds)}"))
-        own = forest.join(by, "v").filter("root > low").select("low", "root").distinct()
-        left, last = own.repartition(max(1, (n if not last else min(n, last)) // ONE_TASK)), n
+        own = forest.join(by, "v").filter("root > low").select("low", "root")
+        both = by.join(forest.select(F.col("root").alias("v")).distinct(), "v", "left_semi").select("low", F.col("v").alias("root"))
+        # Fewer partitions each round, so that the rounds end.
+        parts = max(1, min(n // ONE_TASK, parts // 2 if parts else n))
+        left = own.unionByName(both).distinct().repartition(parts)
     out = rounds[0]
     for later in rounds[1:]:
         up = later.select(F.col("v").alias("root"), F.col("root").alias("up"))

@@ -306,6 +306,24 @@ def test_kernels():
     assert (K.unpack_bits(K.pack_bits(bits), 77) == bits).all()
 
 
+@pytest.mark.parametrize(("most", "seed"), [(2, 1), (10, 2), (1 << 20, 3)])
+def test_components(spark, monkeypatch, most, seed):
+    from corpusmill.llm import components as C
+    from corpusmill.plans.storage import Scratch
+
+    monkeypatch.setattr(C, "ONE_TASK", most)
+    rng = np.random.default_rng(seed)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 120, (90, 2))] + [(200 + i, 201 + i) for i in range(30)]
+    root = {}
+    find = lambda v: v if root.setdefault(v, v) == v else find(root[v])
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    frame = spark.createDataFrame(edges, "v long, root long").repartition(6)
+    got = {r.v: r.root for r in C.components(frame, Scratch(spark, "test"), "t").collect()}
+    assert got == {v: find(v) for v in list(root) if find(v) != v}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
