@@ -225,3 +225,28 @@ def test_base_imports_without_the_other_subpackage():
     for p in root.rglob("*.py"):
         if "llm" not in p.parts:
             assert "corpusmill.llm" not in p.read_text(), p
+
+
+def test_plans_stay_lean(spark, tmp_path):
+    """Line rules read the columns that they need and move nothing; corpus joins do not nest loops."""
+    from corpusmill import queries
+
+    root = f"file://{tmp_path}"
+    spark.createDataFrame([(1, "x", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{root}/documents.parquet")
+    spark.createDataFrame([(i, "n") for i in range(40)], "p_partkey long, p_name string").write.parquet(f"{root}/part.parquet")
+    plan = lambda name: queries.QUERIES[name](spark, root)._jdf.queryExecution().executedPlan().toString()
+    lean = plan("max_line_length")
+    assert "Exchange" not in lean and "ReadSchema: struct<doc_id:bigint,text:string>" in lean
+    for name in ("unused_exports", "unused_imports", "repeated_constants", "copied_functions", "suppressed", "first_of_each", "score_log"):
+        assert "NestedLoop" not in plan(name) and "CartesianProduct" not in plan(name), name
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_join_hot(spark, monkeypatch, how):
+    from corpusmill.plans import skew
+
+    monkeypatch.setattr(skew, "HOT_ROWS", 5)
+    left = spark.createDataFrame([(i, 1 if i % 2 else i % 11) for i in range(100)] + [(200, None)], "id int, k int")
+    right = spark.createDataFrame([(k, f"v{k}") for k in range(9)], "k int, v string")
+    got = sorted(map(str, skew.join_hot(left, right, "k", 100, how).select("id", "k", "v").collect()))
+    assert got == sorted(map(str, left.join(right, "k", how).select("id", "k", "v").collect()))
