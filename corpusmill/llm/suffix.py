@@ -165,7 +165,8 @@ class _Anchors:
             low = np.minimum(low[: len(low) - (span - size)], low[span - size :])
         at = (low & _U((1 << bits) - 1)).astype(np.int64)
         first, size = K.groups(at)
-        return first, first + size - 1, at[first], h[at[first]]
+        # Least hashes are small numbers; mixed again, they spread over all buckets.
+        return first, first + size - 1, at[first], K.mix(h[at[first]] + _U(0x632BE59BD9B4E019))
 
 
 def _send(width: int, gram: int, bits: int):
