@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusmill.llm import kernels as K
+from corpusmill.plans.skew import join_hot
 from corpusmill.plans.storage import Scratch
 
 CHUNK_BYTES, BUCKET_HASHES = 4 << 20, 4 << 20
@@ -42,11 +43,12 @@ class Corpus:
         one = F.coalesce(F.col(text), F.lit(""))
         d_id = F.col(doc_id).cast("long")
         keys = self.scratch.keep(docs.select(d_id.alias("doc_id"), F.unhex(F.sha2(one, 256)).alias("digest"), F.octet_length(one).alias("size")), "keys")
-        self.bytes = keys.agg(F.sum(F.col("size").cast("long"))).first()[0] or 0
+        all_ = keys.agg(F.sum(F.col("size").cast("long")).alias("bytes"), F.count("*").alias("n")).first()
+        self.bytes, self.n = all_.bytes or 0, all_.n
         self.chunks = max(16, math.ceil(self.bytes / CHUNK_BYTES))
         usable = keys.filter("doc_id IS NOT NULL AND size > 0")
         first = usable.groupBy("digest").agg(F.min("doc_id").alias("first"))
-        self.copies = self.scratch.keep(usable.join(first, "digest").filter("doc_id > first").select("doc_id", "first").distinct(), "copies")
+        self.copies = self.scratch.keep(join_hot(usable.drop("size"), first, "digest", self.n).filter("doc_id > first").select("doc_id", "first").distinct(), "copies")
         self.scratch.drop("keys")
         carry = docs.columns if carry is None else carry
         self.carried = [c for c in carry if c not in (doc_id, text)]

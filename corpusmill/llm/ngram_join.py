@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from corpusmill.llm import kernels as K
 from corpusmill.llm.components import components
 from corpusmill.llm.exchange import NO_ID, SENT, Chunk, Corpus, Gathered, Sorted, sent_table
+from corpusmill.plans.skew import join_hot
 
 _DF = 1
 #: Shingles that one comparing task holds at most of a side; larger candidate groups are cut into tiles.
@@ -314,12 +315,13 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width:
         edges = edges.unionByName(_large(sets, weights, tile, t, orders, keep))
     found = components(keep(edges, "edges"), corpus.scratch, "links")
 
-    sizes = every.groupBy("doc_id").agg(F.max("n").alias("n_shingles"))
+    sizes = every.groupBy(F.col("doc_id").alias("of")).agg(F.max("n").alias("n_shingles"))
+    classes = sizes.join(found.select(F.col("v").alias("of"), F.col("root").alias("component_id")), "of", "left")
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id")).join(corpus.copies.withColumnRenamed("first", "copy_of"), "doc_id", "left")
-    base = base.withColumn("of", F.coalesce("copy_of", "doc_id"))
-    out = base.join(sizes.withColumnRenamed("doc_id", "of"), "of", "left").join(found.select(F.col("v").alias("of"), F.col("root").alias("component_id")), "of", "left")
-    whole = out.select("doc_id", F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("component_id", F.when(F.coalesce("n_shingles", F.lit(0)) > 0, F.col("of")).otherwise(F.col("doc_id"))).alias("component_id"), "copy_of")
-    return whole
+    base = keep(base.withColumn("of", F.coalesce("copy_of", "doc_id")), "base")
+    out = join_hot(base, classes, "of", corpus.n, "left")
+    own = F.when(F.coalesce("n_shingles", F.lit(0)) > 0, F.col("of")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("component_id", own).alias("component_id"), "copy_of")
 
 
 def _large(sets: DataFrame, weights: DataFrame, tile: int, t: Threshold, orders: int, keep) -> DataFrame:
