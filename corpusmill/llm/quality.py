@@ -189,7 +189,8 @@ def fit(docs: DataFrame, examples: DataFrame, *, doc_id: str = "doc_id", text: s
     chosen = examples.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("l_id")).agg(F.max(F.col(label).cast("int")).alias("label"))
     chosen = chosen.orderBy(F.xxhash64("l_id"), "l_id").limit(most)
     rows = docs.select(F.col(doc_id).alias("d_id"), F.col(text).alias("d_text")).join(F.broadcast(chosen), F.col("d_id") == F.col("l_id")).select("d_text", "label")
-    got = rows.mapInArrow(_measured, ", ".join(["label int", *(f"{c} long" for c in BASE + MORE)])).orderBy(*BASE, *MORE, "label").toPandas()
+    got = rows.mapInArrow(_measured, ", ".join(["label int", *(f"{c} long" for c in BASE + MORE)])).toPandas()
+    got = got.sort_values([*BASE, *MORE, "label"], ignore_index=True)  # reruns agree
     if not len(got):
         return Trees().fit(np.zeros((0, len(FEATURES))), np.zeros(0), [])
     return Trees().fit(features({c: got[c].to_numpy() for c in BASE + MORE}), got["label"].to_numpy().astype(float), [f[3] for f in FEATURES])
