@@ -1,11 +1,14 @@
 """Licence recognition by sentence rules, in SQL functions alone.
 
-Each line's sentences are normalised and looked up among known licence sentences; the identifiers found in a
-document, in order, are matched against ordered rules, each a sequence of identifiers.
+Sentences are normalised and looked up among known licence sentences, also those that run over several lines of a
+comment or a paragraph; the identifiers found in a document, in order, are matched against ordered rules, each a
+sequence of identifiers.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,20 +56,107 @@ RULES: list[tuple[str, tuple[str, ...], str]] = [
     ("Unlicense", ("unlicense_notice",), "permissive"),
     ("Proprietary", ("reserved",), "proprietary"),
 ]
-_LENGTHS = sorted({len(s) for s in SENTENCES})
-#: A sentence ends at a line end, or at . ; : ! ? before white space or a line end.
-_END = r"[.;:!?]+(?:[\x20\x09-\x0D]+|$)|[\x0A-\x0D]+"
+# The same of the texts and headers as their authors publish them, which fill several lines.
+_GPL = "you can redistribute it and/or modify it under the terms of the gnu {} as published by the free software foundation"
+_LATER = "either version {} of the license or at your option any later version"
+_CC = {"": "BY", "-noncommercial": "BY-NC", "-sharealike": "BY-SA", "-noderivatives": "BY-ND", "-noncommercial-sharealike": "BY-NC-SA", "-noncommercial-noderivatives": "BY-NC-ND"}
+TEXTS: dict[str, str] = {
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and/or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit_full",
+    "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "mit_keep",
+    "the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software": "mit_keep",
+    "permission to use copy modify and/or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc_full",
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc_full",
+    "permission to use copy modify and/or distribute this software for any purpose with or without fee is hereby granted": "bsd0_full",
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd_full",
+    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "bsd_source",
+    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution": "bsd_binary",
+    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd_names",
+    "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd_names",
+    "licensed under the apache license version 2.0 the license": "apache2_full",
+    "the asf licenses this file to you under the apache license version 2.0 the license": "apache2_full",
+    "apache license version 2.0 january 2004": "apache2_title",
+    "the contents of this file are subject to the mozilla public license version 1.1 the license": "mpl11_full",
+    "this source code form is subject to the terms of the mozilla public license v": "mpl2_full",
+    "mozilla public license version 2.0": "mpl2_title",
+    "this library is free software": "gpl_free",
+    "gnu general public license version 3 29 june 2007": "gpl3_title",
+    "gnu general public license version 2 june 1991": "gpl2_title",
+    "gnu affero general public license version 3 19 november 2007": "agpl3_title",
+    "gnu lesser general public license version 3 29 june 2007": "lgpl3_title",
+    "gnu lesser general public license version 2.1 february 1999": "lgpl21_title",
+    _LATER.format("2"): "gpl_later2",
+    _LATER.format("2.1"): "gpl_later21",
+    _LATER.format("3"): "gpl_later3",
+    "version 2 of the license": "gpl_only2",
+    "version 3 of the license": "gpl_only3",
+    _GPL.format("general public license"): "gpl_full",
+    _GPL.format("lesser general public license"): "lgpl_full",
+    _GPL.format("affero general public license"): "agpl_full",
+    _GPL.format("general public license version 2"): "gpl2_full",
+    _GPL.format("general public license version 3"): "gpl3_full",
+    "you can redistribute it and/or modify it under the terms of the gnu general public license version 2 only as published by the free software foundation": "gpl2_full",
+    _GPL.format("general public license") + " " + _LATER.format("2"): "gpl2_full",
+    _GPL.format("general public license") + " " + _LATER.format("3"): "gpl3_full",
+    _GPL.format("general public license") + " version 2 of the license": "gpl2_full",
+    _GPL.format("general public license") + " version 3 of the license": "gpl3_full",
+    _GPL.format("affero general public license") + " " + _LATER.format("3"): "agpl3_full",
+    _GPL.format("affero general public license") + " version 3 of the license": "agpl3_full",
+    _GPL.format("lesser general public license") + " " + _LATER.format("2.1"): "lgpl21_full",
+    _GPL.format("lesser general public license") + " " + _LATER.format("3"): "lgpl3_full",
+    **{f"this work is licensed under {a} creative commons attribution{n} 4.0 international license": f"cc_{k.lower()}_full" for n, k in _CC.items() for a in ("a", "the")},
+    **{f"creative commons attribution{n} 4.0 international public license": f"cc_{k.lower()}_title" for n, k in _CC.items()},
+    "creative commons legal code cc0 1.0 universal": "cc0_title",
+    "cc0 1.0 universal": "cc0_title",
+}
+_CC_KINDS = {"BY": "permissive", "BY-SA": "copyleft", "BY-ND": "noderivatives"}
+_FULL: list[tuple[str, tuple[str, ...], str]] = [
+    ("MIT", ("mit_full", "mit_keep"), "permissive"),
+    ("MIT", ("mit_full",), "permissive"),
+    ("ISC", ("isc_full",), "permissive"),
+    ("0BSD", ("bsd0_full",), "permissive"),
+    ("BSD-3-Clause", ("bsd_full", "bsd_source", "bsd_binary", "bsd_names"), "permissive"),
+    ("BSD-2-Clause", ("bsd_full", "bsd_source", "bsd_binary"), "permissive"),
+    ("Apache-2.0", ("apache2_full", "apache2_use", "apache2_copy"), "permissive"),
+    ("Apache-2.0", ("apache2_full",), "permissive"),
+    ("Apache-2.0", ("apache2_title",), "permissive"),
+    ("MPL-1.1", ("mpl11_full", "apache2_use", "apache2_copy"), "copyleft"),
+    ("MPL-1.1", ("mpl11_full",), "copyleft"),
+    *[("MPL-2.0", (i,), "copyleft") for i in ("mpl2_full", "mpl2_title")],
+    *[(f"{n}-{v}", (*free, f"{k}_full", f"gpl_{how}{v.removesuffix('.0').replace('.', '')}"), "copyleft") for free in (("gpl_free",), ()) for n, k, v in (("GPL", "gpl", "2.0"), ("GPL", "gpl", "3.0"), ("AGPL", "agpl", "3.0"), ("LGPL", "lgpl", "2.1"), ("LGPL", "lgpl", "3.0")) for how in ("later", "only") if how == "later" or v != "2.1"],
+    *[(n, (*free, f"{k}_full"), "copyleft") for free in (("gpl_free",), ()) for n, k in (("GPL-2.0", "gpl2"), ("GPL-3.0", "gpl3"), ("AGPL-3.0", "agpl3"), ("LGPL-2.1", "lgpl21"), ("LGPL-3.0", "lgpl3"))],
+    *[(n, (f"{k}_title",), "copyleft") for n, k in (("GPL-2.0", "gpl2"), ("GPL-3.0", "gpl3"), ("AGPL-3.0", "agpl3"), ("LGPL-2.1", "lgpl21"), ("LGPL-3.0", "lgpl3"))],
+    *[(f"CC-{k}-4.0", (f"cc_{k.lower()}_{x}",), _CC_KINDS.get(k, "noncommercial")) for k in _CC.values() for x in ("full", "title")],
+    ("CC0-1.0", ("cc0_title",), "permissive"),
+]
+#: Rules of these are tried before the others. A reservation of rights right before a licence belongs to its notice.
+TEXT_RULES = [(name, (*own, *ids), kind) for own in (("reserved",), ()) for name, ids, kind in _FULL]
+#: A sentence ends at . ; : ! ? before white space or the end, at an empty line, and may end at any line end.
+_STOP, _EMPTY = r"[.;:!?]+(?:[\x20\x09-\x0D]+|\z)", r"[\x0A\x0D][\x20\x09-\x0D]*[\x0A\x0D]"
+#: What opens a comment line and an item of a list in it, and what closes a comment.
+_LEADER = r"(?<![^\x0A\x0D])(?:[\x20\x09]*(?://+!?|/\*+!?|\*+/?|#+|--+|;+|<!--+|-|%+|>+|@?rem(?=[\x20\x09])|dnl(?=[\x20\x09]))(?=[\x20\x09-\x0D]|\z))+|[\x20\x09]*(?:\*+/|--+>)(?=[\x20\x09]*(?:[\x0A\x0D]|\z))"
+_KNOWN = SENTENCES | TEXTS
+#: Any known sentence, its words parted by spaces or line ends (\x02), between two ends of sentences (\x01) or lines.
+_ANY = r"(?<![^\x01\x02])(?:" + "|".join(r"[ \x02]".join(map(re.escape, s.split(" "))) for s in sorted(_KNOWN, key=lambda s: (-len(s), s))) + r")(?![^\x01\x02])"
+
 #: Cheap test before any splitting: each known sentence has one of these words.
 _HINT = r"(?i)licen[sc]e|permission|redistribut|copyright|free software|public domain|rights reserved"
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences: A-Z in lower case, commas, quotes and brackets gone, runs of white space one space.
-
-    Between the sentences of a document other text may stand: only known sentences count for the rules.
+def normalised(text: Column) -> Column:
+    """Text as one line: A-Z in lower case, comment leaders, commas, quotes and brackets gone, runs of white space one
+    space, \x01 where a sentence ends and \x02 where a line ends within what may be a sentence.
     """
-    parts = F.split(text, _END)
-    return F.transform(parts, lambda s: F.trim(F.regexp_replace(F.regexp_replace(F.translate(s, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[,\"'()]", ""), r"[\x20\x09-\x0D]+", " ")))
+    one = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ\x01\x02", "abcdefghijklmnopqrstuvwxyz\x03\x03")
+    one = F.regexp_replace(F.replace(one, F.lit("\r\n"), F.lit("\n")), _LEADER, "")
+    one = F.regexp_replace(F.regexp_replace(F.regexp_replace(one, _STOP, "\x01"), _EMPTY, "\x01"), r"[\x0A\x0D]", "\x02")
+    one = F.regexp_replace(F.translate(one, ",\"'()“”‘’", ""), r"[\x20\x09-\x0D]+", " ")
+    # Sentences of BSD name the owner.
+    return F.regexp_replace(F.regexp_replace(one, r"^ | $| ?([\x01\x02]) ?", "$1"), r"(?<![^\x01\x02])neither[ \x02]the[ \x02]name[ \x02]of[ \x02][^\x01]{1,120}?[ \x02]nor[ \x02]the[ \x02]names[ \x02]of[ \x02]its", "neither the name of the copyright holder nor the names of its")
+
+
+def sentences(text: Column) -> Column:
+    """The known sentences of a text, in order. Between them other text may stand."""
+    return F.transform(F.regexp_extract_all(normalised(text), F.lit(_ANY), F.lit(0)), lambda s: F.translate(s, "\x02", " "))
 
 
 def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -77,17 +167,18 @@ def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Data
     place. Null or empty text and texts without known sentences: 0, empty lists, null licence and kind. Whole
     texts of any length are read. Repeated rows give repeated rows; null doc_id stays. Rows do not meet: no shuffle.
     """
-    known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
+    known = F.create_map(*[F.lit(x) for pair in _KNOWN.items() for x in pair])
     one = F.coalesce(F.col(text), F.lit(""))
-    found = F.filter(F.transform(F.filter(sentences(one), lambda s: F.length(s).isin(_LENGTHS)), lambda s: F.try_element_at(known, s)), lambda s: s.isNotNull())
+    found = F.transform(sentences(one), lambda s: F.try_element_at(known, s))
     ids = F.when(one.rlike(_HINT), found).otherwise(F.array().cast("array<string>"))
     out = docs.select(F.col(doc_id).alias("doc_id"), ids.alias("sentence_ids")).withColumn("n_sentences", F.size("sentence_ids").cast("long"))
     # Each identifier stands as " id "; a matched sequence becomes " #rule " and is out of reach of later rules.
     line = F.concat(F.lit(" "), F.array_join("sentence_ids", "  "), F.lit(" "))
-    for n, (_, ids_, _) in enumerate(RULES):
+    rules = TEXT_RULES + RULES
+    for n, (_, ids_, _) in enumerate(rules):
         line = F.replace(line, F.lit(" " + "  ".join(ids_) + " "), F.lit(f" #{n} "))
-    names = F.create_map(*[F.lit(x) for n, r in enumerate(RULES) for x in (f"#{n}", r[0])])
-    kinds = F.create_map(*[F.lit(x) for n, r in enumerate(RULES) for x in (f"#{n}", r[2])])
+    names = F.create_map(*[F.lit(x) for n, r in enumerate(rules) for x in (f"#{n}", r[0])])
+    kinds = F.create_map(*[F.lit(x) for n, r in enumerate(rules) for x in (f"#{n}", r[2])])
     hits = F.filter(F.split(F.trim(line), " +"), lambda s: s.startswith("#"))
     out = out.withColumn("hits", F.when(F.col("n_sentences") > 0, hits).otherwise(F.array().cast("array<string>")))
     first = F.try_element_at("hits", F.lit(1))

@@ -231,6 +231,73 @@ def test_licenses(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_licenses_verbatim(spark):
+    mit = """MIT License
+
+Copyright (c) 2024 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED.
+"""
+    bsd = """Copyright (c) 2009, {who}
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are
+met:
+
+   * Redistributions of source code must retain the above copyright
+notice, this list of conditions and the following disclaimer.
+   * Redistributions in binary form must reproduce the above
+copyright notice, this list of conditions and the following disclaimer
+in the documentation and/or other materials provided with the
+distribution.
+"""
+    names = "   * Neither the name of {who} nor the names of its\ncontributors may be used to endorse or promote products derived from\nthis software without specific prior written permission.\n"
+    apache = """Copyright 2020 Some One. All rights reserved.
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS.
+"""
+    gpl3 = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY.
+"""
+    gpl2 = gpl3.replace("software: you", "software; you").replace("Foundation, either version 3", "Foundation; either version 2")
+    lgpl = gpl2.replace("program", "library").replace("General", "Lesser General").replace("version 2", "version 2.1")
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/."
+    hashes = lambda t: "".join(f"# {x}".rstrip() + "\n" for x in t.splitlines())
+    stars = lambda t: "/*\n" + "".join(f" * {x}".rstrip() + "\r\n" for x in t.splitlines()) + " */\nint x;\n"
+    slashes = lambda t: "".join(f"//\t{x}\n" for x in t.splitlines()) + "package x\n"
+    texts = {"MIT": mit, "BSD-2-Clause": bsd.format(who="Some One"), "BSD-3-Clause": (bsd + names).format(who="the University of\nSomewhere"), "Apache-2.0": apache, "GPL-3.0": gpl3, "GPL-2.0": gpl2, "LGPL-2.1": lgpl, "AGPL-3.0": gpl3.replace("GNU General", "GNU Affero General"), "MPL-2.0": mpl}
+    texts["CC-BY-NC-SA-4.0"] = "This work is licensed under a\nCreative Commons Attribution-NonCommercial-ShareAlike 4.0\nInternational License."
+    cases = [(name, wrap(t)) for name, t in texts.items() for wrap in (str, hashes, stars, slashes)]
+    cases += [("BSD-3-Clause", (bsd + names).format(who="Google Inc.")), ("GPL-2.0", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n"), ("Apache-2.0", "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n")]
+    cases += [("", "All rights\n\nreserved."), ("", "We met Permission is hereby granted"), ("MIT,Apache-2.0", mit + "\n" + apache)]
+    got = {r.doc_id: r.licenses for r in licenses.scan(_frame(spark, [(i, t) for i, (_, t) in enumerate(cases)])).collect()}
+    assert [got[i] for i in range(len(cases))] == [name for name, _ in cases]
+
+
 def test_quality_statistics(spark):
     rows = [*_rows(7), (None, "a\na\nb \n\na"), (5000, "x y z " * 40)]
     frame = _frame(spark, rows)
