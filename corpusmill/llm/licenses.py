@@ -138,9 +138,6 @@ _KNOWN = SENTENCES | TEXTS
 #: Any known sentence, its words parted by spaces or line ends (\x02), between two ends of sentences (\x01) or lines.
 _ANY = r"(?<![^\x01\x02])(?:" + "|".join(r"[ \x02]".join(map(re.escape, s.split(" "))) for s in sorted(_KNOWN, key=lambda s: (-len(s), s))) + r")(?![^\x01\x02])"
 
-#: Cheap test before any splitting: each known sentence has one of these words.
-_HINT = r"(?i)licen[sc]e|permission|redistribut|copyright|free software|public domain|rights reserved"
-
 
 def normalised(text: Column) -> Column:
     """Text as one line: A-Z in lower case, comment leaders, commas, quotes and brackets gone, runs of white space one
@@ -169,8 +166,7 @@ def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Data
     """
     known = F.create_map(*[F.lit(x) for pair in _KNOWN.items() for x in pair])
     one = F.coalesce(F.col(text), F.lit(""))
-    found = F.transform(sentences(one), lambda s: F.try_element_at(known, s))
-    ids = F.when(one.rlike(_HINT), found).otherwise(F.array().cast("array<string>"))
+    ids = F.transform(sentences(one), lambda s: F.try_element_at(known, s))
     out = docs.select(F.col(doc_id).alias("doc_id"), ids.alias("sentence_ids")).withColumn("n_sentences", F.size("sentence_ids").cast("long"))
     # Each identifier stands as " id "; a matched sequence becomes " #rule " and is out of reach of later rules.
     line = F.concat(F.lit(" "), F.array_join("sentence_ids", "  "), F.lit(" "))

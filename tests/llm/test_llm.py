@@ -298,6 +298,12 @@ distributed under the License is distributed on an "AS IS" BASIS.
     assert [got[i] for i in range(len(cases))] == [name for name, _ in cases]
 
 
+def test_licenses_hint(spark):
+    texts = ["All rights  reserved.", "All rights\treserved.", "All rights res\"erved.", "This program is \"free\" software.", "This is free and unencumbered software released into the public  domain."]
+    got = {r.doc_id: r.n_sentences for r in licenses.scan(_frame(spark, list(enumerate(texts)))).collect()}
+    assert got == dict.fromkeys(range(len(texts)), 1)
+
+
 def test_quality_statistics(spark):
     rows = [*_rows(7), (None, "a\na\nb \n\na"), (5000, "x y z " * 40)]
     frame = _frame(spark, rows)
