@@ -96,7 +96,8 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 20, vec_id: str = "
     shards; each tile meets each shard once, as one matrix product, and keeps a top list for each query. Lists of a
     tile merge FAN_IN at a time. Fewer rows than k: all of them. Ties: smaller vec_id first. Null ids and vectors
     with null, non-finite or no components take no part. Vectors of different lengths do not meet. Repeated ids: a
-    query never meets rows with its own id; a candidate id that repeats counts each time. Empty table: no rows.
+    query never meets rows with its own id; a candidate id that repeats counts each time, and the rows of a query id
+    that repeats share one list of k, as in the SQL, whatever the number of shards. Empty table: no rows.
     """
     rows = quantised(vectors, vec_id=vec_id, embedding=embedding, scale=scale).withColumn("dim", F.size("vector"))
     dims = {r.dim: (r.n, r.q) for r in rows.groupBy("dim").agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("q")).collect()}
@@ -109,8 +110,10 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 20, vec_id: str = "
     asked = asked.select(F.col("tile").alias("q_tile"), F.col("part").alias("q_part"), F.col("dim").alias("q_dim"), F.col("id").alias("q_id"), F.col("vector").alias("q_vector"))
     by = ["tile", "part", "dim"]
     lists = asked.groupBy("q_tile", "q_part", "q_dim").cogroup(every.groupBy(*by)).applyInArrow(_score(k), _LIST_SQL)
-    while shards > 1:
+    while True:  # once at least: rows of one query id, also of different lengths, meet in a merge alone
         shards = math.ceil(shards / FAN_IN)
         lists = lists.withColumn("part", F.floor(F.col("part") / FAN_IN)).groupBy("tile", "part").applyInArrow(_merge(k), _LIST_SQL)
+        if shards == 1:
+            break
     top = lists.select("query_id", F.posexplode(F.arrays_zip("ids", "scores")).alias("pos", "hit"))
     return top.select("query_id", (F.col("pos") + 1).alias("rank"), F.col("hit.ids").alias("vec_id"), F.col("hit.scores").alias("score"))

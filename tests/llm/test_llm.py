@@ -122,6 +122,21 @@ def test_topk(spark):
     assert topk.search(frame.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("shard", [7, 1000])
+def test_topk_repeated_queries(spark, monkeypatch, shard):
+    rng = np.random.default_rng(13)
+    rows = [(i, rng.integers(-3, 4, 5).astype(float).tolist()) for i in range(60)]
+    rows += [rows[0], rows[20], rows[20], (40, [3.0, -3.0, 3.0, -3.0, 3.0]), rows[7]]
+    monkeypatch.setattr(topk, "SHARD", shard)
+    got = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("id") % 20 == 0, k=6).collect()
+    whole = [(i, np.floor(64 * np.array(v)).astype(int)) for i, v in rows]
+    want = []
+    for q in (0, 20, 40):  # as the SQL: all pairs of a query id, cut to k
+        pairs = sorted((-int(a @ v), i) for o, a in whole if o == q for i, v in whole if i != q)[:6]
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(pairs, 1)]
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == want
+
+
 def test_mixing(spark):
     rows = [(i, "w " * (i % 40)) for i in range(300)] + [(None, "a b"), (900, None)]
     frame = spark.createDataFrame([(d, t, None if i % 7 == 6 else "s%d" % (i % 7)) for i, (d, t) in enumerate(rows)], "doc_id long, text string, source string")
