@@ -90,6 +90,23 @@ def similar_sets(sets: DataFrame, num: int = 90, den: int = 100) -> DataFrame:
     return rows.filter(F.col("n_both") * den >= F.col("n_either") * num).select("a", "b", "n_both", "n_either")
 
 
+def similar_groups(sets: DataFrame, num: int = 90, den: int = 100) -> DataFrame:
+    """(a, b, n_both, n_either) that say all similar pairs of ``sets`` without writing each of them down.
+
+    Ids of equal token sets are one before the join, the smallest id: each other one has a row with it (a), where
+    n_both = n_either, and the smallest ids have the rows of similar_sets. Two ids are similar if and only if their
+    smallest ids are the same or stand in one row. Empty sets equal each other. Null ids and token arrays take no part.
+    """
+    keyed = sets.filter("id IS NOT NULL AND tokens IS NOT NULL").withColumn("key", F.sha2(F.to_json(F.array_sort("tokens")), 256))
+    # Partial minima first, and the smallest ids go to slices of a key: one set may be that of most ids.
+    slices = 64
+    first = keyed.groupBy("key").agg(F.min("id").alias("a"), F.first("tokens").alias("tokens"))
+    dealt = first.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).select("key", "slice", "a")
+    own = keyed.select("id", "key", F.size("tokens").cast("long").alias("n_both")).withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int"))
+    same = own.join(dealt, ["key", "slice"]).filter("id <> a").select("a", F.col("id").alias("b"), "n_both", F.col("n_both").alias("n_either"))
+    return same.unionByName(similar_sets(first.select(F.col("a").alias("id"), "tokens"), num, den))
+
+
 def repeated_constants(strings: DataFrame, least: int = 3, shown: int = 10) -> DataFrame:
     """Literals that stand ``least`` times in as many files, where they stand first, and some of the places."""
     usable = strings.filter(~matches(F.col("value"), r"^(?:https?://|\.{1,2}/|@|use )") & ~matches(F.col("value"), r"^[a-z-]+/[a-z0-9/_-]+\z") & matches(F.col("value"), r"[A-Za-z]"))

@@ -319,6 +319,13 @@ def similar_files(spark, sf_dir):
     return relations.similar_sets(f.select(F.col("path").alias("id"), F.array_distinct(F.regexp_extract_all("content", F.lit("([A-Za-z_]+)"), 1)).alias("tokens")))
 
 
+# all files; similar_files is the slice of them that SQL can compare
+@query()
+def similar_files_whole(spark, sf_dir):
+    f = synthetic.files(spark, sf_dir)
+    return relations.similar_groups(f.select(F.col("path").alias("id"), F.array_distinct(F.regexp_extract_all("content", F.lit("([A-Za-z_]+)"), 1)).alias("tokens")))
+
+
 @query(rf"""WITH {SYN}, s AS (SELECT path, num, unnest(list_concat(regexp_extract_all(text, '''([^''\n]*)''', 1), regexp_extract_all(text, '"([^"\n]*)"', 1))) AS value FROM lines),
 u AS (SELECT * FROM s WHERE length(value) >= 8 AND NOT regexp_matches(value, '^(?:https?://|\.{{1,2}}/|@|use )') AND NOT regexp_matches(value, '^[a-z-]+/[a-z0-9/_-]+\z') AND regexp_matches(value, '[A-Za-z]'))
 SELECT value, count(*) AS n, count(DISTINCT path) AS n_files, arg_min(path, (path, num)) AS path, arg_min(num, (path, num))::INT AS line, array_to_string(list_sort(list(DISTINCT path || ':' || num))[1:10], ',') AS places

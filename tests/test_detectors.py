@@ -216,6 +216,34 @@ def test_similar_sets(spark):
     assert got == want and want
 
 
+def test_similar_groups(spark):
+    rng = random.Random(6)
+    base = [f"t{i}" for i in range(30)]
+    sets = [(i, rng.sample(own, len(own))) for i in range(60) for own in [sorted({*base[: 28 - i % 3], *(f"u{rng.randrange(9)}" for _ in range(i % 4))})]] + [(99, ["only"]), (100, []), (101, [])]
+    got = relations.similar_groups(spark.createDataFrame([*sets, (102, None)], "id int, tokens array<string>")).collect()
+    same = {r.b: r.a for r in got if r.n_both == r.n_either}
+    near = {(r.a, r.b) for r in got if r.n_both < r.n_either}
+    first = lambda i: same.get(i, i)
+    want = {(a, b) for a, x in sets for b, y in sets if a < b and 100 * len({*x} & {*y}) >= 90 * len({*x} | {*y})}
+    assert {(a, b) for a, _ in sets for b, _ in sets if a < b and (first(a) == first(b) or tuple(sorted((first(a), first(b)))) in near)} == want
+    assert same and near and len(got) == len(same) + len(near) < len(want)
+
+
+def test_similar_files_whole(spark, tmp_path):
+    import re
+
+    from corpusmill import queries, synthetic
+
+    spark.range(1, 121).select(F.col("id").alias("p_partkey")).write.parquet(f"{tmp_path}/part.parquet")
+    sets = {r.path: {*re.findall("[A-Za-z_]+", r.content)} for r in synthetic.files(spark, str(tmp_path)).collect()}
+    got = queries.QUERIES["similar_files_whole"](spark, str(tmp_path)).collect()
+    same = {r.b: r.a for r in got if r.n_both == r.n_either}
+    near = {(r.a, r.b) for r in got if r.n_both < r.n_either}
+    first = lambda i: same.get(i, i)
+    want = {(a, b) for a, x in sets.items() for b, y in sets.items() if a < b and 100 * len(x & y) >= 90 * len(x | y)}
+    assert {(a, b) for a in sets for b in sets if a < b and (first(a) == first(b) or tuple(sorted((first(a), first(b)))) in near)} == want and want
+
+
 def test_blocks(spark):
     shared = "\n".join(f"statement number {i}" for i in range(24))
     f = files(spark, ("a.ts", shared + "\nx"), ("b.ts", shared + "\ny"), ("c.ts", "short"))
