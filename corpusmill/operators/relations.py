@@ -218,19 +218,38 @@ def user_rules(rules: list[dict], imports: DataFrame, lines: DataFrame) -> DataF
 
 # ---- graphs
 
-def import_edges(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """src, dst: relative imports joined to the files that they may mean."""
+def import_targets(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """src, num, dst: relative imports joined to the files that they may mean, with the first line that says so."""
     folder = F.regexp_replace("path", r"/[^/]*\z", "")
     joined = F.concat(folder, F.lit("/"), F.regexp_replace("source", r"^(?:\./)+", ""))
     for _ in range(8):  # a/../ goes, step by step
         joined = F.regexp_replace(joined, r"(^|/)(?!\.\./)[^/]+/\.\./", "$1")
     tries = F.array(*[F.concat(joined, F.lit(s)) for s in SUFFIXES], *[F.concat(F.regexp_replace(joined, r"\.js\z", ""), F.lit(".ts"))])
-    rows = imports.filter(F.startswith("source", F.lit("."))).select(F.col("path").alias("src"), F.explode(F.array_distinct(tries)).alias("dst"))
-    return rows.join(files.select(F.col("path").alias("dst")), "dst", "left_semi").select("src", "dst").distinct()
+    rows = imports.filter(F.startswith("source", F.lit("."))).select(F.col("path").alias("src"), "num", F.explode(F.array_distinct(tries)).alias("dst"))
+    return rows.join(files.select(F.col("path").alias("dst")), "dst", "left_semi").groupBy("src", "dst").agg(F.min("num").alias("num")).select("src", "num", "dst")
+
+
+def import_edges(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """src, dst: relative imports joined to the files that they may mean."""
+    return import_targets(imports, files).select("src", "dst")
 
 
 def cycles(edges: DataFrame, deepest: int = 5) -> DataFrame:
-    """Cycles of at most ``deepest`` edges, once each, from their smallest vertex.
+    """Cycles of at most ``deepest`` edges, once each, from their smallest vertex."""
+    return cycle_members(edges, deepest).select(F.size("members").cast("long").alias("n"), F.array_join("members", " > ").alias("cycle"))
+
+
+def circular_dependency(imports: DataFrame, files: DataFrame, deepest: int = 5) -> DataFrame:
+    """Cycles of imports, each at the import of its smallest file; those of one import are told together."""
+    to = import_targets(imports, files)
+    rows = cycle_members(to.select("src", "dst"), deepest)
+    rows = rows.select(F.element_at("members", 1).alias("src"), F.coalesce(F.try_element_at("members", F.lit(2)), F.element_at("members", 1)).alias("dst"), F.array_join("members", " > ").alias("cycle"))
+    by = rows.join(to, ["src", "dst"]).groupBy(F.col("src").alias("path"), "num").agg(F.array_join(F.array_sort(F.collect_set("cycle")), ", ").alias("cycles"))
+    return _found(by, "import-intelligence/circular-dependency", "warning", F.col("cycles"))
+
+
+def cycle_members(edges: DataFrame, deepest: int = 5) -> DataFrame:
+    """members: the vertices of each cycle of at most ``deepest`` edges, from the smallest.
 
     Paths grow by one join a step and keep to vertices larger than their start, so that each cycle grows once; the
     number of steps is fixed. Vertices without an edge in or out are on no cycle and go first.
@@ -244,7 +263,7 @@ def cycles(edges: DataFrame, deepest: int = 5) -> DataFrame:
         step = paths.join(e.withColumnRenamed("src", "last").withColumnRenamed("dst", "next"), "last")
         out = out.unionByName(step.filter("next = start").select("members"))
         paths = step.filter("next > start").filter(~F.array_contains("members", F.col("next"))).select("start", F.col("next").alias("last"), F.concat("members", F.array("next")).alias("members"))
-    return out.select(F.size("members").cast("long").alias("n"), F.array_join("members", " > ").alias("cycle")).distinct()
+    return out.distinct()
 
 
 # ---- markup and translations

@@ -64,6 +64,7 @@ def _relations(c: Context) -> DataFrame:
         relations.duplicate_imports(c.imports), relations.tree_shakeable(c.imports), relations.unused_exports(c.exports, c.imports), relations.type_only_imports(c.imports, c.lines),
         relations.high_coupling(c.imports, c.config["quality"]["maxCoupling"]), relations.layer_violation(c.imports), relations.unused_selectors(c.lines), relations.aliases(c.imports, c.files),
         relations.workspaces(c.files), relations.barrel_bypass(c.imports, relations.reexports(c.lines)),
+        relations.circular_dependency(c.imports, c.files),
     ):
         out = out.unionByName(rows)
     return out

@@ -428,6 +428,19 @@ def cycles(spark, sf_dir):
     return relations.cycles(s.select(F.col("s_nationkey").cast("string").alias("src"), (F.col("s_suppkey") * 7 % 25).cast("string").alias("dst")).distinct(), 3)
 
 
+# all rows and the deepest cycles of the survey; cycles is the slice that SQL can walk
+@query()
+def cycles_whole(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    return relations.cycles(s.select(F.col("s_nationkey").cast("string").alias("src"), (F.col("s_suppkey") * 7 % 25).cast("string").alias("dst")).distinct())
+
+
+@query()
+def import_cycles(spark, sf_dir):
+    f, ls = syn(spark, sf_dir)
+    return relations.cycles(relations.import_edges(views.imports(ls), f))
+
+
 @query()
 def import_graph(spark, sf_dir):
     f, ls = syn(spark, sf_dir)

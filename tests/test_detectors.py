@@ -207,6 +207,35 @@ def test_cycles(spark, deepest):
     assert got == want
 
 
+def test_circular_dependency(spark):
+    from corpusmill.plans import scan
+
+    ring = [(f"src/m{i}/f.ts", f"const k = {i}\nimport {{ a }} from '../m{(i + 1) % 5}/f'\n") for i in range(5)]
+    f = files(spark, *ring, ("src/x.ts", "import { a } from './y'\n"), ("src/y.ts", "import { a } from './m0/f'\n"), ("src/z.ts", "import z from './z'\n"))
+    got = {(r.path, r.line, r.message) for r in scan.REGISTRY["relations"](scan.Context(f, scan.read_config(None))).filter("rule = 'import-intelligence/circular-dependency'").collect()}
+    assert got == {("src/m0/f.ts", 2, " > ".join(p for p, _ in ring)), ("src/z.ts", 1, "src/z.ts")}
+
+
+def test_cycles_whole(spark, tmp_path):
+    from corpusmill import queries
+
+    spark.createDataFrame([(i, i * 7 % 25 - 7) for i in range(7, 20)] + [(k, n) for n, k in ((0, 18), (1, 11), (2, 4), (3, 22), (4, 0))], "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    edges = {(str(r.s_nationkey), str(r.s_suppkey * 7 % 25)) for r in spark.read.parquet(f"{tmp_path}/supplier.parquet").collect()}
+    want = set()
+
+    def walk(path):
+        for a, b in edges:
+            if a == path[-1]:
+                if b == path[0]:
+                    want.add(" > ".join(path))
+                elif b > path[0] and b not in path and len(path) < 5:
+                    walk([*path, b])
+
+    for v in {a for a, _ in edges}:
+        walk([v])
+    assert {r.cycle for r in queries.QUERIES["cycles_whole"](spark, str(tmp_path)).collect()} == want and "0 > 1 > 2 > 3 > 4" in want
+
+
 def test_similar_sets(spark):
     rng = random.Random(5)
     base = [f"t{i}" for i in range(30)]
