@@ -8,6 +8,7 @@ same hashes again and reads the answers. A key that a third of all rows share is
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable
 
@@ -21,7 +22,10 @@ from corpusmill.llm import kernels as K
 from corpusmill.plans.skew import join_hot
 from corpusmill.plans.storage import Scratch
 
+#: Of a corpus of up to ROOT_FROM bytes; beyond it both grow with the root of its size, so that messages grow in
+#: number as the input does, up to MOST_TIMES as much memory a task.
 CHUNK_BYTES, BUCKET_HASHES = 4 << 20, 4 << 20
+ROOT_FROM, MOST_TIMES = 32 << 30, 16
 NOTE = "n_chunk int, n_kind int, n_num long, n_data binary"
 SENT = "bucket int, s_chunk int, s_data binary"
 SENT_ARROW = pa.schema([("bucket", pa.int32()), ("s_chunk", pa.int32()), ("s_data", pa.binary())])
@@ -34,8 +38,9 @@ COPY = 0
 class Corpus:
     """Documents dealt into chunks, and notes on which of them are later copies of a whole text.
 
-    rows: chunk, d_id, d_text and the carried columns. copies: doc_id, first (the smallest doc_id with the same
-    text), for all documents with an id and a text that is not empty whose first is smaller.
+    rows: chunk, d_id, d_text and the carried columns. copies: doc_id, digest (SHA-256 of the text) and first (the
+    smallest doc_id with the same text), for all documents with an id and a text that is not empty whose first is
+    smaller. An id may stand in several rows with different texts; each of its texts is a copy or not by itself.
     """
 
     def __init__(self, docs: DataFrame, name: str, *, doc_id: str, text: str, carry: list[str] | None = None):
@@ -45,22 +50,23 @@ class Corpus:
         keys = self.scratch.keep(docs.select(d_id.alias("doc_id"), F.unhex(F.sha2(one, 256)).alias("digest"), F.octet_length(one).alias("size")), "keys")
         all_ = keys.agg(F.sum(F.col("size").cast("long")).alias("bytes"), F.count("*").alias("n")).first()
         self.bytes, self.n = all_.bytes or 0, all_.n
-        self.chunks = max(16, math.ceil(self.bytes / CHUNK_BYTES))
+        self.times = min(MOST_TIMES, max(1.0, math.sqrt(self.bytes / ROOT_FROM)))
+        self.chunks = max(16, math.ceil(self.bytes / (CHUNK_BYTES * self.times)))
         usable = keys.filter("doc_id IS NOT NULL AND size > 0")
         first = usable.groupBy("digest").agg(F.min("doc_id").alias("first"))
-        self.copies = self.scratch.keep(join_hot(usable.drop("size"), first, "digest", self.n).filter("doc_id > first").select("doc_id", "first").distinct(), "copies")
+        self.copies = self.scratch.keep(join_hot(usable.drop("size"), first, "digest", self.n).filter("doc_id > first").select("doc_id", "digest", "first").distinct(), "copies")
         self.scratch.drop("keys")
         carry = docs.columns if carry is None else carry
         self.carried = [c for c in carry if c not in (doc_id, text)]
         self.rows = docs.select(self.chunk(F.coalesce(d_id, F.xxhash64(one))).alias("chunk"), d_id.alias("d_id"), one.alias("d_text"), *[F.col(f"`{c}`").alias(f"c_{i}") for i, c in enumerate(self.carried)])
-        self.notes = self.copies.select(self.chunk(F.col("doc_id")).alias("n_chunk"), F.lit(COPY).alias("n_kind"), F.col("doc_id").alias("n_num"), F.lit(None).cast("binary").alias("n_data"))
+        self.notes = self.copies.select(self.chunk(F.col("doc_id")).alias("n_chunk"), F.lit(COPY).alias("n_kind"), F.col("doc_id").alias("n_num"), F.concat(F.col("digest"), F.unhex(F.lpad(F.hex("first"), 16, "0"))).alias("n_data"))
 
     def chunk(self, key: Column) -> Column:
         return F.pmod(F.xxhash64(key, F.lit(77)), F.lit(self.chunks)).cast("int")
 
     def bits(self, hashes: int) -> int:
         """So many first bits of a hash name its bucket."""
-        return max(4, math.ceil(math.log2(max(1, hashes) / BUCKET_HASHES)))
+        return max(4, math.ceil(math.log2(max(1, hashes) / (BUCKET_HASHES * self.times))))
 
     def each_chunk(self, fn: Callable, notes: DataFrame, schema: str | T.StructType) -> DataFrame:
         """fn(chunk number, documents, notes) for each chunk. Notes without documents are left out by fn."""
@@ -87,18 +93,29 @@ class Chunk:
         self.ids = self.table["d_id"].fill_null(NO_ID).to_numpy().astype(np.int64) if self.n else np.zeros(0, np.int64)
         self.data, self.offsets = K.flatten(self.table["d_text"]) if self.n else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
         self.notes: dict[int, dict[int, bytes]] = {}
-        copies = []
+        copies: dict[int, list[bytes]] = {}
         if notes.num_rows:
             for kind, num, data in zip(notes["n_kind"].to_pylist(), notes["n_num"].to_pylist(), notes["n_data"], strict=True):
                 if kind == COPY:
-                    copies.append(num)
+                    copies.setdefault(num, []).append(data.as_py())
                 else:
                     self.notes.setdefault(kind, {})[num] = data.as_py()
-        self.copy = np.isin(self.ids, np.array(copies, np.int64)) & (self.ids != NO_ID)
-
-    def words(self, table: np.ndarray = K.PLAIN) -> None:
+        self.copy = np.isin(self.ids, np.fromiter(copies, np.int64, len(copies))) & (self.ids != NO_ID)
+        at, size = K.groups(self.ids)
+        self.repeated = np.repeat(size > 1, size) & (self.ids != NO_ID)
+        self.first = self.ids.copy()
+        for i in np.flatnonzero(self.copy):
+            own = copies[int(self.ids[i])]
+            if self.repeated[i]:  # of the rows with this id, those whose text is the copy
+                digest = hashlib.sha256(self.data[self.offsets[i] : self.offsets[i + 1]].tobytes()).digest()
+                own = [x for x in own if x[:32] == digest]
+                self.copy[i] = bool(own)
+            if own:
+                self.first[i] = int.from_bytes(own[0][32:], "big", signed=True)
+
+    def words(self, fold: np.ndarray | None = None) -> None:
         self.starts, self.ends, self.doc = K.word_spans(self.data, self.offsets)
-        self.hashes = K.span_hashes(self.data, self.starts, self.ends, table)
+        self.hashes = K.span_hashes(self.data, self.starts, self.ends, fold)
         self.first_word = np.searchsorted(self.starts, self.offsets)
         self.n_words = np.diff(self.first_word)
 
@@ -109,16 +126,24 @@ class Chunk:
         own = (self.doc[:n] == self.doc[width - 1 : width - 1 + n]) & ~self.copy[self.doc[:n]] if n else np.zeros(0, bool)
         return rolled, own
 
+    def second_hashes(self, fold: np.ndarray | None = None) -> np.ndarray:
+        """Hashes of the words, independent of the first ones: with these, a word has 128 bits."""
+        return K.span_hashes(self.data, self.starts, self.ends, fold, seed=1)
+
 
 class Sorted:
-    """Hashes of a chunk, grouped: order (places by hash), values (distinct, by their first bits), groups."""
+    """Hashes of a chunk, grouped: order (places by hash), values (distinct, by their first bits), groups.
+
+    With second hashes, values are distinct pairs, and seconds has each one's other half.
+    """
 
-    def __init__(self, hashes: np.ndarray, keep_bits: int = 64):
+    def __init__(self, hashes: np.ndarray, keep_bits: int = 64, second: np.ndarray | None = None):
         own = hashes >> np.uint64(64 - keep_bits) if keep_bits < 64 else hashes
-        self.order = np.argsort(own)
+        self.order = np.argsort(own) if second is None else np.lexsort((second, own))
         self.sorted = own[self.order]
-        self.at, self.size = K.groups(self.sorted)
+        self.at, self.size = K.groups(self.sorted) if second is None else K.pair_groups(self.sorted, second[self.order])
         self.values = self.sorted[self.at]
+        self.seconds = None if second is None else second[self.order][self.at]
         self.keep_bits = keep_bits
 
     def buckets(self, bits: int) -> list[tuple[int, slice]]:
@@ -151,11 +176,16 @@ def sent_table(chunk: int, rows: list[tuple[int, bytes]]) -> pa.Table:
 class Gathered:
     """Values that chunks have sent to a bucket: equal ones side by side, answers dealt back in the order sent."""
 
-    def __init__(self, arrays: list[np.ndarray]):
+    def __init__(self, arrays: list[np.ndarray], seconds: list[np.ndarray] | None = None):
         self.sizes = [len(a) for a in arrays]
         every = np.concatenate(arrays) if arrays else np.zeros(0, np.uint64)
-        self.order = np.argsort(every)
-        self.at, self.size = K.groups(every[self.order])
+        if seconds is None:
+            self.order = np.argsort(every)
+            self.at, self.size = K.groups(every[self.order])
+        else:
+            second = np.concatenate(seconds) if seconds else every
+            self.order = np.lexsort((second, every))
+            self.at, self.size = K.pair_groups(every[self.order], second[self.order])
 
     def sorted(self, arrays: list[np.ndarray]) -> np.ndarray:
         return np.concatenate(arrays)[self.order]

@@ -13,30 +13,13 @@ import zstandard
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _U = np.uint64
-_R = 0x9E3779B97F4A7C15
-_SEGMENT, _LONG_WORD = 1 << 19, 1 << 16
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _letters(seed: int, lower: bool) -> np.ndarray:
-    out = np.random.default_rng(seed).integers(1, 1 << 63, 256, np.uint64) * _U(2) + _U(1)
-    if lower:
-        out[65:91] = out[97:123]
-    return out
-
-
-PLAIN, LOWER = _letters(11, False), _letters(11, True)
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of an odd number and of its inverse, modulo 2**64."""
-    if len(_POWERS.get("up", ())) < n:
-        m = max(n, _SEGMENT + _LONG_WORD + 1)
-        for name, base in (("up", _R), ("down", pow(_R, -1, 1 << 64))):
-            a = np.full(m, base, np.uint64)
-            a[0] = 1
-            _POWERS[name] = np.multiply.accumulate(a)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+#: A-Z in lower case.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+#: A random number for each byte.
+LETTERS = np.random.default_rng(11).integers(1, 1 << 63, 256, np.uint64) * _U(2) + _U(1)
+#: Spans of more bytes than this are hashed one by one.
+_LONG_SPAN = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -78,40 +61,56 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.repeat(np.arange(len(counts)), counts)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = PLAIN) -> np.ndarray:
-    """64-bit hashes of byte spans in rising, disjoint order, alike wherever the span stands."""
-    out = np.empty(len(starts), np.uint64)
-    long = ends - starts > _LONG_WORD
-    i = 0
-    while i < len(starts):
-        lo = int(starts[i])
-        j = max(i + 1, int(np.searchsorted(starts, lo + _SEGMENT)))
-        s, e = starts[i:j], np.minimum(ends[i:j], starts[i:j] + _LONG_WORD)
-        hi = int(e[-1])
-        up, down = powers(hi - lo + 1)
-        sums = np.empty(hi - lo + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum(table[data[lo:hi]] * up[:-1], out=sums[1:])
-        out[i:j] = (sums[e - lo] - sums[s - lo]) * down[s - lo]
-        i = j
-    for i in np.flatnonzero(long):
-        span = data[starts[i] : ends[i]]
-        if table is LOWER:
-            span = np.where((span >= 65) & (span <= 90), span + 32, span).astype(np.uint8)
-        out[i] = int.from_bytes(hashlib.blake2b(span.tobytes(), digest_size=8).digest(), "little")
-    return mix(out)
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray | None = None, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of byte spans, alike wherever the span stands; other seeds give independent hashes.
+
+    Eight bytes at a time go through a bijection of the state, so that spans of at most eight bytes and equal length
+    never meet, and no arithmetic relation between bytes carries over. ``fold`` maps bytes before hashing.
+    """
+    held = np.zeros(len(data) + 8, np.uint8)
+    held[: len(data)] = data if fold is None else fold[data]
+    lanes = np.ndarray((len(data) + 1,), "<u8", held, strides=(1,))
+    size = ends - starts
+    out = mix((size.astype(np.uint64) + _U(1)) * _U(0x9E3779B97F4A7C15) + _U(seed * 0xC2B2AE3D27D4EB4F % (1 << 64)))
+    at, left = starts, np.minimum(size, _LONG_SPAN)
+    which: np.ndarray | None = None
+    while len(at):
+        v = lanes[at]
+        short = left < 8
+        v[short] &= (_U(1) << (left[short].astype(np.uint64) * _U(8))) - _U(1)
+        if which is None:
+            out = mix(out ^ v)
+        else:
+            out[which] = mix(out[which] ^ v)
+        more = np.flatnonzero(left > 8)
+        at, left, which = at[more] + 8, left[more] - 8, more if which is None else which[more]
+    for i in np.flatnonzero(size > _LONG_SPAN):
+        out[i] = int.from_bytes(hashlib.blake2b(held[starts[i] : ends[i]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
+    return out
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = a * _U(0xC2B2AE3D27D4EB4F)
+    out ^= out >> _U(32)
+    out += b
+    out *= _U(0x9FB21C651E98DF25)
+    out ^= out >> _U(29)
+    return out
 
 
 def rolling(hashes: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of all runs of ``width`` following items."""
+    """Hashes of all runs of ``width`` following items, joined in runs of 1, 2, 4, ... items."""
     n = len(hashes) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = hashes[:n].copy()
-    for j in range(1, width):
-        out *= _U(0xC2B2AE3D27D4EB4F)
-        out += hashes[j : n + j]
-    return mix(out)
+    out, at, run, size = None, 0, hashes, 1
+    while True:
+        if width & size:
+            own = run[at : at + n]
+            out, at = own.copy() if out is None else _joined(out, own), at + size
+        if 2 * size > width:
+            return mix(out)
+        run, size = _joined(run[:-size], run[size:]), 2 * size
 
 
 def pack_ints(values: np.ndarray, rising: bool = False) -> bytes:
@@ -132,6 +131,15 @@ def unpack_ints(blob: bytes) -> np.ndarray:
     return np.cumsum(v, dtype=np.uint64) if rising else v
 
 
+def pack_plain(values: np.ndarray) -> bytes:
+    """Numbers that no packing shortens, such as hashes in no order."""
+    return np.ascontiguousarray(values, "<u8").tobytes()
+
+
+def unpack_plain(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, "<u8")
+
+
 def pack_bytes(data: bytes) -> bytes:
     return struct.pack("<q", len(data)) + zstandard.ZstdCompressor(level=1).compress(data)
 
@@ -167,6 +175,14 @@ def groups(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.append(starts, len(sorted_values)))
 
 
+def pair_groups(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of equal pairs."""
+    if not len(first):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    starts = np.flatnonzero(np.append(True, (first[1:] != first[:-1]) | (second[1:] != second[:-1])))
+    return starts, np.diff(np.append(starts, len(first)))
+
+
 def cover(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     """Which of n places lie in a span; spans may overlap."""
     edge = np.zeros(n + 1, np.int32)
@@ -183,26 +199,3 @@ def slices(offsets: np.ndarray, most: int = 4 << 20) -> list[tuple[int, int]]:
         out.append((a, min(b, len(offsets) - 1)))
         a = out[-1][1]
     return out
-
-
-def stem_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, sizes: tuple[int, ...], table: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each size: which spans are longer, and the hashes of their first bytes; spans rise and are disjoint."""
-    long = [ends - starts > n for n in sizes]
-    out = [np.empty(int(x.sum()), np.uint64) for x in long]
-    done = [0] * len(sizes)
-    i, most = 0, max(sizes)
-    while i < len(starts):
-        lo = int(starts[i])
-        j = max(i + 1, int(np.searchsorted(starts, lo + _SEGMENT)))
-        s = starts[i:j] - lo
-        hi = min(len(data), int(starts[j - 1]) + most)
-        up, down = powers(hi - lo + 1)
-        sums = np.empty(hi - lo + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum(table[data[lo:hi]] * up[:-1], out=sums[1:])
-        for k, n in enumerate(sizes):
-            own = s[long[k][i:j]]
-            out[k][done[k] : done[k] + len(own)] = (sums[own + n] - sums[own]) * down[own]
-            done[k] += len(own)
-        i = j
-    return [(x, mix(h) ^ _U(n)) for x, h, n in zip(long, out, sizes, strict=True)]

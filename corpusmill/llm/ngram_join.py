@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -13,10 +14,11 @@ from corpusmill.llm import kernels as K
 from corpusmill.llm.components import components
 from corpusmill.llm.exchange import NO_ID, SENT, Chunk, Corpus, Gathered, Sorted, sent_table
 from corpusmill.plans.skew import join_hot
+from corpusmill.plans.storage import Scratch
 
 _DF = 1
 #: Shingles that one comparing task holds at most of a side; larger candidate groups are cut into tiles.
-TILE = 1 << 21
+TILE = 1 << 17
 #: Rounds in which a candidate group too large for one tile is compared with one of its documents.
 PIVOTS = 2
 _U = np.uint64
@@ -40,13 +42,13 @@ class Threshold:
         return self.den * np.minimum(n, m) >= self.num * np.maximum(n, m)
 
 
-def _shingles(c: Chunk, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all shingles of documents that are no copies, and their documents; short texts are one shingle."""
-    c.words(K.LOWER)
-    rolled, own = c.windows(width)
-    at = np.flatnonzero(own)
+def _shingles(c: Chunk, width: int, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles of the documents marked in ``of``, and their documents; short texts are one shingle."""
+    rolled = K.rolling(c.hashes, width)
+    n = len(rolled)
+    at = np.flatnonzero((c.doc[:n] == c.doc[width - 1 : width - 1 + n]) & of[c.doc[:n]])
     hashes, doc = [rolled[at]], [c.doc[at]]
-    few = (c.n_words < width) & ~c.copy
+    few = (c.n_words < width) & of
     for size in range(1, width):
         docs = np.flatnonzero(few & (c.n_words == size))
         if len(docs):
@@ -55,20 +57,25 @@ def _shingles(c: Chunk, width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(doc)
 
 
+def _distinct(hashes: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of hash and document, by hash."""
+    mark = _U((1 << max(1, int(n_docs).bit_length())) - 1)
+    order = np.argsort((hashes & ~mark) | doc.astype(np.uint64))
+    h, d = hashes[order], doc[order]
+    close = (h[1:] & ~mark == h[:-1] & ~mark) & (h[1:] != h[:-1])
+    if close.any():  # hashes that differ in their last bits alone
+        order = np.lexsort((d, h))
+        h, d = h[order], d[order]
+    new = np.append(True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])) if len(h) else np.zeros(0, bool)
+    return h[new], d[new]
+
+
 class _Sets:
-    """The distinct shingles of each document of a chunk, ordered by hash, with groups by their first bits."""
+    """The distinct shingles of each document of a chunk that is no copy, by hash, with groups by their first bits."""
 
     def __init__(self, c: Chunk, width: int, bits: int):
-        hashes, doc = _shingles(c, width)
-        mark = _U((1 << max(1, int(c.n).bit_length())) - 1)
-        order = np.argsort((hashes & ~mark) | doc.astype(np.uint64))
-        h, d = hashes[order], doc[order]
-        close = (h[1:] & ~mark == h[:-1] & ~mark) & (h[1:] != h[:-1])
-        if close.any():  # hashes that differ in their last bits alone
-            order = np.lexsort((d, h))
-            h, d = h[order], d[order]
-        new = np.append(True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])) if len(h) else np.zeros(0, bool)
-        self.h, self.d = h[new], d[new]
+        c.words(K.LOWER)
+        self.h, self.d = _distinct(*_shingles(c, width, ~c.copy), c.n)
         self.n = np.bincount(self.d, minlength=c.n)
         self.keys = Sorted(self.h, bits + 32)
 
@@ -89,12 +96,15 @@ def _frequencies(parts: list[list[bytes]]) -> list[bytes]:
     return [K.bundle(K.pack_bits(x > 1), K.pack_ints(x[x > 1])) for x in g.deal(df)]
 
 
-_SET = "doc_id long, n long, shared long, tokens binary, df binary"
-_SET_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("shared", pa.int64()), ("tokens", pa.binary()), ("df", pa.binary())])
+_SET = "doc_id long, n long, shared long, tokens binary, df binary, copy_of long, several boolean"
+_SET_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("shared", pa.int64()), ("tokens", pa.binary()), ("df", pa.binary()), ("copy_of", pa.int64()), ("several", pa.bool_())])
 
 
 def _sets(width: int, bits: int, t: Threshold):
-    """Each document's set size, and for those that may be similar to another the tokens that others have too."""
+    """Each row's set size, and for those that may be similar to another the tokens that others have too.
+
+    copy_of: the smaller doc_id with the same whole text. several: whether the doc_id stands in several rows.
+    """
 
     def sets(chunk: int, docs: pa.Table, notes: pa.Table) -> pa.Table:
         if not docs.num_rows:
@@ -114,11 +124,15 @@ def _sets(width: int, bits: int, t: Threshold):
         order = np.lexsort((h, df, d))
         h, df = h[order], df[order]
         ends = np.cumsum(np.where(open_, shared, 0))
+        n = s.n + np.bincount(_distinct(*_shingles(c, width, c.copy), c.n)[1], minlength=c.n) if c.copy.any() else s.n
         rows = []
-        for i in np.flatnonzero(~c.copy):
+        for i in range(c.n):
             lo, hi = ends[i] - shared[i] if open_[i] else 0, ends[i] if open_[i] else 0
-            rows.append((None if c.ids[i] == NO_ID else int(c.ids[i]), int(s.n[i]), int(hi - lo), h[lo:hi].tobytes() if hi > lo else None, K.pack_ints(df[lo:hi]) if hi > lo else None))
-        return pa.table([pa.array(x, ty) for x, ty in zip(zip(*rows, strict=True) if rows else [[]] * 5, _SET_ARROW.types, strict=True)], schema=_SET_ARROW)
+            rows.append((
+                None if c.ids[i] == NO_ID else int(c.ids[i]), int(n[i]), int(hi - lo), h[lo:hi].tobytes() if hi > lo else None, K.pack_ints(df[lo:hi]) if hi > lo else None,
+                int(c.first[i]) if c.copy[i] else None, bool(c.repeated[i]),
+            ))
+        return pa.table([pa.array(x, ty) for x, ty in zip(zip(*rows, strict=True), _SET_ARROW.types, strict=True)], schema=_SET_ARROW)
 
     return sets
 
@@ -132,20 +146,29 @@ def _orders(tokens: np.ndarray, df: np.ndarray, orders: int) -> list[np.ndarray]
     return out
 
 
-def _first_tokens(t: Threshold):
-    """For each prefix token under the first order, an edge from each document to the token's first document."""
+def _prefix_tokens(t: Threshold, order: int):
+    """For each prefix token under an order, an edge from each document to the token's first document.
+
+    Rows are (gp, doc_id, n, shared, tokens, df): tokens of different groups never meet.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tokens, docs = [], []
-            for doc, n, shared, blob in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for gp, doc, n, shared, blob, df in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 take = int(t.prefix(np.int64(n))) - (n - shared)
-                tokens.append(np.frombuffer(blob, np.uint64)[:take].view(np.int64))
-                docs.append(np.full(len(tokens[-1]), doc))
+                own = np.frombuffer(blob, np.uint64)
+                if order:
+                    own = _orders(own, K.unpack_ints(df).astype(np.float64), order + 1)[order]
+                own = own[:take]
+                if gp:
+                    own = K.mix(own ^ _U(gp * 0x9E3779B97F4A7C15 % (1 << 64)))
+                tokens.append(own.view(np.int64))
+                docs.append(np.full(len(own), doc))
             if tokens:
                 a, b = np.concatenate(tokens), np.concatenate(docs)
-                order = np.lexsort((b, a))
-                a, b = a[order], b[order]
+                by = np.lexsort((b, a))
+                a, b = a[by], b[by]
                 at, size = K.groups(a)
                 # Equal tokens of a batch are linked here: one row a token, and a row (doc to first doc) for the rest.
                 first = np.repeat(b[at], size)
@@ -189,17 +212,33 @@ class _Group:
             self.prefix.append(own)
         self.root = np.arange(len(docs))
 
-    def candidates(self, i: int, able: np.ndarray) -> np.ndarray:
-        """Documents that share a prefix token with i under every order, of those that are able."""
+    def roots(self, of: np.ndarray) -> np.ndarray:
+        """The roots of documents; paths get shorter as they are read."""
+        up = self.root[of]
+        while not np.array_equal(up, further := self.root[up]):
+            up = further
+        self.root[of] = up
+        return up
+
+    def candidates(self, i: int, left: np.ndarray) -> np.ndarray:
+        """Documents that share a prefix token with i under every order, with sizes that allow it, not joined yet.
+
+        Pairs of two left documents are met once, from the smaller place.
+        """
+        found = None
         for (flat, of), own in zip(self.index, self.prefix, strict=True):
-            if not able.any():
-                break
             lo, hi = np.searchsorted(flat, own[i]), np.searchsorted(flat, own[i], "right")
-            met = np.zeros(len(able), bool)
-            for a, b in zip(lo.tolist(), hi.tolist(), strict=True):
-                met[of[a:b]] = True
-            able = able & met
-        return np.flatnonzero(able)
+            met = np.concatenate([of[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)])
+            if found is None:
+                met = np.unique(met)
+                met = met[(met > i) | ~left[met]]
+                met = met[self.t.sizes(self.n[met], self.n[i])]
+                found = met[self.roots(met) != self.roots(np.array([i]))[0]]
+            else:
+                found = found[np.isin(found, met)]
+            if not len(found):
+                break
+        return found
 
     def overlap(self, i: int, j: int) -> int:
         a, b = self.sets[i], self.sets[j]
@@ -209,16 +248,14 @@ class _Group:
         at[at == len(b)] = 0
         return int((b[at] == a).sum())
 
-    def link(self, left: np.ndarray, right: np.ndarray) -> tuple[list, list]:
-        """Edges that join all similar pairs of a left and a right document; joined ones are not compared again."""
+    def link(self, left: np.ndarray) -> tuple[list, list]:
+        """Edges that join all similar pairs of a left document and any other; joined ones are not compared again."""
         edges: tuple[list, list] = ([], [])
-        for i in np.flatnonzero(left):
-            able = right & (self.root != self.root[i]) & self.t.sizes(self.n, self.n[i])
-            able[: i + 1] &= ~left[: i + 1]  # pairs of two left documents are met once
-            for j in self.candidates(i, able).tolist():
-                a, b = self.root[i], self.root[j]
+        for i in np.flatnonzero(left).tolist():
+            for j in self.candidates(i, left).tolist():
+                a, b = self.roots(np.array([i, j])).tolist()
                 if a != b and self.t.similar(self.overlap(i, j), self.n[i], self.n[j]):
-                    self.root[self.root == max(a, b)] = min(a, b)
+                    self.root[max(a, b)] = min(a, b)
                     edges[0].append(self.ids[i])
                     edges[1].append(self.ids[j])
         return edges
@@ -246,7 +283,7 @@ def _compare(t: Threshold, orders: int):
             side = rows["side"].to_numpy()
             g = _Group(*(rows[c].to_pylist() for c in ("doc_id", "n", "shared", "tokens", "df")), t, orders)
             # Sides: 0 meets every row of the tile; 1 meets 0 alone.
-            edges = g.link(side == 0, np.ones(len(side), bool))
+            edges = g.link(side == 0)
             out[0].extend(edges[0])
             out[1].extend(edges[1])
         if out[0]:
@@ -283,15 +320,18 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width:
     1. Documents whose whole text a smaller id has (copy_of) stand for nothing but that id.
     2. In how many documents each shingle stands is found by an exchange of packed hashes. A set can only be similar
        to another if a token of its prefix, rare tokens first, stands in a second document; others are done.
-    3. Documents that share a prefix token under the first global order form candidate groups.
+    3. Documents that share a prefix token under the first global order form candidate groups; a group of more than
+       ``tile`` shingles is parted again under each of the other orders, since candidates meet under all of them.
     4. In a group, two documents are candidates if they share prefix tokens under each of the global orders, and if
        their sizes allow it; candidates that are not joined yet are verified on their whole sets.
-    A group of more than ``tile`` shingles is first compared with one of its documents, PIVOTS times, and then cut
-    into tiles that meet pairwise, but for documents already joined to the first pivot, which only meet the others.
-    No pair of documents of one component need be compared twice, and no candidate is left out.
-
-    Null, empty and wordless texts: 0 shingles, linked with nothing. Null doc_id: linked with nothing, component
-    null. Rows with the same doc_id count as one vertex and each return. Empty table: empty result.
+    A group that is still too large is first compared with one of its documents, PIVOTS times, and then cut into
+    tiles that meet pairwise, but for documents already joined to the first pivot, which only meet the others. No
+    pair of documents of one component need be compared twice, and no candidate is left out.
+
+    Shingles are compared by 64-bit hashes, pair by pair of sets. Null, empty and wordless texts: 0 shingles, linked
+    with nothing. Null doc_id: linked with nothing, component null. Rows with the same doc_id are one vertex, with
+    the links of all their texts, and each row returns with its own n_shingles. Empty table: empty result. Other
+    columns are not read.
     """
     t = Threshold(num, den)
     corpus = Corpus(docs, "ngram", doc_id=doc_id, text=text, carry=[])
@@ -299,35 +339,48 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width:
     sent = corpus.each_chunk(_send(width, bits), corpus.notes, SENT)
     notes = corpus.notes.unionByName(corpus.answers(sent, _frequencies, _DF))
     every = keep(corpus.each_chunk(_sets(width, bits, t), notes, _SET), "sets")
-    sets = every.filter("shared > 0")
 
-    tokens = sets.select(*_SET_COLUMNS[:4]).mapInArrow(_first_tokens(t), "token long, a long, b long")
+    sets = keep(_grouped(every.filter("shared > 0").select(F.lit(0).cast("long").alias("gp"), *_SET_COLUMNS), t, 0, corpus.scratch), "candidates")
+    weights = keep(sets.groupBy("gp").agg(F.sum("shared").alias("weight")), "weights")
+    small = sets.join(weights.filter(F.col("weight") <= tile).select("gp"), "gp")
+    edges = [_compared(small, t, orders)]
+    big = sets.join(weights.filter(F.col("weight") > tile).select("gp"), "gp")
+    for k in range(1, orders):
+        if weights.filter(F.col("weight") > tile).isEmpty():
+            break
+        big = keep(_grouped(big.select("gp", *_SET_COLUMNS), t, k, corpus.scratch), f"parted{k}")
+        weights = keep(big.groupBy("gp").agg(F.sum("shared").alias("weight")), f"weights{k}")
+        edges.append(_compared(big.join(weights.filter(F.col("weight") <= tile).select("gp"), "gp"), t, orders))
+        big = big.join(weights.filter(F.col("weight") > tile).select("gp"), "gp")
+    if not weights.filter(F.col("weight") > tile).isEmpty():
+        edges.append(_large(big, weights, tile, t, orders, keep))
+    # An id that stands in several rows ties the texts of all of them.
+    edges.append(every.filter("several AND copy_of IS NOT NULL AND n > 0").select(F.col("doc_id").alias("v"), F.col("copy_of").alias("root")))
+    found = components(keep(reduce(DataFrame.unionByName, edges), "edges"), corpus.scratch, "links")
+
+    base = every.select("doc_id", "n", "copy_of", F.when(F.col("several"), F.col("doc_id")).otherwise(F.coalesce("copy_of", "doc_id")).alias("of"))
+    out = join_hot(base, found.select(F.col("v").alias("of"), F.col("root").alias("component_id")), "of", corpus.n, "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "of")).otherwise(F.col("doc_id")).alias("component_id"), "copy_of")
+
+
+def _grouped(sets: DataFrame, t: Threshold, order: int, scratch: Scratch) -> DataFrame:
+    """The sets that share a prefix token under an order with another of their group, with the groups that these form."""
+    tokens = sets.mapInArrow(_prefix_tokens(t, order), "token long, a long, b long")
     spread = F.when(F.col("token") == 0, F.xxhash64("a", "b")).otherwise(F.col("token"))
-    links = tokens.repartition(spread).mapInArrow(_token_links, _EDGE)
-    groups = components(links, corpus.scratch, "groups")
+    groups = components(tokens.repartition(spread).mapInArrow(_token_links, _EDGE), scratch, f"groups{order}")
     members = groups.select(F.col("v").alias("doc_id"), F.col("root").alias("gp")).unionByName(groups.select(F.col("root").alias("doc_id"), F.col("root").alias("gp")).distinct())
-    sets = keep(sets.join(members, "doc_id").select("gp", *_SET_COLUMNS), "candidates")
-    weights = keep(sets.groupBy("gp").agg(F.sum("shared").alias("weight")), "weights")
+    return sets.drop("gp").join(members, "doc_id").select("gp", *_SET_COLUMNS)
 
-    small = sets.join(weights.filter(F.col("weight") <= tile).select("gp"), "gp").select("gp", F.lit(0).alias("ti"), F.lit(0).alias("tj"), F.lit(0).alias("side"), *_SET_COLUMNS)
-    edges = small.repartition("gp").mapInArrow(_compare(t, orders), _EDGE)
-    if not weights.filter(F.col("weight") > tile).isEmpty():
-        edges = edges.unionByName(_large(sets, weights, tile, t, orders, keep))
-    found = components(keep(edges, "edges"), corpus.scratch, "links")
 
-    sizes = every.groupBy(F.col("doc_id").alias("of")).agg(F.max("n").alias("n_shingles"))
-    classes = sizes.join(found.select(F.col("v").alias("of"), F.col("root").alias("component_id")), "of", "left")
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id")).join(corpus.copies.withColumnRenamed("first", "copy_of"), "doc_id", "left")
-    base = keep(base.withColumn("of", F.coalesce("copy_of", "doc_id")), "base")
-    out = join_hot(base, classes, "of", corpus.n, "left")
-    own = F.when(F.coalesce("n_shingles", F.lit(0)) > 0, F.col("of")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("component_id", own).alias("component_id"), "copy_of")
+def _compared(sets: DataFrame, t: Threshold, orders: int) -> DataFrame:
+    """Edges of groups that one task holds."""
+    rows = sets.select("gp", F.lit(0).alias("ti"), F.lit(0).alias("tj"), F.lit(0).alias("side"), *_SET_COLUMNS)
+    return rows.repartition("gp").mapInArrow(_compare(t, orders), _EDGE)
 
 
 def _large(sets: DataFrame, weights: DataFrame, tile: int, t: Threshold, orders: int, keep) -> DataFrame:
     """Edges of the groups that are too large for one task."""
-    big = sets.join(weights.filter(F.col("weight") > tile).select("gp"), "gp")
-    done, edges = None, None
+    big, done, edges = sets, None, None
     for k in range(PIVOTS):
         rest = big if done is None else big.join(done.select("doc_id"), "doc_id", "left_anti")
         pivot = rest.groupBy("gp").agg(F.min("doc_id").alias("doc_id"))

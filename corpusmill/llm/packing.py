@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -22,12 +23,16 @@ NEARLY_FULL = 1 / 256
 #: A fixed value: the pattern by which byte-level BPE of this kind parts text before merging.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+_LONG_RUN = re.compile(r"\s{1024}")
+
 
 class Encoder:
     """Ids of whole texts under a byte-level BPE file of the tokenizers library.
 
     That library's pre-tokeniser takes most of its time, so the file's own vocabulary is handed to a faster engine
-    of the same rules; ``check`` compares the two on a text and raises if they ever differ.
+    of the same rules. Texts that hold a string of a special token, which only the library parts from its
+    surroundings, or a long run of white space, on which the fast engine overflows its stack, go to the library.
+    ``check`` compares the two on a text and raises if they ever differ; a test compares them on every code point.
     """
 
     def __init__(self, path: str):
@@ -35,19 +40,20 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         # Byte-level vocabularies write each byte as a printable character: itself where it is one, else from 256 on.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         as_byte = {chr(b): b for b in shown} | {chr(256 + n): b for n, b in enumerate(hidden)}
-        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
-        ranks = {bytes(as_byte[c] for c in token): n for token, n in self.tokenizer.get_vocab().items() if token not in special}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        ranks = {bytes(as_byte[c] for c in token): n for token, n in self.tokenizer.get_vocab().items() if token not in self.special}
         self.fast = tiktoken.Encoding("byte-level", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def slow(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def encode(self, text: str) -> np.ndarray:
+        if any(s in text for s in self.special) or _LONG_RUN.search(text):
+            return np.array(self.slow(text), np.uint32)
         return np.array(self.fast.encode_ordinary(text), np.uint32)
 
     def check(self, text: str) -> None:
@@ -140,7 +146,8 @@ def pack(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str =
     FAN_IN * (FAN_IN + 1) items above the lowest level, whatever the input.
 
     Null or empty text: the end id alone. Null doc_id stays null; repeated rows are packed each. Texts of any
-    length are encoded whole. Empty table: empty result.
+    length are encoded whole. Strings of special tokens get the ids that the file gives them. Empty table: empty
+    result. Other columns are not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "pack")
@@ -157,10 +164,11 @@ def pack(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str =
             break
         groups, level = math.ceil(groups / FAN_IN), level + 1
         items = node.filter("open").groupBy("bin").agg(F.first("bin_size").alias("size"), F.floor(F.first("grp") / FAN_IN).alias("grp")).withColumnRenamed("bin", "item")
-    place = levels[0].select("item", F.col("bin").alias("sequence_id"), "offset")
-    for node in levels[1:]:
-        up = node.select(F.col("item").alias("bin"), F.col("bin").alias("up"), F.col("offset").alias("up_offset"))
-        place = place.join(up, place["sequence_id"] == up["bin"], "left").select("item", F.coalesce("up", "sequence_id").alias("sequence_id"), (F.col("offset") + F.coalesce("up_offset", F.lit(0))).alias("offset"))
+    # From the root down, so that all but the lowest of these joins are small.
+    place = levels[-1].select("item", F.col("bin").alias("sequence_id"), "offset")
+    for node in reversed(levels[:-1]):
+        up = place.select(F.col("item").alias("bin"), F.col("sequence_id").alias("up"), F.col("offset").alias("up_offset"))
+        place = node.select("item", "bin", "offset").join(up, "bin", "left").select("item", F.coalesce("up", "bin").alias("sequence_id"), (F.col("offset") + F.coalesce("up_offset", F.lit(0))).alias("offset"))
     rows = pieces.join(place, pieces["row"] == place["item"], "left").select("row", "doc_id", "first", "n_ids", "sequence_id", "offset", F.posexplode("crcs").alias("piece", "ids_crc32"))
     head = F.col("piece") == 0
     own = head & F.col("sequence_id").isNotNull()

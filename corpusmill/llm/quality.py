@@ -50,7 +50,9 @@ def _order(hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     """Places sorted by (hash, text), and starts and lengths of the runs of equal pairs."""
     key = (hashes >> _DOC << _DOC) | doc.astype(np.uint64)
     order = np.argsort(key)
-    at, size = K.groups(key[order])
+    if ((key[order][1:] == key[order][:-1]) & (hashes[order][1:] != hashes[order][:-1])).any():  # alike but for the last bits
+        order = np.lexsort((hashes, doc))
+    at, size = K.pair_groups(hashes[order], doc[order])
     return order, at, size
 
 
@@ -185,10 +187,17 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, examples: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", most: int = EXAMPLES) -> Trees:
-    """Trees fitted on at most ``most`` labelled documents; without labels of both kinds, a model that keeps all."""
+    """Trees fitted on at most ``most`` labelled rows; without labels of both kinds, a model that keeps all.
+
+    Null ids and null labels are left out; of an id labelled twice the largest label counts. Where ids repeat in
+    ``docs``, about ``most`` rows are learnt from, by hash of id and text. Other columns are not read.
+    """
     chosen = examples.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("l_id")).agg(F.max(F.col(label).cast("int")).alias("label"))
     chosen = chosen.orderBy(F.xxhash64("l_id"), "l_id").limit(most)
-    rows = docs.select(F.col(doc_id).alias("d_id"), F.col(text).alias("d_text")).join(F.broadcast(chosen), F.col("d_id") == F.col("l_id")).select("d_text", "label")
+    rows = docs.select(F.col(doc_id).alias("d_id"), F.col(text).alias("d_text")).join(F.broadcast(chosen), F.col("d_id") == F.col("l_id"))
+    if (n := rows.select("d_id").count()) > most:  # ids repeat
+        rows = rows.filter(F.pmod(F.xxhash64("d_id", "d_text"), F.lit(n)) < most)
+    rows = rows.select("d_text", "label")
     got = rows.mapInArrow(_measured, ", ".join(["label int", *(f"{c} long" for c in BASE + MORE)])).toPandas()
     got = got.sort_values([*BASE, *MORE, "label"], ignore_index=True)  # reruns agree
     if not len(got):
@@ -201,7 +210,9 @@ def score(docs: DataFrame, model: Trees, *, doc_id: str = "doc_id", text: str =
 
     base_failed: under 20 words, or over 30% of the words in windows of REPEAT_WORDS words that the text repeats.
     kept: base has not failed and the score is KEEP_FROM or more. Null, empty and wordless texts: zeros, base
-    failed. Whole texts of any length; no rows meet. Null doc_id stays null, repeated rows return repeated.
+    failed. Whole texts of any length; no rows meet. Null doc_id stays null, repeated rows return repeated. Empty
+    table: empty result. Other columns are not read. Words, lines and windows of one text are told apart by 64-bit
+    hashes.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the number and depth of the trees
 

@@ -148,7 +148,7 @@ class _Anchors:
 
     @staticmethod
     def _runs(data: np.ndarray, width: int, gram: int):
-        h, size, mul = K.PLAIN[data], 1, 0x9E3779B97F4A7C15
+        h, size, mul = K.LETTERS[data], 1, 0x9E3779B97F4A7C15
         while size < gram:  # gram is a power of two: hashes of 1, 2, 4, ... bytes
             new = h[:-size] * _U(mul)
             new += h[size:]
@@ -200,23 +200,19 @@ def _contexts(width: int, gram: int, bits: int, near: int):
         if not len(keep):
             return sent_table(chunk, [])
         lo, size, anchor, doc = a.lo[keep], a.hi[keep] - a.lo[keep] + width, a.hash[keep], a.doc[keep]
-        flat = _gather(c.data, lo, size)
-        begin = np.cumsum(size) - size
-        up, _ = K.powers(2 * width)
-        place = np.arange(len(flat)) - np.repeat(begin, size)
-        content = K.mix(np.add.reduceat(K.PLAIN[flat] * up[place], begin) + size.astype(np.uint64) * _U(0xC2B2AE3D27D4EB4F))
+        content, second = (K.span_hashes(c.data, lo, lo + size, seed=n) for n in (0, 1))
         ids, start = c.ids[doc], lo - c.offsets[doc]
-        order = np.lexsort((start, ids, content, anchor))
+        order = np.lexsort((start, ids, second, content, anchor))
         rows = []
         of = (anchor[order] >> _U(64 - near)).astype(np.int64)
         at, n = K.groups(of)
         for b, x, m in zip(of[at].tolist(), at.tolist(), n.tolist(), strict=True):
             own = order[x : x + m]
-            new = np.append(True, (anchor[own][1:] != anchor[own][:-1]) | (content[own][1:] != content[own][:-1]))
+            new = np.append(True, (anchor[own][1:] != anchor[own][:-1]) | (content[own][1:] != content[own][:-1]) | (second[own][1:] != second[own][:-1]))
             one = own[new]
             rows.append((b, K.bundle(
                 K.pack_ints(anchor[one]), K.pack_ints(content[one]), K.pack_ints(size[one]), K.pack_bytes(_gather(c.data, lo[one], size[one]).tobytes()),
-                K.pack_bits(new), K.pack_ints(ids[own]), K.pack_ints(start[own]), K.pack_ints(doc[own]),
+                K.pack_bits(new), K.pack_ints(ids[own]), K.pack_ints(start[own]), K.pack_ints(doc[own]), K.pack_plain(second[one]),
             )))
         return sent_table(chunk, rows)
 
@@ -272,6 +268,7 @@ def _spans(width: int):
         parts = [K.unbundle(x.as_py()) for x in table["s_data"]]
         got = [[K.unpack_ints(p[i]) for p in parts] for i in (0, 1, 2)]
         anchor, content, size = (np.concatenate(x) for x in got)
+        second = np.concatenate([K.unpack_plain(p[8]) for p in parts])
         size = size.astype(np.int64)
         data = np.frombuffer(b"".join(K.unpack_bytes(p[3]) for p in parts), np.uint8)
         begin = np.cumsum(size) - size
@@ -282,9 +279,9 @@ def _spans(width: int):
         chunk = np.repeat(chunks, list(map(len, ids)))
         ids, start, doc = np.concatenate(ids), np.concatenate([K.unpack_ints(p[6]).view(np.int64) for p in parts]), np.concatenate([K.unpack_ints(p[7]).view(np.int64) for p in parts])
         # Equal contexts are one; the occurrence with the smallest (doc_id, start) stands for it.
-        order = np.lexsort((start, ids, content[ctx], anchor[ctx]))
-        a, k = anchor[ctx][order], content[ctx][order]
-        new = np.append(True, (a[1:] != a[:-1]) | (k[1:] != k[:-1]))
+        order = np.lexsort((start, ids, second[ctx], content[ctx], anchor[ctx]))
+        a, k, l = anchor[ctx][order], content[ctx][order], second[ctx][order]
+        new = np.append(True, (a[1:] != a[:-1]) | (k[1:] != k[:-1]) | (l[1:] != l[:-1]))
         one = order[new]  # of each distinct context, the first occurrence
         of = np.empty(len(order), np.int64)
         of[order] = np.cumsum(new) - 1
@@ -311,12 +308,13 @@ def _spans(width: int):
         out_hi = np.concatenate([start[first] + hi - at_flag[run], start[rest] + n[of[rest]] - 1])
         # Rows with equal doc_id and start as a first occurrence take its runs too.
         twin = np.setdiff1d(np.flatnonzero(same_id & (start == start[one][of])), one)
-        for t in twin.tolist():
-            mine = np.flatnonzero(run == of[t])
-            out_chunk = np.append(out_chunk, np.full(len(mine), chunk[t]))
-            out_doc = np.append(out_doc, np.full(len(mine), doc[t]))
-            out_lo = np.append(out_lo, start[t] + lo[mine] - at_flag[of[t]])
-            out_hi = np.append(out_hi, start[t] + hi[mine] - at_flag[of[t]])
+        begin_run, end_run = np.searchsorted(run, of[twin]), np.searchsorted(run, of[twin], "right")
+        many = end_run - begin_run
+        t = np.repeat(twin, many)
+        mine = np.repeat(begin_run - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+        out_chunk, out_doc = np.append(out_chunk, chunk[t]), np.append(out_doc, doc[t])
+        out_lo = np.append(out_lo, start[t] + lo[mine] - at_flag[of[t]])
+        out_hi = np.append(out_hi, start[t] + hi[mine] - at_flag[of[t]])
         by = np.lexsort((out_lo, out_doc, out_chunk))
         out_chunk, out_doc, out_lo, out_hi = out_chunk[by], out_doc[by], out_lo[by], out_hi[by]
         at, m = K.groups(out_chunk)
@@ -362,7 +360,8 @@ def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width:
     more make the groups of equal strings; all but the first of a group are later ones.
 
     Documents whose whole text a smaller doc_id has are removed whole if they have ``width`` bytes. Strings are
-    judged on the input, matches never cross documents. Null or empty text: 0 bytes, kept empty. Null doc_id:
+    judged on the input, matches never cross documents. Equal stretches are found by two independent 64-bit hashes
+    and that of their anchor; the sort compares bytes. Null or empty text: 0 bytes, kept empty. Null doc_id:
     larger than all ids. Rows with the same doc_id: only an earlier start counts. Texts of any length are read
     whole. Empty table: empty result. A carried column named as a result is left out.
     """

@@ -10,8 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Vectors in a shard and queries in a tile: a tile's product of int64 scores takes 32 MB.
-SHARD, TILE, FAN_IN = 8192, 512, 16
+#: Vectors in a shard and queries in a tile, fewer where SIDE_BYTES of int64 components are fewer; both are held by a
+#: task, which multiplies STEP queries at a time: their scores take 32 MB. Each vector is sent to each tile, each query
+#: to each shard, so that large ones make few copies (one of a vector for each 327,680 rows at 5% queries). Fewer rows
+#: than PARTS full shards are cut into PARTS, of LEAST rows at least, so that many tasks share them.
+SHARD, TILE, STEP, SIDE_BYTES, FAN_IN = 65_536, 16_384, 64, 64 << 20, 16
+PARTS, LEAST = 64, 8192
 
 
 def _matrix(vectors: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -20,11 +24,39 @@ def _matrix(vectors: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.reshape(len(rows), -1)
 
 
-def _products(queries: np.ndarray, shard: np.ndarray) -> np.ndarray:
-    """Exact integer products, in the narrowest type whose sums stay exact."""
-    most = int(np.abs(queries).max(initial=0)) * int(np.abs(shard).max(initial=0)) * max(1, queries.shape[1])
-    kind = np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64
-    return (queries.astype(kind) @ shard.astype(kind).T).astype(np.int64)
+def _high(x: np.ndarray) -> np.ndarray:
+    """The largest absolute component of each row."""
+    return np.maximum(x.max(axis=1, initial=0).astype(np.float64), -x.min(axis=1, initial=0).astype(np.float64))
+
+
+def _products(queries: np.ndarray, shard: np.ndarray, held: dict) -> np.ndarray:
+    """Exact integer products, in the narrowest type whose sums stay exact; raises where a score is no int64.
+
+    held keeps the shard's rows in that type from one call to the next.
+    """
+    dim = max(1, queries.shape[1])
+    if "high" not in held:
+        held["high"] = _high(shard)
+    high = [_high(queries), held["high"]]
+    most = float(high[0].max(initial=0)) * float(high[1].max(initial=0)) * dim
+    if most < 1 << 62:
+        kind = np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64
+        if kind not in held:
+            held[kind] = np.ascontiguousarray(shard.astype(kind).T)
+        return (queries.astype(kind) @ held[kind]).astype(np.int64)
+    # A few rows hold huge components: their products are taken with whole Python integers.
+    out = np.empty((len(queries), len(shard)), np.int64)
+    bound = float(1 << 62) / dim
+    small = [x < np.sqrt(bound) for x in high]
+    if all(x.any() for x in small):
+        out[np.ix_(small[0], small[1])] = _products(queries[small[0]], shard[small[1]], {})
+    for a, b in ((~small[0], np.ones(len(shard), bool)), (small[0], ~small[1])):
+        if a.any() and b.any():
+            exact = queries[a].astype(object) @ shard[b].astype(object).T
+            if max(map(abs, exact.ravel().tolist())) >= 1 << 63:
+                raise OverflowError("an inner product is no 64-bit integer")
+            out[np.ix_(a, b)] = exact.astype(np.int64)
+    return out
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -50,10 +82,12 @@ def _score(k: int):
             return _LIST.empty_table()
         q_ids, ids = left["q_id"].to_numpy(), right["id"].to_numpy()
         queries, shard = _matrix(left["q_vector"]), _matrix(right["vector"])
-        products = _products(queries, shard)
         out: dict[str, list] = {n: [] for n in _LIST.names}
+        held: dict = {}
         for i, q in enumerate(q_ids):
-            own, names = products[i], ids
+            if i % STEP == 0:
+                products = _products(queries[i : i + STEP], shard, held)
+            own, names = products[i % STEP], ids
             if (other := names != q).sum() < len(names):
                 own, names = own[other], names[other]
             at = best(own, names, k)
@@ -83,10 +117,14 @@ def _merge(k: int):
 
 
 def quantised(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = 64) -> DataFrame:
-    """(id, vector of floor(scale * x)); rows without id, vector, components, or with null or non-finite ones go."""
+    """(id, vector of floor(scale * x)); rows without id, vector, components, or with null or non-finite ones go.
+
+    Every finite component takes part; one whose floor is no 64-bit integer raises an error.
+    """
     x = F.col(embedding).cast("array<double>")
-    good = F.col(embedding).isNotNull() & (F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(1e15)))
-    return vectors.filter(good & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("id"), F.transform(x, lambda v: F.floor(v * scale).cast("long")).alias("vector"))
+    good = F.col(embedding).isNotNull() & (F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
+    whole = lambda v: F.when(F.abs(v * scale) < F.lit(float(1 << 63)), F.floor(v * scale)).otherwise(F.raise_error(F.lit("a component is no 64-bit integer")).cast("long"))
+    return vectors.filter(good & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("id"), F.transform(x, whole).alias("vector"))
 
 
 def search(vectors: DataFrame, is_query: Column, *, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = 64) -> DataFrame:
@@ -97,12 +135,14 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 20, vec_id: str = "
     tile merge FAN_IN at a time. Fewer rows than k: all of them. Ties: smaller vec_id first. Null ids and vectors
     with null, non-finite or no components take no part. Vectors of different lengths do not meet. Repeated ids: a
     query never meets rows with its own id; a candidate id that repeats counts each time, and the rows of a query id
-    that repeats share one list of k, as in the SQL, whatever the number of shards. Empty table: no rows.
+    that repeats share one list of k, as in the SQL, whatever the number of shards. Scores beyond 64 bits raise an error. Empty table: no rows.
+    Other columns are not read. The driver holds one row a distinct length of vectors.
     """
     rows = quantised(vectors, vec_id=vec_id, embedding=embedding, scale=scale).withColumn("dim", F.size("vector"))
-    dims = {r.dim: (r.n, r.q) for r in rows.groupBy("dim").agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("q")).collect()}
-    shards = max([1, *(math.ceil(n / SHARD) for n, _ in dims.values())])
-    tiles = max([1, *(math.ceil(q / TILE) for _, q in dims.values())])
+    dims = {r.dim: r for r in rows.groupBy("dim").agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("q")).collect()}
+    own = lambda most, dim: max(1, min(most, SIDE_BYTES // (8 * dim)))
+    shards = max([1, *(math.ceil(r.n / own(min(SHARD, max(LEAST, r.n // PARTS)), d)) for d, r in dims.items())])
+    tiles = max([1, *(math.ceil(r.q / own(TILE, d)) for d, r in dims.items())])
     spread = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n))
     every = rows.withColumn("part", spread(shards, 1)).withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long"))))
     # A cogroup needs columns of its own on each side, so those of the queries get new names.

@@ -42,8 +42,9 @@ def _terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
         starts = ends = np.zeros(0, np.int64)
     doc = np.searchsorted(offsets, starts, "right") - 1
     hashes, docs = [K.span_hashes(data, starts, ends, K.LOWER)], [doc]
-    for long, stems in K.stem_hashes(data, starts, ends, _STEMS, K.LOWER):
-        hashes.append(stems)
+    for n in _STEMS:
+        long = ends - starts > n
+        hashes.append(K.span_hashes(data, starts[long], starts[long] + n, K.LOWER, seed=n))
         docs.append(doc[long])
     return np.concatenate(hashes) >> _DOC_BITS, np.concatenate(docs)
 

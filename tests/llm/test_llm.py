@@ -1,5 +1,6 @@
 """Each operator against a plain restatement, on small tables with the awkward cases."""
 
+import math
 import zlib
 
 import numpy as np
@@ -63,6 +64,46 @@ def test_substring_repeated_rows(spark):
     assert [r.n_removed for r in substring.dedup(_frame(spark, rows)).collect()] == [0, 0, 0]
 
 
+def _thue_morse(n=1024):
+    """Two words that polynomial hashes modulo powers of two cannot tell apart."""
+    bits = [i.bit_count() % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_hashes_of_thue_morse_words():
+    for n in (8, 64, 1024, 1 << 17):
+        data = np.frombuffer("".join(_thue_morse(n)).encode(), np.uint8)
+        a, b = K.span_hashes(data, np.array([0, n]), np.array([n, 2 * n]))
+        assert a != b
+    own = quality.statistics(data, np.array([0, len(data)]))
+    text = "\n".join(_thue_morse())
+    data = np.frombuffer(text.encode(), np.uint8)
+    own = quality.statistics(data, np.array([0, len(data)]))
+    assert own["n_dup_lines"].tolist() == [0] and own["n_distinct"].tolist() == [2]
+
+
+def _repeated():
+    w, u, v = (" ".join(f"{x}{i}" for i in range(30)) for x in "wuv")
+    return [(1, w), (2, w), (2, u), (3, u), (4, v), (4, w), (5, u + " " + v), (2, w), (6, " \n "), (7, " \n "), (7, u), (None, u), (None, u)]
+
+
+def test_repeated_ids_with_different_texts(spark):
+    rows = _repeated()
+    got = substring.dedup(_frame(spark, rows)).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept) for r in got) == sorted((-1 if d is None else d, *x) for d, *x in brute.substring(rows))
+    got = suffix.dedup(_frame(spark, rows), width=40).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == sorted((-1 if d is None else d, *x) for d, *x in brute.suffix(rows, 40))
+    got = ngram_join.join(_frame(spark, rows)).collect()
+    # 1 and 2 share w, 4 has w too, 2 and 3 share u, and so has 7: one component.
+    want = [(1, 26, 1), (2, 26, 1), (2, 26, 1), (2, 26, 1), (3, 26, 1), (4, 26, 1), (4, 26, 1), (5, 56, 5), (6, 0, 6), (7, 0, 7), (7, 26, 1), (-1, 26, -1), (-1, 26, -1)]
+    assert sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in got) == sorted(want)
+
+
+def test_dedup_of_empty_tables(spark):
+    none = _frame(spark, [(1, "x")]).limit(0)
+    assert [x.count() for x in (substring.dedup(none), suffix.dedup(none), ngram_join.join(none), licenses.scan(none))] == [0] * 4
+
+
 def test_suffix(spark):
     rows = [*_rows(2), (None, _rows(2)[4][1] * 3)]
     got = suffix.dedup(_frame(spark, rows), width=40).collect()
@@ -102,17 +143,14 @@ def test_ngram_join_null_ids(spark):
     assert sorted((r.doc_id or -1, r.component_id or -1) for r in got) == [(-1, -1), (-1, -1), (3, 3)]
 
 
-def test_topk(spark):
+def test_topk(spark, monkeypatch):
     rng = np.random.default_rng(4)
     rows = [(i, rng.integers(-3, 4, 5).astype(float).tolist()) for i in range(230)]
     rows += [(300, None), (320, [1.0, None, 0.0, 0.0, 0.0]), (340, [float("nan")] * 5), (360, [float("inf")] * 5), (380, []), (None, [1.0] * 5), (400, [1.0, 2.0])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    topk_shard, topk_tile = topk.SHARD, topk.TILE
-    topk.SHARD, topk.TILE = 7, 3
-    try:
-        got = topk.search(frame, F.col("id") % 20 == 0, k=6).collect()
-    finally:
-        topk.SHARD, topk.TILE = topk_shard, topk_tile
+    for name, value in (("SHARD", 7), ("TILE", 3), ("STEP", 2), ("LEAST", 1), ("PARTS", 1)):
+        monkeypatch.setattr(topk, name, value)
+    got = topk.search(frame, F.col("id") % 20 == 0, k=6).collect()
     good = {i: np.floor(64 * np.array(v)).astype(int) for i, v in rows[:230]}
     want = []
     for q in range(0, 230, 20):
@@ -128,6 +166,8 @@ def test_topk_repeated_queries(spark, monkeypatch, shard):
     rows = [(i, rng.integers(-3, 4, 5).astype(float).tolist()) for i in range(60)]
     rows += [rows[0], rows[20], rows[20], (40, [3.0, -3.0, 3.0, -3.0, 3.0]), rows[7]]
     monkeypatch.setattr(topk, "SHARD", shard)
+    monkeypatch.setattr(topk, "LEAST", 1)
+    monkeypatch.setattr(topk, "PARTS", 1)
     got = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("id") % 20 == 0, k=6).collect()
     whole = [(i, np.floor(64 * np.array(v)).astype(int)) for i, v in rows]
     want = []
@@ -137,6 +177,21 @@ def test_topk_repeated_queries(spark, monkeypatch, shard):
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == want
 
 
+def test_topk_large_components(spark):
+    rows = [(i, [i % 3 / 64, -1 / 64, i % 5 / 64]) for i in range(30)] + [(40, [1e16, 1.0, 2.0]), (41, [3 / 64, -3.0, 3e7]), (60, [1.0, -1e16, -1.0])]
+    got = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 20 == 0, k=6).collect()
+    exact = {i: [math.floor(64 * x) for x in v] for i, v in rows}
+    want = []
+    for q in (0, 20, 40, 60):
+        best = sorted((-sum(a * b for a, b in zip(exact[q], v, strict=True)), i) for i, v in exact.items() if i != q)[:6]
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == want
+    with pytest.raises(Exception, match="64-bit integer"):
+        topk.search(spark.createDataFrame([(0, [1e16]), (1, [1e16])], "vec_id long, embedding array<double>"), F.col("id") % 20 == 0).collect()
+    with pytest.raises(Exception, match="64-bit integer"):
+        topk.search(spark.createDataFrame([(0, [1e300]), (1, [1.0])], "vec_id long, embedding array<double>"), F.col("id") % 20 == 0).collect()
+
+
 def test_mixing(spark):
     rows = [(i, "w " * (i % 40)) for i in range(300)] + [(None, "a b"), (900, None)]
     frame = spark.createDataFrame([(d, t, None if i % 7 == 6 else "s%d" % (i % 7)) for i, (d, t) in enumerate(rows)], "doc_id long, text string, source string")
@@ -175,6 +230,7 @@ def test_packing(spark):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     rows = [*_rows(5), (1, "again 's  it's 12,345 \n\n x y <|endoftext|> 😀 "), (None, "no id"), (1200, " ".join(f"n{i}" for i in range(3000)))]
+    rows += [(1300, "x" + " " * 1_000_000 + "y"), (1301, "\n" * 1_000_000), (1302, "a <|endoftext|> b"), (1302, "a <|endoftext|> b"), (1303, "\u3000" * 5000 + "z" * 100_000)]
     saved, packing.GROUP_ITEMS, packing.FAN_IN = (packing.GROUP_ITEMS, packing.FAN_IN), 7, 3
     try:
         got = packing.pack(_frame(spark, rows), path, most=256).collect()
@@ -182,7 +238,6 @@ def test_packing(spark):
     finally:
         packing.GROUP_ITEMS, packing.FAN_IN = saved
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     want = []
     for d, x in rows:
         ids = np.array([*t.encode(x or "", add_special_tokens=False).ids, 0], "<u4")
@@ -202,6 +257,23 @@ def test_packing(spark):
     assert len(by) <= -(-sum(r.length for r in got) // 256) * 1.1 + 2
 
 
+def test_encoder_equals_the_library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    fast, t = packing.Encoder(path), Tokenizer.from_file(path)
+    points = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    rng = np.random.default_rng(15)
+    tokens = [t.decode([i]) for i in range(50_256)]
+    texts = ["".join(f"a{c}1{c}{c}! {c}a  {c}\n" for c in points[i : i + 400]) for i in range(0, len(points), 400)]
+    texts += ["".join(tokens[i] for i in rng.integers(0, 50_256, 200)) for _ in range(500)]
+    texts += ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext", "x" + " " * 200_000 + "y"]
+    for text in texts:
+        assert fast.encode(text).tolist() == t.encode(text, add_special_tokens=False).ids
+    assert fast.encode("a <|endoftext|> b").tolist() == [64, 220, 50256, 275]
+
+
 def test_best_fit():
     rng = np.random.default_rng(6)
     sizes = rng.integers(1, 101, 500)
