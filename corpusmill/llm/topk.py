@@ -29,10 +29,10 @@ def _high(x: np.ndarray) -> np.ndarray:
     return np.maximum(x.max(axis=1, initial=0).astype(np.float64), -x.min(axis=1, initial=0).astype(np.float64))
 
 
-def _products(queries: np.ndarray, shard: np.ndarray, held: dict) -> np.ndarray:
+def _products(queries: np.ndarray, shard: np.ndarray, q_ids: np.ndarray, ids: np.ndarray, held: dict) -> np.ndarray:
     """Exact integer products, in the narrowest type whose sums stay exact; raises where a score is no int64.
 
-    held keeps the shard's rows in that type from one call to the next.
+    Pairs of one id do not count. held keeps the shard's rows in that type from one call to the next.
     """
     dim = max(1, queries.shape[1])
     if "high" not in held:
@@ -49,10 +49,11 @@ def _products(queries: np.ndarray, shard: np.ndarray, held: dict) -> np.ndarray:
     bound = float(1 << 62) / dim
     small = [x < np.sqrt(bound) for x in high]
     if all(x.any() for x in small):
-        out[np.ix_(small[0], small[1])] = _products(queries[small[0]], shard[small[1]], {})
+        out[np.ix_(small[0], small[1])] = _products(queries[small[0]], shard[small[1]], q_ids[small[0]], ids[small[1]], {})
     for a, b in ((~small[0], np.ones(len(shard), bool)), (small[0], ~small[1])):
         if a.any() and b.any():
             exact = queries[a].astype(object) @ shard[b].astype(object).T
+            exact[q_ids[a][:, None] == ids[b]] = 0
             if max(map(abs, exact.ravel().tolist())) >= 1 << 63:
                 raise OverflowError("an inner product is no 64-bit integer")
             out[np.ix_(a, b)] = exact.astype(np.int64)
@@ -86,7 +87,7 @@ def _score(k: int):
         held: dict = {}
         for i, q in enumerate(q_ids):
             if i % STEP == 0:
-                products = _products(queries[i : i + STEP], shard, held)
+                products = _products(queries[i : i + STEP], shard, q_ids[i : i + STEP], ids, held)
             own, names = products[i % STEP], ids
             if (other := names != q).sum() < len(names):
                 own, names = own[other], names[other]
