@@ -18,8 +18,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mixing.plan(_table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"), F.size("mix_draws").alias("times"))
+    rows = mixing.taken(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"), F.col("mix_places").alias("places"))
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

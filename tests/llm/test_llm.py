@@ -213,15 +213,94 @@ def test_mixing(spark):
     assert {r.mix_words for r in drawn if r.doc_id == 39} <= {39}
     clash = frame.selectExpr("*", "1 AS sid", "2 AS blocks", "3 AS mix_size", "4 AS row", "5 AS key", "6 AS mix_draw")
     assert sorted(str((r.doc_id, r.mix_taken, r.sid, r.row)) for r in mixing.plan(clash).collect()) == sorted(str((r.doc_id, r.mix_taken, 1, 4)) for r in got)
-    assert mixing.mix(clash).columns == [*frame.columns, "sid", "blocks", "row", "key", "mix_draw", "mix_shard", "mix_epoch", "mix_words"]
+    assert mixing.mix(clash).columns == [*frame.columns, "sid", "blocks", "row", "key", "mix_draw", "mix_shard", "mix_epoch", "mix_words", "mix_place"]
     assert mixing.plan(frame.limit(0)).count() == 0
 
 
 def test_split_tree():
-    quotas = np.array([17, 0, 40, 3])
-    dealt = mixing.split_tree(quotas, 7, 5)
+    quotas, spare = np.array([17, 0, 40, 3]), np.array([3, 0, 0, 9])
+    tree = mixing.Tree(quotas, spare, 7, 5)
+    leaves = [tree.leaf(i) for i in range(7)]
+    dealt = np.stack([x[1] for x in leaves])
     assert dealt.sum(axis=0).tolist() == quotas.tolist() and dealt.sum(axis=1).max() - dealt.sum(axis=1).min() <= 3
-    assert (dealt == mixing.split_tree(quotas, 7, 5)).all()
+    for f in range(4):  # disjoint places, all of them
+        places = [p for start, own, rest in leaves for p in range(start[f], start[f] + own[f] + rest[f])]
+        assert sorted(places) == list(range(quotas[f] + spare[f]))
+    for i in (6, 0, 3):  # any shard alone
+        assert all((a == b).all() for a, b in zip(mixing.Tree(quotas, spare, 7, 5).leaf(i), leaves[i], strict=True))
+
+
+def test_split_tree_is_hypergeometric():
+    left = np.array([mixing.Tree(np.array([30, 10]), np.zeros(2), 2, seed).leaf(0)[1] for seed in range(400)])
+    assert (left.sum(axis=1) == 20).all() and abs(left[:, 0].mean() - 15) < 0.3
+    assert abs(left[:, 0].var() - 20 * 0.75 * 0.25 * 20 / 39) < 0.5
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 17, 1000])
+def test_permuted(n):
+    a, b = (mixing.permuted(np.arange(n), n, key) for key in ([1, 2], [1, 3]))
+    assert sorted(a) == sorted(b) == list(range(n)) and (n < 17 or (a != b).any())
+
+
+def test_mixing_by_brute_force(spark, monkeypatch):
+    """Every rule of the contract on many small blocks, from counts and targets that are worked out here."""
+    monkeypatch.setattr(mixing, "UNIT", 40)
+    monkeypatch.setattr(mixing, "BLOCKS_A_SHARD", 6)
+    rng = np.random.default_rng(16)
+    rows = [(i, " ".join(["w"] * int(n)), s) for i, (n, s) in enumerate(zip(rng.integers(0, 30, 700), rng.choice(["a", "b", "c", "Z", None], 700, p=[0.6, 0.2, 0.1, 0.06, 0.04]), strict=True))]
+    rows += [(None, "x y", "a"), (None, "x y", "a"), (5, "q " * 500, "b"), (800, None, "b"), (801, "", "empty")]
+    size = {}
+    for _, t, s in rows:
+        size[s] = size.get(s, 0) + len((t or "").split())
+    order = ["Z", "a", "b", "c", "empty", None]
+    weight = dict(zip(order, (3, 1, 2, 3, 1, 2), strict=True))
+    due, left, open_ = {}, 1.5 * sum(size.values()), list(order)
+    while True:
+        over = [s for s in open_ if left * weight[s] / sum(weight[o] for o in open_) > 2 * size[s]]
+        if not over:
+            break
+        for s in over:
+            due[s] = 2 * size[s]
+        left -= sum(due[s] for s in over)
+        open_ = [s for s in open_ if s not in over]
+    due |= {s: left * weight[s] / sum(weight[o] for o in open_) for s in open_}
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.taken(frame.withColumn("mix_words", F.lit(1))).collect()
+    total = {}
+    for r in mixing.plan(frame).collect():
+        assert r.mix_source_size == size[r.source] and r.mix_target == pytest.approx(due[r.source])
+        total[r.source] = total.get(r.source, 0) + r.mix_taken
+        assert r.mix_taken <= 2 * r.mix_size and len({d.epoch for d in r.mix_draws}) == len(r.mix_draws)
+    assert all(abs(total[s] - due[s]) <= 2 for s in order)
+    assert len(got) == len(rows)
+    mixed = mixing.mix(frame).collect()
+    own = {}
+    for r in mixed:
+        own.setdefault(r.mix_shard, []).append(r)
+    assert len(own) > 10 and max(sum(r.mix_words for r in v) for v in own.values()) < 6 * 40 * 6
+    for v in own.values():  # places are 1, 2, ... and not in the order of ids
+        assert sorted(r.mix_place for r in v) == list(range(1, len(v) + 1))
+    ordered = [r.doc_id or 0 for r in sorted(mixed, key=lambda r: (r.mix_shard, r.mix_place))]
+    assert ordered != sorted(ordered)
+    taken = {}
+    for r in mixed:
+        taken[r.doc_id] = taken.get(r.doc_id, 0) + r.mix_words
+    by = {}
+    for r in got:
+        by[r.doc_id] = by.get(r.doc_id, 0) + r.mix_taken
+        assert len(r.mix_places) == len(r.mix_draws)
+    assert {d: n for d, n in by.items() if n} == {d: n for d, n in taken.items() if n}
+
+
+def test_mixing_follows_the_tree(spark, monkeypatch):
+    """Other quotas of the shards draw other documents."""
+    monkeypatch.setattr(mixing, "UNIT", 40)
+    monkeypatch.setattr(mixing, "BLOCKS_A_SHARD", 6)
+    frame = spark.createDataFrame([(i, "w " * (i % 40), "ab"[i % 2]) for i in range(400)], "doc_id long, text string, source string")
+    a = {r.doc_id: r.mix_taken for r in mixing.plan(frame).collect()}
+    monkeypatch.setattr(mixing, "BLOCKS_A_SHARD", 1 << 20)
+    b = {r.doc_id: r.mix_taken for r in mixing.plan(frame).collect()}
+    assert a != b
 
 
 def test_packing(spark):
@@ -299,12 +378,27 @@ def test_warc(spark):
     assert warc.round_trip(frame.limit(0)).count() == 0
 
 
-def test_warc_records(spark, tmp_path):
-    frame = spark.createDataFrame([(1, "http://a/", "<p>é</p>")], "page_id long, url string, html string")
-    warc.write_archive(frame, f"file://{tmp_path}/a")
-    row = warc.read_archive(spark, f"file://{tmp_path}/a").withColumn("record", warc.record_bytes(F.col("header"), F.col("payload"))).first()
-    data = "<p>é</p>".encode()
-    assert bytes(row.record).startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and bytes(row.record).endswith(b"\r\n\r\n" + data + b"\r\n\r\n") and row.content_length == len(data)
+def test_warc_records(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "PER_SHELF", 3)
+    rows = [(1, "http://a/", "<p>é</p>"), (2, "b\r\nc", ""), (2, "b\r\nc", ""), (None, None, None)] + [(10 + i, f"u{i}", "same " * 9) for i in range(20)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS key", "2 AS payload", "3 AS shelf", "4 AS header")
+    warc.write_archive(frame, f"file://{tmp_path}/a", date="2026-01-02T03:04:05Z")
+    assert spark.read.parquet(f"{tmp_path}/a/payloads").count() == 3
+    got = warc.read_archive(spark, f"file://{tmp_path}/a").collect()
+    assert len(got) == len(rows)
+    for r in got:
+        url, html = next((u, h) for i, u, h in rows if i == r.page_id)
+        data = (html or "").encode()
+        head = f"WARC/1.1\r\nWARC-Type: {r.record_type}\r\nWARC-Record-ID: <urn:page:{'' if r.page_id is None else r.page_id}>\r\nWARC-Date: 2026-01-02T03:04:05Z\r\n"
+        assert bytes(r.record).startswith(head.encode()) and bytes(r.record).endswith(b"\r\n\r\n" + data + b"\r\n\r\n")
+        assert bytes(r.payload) == data and r.payload_bytes == len(data) and f"Content-Length: {len(data)}\r\n\r\n".encode() in bytes(r.record)
+    assert {(r.page_id, r.record_type, r.refers_to) for r in got} == {(1, "response", None), (2, "response", None), (None, "revisit", 2), (10, "response", None), *((10 + i, "revisit", 10) for i in range(1, 20))}
+    warc.read_archive(spark, f"file://{tmp_path}/a").select("payload_digest", F.lit(1)).collect()
+    damaged = spark.read.parquet(f"{tmp_path}/a/payloads").withColumn("payload", F.encode(F.lit("other"), "UTF-8"))
+    damaged.write.parquet(f"{tmp_path}/b/payloads")
+    spark.read.parquet(f"{tmp_path}/a/headers").write.parquet(f"{tmp_path}/b/headers")
+    with pytest.raises(Exception, match="damaged record"):
+        warc.read_archive(spark, f"file://{tmp_path}/b").collect()
 
 
 def test_licenses(spark):
