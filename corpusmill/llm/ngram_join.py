@@ -268,9 +268,10 @@ def _compare(t: Threshold, orders: int):
     """Edges of all candidate groups (or tiles of large ones) of a partition: rows are gp, ti, tj, side, and a set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
+        table = pa.Table.from_batches(held)
         key = np.stack([table[c].to_numpy() for c in ("gp", "ti", "tj")])
         order = np.lexsort(key)
         key = key[:, order]
