@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,16 +14,18 @@ from pyspark.sql import types as T
 from corpusmill.llm import kernels as K
 from corpusmill.plans.storage import Scratch
 
-#: Bounds of the model: labelled rows, terms, examples in the index, examples in a block of it, neighbours that vote.
-ROWS, TERMS, EXAMPLES, BLOCK, NEIGHBOURS = 30_000, 4096, 4096, 64, 15
-#: A term enters the model if it stands in so many toxic training documents, and these are such a share of its own.
-MIN_TOXIC, MIN_SHARE = 4, 0.7
+#: Bounds of the model: labelled rows that are learnt from, examples in the index and terms in them, examples in a block
+#: of it, neighbours that vote.
+ROWS, EXAMPLES, POSTINGS, BLOCK, NEIGHBOURS = 30_000, 4096, 1 << 24, 64, 15
+#: One in so many labelled rows calibrates the votes and is no example.
+FOLDS = 5
+#: How much a term's say grows with what its presence tells of the label (its log-likelihood ratio, in nats).
+GAIN = 4.0
 #: Besides whole words, the first 4, 5 and 6 bytes of longer words are terms: endings vary, stems recur.
 _STEMS = (4, 5, 6)
 #: Terms are the first 50 bits of hashes; a text's place among at most 16384 fits in the rest.
 _DOC_BITS = np.uint64(14)
-#: How much likelier than chance a term must be, beyond one chance term among all that were looked at (in logs).
-MARGIN = 0.0
+_SLOTS = 22
 
 
 def _terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,24 +58,51 @@ _FOLD[65:91] += 32
 _FOLD[[i for i in range(128) if not chr(i).isalnum()]] = 0
 
 
-def _counts(data: np.ndarray, offsets: np.ndarray, vocabulary: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (text, term) pairs with their numbers; terms as places in a sorted vocabulary, by text, if given."""
+class Vocabulary:
+    """Sorted terms, found by their first bits."""
+
+    def __init__(self, terms: np.ndarray):
+        self.terms = terms
+        self.start: np.ndarray | None = None
+
+    def __len__(self) -> int:
+        return len(self.terms)
+
+    def __getstate__(self) -> np.ndarray:
+        return self.terms
+
+    def __setstate__(self, terms: np.ndarray) -> None:
+        self.__init__(terms)
+
+    def places(self, h: np.ndarray) -> np.ndarray:
+        """The place of each term, or -1."""
+        if self.start is None:
+            self.start = np.searchsorted(self.terms, np.arange((1 << _SLOTS) + 1, dtype=np.uint64) << np.uint64(50 - _SLOTS)).astype(np.int32)
+            self.most = int(np.diff(self.start).max())
+        out = np.full(len(h), -1, np.int64)
+        slot = (h >> np.uint64(50 - _SLOTS)).astype(np.int64)
+        at, end = self.start[slot], self.start[slot + 1]
+        for i in range(self.most):
+            own = np.flatnonzero(at + i < end)
+            own = own[self.terms[at[own] + i] == h[own]]
+            out[own] = at[own] + i
+        return out
+
+
+def _counts(data: np.ndarray, offsets: np.ndarray, vocabulary: Vocabulary | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (text, term) pairs with their numbers, by text; terms as places in a vocabulary, if given."""
     h, d = _terms(data, offsets)
     if vocabulary is not None:
-        near = np.zeros(1 << 20, bool)
-        near[(vocabulary >> np.uint64(30)).astype(np.int64)] = True
-        own = np.flatnonzero(near[(h >> np.uint64(30)).astype(np.int64)])
-        h, d = h[own], d[own]
-        at = np.searchsorted(vocabulary, h)
-        at[at == len(vocabulary)] = 0
-        known = vocabulary[at] == h if len(vocabulary) else np.zeros(len(h), bool)
-        d, h = d[known].astype(np.uint64), at[known].astype(np.uint64)
-        key = np.sort(d << np.uint64(32) | h)
+        at = vocabulary.places(h)
+        known = np.flatnonzero(at >= 0)
+        key = np.sort(d[known].astype(np.uint64) << np.uint64(32) | at[known].astype(np.uint64))
         at, size = K.groups(key)
         return (key[at] >> np.uint64(32)).astype(np.int64), (key[at] & np.uint64(0xFFFFFFFF)).astype(np.int64), size
     key = np.sort(h << _DOC_BITS | d.astype(np.uint64))
     at, size = K.groups(key)
-    return (key[at] & np.uint64((1 << 14) - 1)).astype(np.int64), key[at] >> _DOC_BITS, size
+    d, h = (key[at] & np.uint64((1 << 14) - 1)).astype(np.int64), key[at] >> _DOC_BITS
+    order = np.argsort(d, kind="stable")
+    return d[order], h[order], size[order]
 
 
 def _parts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -84,82 +114,108 @@ def _parts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
             yield x, y, data[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x]
 
 
+def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of some ranges, one range after the other, and the lengths of the ranges."""
+    n = end - start
+    ends = np.cumsum(n)
+    return np.repeat(start - ends + n, n) + np.arange(ends[-1] if len(ends) else 0), n
+
+
 class Index:
-    """Examples as TF-IDF unit vectors: postings by term, and of each block of examples the largest weight a term."""
+    """Examples as TF-IDF unit vectors over all their terms: an inverted index in blocks of BLOCK examples.
+
+    A term's entries are the blocks that hold it, each with the largest weight there and its postings. Weights are
+    (1 + log tf) * idf * (1 + GAIN * gain), gain being what the term's presence tells of the label.
+    """
 
-    def __init__(self, vocabulary: np.ndarray, idf: np.ndarray, rows: np.ndarray, terms: np.ndarray, tf: np.ndarray, toxic: np.ndarray, prior: float):
-        self.vocabulary, self.idf, self.prior = vocabulary, idf, prior
-        weight = self._weights(rows, terms, tf, len(toxic))
+    def __init__(self, vocabulary: np.ndarray, weight: np.ndarray, rows: np.ndarray, terms: np.ndarray, tf: np.ndarray, toxic: np.ndarray, prior: float):
+        self.vocabulary, self.say, self.prior, self.toxic = Vocabulary(vocabulary), weight, prior, toxic
+        self.slope, self.shift = 1.0, 0.0
+        own = self._weights(rows, terms, tf, len(toxic))
         order = np.lexsort((rows, terms))
-        self.rows, self.weight, self.toxic = rows[order], weight[order], toxic
-        self.at = np.searchsorted(terms[order], np.arange(len(vocabulary) + 1))
+        self.rows, self.weight = rows[order].astype(np.int32), own[order]
+        at, _ = K.pair_groups(terms[order], rows[order] // BLOCK)
+        self.post = np.append(at, len(rows))
+        self.block = (self.rows[at] // BLOCK).astype(np.int32)
+        self.most = np.maximum.reduceat(self.weight, at) if len(at) else np.zeros(0)
+        self.entry = np.searchsorted(terms[order][at], np.arange(len(vocabulary) + 1))
         self.blocks = max(1, -(-len(toxic) // BLOCK))
-        self.most = np.zeros((len(vocabulary), self.blocks), np.float32)
-        np.maximum.at(self.most, (terms, rows // BLOCK), weight.astype(np.float32) * np.float32(1 + 1e-6))
+        self.read = 0  # postings that queries have looked at
 
     def _weights(self, rows: np.ndarray, terms: np.ndarray, tf: np.ndarray, n: int) -> np.ndarray:
-        w = (1 + np.log(tf)) * self.idf[terms]
+        w = (1 + np.log(tf)) * self.say[terms]
         norm = np.sqrt(np.bincount(rows, w * w, n))
         return w / norm[rows]
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of highest cosine above 0 (ties: smaller place), exactly.
 
-        Blocks are read by falling upper bound, until the k-th best cosine is above the next block's bound.
+        Blocks have an upper bound each, from their entries. The blocks of the highest bounds are read first; of the
+        others only those whose bound reaches the k-th best cosine: the rest of the postings is not touched.
         """
-        bound = weights @ self.most[terms].astype(np.float64)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        spans = [(self.at[t], self.at[t + 1]) for t in terms.tolist()]
-        rows = np.concatenate([self.rows[a:b] for a, b in spans])
-        scores = np.concatenate([self.weight[a:b] * w for (a, b), w in zip(spans, weights, strict=True)])
-        by = np.argsort(rows // BLOCK, kind="stable")
-        rows, scores = rows[by], scores[by]
-        cut = np.searchsorted(rows // BLOCK, np.arange(self.blocks + 1))
-        best_rows, best = np.zeros(0, np.int64), np.zeros(0)
-        step = 8
-        for i in range(0, len(order), step):
-            if len(best) == k and bound[order[i]] < best[-1] - 1e-9:
-                break
-            own = np.concatenate([np.arange(cut[b], cut[b + 1]) for b in order[i : i + step]])
-            names, at = np.unique(rows[own], return_inverse=True)
-            got = np.bincount(at, scores[own], len(names))
-            best_rows, best = np.append(best_rows, names), np.append(best, got)
-            keep = np.lexsort((best_rows, -np.round(best, 12)))[:k]
-            best_rows, best = best_rows[keep], best[keep]
-        return best_rows, best
-
-    def score(self, data: np.ndarray, offsets: np.ndarray, seen: dict, k: int = NEIGHBOURS) -> tuple[np.ndarray, list[list[int]]]:
-        """A score for each text, and the places of the examples that voted; seen keeps what equal vectors got."""
+        entry, n = _ranges(self.entry[terms], self.entry[terms + 1])
+        say = np.repeat(weights, n)
+        block = self.block[entry]
+        bound = np.bincount(block, self.most[entry] * say, self.blocks)
+        scores = np.zeros(len(self.toxic))
+        first = np.zeros(self.blocks, bool)
+        first[np.argsort(-bound, kind="stable")[: max(2, -(-2 * k // BLOCK))]] = True
+        left = bound > 0
+        for wanted in (lambda: first, lambda: left & ~first & (bound >= self._least(scores, k) - 1e-9)):
+            own = np.flatnonzero(wanted()[block])
+            at, m = _ranges(self.post[entry[own]], self.post[entry[own] + 1])
+            self.read += len(at)
+            scores += np.bincount(self.rows[at], self.weight[at] * np.repeat(say[own], m), len(scores))
+        rounded = np.round(scores, 12)
+        near = np.flatnonzero(scores >= max(self._least(scores, k) - 1e-9, 1e-15))
+        best = near[np.lexsort((near, -rounded[near]))][:k]
+        return best, scores[best]
+
+    @staticmethod
+    def _least(scores: np.ndarray, k: int) -> float:
+        return float(np.partition(scores, len(scores) - k)[len(scores) - k]) if len(scores) > k else 0.0
+
+    def calibrated(self, share: np.ndarray) -> np.ndarray:
+        """The chance of label 1 at a share of votes: logistic in the share's log odds, as fitted on rows apart."""
+        p = np.clip(share, 1e-4, 1 - 1e-4)
+        return 1 / (1 + np.exp(-(self.slope * np.log(p / (1 - p)) + self.shift))) if self.prior else np.zeros(len(p))
+
+    def calibrate(self, share: np.ndarray, label: np.ndarray) -> None:
+        """Fit slope (above 0) and shift by Newton steps on the log loss, with targets drawn in from 0 and 1."""
+        n1, n0 = float(label.sum()), float((1 - label).sum())
+        if not n1 or not n0:
+            return
+        y = np.where(label > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+        p = np.clip(share, 1e-4, 1 - 1e-4)
+        x = np.stack([np.log(p / (1 - p)), np.ones(len(p))], axis=1)
+        at = np.array([1.0, 0.0])
+        for _ in range(50):
+            q = 1 / (1 + np.exp(-x @ at))
+            grad = x.T @ (q - y) + 1e-3 * (at - (1, 0))
+            step = np.linalg.solve(x.T @ (x * (q * (1 - q))[:, None]) + 1e-3 * np.eye(2), grad)
+            at = at - step / max(1.0, float(np.abs(step).max()))
+        self.slope, self.shift = max(float(at[0]), 1e-3), float(at[1])
+
+    def shares(self, data: np.ndarray, offsets: np.ndarray, seen: dict, k: int = NEIGHBOURS) -> tuple[np.ndarray, list[list[int]]]:
+        """Each text's share of toxic votes, and the places of the examples that voted; seen keeps what equal vectors got."""
         n = len(offsets) - 1
         d, t, tf = _counts(data, offsets, self.vocabulary)
         out, evidence = np.full(n, self.prior * 0.5), [[] for _ in range(n)]
         at, size = K.groups(d)
         for a, m in zip(at.tolist(), size.tolist(), strict=True):
             terms, own = t[a : a + m], tf[a : a + m]
-            key = terms.tobytes() + own.tobytes()
+            key = hashlib.blake2b(terms.tobytes() + own.tobytes(), digest_size=16).digest()
             if key not in seen:
                 if len(seen) > 50_000:
                     seen.clear()
                 rows, cosine = self.nearest(terms, self._weights(np.zeros(m, np.int64), terms, own, 1), k)
-                # Votes fall with the distance; one half-vote of the prior steadies few or far neighbours.
+                # Votes fall with the distance; a small vote of the prior steadies few or far neighbours.
                 vote = cosine / (1.05 - np.minimum(cosine, 1.0))
-                seen[key] = (float((vote @ self.toxic[rows] + 0.5 * self.prior) / (vote.sum() + 0.5)), rows.tolist())
+                seen[key] = (float((vote @ self.toxic[rows] + 0.05 * self.prior) / (vote.sum() + 0.05)), rows.tolist())
             out[d[a]], evidence[d[a]] = seen[key]
         return out, evidence
 
 
-def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counts of documents by term: (term, toxic, clean)."""
-    for batch in batches:
-        label = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-        for a, b, data, offsets in _parts(batch.column(0)):
-            d, h, _ = _counts(data, offsets)
-            at, size = K.groups(h)
-            yes = np.add.reduceat(label[a:b][d], at) if len(at) else size
-            yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(yes.astype(np.int64)), pa.array((size - yes).astype(np.int64))], names=["term", "toxic", "clean"])
-
-
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Two least hashes of a document's runs of three words, which near copies mostly share."""
     for batch in batches:
@@ -178,89 +234,128 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), *signs], names=["l_id", "toxic", "sign0", "sign1"])
 
 
-def _term_rows(vocabulary: np.ndarray):
+def _class_counts(vocabulary: Vocabulary, labelled: bool):  # the closure holds at most POSTINGS terms
+    """In how many documents of a partition each term stands: (place, toxic, all). Columns: text, and label if any."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(vocabulary), np.int64)
+        both = np.zeros((2, len(vocabulary)), np.int64)
         for batch in batches:
-            for _, _, data, offsets in _parts(batch.column(0)):
-                total += np.bincount(_counts(data, offsets, vocabulary)[1], minlength=len(vocabulary))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["place", "n"])
+            label = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64) if labelled else np.zeros(batch.num_rows, np.int64)
+            for a, b, data, offsets in _parts(batch.column(0)):
+                d, t, _ = _counts(data, offsets, vocabulary)
+                both[1] += np.bincount(t, minlength=len(vocabulary))
+                if labelled:
+                    both[0] += np.bincount(t, label[a:b][d], len(vocabulary)).astype(np.int64)
+        at = np.flatnonzero(both[1])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(both[0][at]), pa.array(both[1][at])], names=["place", "toxic", "n"])
 
     return run
 
 
-def _vectors(vocabulary: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x, y, data, offsets in _parts(batch.column(1)):
-                d, t, tf = _counts(data, offsets, vocabulary)
-                cuts = np.searchsorted(d, np.arange(y - x + 1))
-                rows = [(t[a:b], tf[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(x, y - x), batch.column(2).slice(x, y - x), pa.array([r[0] for r in rows], pa.list_(pa.int64())), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], names=["doc_id", "toxic", "terms", "tf"])
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for x, y, data, offsets in _parts(batch.column(1)):
+            d, t, tf = _counts(data, offsets)
+            cuts = np.searchsorted(d, np.arange(y - x + 1))
+            rows = [(b - a, K.pack_ints(t[a:b], rising=True), K.pack_ints(tf[a:b])) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+            columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True) if rows else [[]] * 3, (pa.int64(), pa.binary(), pa.binary()), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(x, y - x), batch.column(2).slice(x, y - x), *columns], names=["doc_id", "toxic", "n", "terms", "tf"])
 
-    return run
 
+def _sums(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums by place, of at most as many rows as the vocabulary has terms."""
+    got = rows.groupBy("place").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n")).toPandas()
+    out = np.zeros((2, size))
+    out[:, got["place"].to_numpy(np.int64)] = got[["toxic", "n"]].to_numpy(np.float64).T
+    return out[0], out[1]
 
-def fit(docs: DataFrame, examples: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = ROWS, terms: int = TERMS, most: int = EXAMPLES) -> tuple[Index, list[int]]:
+
+def gains(toxic: np.ndarray, n: np.ndarray, prior: float) -> np.ndarray:
+    """Of each term, how much likelier its labels are at the share it has than at the prior, in nats."""
+    part = lambda k, rate: np.where(k > 0, k * np.log(np.maximum(k, 1e-12) / np.maximum(n, 1) / max(rate, 1e-9)), 0)
+    return np.maximum(0, part(toxic, prior) + part(n - toxic, 1 - prior))
+
+
+def fit(docs: DataFrame, examples: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = ROWS, most: int = EXAMPLES, postings: int = POSTINGS) -> tuple[Index, list[int]]:
     """An index of labelled examples, and their doc_ids. ``examples`` has doc_id and label and only what may be learnt.
 
-    At most ``rows`` labelled documents (a documented bound), by hash of the id, are learnt from. Terms are chosen
-    by counts over them, one of each group of near copies: the ``terms`` whose share in toxic ones is least likely
-    by chance, of those that beat chance by MARGIN and stand in MIN_TOXIC toxic ones; their idf is counted over all of ``docs``. Of those documents at most ``most`` (a
-    documented bound too) with a term become examples.
+    At most ``rows`` labelled documents (a documented bound), by hash of the id, are learnt from. One in FOLDS of them
+    calibrates; of the others at most ``most`` documents of at most ``postings`` terms together (documented bounds)
+    become examples, by hash, toxic and clean alike. All terms of the examples make the space. Their idf is counted
+    over all of ``docs``; their gain over the labelled documents that do not calibrate, one of each group of near
+    copies. Votes are calibrated on the documents apart.
+
+    Null ids and labels are left out; of an id labelled twice the largest label counts; where an id repeats in docs,
+    each of its rows is one. Null texts are empty; texts without terms are no examples. Other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "toxicity")
     marks = examples.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).cast("long").alias("l_id")).agg(F.max(F.col(label).cast("int")).alias("toxic"))
     picked = scratch.keep(marks.orderBy(F.xxhash64("l_id"), "l_id").limit(rows), "picked")
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-
-    def known(ids: DataFrame) -> DataFrame:  # at most ``rows`` ids are broadcast, so that no text moves
-        return texts.join(F.broadcast(ids), F.col("doc_id") == F.col("l_id")).select("doc_id", "text", "toxic")
-
-    # Near copies would lend chance words the weight of many documents: one stands for those with an equal signature.
-    signed = scratch.keep(known(picked).mapInArrow(_signed, "l_id long, toxic int, sign0 long, sign1 long"), "signed")
-    apart = signed
-    for name in ("sign0", "sign1"):
-        first = signed.groupBy(F.col(name).alias("s")).agg(F.min("l_id").alias("own"))
-        apart = apart.join(first, (F.col(name) == F.col("s")) & (F.col("l_id") == F.col("own")), "left_semi")
-    apart = scratch.keep(apart.select("l_id", "toxic").distinct(), "apart")
-    sizes = {r.toxic: r.n for r in apart.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    n_toxic, n_clean = sizes.get(1, 0), sum(n for k, n in sizes.items() if k != 1)
-    prior = n_toxic / max(1, n_toxic + n_clean)
-    by = known(apart).select("text", "toxic").mapInArrow(_class_counts, "term long, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    by = scratch.keep(by.filter("toxic > 0"), "terms")
-    all_ = F.col("toxic") + F.col("clean")
-    # The log-likelihood ratio of the term's share among toxic documents against chance.
-    gain = F.col("toxic") * F.log(F.col("toxic") / (all_ * F.lit(max(prior, 1e-9)))) + F.col("clean") * F.log(F.greatest(F.col("clean"), F.lit(1)) / (all_ * F.lit(max(1 - prior, 1e-9))))
-    least = float(np.log(max(1, by.count())) + MARGIN)
-    lifted = F.col("toxic") >= F.greatest(F.lit(MIN_SHARE), F.lit(2 * prior)) * all_
-    top = by.filter(F.col("toxic") >= MIN_TOXIC).filter(lifted).withColumn("gain", gain).filter(F.col("gain") >= least).orderBy(F.desc("gain"), "term").limit(terms)
-    vocabulary = np.sort(np.array([r.term for r in top.select("term").collect()], np.int64).view(np.uint64))
+    # At most ``rows`` ids are broadcast, so that no other text moves.
+    known = texts.join(F.broadcast(picked), F.col("doc_id") == F.col("l_id")).select("doc_id", "text", "toxic", (F.pmod(F.xxhash64("doc_id", F.lit(91)), F.lit(FOLDS)) == 0).alias("apart"))
+    known = scratch.keep(known, "known")
+    learnt = known.filter("NOT apart")
+
+    vectors = scratch.keep(learnt.select("doc_id", "text", "toxic").mapInArrow(_vectors, "doc_id long, toxic int, n long, terms binary, tf binary").filter("n > 0"), "vectors")
+    sizes = vectors.select("doc_id", "n").toPandas()
+    sizes = sizes.assign(rank=K.mix(sizes["doc_id"].to_numpy(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))).sort_values(["rank", "n"])[:most]
+    chosen = sizes[sizes["n"].cumsum() <= postings]["doc_id"].unique()
+    wanted = docs.sparkSession.createDataFrame([(int(i),) for i in chosen], "doc_id long")
+    got = vectors.join(F.broadcast(wanted), "doc_id").collect()
+    got = sorted(got, key=lambda r: (r.doc_id, bytes(r.terms)))[: most]
+    own = np.repeat(np.arange(len(got)), [r.n for r in got])
+    flat = lambda name: np.concatenate([K.unpack_ints(bytes(r[name])) for r in got]) if got else np.zeros(0, np.uint64)
+    terms, at = np.unique(flat("terms"), return_inverse=True)
+
+    # Near copies would lend chance words the weight of many documents: one stands for those with equal signatures.
+    signed = learnt.select("doc_id", "text", "toxic").mapInArrow(_signed, "l_id long, toxic int, sign0 long, sign1 long")
+    once = signed.groupBy("sign0", "sign1").agg(F.min("l_id").alias("s_id")).select("s_id").distinct()
+    once = scratch.keep(learnt.join(F.broadcast(once), F.col("doc_id") == F.col("s_id")).select("text", "toxic"), "once")
+    totals = once.agg(F.count("*").alias("n"), F.sum(F.col("toxic").cast("long")).alias("toxic")).first()
+    prior = (totals.toxic or 0) / max(1, totals.n)
+    vocabulary = Vocabulary(terms)
+    counts = "place long, toxic long, n long"
+    toxic, n = _sums(once.mapInArrow(_class_counts(vocabulary, True), counts), len(terms))
+    _, df = _sums(texts.select("text").mapInArrow(_class_counts(vocabulary, False), counts), len(terms))
     n_docs = docs.count()
-    df = np.ones(len(vocabulary))
-    if len(vocabulary):
-        for r in docs.select(F.col(text)).mapInArrow(_term_rows(vocabulary), "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():
-            df[r.place] = r.n
-    idf = np.log((1 + n_docs) / df)
-    # The same share of toxic and clean documents, so that shares of neighbours are calibrated.
-    vectors = scratch.keep(known(picked).mapInArrow(_vectors(vocabulary), "doc_id long, toxic int, terms array<bigint>, tf array<bigint>").filter(F.size("terms") > 0), "vectors")
-    got = sorted(vectors.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect(), key=lambda r: r.doc_id)
+    idf = np.log((1 + n_docs) / np.maximum(df, 1))
+    say, tf = idf * (1 + GAIN * gains(toxic, n, prior)), flat("tf").astype(np.float64)
+    # Examples whose weightiest term is the same stand in one block, so that blocks differ in their bounds.
+    marked = np.array([r.toxic == 1 for r in got], np.float64)
+    by = np.lexsort(((1 + np.log(tf)) * say[at], own))
+    top = at[by][np.cumsum([r.n for r in got], dtype=np.int64) - 1]
+    order = np.lexsort((top, marked))
+    place = np.empty(len(got), np.int64)
+    place[order] = np.arange(len(got))
+    index = Index(terms, say, place[own], at, tf, marked[order], prior)
+    if got:
+        fold = known.filter("apart").select("text", "toxic").mapInArrow(_voted(docs.sparkSession.sparkContext.broadcast(index)), "share double, toxic int").toPandas()
+        fold = fold.sort_values(["share", "toxic"])
+        index.calibrate(fold["share"].to_numpy(np.float64), fold["toxic"].to_numpy(np.float64))
     scratch.close()
-    own = np.repeat(np.arange(len(got)), [len(r.terms) for r in got])
-    flat = lambda name: np.array([x for r in got for x in r[name]], np.int64)
-    return Index(vocabulary, idf, own, flat("terms"), flat("tf"), np.array([r.toxic == 1 for r in got], np.float64), prior), [r.doc_id for r in got]
+    return index, [got[i].doc_id for i in order.tolist()]
+
+
+def _voted(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offsets in _parts(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(shared.value.shares(data, offsets, {})[0]), batch.column(1).slice(a, b - a)], names=["share", "toxic"])
+
+    return run
 
 
 def score(docs: DataFrame, index: Index, names: list[int], *, doc_id: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
     """doc_id, score and evidence (doc_ids of the examples that voted, nearest first) for each row of docs.
 
-    With ``carry`` all columns of docs stand before score and evidence. The score is the weighted share of toxic
-    neighbours, steadied by half a vote of the training share. Null, empty and other texts without a term of the
-    model: half the training share, no evidence. Whole texts of any length are read; no rows meet. Null doc_id stays
-    null, repeated rows return repeated. No labelled documents: 0 for all.
+    With ``carry`` all columns of docs (but any named score or evidence) stand before score and evidence. The score is
+    the calibrated share of toxic votes among the NEIGHBOURS nearest examples, weighted by cosine over distance.
+    Null, empty and other texts without a term of the index: what half the training share gives, no evidence. Whole
+    texts of any length are read; no rows meet. Null doc_id stays null, repeated rows return repeated. No labelled
+    documents: 0 for all. Empty table: empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((index, np.array(names, np.int64)))  # bounded by TERMS and EXAMPLES
+    shared = docs.sparkSession.sparkContext.broadcast((index, np.array(names, np.int64)))  # bounded by POSTINGS and EXAMPLES
     rows = docs.drop("score", "evidence") if carry else docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text))
     at = rows.columns.index(text)
     out = [f for f in rows.schema.fields if carry or f.name == "doc_id"]
@@ -270,8 +365,8 @@ def score(docs: DataFrame, index: Index, names: list[int], *, doc_id: str = "doc
         seen: dict = {}
         for batch in batches:
             for a, b, data, offsets in _parts(batch.column(at)):
-                got, evidence = model.score(data, offsets, seen)
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[: len(out)]), pa.array(got), pa.array([ids[e] for e in evidence], pa.list_(pa.int64()))], names=[*(f.name for f in out), "score", "evidence"])
+                got, evidence = model.shares(data, offsets, seen)
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[: len(out)]), pa.array(model.calibrated(got)), pa.array([ids[e] for e in evidence], pa.list_(pa.int64()))], names=[*(f.name for f in out), "score", "evidence"])
 
     schema = T.StructType([*out, T.StructField("score", T.DoubleType()), T.StructField("evidence", T.ArrayType(T.LongType()))])
     return rows.mapInArrow(run, schema)

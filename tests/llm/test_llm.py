@@ -528,25 +528,98 @@ def test_toxicity(spark):
     held = [(i, t) for i, t in marks if zlib.crc32(str(i).encode()) % 4 == 2]
     assert sum((got[i].score >= 0.3) == (t == 1) for i, t in held) / len(held) > 0.95
     assert got[1000].score == got[1001].score < 0.3 <= got[1002].score and got[None].score > 0.3 and got[1000].evidence == []
+    # Calibrated on rows apart: scores are near the shares that they promise, on rows that nothing was learnt from.
+    mean = sum(got[i].score for i, _ in held) / len(held)
+    assert abs(mean - sum(t for _, t in held) / len(held)) < 0.08
+    # Every text with words has evidence, clean ones too; no evidence is held out, and none calibrates.
+    assert all(got[i].evidence for i, _ in held) and {e for r in got.values() for e in r.evidence} <= set(names)
     none, no_names = toxicity.fit(frame, labels.limit(0))
     assert {r.score for r in toxicity.score(frame, none, no_names, carry=True).collect()} == {0.0}
+    clash = frame.selectExpr("*", "1 AS score", "2 AS evidence", "3 AS toxic", "4 AS l_id")
+    carried = toxicity.score(clash, index, names, carry=True)
+    assert carried.columns == [*frame.columns, "toxic", "l_id", "score", "evidence"] and carried.filter("score > 1 OR toxic <> 3 OR l_id <> 4").count() == 0
+    assert toxicity.score(frame.limit(0), index, names).count() == 0
+    twice = toxicity.score(frame.union(frame), index, names).collect()
+    assert len(twice) == 2 * len(rows) and all(r.score == got[r.doc_id].score for r in twice)
+
+
+def test_toxicity_by_brute_force(spark):
+    """Scores and evidence against dense vectors, made here from words and stems."""
+    rng = np.random.default_rng(17)
+    words = [f"word{i}" for i in range(300)] + ["it", "of"]
+    rows = [(i, " ".join(rng.choice(words, int(rng.integers(1, 30)))).upper() + (" foulest" if i % 7 == 0 else "")) for i in range(300)]
+    labels = [(i, int(i % 7 == 0)) for i in range(0, 300, 2)]
+    frame = _frame(spark, rows)
+    index, names = toxicity.fit(frame, spark.createDataFrame(labels, "doc_id long, toxic int"))
+
+    def terms(text):
+        out = {}
+        for w in text.lower().split():
+            for t in (w, *((n, w[:n]) for n in (4, 5, 6) if len(w) > n)):
+                out[t] = out.get(t, 0) + 1
+        return out
+
+    bags = {d: terms(t) for d, t in rows}
+    marks = dict(labels)
+    space = {t for d in names for t in bags[d]}
+    assert len(space) == len(index.vocabulary) and set(names) < set(marks)
+    df = {t: sum(t in b for b in bags.values()) for t in space}
+    learnt, seen = [], set()
+    for d in names:  # no near copies here but equal texts
+        learnt.append(d)
+    prior = sum(marks[d] for d in learnt) / len(learnt)
+    log = lambda k, x: k * math.log(x) if k else 0.0
+
+    def say(t):
+        own = [marks[d] for d in learnt if t in bags[d]]
+        k, n = sum(own), len(own)
+        gain = log(k, k / n / prior if k else 1) + log(n - k, (n - k) / n / (1 - prior) if n > k else 1)
+        return math.log((1 + len(rows)) / df[t]) * (1 + toxicity.GAIN * max(0.0, gain))
+
+    says = {t: say(t) for t in space}
+
+    def vector(d):
+        v = {t: (1 + math.log(n)) * says[t] for t, n in bags[d].items() if t in says}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
+    vectors = {d: vector(d) for d in names}
+    got = {r.doc_id: r for r in toxicity.score(frame, index, names).collect()}
+    assert index.prior == pytest.approx(prior)
+    for d, _ in rows[:120]:
+        own = vector(d)
+        cosine = {e: sum(x * v.get(t, 0.0) for t, x in own.items()) for e, v in vectors.items()}
+        near = sorted((e for e in cosine if cosine[e] > 1e-12), key=lambda e: -cosine[e])[:15]
+        votes = {e: cosine[e] / (1.05 - min(cosine[e], 1.0)) for e in near}
+        share = (sum(v for e, v in votes.items() if marks[e]) + 0.05 * prior) / (sum(votes.values()) + 0.05) if near else prior / 2
+        least = cosine[near[-1]] if near else 0
+        assert {e for e in near if cosine[e] > least + 1e-9} <= set(got[d].evidence) and all(cosine[e] >= least - 1e-9 for e in got[d].evidence)
+        assert got[d].score == pytest.approx(float(index.calibrated(np.array([share]))[0]), abs=0.02)
 
 
 def test_nearest_is_exact():
     rng = np.random.default_rng(10)
     vocabulary = np.sort(rng.integers(1, 1 << 49, 300).astype(np.uint64))
+    of = rng.integers(0, 10, 700)
+    order = np.argsort(of)  # ten themes, side by side
     rows = np.repeat(np.arange(700), 6)
-    terms = np.concatenate([np.sort(rng.choice(300, 6, replace=False)) for _ in range(700)])
+    terms = np.concatenate([np.sort(30 * int(of[i]) + rng.choice(30, 6, replace=False)) for i in order])
     index = toxicity.Index(vocabulary, rng.random(300) + 0.5, rows, terms, rng.integers(1, 4, len(rows)), (rng.random(700) < 0.3).astype(float), 0.3)
-    dense = np.zeros((700, 300))
-    dense[index.rows, np.repeat(np.arange(300), np.diff(index.at))] = index.weight
+    dense, postings = np.zeros((700, 300)), 0
+    for t in range(300):
+        for e in range(index.entry[t], index.entry[t + 1]):
+            at = slice(index.post[e], index.post[e + 1])
+            dense[index.rows[at], t] = index.weight[at]
+            assert index.most[e] == index.weight[at].max() and (index.rows[at] // toxicity.BLOCK == index.block[e]).all()
     for _ in range(40):
-        own = np.sort(rng.choice(300, 5, replace=False))
+        own = np.sort(np.append(rng.choice(30, 4, replace=False), rng.integers(30, 300)))
         w = index._weights(np.zeros(5, np.int64), own, np.ones(5), 1)
         all_ = dense[:, own] @ w
+        postings += int((dense[:, own] > 0).sum())
         want = np.lexsort((np.arange(700), -np.round(all_, 12)))[:15]
         at, cosine = index.nearest(own, w, 15)
         assert at.tolist() == [i for i in want.tolist() if all_[i] > 0] and np.allclose(cosine, all_[at])
+    assert index.read < 0.95 * postings  # blocks whose bound is too low are not read
 
 
 def test_kernels():
