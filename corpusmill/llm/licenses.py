@@ -128,13 +128,24 @@ _FULL: list[tuple[str, tuple[str, ...], str]] = [
     *[(f"CC-{k}-4.0", (f"cc_{k.lower()}_{x}",), _CC_KINDS.get(k, "noncommercial")) for k in _CC.values() for x in ("full", "title")],
     ("CC0-1.0", ("cc0_title",), "permissive"),
 ]
+# Identifiers that files name in a tag, and their kinds.
+SPDX: dict[str, str] = {
+    "MIT": "permissive", "ISC": "permissive", "0BSD": "permissive", "BSD-2-Clause": "permissive", "BSD-3-Clause": "permissive", "Apache-2.0": "permissive",
+    "Unlicense": "permissive", "Zlib": "permissive", "BSL-1.0": "permissive", "CC0-1.0": "permissive", "CC-BY-4.0": "permissive", "CC-BY-SA-4.0": "copyleft",
+    "CC-BY-NC-4.0": "noncommercial", "CC-BY-ND-4.0": "noderivatives", "CC-BY-NC-SA-4.0": "noncommercial", "CC-BY-NC-ND-4.0": "noncommercial",
+    "MPL-1.1": "copyleft", "MPL-2.0": "copyleft", "EPL-2.0": "copyleft", "GPL-2.0": "copyleft", "GPL-3.0": "copyleft", "LGPL-2.1": "copyleft", "LGPL-3.0": "copyleft",
+    "AGPL-3.0": "copyleft",
+}
+_TAG = "spdx-license-identifier"
+TAGS = {f"{_TAG} {name.lower()}{more}": f"spdx_{name.lower()}" for name in SPDX for more in (("", "-only", "-or-later", "+") if "GPL" in name else ("",))}
+_FULL += [(name, (f"spdx_{name.lower()}",), kind) for name, kind in SPDX.items()]
 #: Rules of these are tried before the others. A reservation of rights right before a licence belongs to its notice.
 TEXT_RULES = [(name, (*own, *ids), kind) for own in (("reserved",), ()) for name, ids, kind in _FULL]
 #: A sentence ends at . ; : ! ? before white space or the end, at an empty line, and may end at any line end.
 _STOP, _EMPTY = r"[.;:!?]+(?:[\x20\x09-\x0D]+|\z)", r"[\x0A\x0D][\x20\x09-\x0D]*[\x0A\x0D]"
 #: What opens a comment line and an item of a list in it, and what closes a comment.
 _LEADER = r"(?<![^\x0A\x0D])(?:[\x20\x09]*(?://+!?|/\*+!?|\*+/?|#+|--+|;+|<!--+|-|%+|>+|@?rem(?=[\x20\x09])|dnl(?=[\x20\x09]))(?=[\x20\x09-\x0D]|\z))+|[\x20\x09]*(?:\*+/|--+>)(?=[\x20\x09]*(?:[\x0A\x0D]|\z))"
-_KNOWN = SENTENCES | TEXTS
+_KNOWN = SENTENCES | TEXTS | TAGS
 #: Any known sentence, its words parted by spaces or line ends (\x02), between two ends of sentences (\x01) or lines.
 _ANY = r"(?<![^\x01\x02])(?:" + "|".join(r"[ \x02]".join(map(re.escape, s.split(" "))) for s in sorted(_KNOWN, key=lambda s: (-len(s), s))) + r")(?![^\x01\x02])"
 
@@ -144,6 +155,11 @@ def normalised(text: Column) -> Column:
     space, \x01 where a sentence ends and \x02 where a line ends within what may be a sentence.
     """
     one = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ\x01\x02", "abcdefghijklmnopqrstuvwxyz\x03\x03")
+    # A tag is a sentence, and so is each licence of a tag that names up to four.
+    tagged = F.regexp_replace(one, _TAG + r":[\x20\x09]*\(?", _TAG + " ")
+    for _ in range(3):
+        tagged = F.regexp_replace(tagged, rf"({_TAG} [a-z0-9.+-]+)[\x20\x09]+(?:or|and)[\x20\x09]+(?=[a-z0-9])", f"$1\x01{_TAG} ")
+    one = F.when(F.contains(one, F.lit(_TAG + ":")), tagged).otherwise(one)
     one = F.regexp_replace(F.replace(one, F.lit("\r\n"), F.lit("\n")), _LEADER, "")
     one = F.regexp_replace(F.regexp_replace(F.regexp_replace(one, _STOP, "\x01"), _EMPTY, "\x01"), r"[\x0A\x0D]", "\x02")
     one = F.regexp_replace(F.translate(one, ",\"'()“”‘’", ""), r"[\x20\x09-\x0D]+", " ")
@@ -161,7 +177,7 @@ def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Data
 
     Rules are tried in their order on the document's sequence of identifiers; a rule matches where its identifiers
     follow each other, and what it has matched counts for no later rule. licenses holds the licences matched, by
-    place. Null or empty text and texts without known sentences: 0, empty lists, null licence and kind. Whole
+    place. SPDX tags are sentences too. Null or empty text and texts without known sentences: 0, empty lists, null licence and kind. Whole
     texts of any length are read. Repeated rows give repeated rows; null doc_id stays. Rows do not meet: no shuffle.
     """
     known = F.create_map(*[F.lit(x) for pair in _KNOWN.items() for x in pair])

@@ -479,6 +479,16 @@ distributed under the License is distributed on an "AS IS" BASIS.
     assert [got[i] for i in range(len(cases))] == [name for name, _ in cases]
 
 
+def test_licenses_tags(spark):
+    cases = [
+        ("MIT", "// SPDX-License-Identifier: MIT\nint x;"), ("Apache-2.0", "# SPDX-License-Identifier: Apache-2.0\n"), ("GPL-2.0", "/* SPDX-License-Identifier: GPL-2.0-only */"),
+        ("MIT,Apache-2.0", "# SPDX-License-Identifier: (MIT OR Apache-2.0)\nx = 1"), ("GPL-3.0", "SPDX-License-Identifier:\tGPL-3.0-or-later"), ("", "SPDX-License-Identifier: Own-1.0"),
+        ("BSD-3-Clause,MIT,ISC,Zlib", " * SPDX-License-Identifier: BSD-3-Clause AND MIT AND ISC AND Zlib\n"), ("", "spdx-license-identifier"),
+    ]
+    got = {r.doc_id: r.licenses for r in licenses.scan(_frame(spark, [(i, t) for i, (_, t) in enumerate(cases)])).collect()}
+    assert [got[i] for i in range(len(cases))] == [name for name, _ in cases]
+
+
 def test_licenses_hint(spark):
     texts = ["All rights  reserved.", "All rights\treserved.", "All rights res\"erved.", "This program is \"free\" software.", "This is free and unencumbered software released into the public  domain."]
     got = {r.doc_id: r.n_sentences for r in licenses.scan(_frame(spark, list(enumerate(texts)))).collect()}
