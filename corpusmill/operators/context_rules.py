@@ -87,12 +87,23 @@ def trivial_comment(lines: DataFrame) -> DataFrame:
     return _found(rows, "ast-slop/trivial-comment", "suggestion", F.trim(text))
 
 
-def swallowed(lines: DataFrame) -> DataFrame:
-    """Exceptions that are caught and dropped: an empty catch, or one whose next line closes it; except, then pass."""
-    t, after = F.col("text"), F.lead("text").over(_by_file())
-    js = F.col("lang").isin("typescript", "javascript") & (matches(t, r"catch\s*(?:\([^)]*\))?\s*\{\s*\}") | (matches(t, r"catch\s*(?:\([^)]*\))?\s*\{\s*\z") & F.coalesce(matches(after, r"^\s*\}"), F.lit(False))))
-    py = (F.col("lang") == "python") & matches(t, r"^\s*except\b.*:\s*(?:#.*)?\z") & F.coalesce(matches(after, r"^\s*(?:pass|\.\.\.|continue)\s*\z"), F.lit(False))
-    return _found(lines.withColumn("hit", js | py).filter("hit"), "ast-slop/swallowed-exception", "info")
+CATCH_EMPTY, CATCH_OPEN = r"catch\s*(?:\(\s*\w+\s*\))?\s*\{\s*\}\s*\z", r"catch\s*(?:\(\s*\w+\s*\))?\s*\{\s*\z"
+EXCEPT = r"^\s*except\s*(?:\w+(?:\s+as\s+\w+)?)?\s*:"
+
+
+def swallowed(lines: DataFrame, js_reach: int = 4, py_reach: int = 2) -> DataFrame:
+    """Exceptions that are caught and dropped.
+
+    Python: of the lines behind an except, within reach, the first that is neither blank nor a comment is pass or an
+    ellipsis. Elsewhere: an empty catch, or one whose next line, blank ones and comments aside, closes it within reach.
+    """
+    near = F.collect_list("text").over(_by_file().rowsBetween(1, js_reach))
+    t, py = F.col("text"), F.col("lang") == "python"
+    rows = lines.withColumn("near", near).filter(F.contains(t, F.lit("catch")) | F.contains(t, F.lit("except")))
+    first = lambda n, comment: F.try_element_at(F.filter(F.slice("near", 1, n), lambda x: ~matches(x, rf"^\s*(?:{comment}|\z)")), F.lit(1))
+    dropped = py & matches(t, EXCEPT) & F.coalesce(matches(first(py_reach, "#"), r"^\s*(?:pass|\.\.\.)\s*\z"), F.lit(False))
+    closed = matches(t, CATCH_OPEN) & F.coalesce(matches(first(js_reach, "//"), r"^\s*\}\s*\z"), F.lit(False))
+    return _found(rows.filter(dropped | (~py & (matches(t, CATCH_EMPTY) | closed))), "ast-slop/swallowed-exception", "info")
 
 
 def first_body_line(lines: DataFrame) -> DataFrame:
@@ -113,12 +124,19 @@ def undocumented(lines: DataFrame) -> DataFrame:
     return _found(go, "go-deep/exported-no-doc", "warning", F.col("name")).unionByName(_found(rust, "rust-deep/unsafe-usage", "error"))
 
 
+# Calls that query a database, in their order.
+ORM_CALLS = [
+    r"\.\s*findFirst\s*\(", r"\.\s*findMany\s*\(", r"\.\s*findUnique\s*\(", r"\.\s*create\s*\(", r"\.\s*update\s*\(", r"\.\s*delete\s*\(", r"\.\s*upsert\s*\(",
+    r"\.\s*query\s*\(", r"\.\s*execute\s*\(", r"prisma\.", r"drizzle\.", r"\.\s*select\s*\(", r"\.\s*from\s*\(", r"\.\s*where\s*\(", r"db\.\s*\(",
+]
+
+
 def as_any_context(lines: DataFrame, reach: int = 5) -> DataFrame:
     """`as any`, named by the first context that its line or the lines around it show."""
     near = F.concat_ws("\n", F.collect_list("text").over(_by_file().rowsBetween(-reach, reach)))
     t = F.col("text")
     rows = lines.filter("lang = 'typescript'").withColumn("near", near).filter(matches(t, r"\bas\s+any\b"))
-    orm = matches(F.col("near"), r"(?:\.\s*(?:findFirst|findMany|findUnique|create|update|delete|upsert|query|execute|select|from|where)\s*\(|prisma\.|drizzle\.)")
+    orm = matches(F.col("near"), "|".join(ORM_CALLS))
     rule = F.when(orm, "types/as-any-orm").when(matches(t, r"\b(?:window|document|navigator|globalThis)\b"), "types/as-any-window").when(matches(F.col("near"), r"JSON\.parse\s*\("), "types/as-any-json-parse").when(matches(t, r"(?:param|arg|option|config|ctx|event)\w*\s*:\s*any"), "types/as-any-param").otherwise("types/as-any")
     rows = rows.withColumn("rule", rule)
     return rows.select("path", "rule", F.when(F.col("rule") == "types/as-any-orm", "suggestion").otherwise("warning").alias("severity"), F.col("num").cast("int").alias("line"), F.lit(1).alias("col"), F.lit("").alias("message"))
@@ -147,12 +165,22 @@ def god_file(files: DataFrame, most_lines: int = 300, most_exports: int = 5) ->
     return _found(rows, "arch-constraints/god-file", "warning", F.col("n"))
 
 
+# What only runs in a browser, and what of it needs the mark, in their order.
+CLIENT_NAMES = [
+    "useState", "useEffect", "useRef", "useCallback", "useMemo", "useReducer", "useContext", "useLayoutEffect", "useSyncExternalStore", "onClick", "onChange", "onSubmit", "onKeyDown",
+    "onMouseOver", "onFocus", "onBlur", "onInput", "addEventListener", "window", "document", "localStorage", "sessionStorage", "fetch", "IntersectionObserver", "ResizeObserver",
+    "MutationObserver",
+]
+CLIENT_HOOKS = ["useState", "useEffect", "useRef", "useCallback", "useMemo", "useReducer", "useLayoutEffect"]
+CLIENT_EVENTS = ["onClick", "onChange", "onSubmit", "onKeyDown"]
+
+
 def next_client(files: DataFrame) -> DataFrame:
     """Files for the client marked without need, not marked in need, or marked while they export metadata."""
     c = F.col("content")
     marked = matches(c, r"^\s*['\"]use client['\"]")
-    uses = matches(c, r"\b(?:useState|useEffect|useRef|useCallback|useMemo|useReducer|useContext|useLayoutEffect|useSyncExternalStore|onClick|onChange|onSubmit|onKeyDown|onMouseOver|onFocus|onBlur|onInput|addEventListener|window|document|localStorage|sessionStorage|fetch|IntersectionObserver|ResizeObserver|MutationObserver)\b")
-    needs = matches(c, r"\b(?:useState|useEffect|useRef|useCallback|useMemo|useReducer|useLayoutEffect)\b|\b(?:onClick|onChange|onSubmit|onKeyDown)\s*=")
+    uses = matches(c, r"\b(?:" + "|".join(CLIENT_NAMES) + r")\b")
+    needs = matches(c, r"\b(?:" + "|".join(CLIENT_HOOKS) + r")\b|\b(?:" + "|".join(CLIENT_EVENTS) + r")\s*=")
     meta = matches(c, r"\bexport\s+(?:const\s+(?:metadata|generateMetadata)|(?:async\s+)?function\s+generateMetadata)\b")
     rows = files.filter(F.col("lang").isin("typescript", "javascript")).withColumn("num", F.lit(1))
     out = _found(rows.filter(marked & ~uses), "nextjs/misplaced-use-client", "warning")
@@ -304,12 +332,23 @@ def unnecessary_abstraction(lines: DataFrame) -> DataFrame:
 
 
 def both_branches_end(lines: DataFrame) -> DataFrame:
-    """Statements behind an if and else that both end, at the depth of the if."""
-    rows = nesting(lines.filter(F.col("lang").isin("typescript", "javascript"))).filter(matches(F.col("text"), r"\S"))
-    back = lambda k: F.lag("text", k, "").over(_by_file())
-    ends = r"^\s*(?:return\b.*|throw\b.*);?\s*\z"
-    hit = matches(back(1), r"^\s*\}\s*\z") & matches(back(2), ends) & matches(back(3), r"^\s*\}\s*else\s*\{\s*\z") & matches(back(4), ends) & matches(back(5), r"^\s*if\s*\(.*\)\s*\{\s*\z")
-    return _found(rows.withColumn("hit", hit).filter("hit").filter(~matches(F.col("text"), r"^\s*[})\]]")), "dead-flow/unreachable-after-if-else-return", "warning")
+    """Statements behind an if and an else whose last statements both end the function, at the depth of the if.
+
+    Blocks may be of any length: of each depth, the last statement inside the block that closes is carried along.
+    """
+    rows = nesting(lines.filter(F.col("lang").isin("typescript", "javascript"))).filter(matches(F.col("text"), r"\S") & ~matches(F.col("text"), r"^\s*(?://|\*|/\*)"))
+    before = F.lag("text", 1, "").over(_by_file())
+    rows = rows.withColumn("ends", matches(before, r"^\s*(?:return\b.*|throw\b.*);?\s*\z"))
+    # Inside: the depth of the block that a line closes or parts.
+    inside = F.col("depth") + F.when(matches(F.col("text"), r"^\s*\}\s*else\s*\{\s*\z"), 0).otherwise(1)
+    marks = F.when(matches(F.col("text"), r"^\s*if\s*\(.*\)\s*\{\s*\z"), "if").when(matches(F.col("text"), r"^\s*\}\s*else\s*\{\s*\z"), F.when(F.col("ends"), "else")).when(matches(F.col("text"), r"^\s*\}\s*\z"), F.when(F.col("ends"), "end"))
+    rows = rows.withColumn("mark", marks).withColumn("level", F.when(F.col("mark").isin("if", "else"), F.col("depth")).otherwise(inside))
+    # Of one level, the lines that open, part and close blocks, in order; a statement behind the close comes next.
+    edges = rows.filter(matches(F.col("text"), r"[{}]")).withColumn("kind", F.coalesce("mark", F.lit("other")))
+    own = Window.partitionBy("path", "level").orderBy("num")
+    shut = edges.withColumn("before1", F.lag("kind", 1, "").over(own)).withColumn("before2", F.lag("kind", 2, "").over(own)).filter("kind = 'end' AND before1 = 'else' AND before2 = 'if'").select("path", F.col("num").alias("at"))
+    nxt = rows.withColumn("at", F.lag("num").over(_by_file()))
+    return _found(nxt.join(shut, ["path", "at"], "left_semi").filter(~matches(F.col("text"), r"^\s*[})\]]")), "dead-flow/unreachable-after-if-else-return", "warning")
 
 
 def more_rules(files: DataFrame, lines: DataFrame) -> DataFrame:

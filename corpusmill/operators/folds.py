@@ -7,10 +7,11 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _OUT = "path string, rule string, severity string, line int, col int, message string"
@@ -230,16 +231,80 @@ def python_tree(content: str) -> Found:
 
 
 def comment_lines(lines: DataFrame) -> DataFrame:
-    """path, num, in_comment: whether a line starts inside a block comment; a fold over the array of lines in the JVM."""
-    by = lines.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("num", "text"))).alias("ls"))
-    start = F.struct(F.lit(False).alias("inside"), F.array().cast("array<struct<num:int,inside:boolean>>").alias("out"))
+    """path, num, in_comment: whether a line starts inside a block comment: what the last mark before it says."""
+    t = F.col("text")
+    last_open, last_close = F.length(t) - F.length(F.substring_index(t, "/*", -1)), F.length(t) - F.length(F.substring_index(t, "*/", -1))
+    mark = F.when(last_open > last_close, True).when(last_close > last_open, False)
+    before = Window.partitionBy("path").orderBy("num").rowsBetween(Window.unboundedPreceding, -1)
+    return lines.select("path", "num", F.coalesce(F.last(mark, ignorenulls=True).over(before), F.lit(False)).alias("in_comment"))
+
+
+# Names that many functions share, and how many lines a body must be longer than to count as copied.
+COMMON_NAMES = ("run", "fix", "constructor", "get", "set", "init", "handle", "process", "execute", "dispose", "close", "open", "start", "stop", "reset", "validate")
+COPIED_LINES = 5
+# How functions begin.
+_JS_HEADS = [
+    re.compile(r"^(?:export\s+)?(?:async\s+)?function\s+(\w+)\s*\("),
+    re.compile(r"^(?:export\s+)?(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s+)?(?:\([^)]*\)|[a-zA-Z_]\w*)\s*=>"),
+    re.compile(r"^(?!if|for|while|switch|catch|class|constructor)(?:(?:public|private|protected|static|async|abstract)\s+)*(\w+)\s*\([^)]*\)\s*(?::\s*[^{]+)?\{"),
+]
+_PY_HEAD = re.compile(r"^(\s*)def\s+(\w+)\s*\(")
+_FUNCTION = pa.schema([("path", pa.string()), ("num", pa.int32()), ("stop", pa.int32()), ("name", pa.string()), ("n_lines", pa.int32()), ("body", pa.string())])
+
+
+def function_bodies(content: str, lang: str) -> list[tuple[int, int, str, int, str]]:
+    """(first line, last line, name, filled lines of the body, body without comments and outer white space) of functions.
+
+    In Python a body is what stands deeper than its header; elsewhere it is what stands between the line of the first
+    brace and that of its match, all found in one pass over the braces. Bodies of 20 characters or less are left out.
+    """
+    lines, out = content.split("\n"), []
+    mark = "#" if lang == "python" else "//"
+    if lang == "python":
+        heads = [(i, m[2], len(m[1])) for i, line in enumerate(lines) if (m := _PY_HEAD.match(line))]
+        indents = [len(line) - len(line.lstrip()) if line.strip() else None for line in lines]
+        spans = []
+        for i, name, indent in heads:
+            j, last = i + 1, i
+            while j < len(lines) and (indents[j] is None or indents[j] > indent):
+                last = j if indents[j] is not None else last
+                j += 1
+            spans.append((i, last, name, i + 1, j))
+    else:
+        braces = [(i, c) for i, line in enumerate(lines) for c in line if c in "{}"]
+        match, stack = {}, []
+        for k, (_, c) in enumerate(braces):
+            if c == "{":
+                stack.append(k)
+            elif stack:
+                match[stack.pop()] = k
+        opens = [k for k, (_, c) in enumerate(braces) if c == "{"]
+        at_line = [braces[k][0] for k in opens]
+        spans = []
+        for i, line in enumerate(lines):
+            if m := next((m for head in _JS_HEADS if (m := head.match(line.strip()))), None):
+                k = bisect_left(at_line, i)
+                if k < len(opens):
+                    close = match.get(opens[k])
+                    last = braces[close][0] if close is not None else len(lines) - 1
+                    spans.append((i, last, m[1], max(i + 1, at_line[k]), last if close is not None else len(lines)))
+    for i, last, name, a, b in spans:
+        body = [line.split(mark, 1)[0].strip() if mark in line else line.strip() for line in lines[a:b]]
+        text = "\n".join(x for x in body if x)
+        if len(text) > 20:
+            out.append((i + 1, last + 1, name, sum(bool(x.strip()) for x in lines[a:b]), text))
+    return out
+
+
+def functions(files: DataFrame) -> DataFrame:
+    """path, num, stop, name, n_lines, body of the functions of a corpus."""
 
-    def step(acc, x):
-        last_open, last_close = F.length(x["text"]) - F.length(F.substring_index(x["text"], "/*", -1)), F.length(x["text"]) - F.length(F.substring_index(x["text"], "*/", -1))
-        after = F.when(last_open > last_close, True).when(last_close > last_open, False).otherwise(acc["inside"])
-        return F.struct(after.alias("inside"), F.concat(acc["out"], F.array(F.struct(x["num"].alias("num"), acc["inside"].alias("inside")))).alias("out"))
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(path, *f) for path, lang, content in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True) for f in function_bodies(content or "", lang)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, _FUNCTION.types, strict=True)], schema=_FUNCTION)
 
-    return by.select("path", F.explode(F.aggregate("ls", start, step, lambda a: a["out"])).alias("o")).select("path", "o.num", F.col("o.inside").alias("in_comment"))
+    return files.filter(F.col("lang").isin("typescript", "javascript", "python")).select("path", "lang", "content").mapInArrow(each, "path string, num int, stop int, name string, n_lines int, body string")
 
 
 def all_folds(files: DataFrame) -> DataFrame:

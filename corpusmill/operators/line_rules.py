@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import extract, matches
+from corpusmill.functions.text import extract, java, matches
 
 JS, PY, GO, RS = ("typescript", "javascript"), ("python",), ("go",), ("rust",)
 TS, HTML, CSS, MD, YAML, CODE = ("typescript",), ("html",), ("css",), ("markdown",), ("yaml",), (*JS, *PY, *GO, *RS)
@@ -17,7 +18,11 @@ COMMENT = r"^\s*(?://|/\*|\*|#)"
 
 @dataclass(frozen=True)
 class Rule:
-    """Lines of the languages that match, unless they match ``but``, or their path matches ``off``."""
+    """Lines of the languages that match, unless they match ``but``, or their path matches ``off``.
+
+    each: every match of a line is a finding, and ``but`` is held against the match. has: a match holds one of these
+    strings, so that lines without them need no pattern.
+    """
 
     id: str
     severity: str
@@ -25,7 +30,50 @@ class Rule:
     pattern: str
     but: str = ""
     off: str = ""
-
+    each: bool = False
+    has: tuple[str, ...] = ()
+
+
+# Comments that name how code came about, in their order.
+META_COMMENTS = [
+    r"//\s*Generated\s+by",
+    r"//\s*AI[- ]?assisted",
+    r"//\s*Created\s+with\s+(?:Claude|GPT|ChatGPT|Copilot|Gemini|AI)",
+    r"//\s*Auto[- ]?generated",
+    r"//\s*Written\s+by\s+(?:Claude|GPT|ChatGPT|Copilot|Gemini|AI)",
+    r"/\*\s*Generated\s+by",
+    r"/\*\s*AI[- ]?assisted",
+    r"/\*\s*Auto[- ]?generated",
+    r"#\s*Generated\s+by",
+    r"#\s*AI[- ]?assisted",
+    r"#\s*Auto[- ]?generated",
+    r"#\s*Created\s+with\s+(?:Claude|GPT|ChatGPT|Copilot|Gemini|AI)",
+]
+# Names that say nothing, in their order.
+GENERIC_NAMES = ["var1", "var2", "var3", "temp", "tmp", "retval", "foo", "bar", "baz", "qux", "quux", "x", "y", "z", "a", "b", "c", "stuff", "thing", "something", "whatever", "misc", "obj", "itm"]
+# Type parameters that are any, in their order; each counts.
+GENERIC_ANY = [
+    r"Array\s*<\s*any\s*>",
+    r"ReadonlyArray\s*<\s*any\s*>",
+    r"Promise\s*<\s*any\s*>",
+    r"Record\s*<\s*[^,]+\s*,\s*any\s*>",
+    r"Map\s*<\s*[^,]+\s*,\s*any\s*>",
+    r"Set\s*<\s*any\s*>",
+    r"Partial\s*<\s*any\s*>",
+    r"Omit\s*<\s*any\s*,",
+    r"Pick\s*<\s*any\s*,",
+    r"ReturnType\s*<\s*any\s*>",
+    r"\w+\s*<\s*any\s*>",
+]
+# Control and invisible characters, as ranges in their order.
+UNICODE_ANOMALIES = [(0x00, 0x08), (0x0B, 0x0C), (0x0E, 0x1F), (0x7F, 0x7F), (0x200B, 0x200B), (0x200C, 0x200D), (0x200E, 0x200F), (0x202A, 0x202E), (0x2066, 0x2069), (0xFEFF, 0xFEFF), (0xFFF9, 0xFFFB)]
+_CALL, _ARGUMENT = r"\b(?:function|callback|handler)\b", r"\(\s*\w*\s*,?\s*\b"
+_ANSWER, _PARTS = r"\b(?:response|res|result|axios|fetch|api)\b", r"\{\s*[^}]*\b\w+\b[^}]*\}\s*="
+#: Lines on which such a name is in order.
+GENERIC_FINE = (
+    rf"\b(?:name|id)\s*=\s*[\"']|(?:{_CALL}|=>).*{_ARGUMENT}|{_ARGUMENT}.*(?:{_CALL}|=>)|\b(?:query|params|req|request|ctx|context)\s*[.\[]\s*"
+    rf"|{_PARTS}.*{_ANSWER}|{_ANSWER}.*{_PARTS}|\b(?:FormData|event|CustomEvent)\b|\b(?:useQuery|useMutation|useSWR|useFetch)\b"
+)
 
 # What each rule looks for. Patterns are RE2-safe.
 RULES: list[Rule] = [
@@ -33,27 +81,28 @@ RULES: list[Rule] = [
     Rule("ast-slop/narrative-comment", "suggestion", JS + GO + RS, r"(?i)(?://\s*(?:Initialize|Set up|Handle|Process|Create|Update|Calculate|Check if|Define)|/\*\s*(?:We need to|This function))"),
     Rule("ast-slop/narrative-comment", "suggestion", PY, r"(?i)(?:#\s*(?:Initialize|Set up|Handle|Process|Create|Update|Calculate|Check if|Define)|\"\"\"\s*(?:We need to|This function))"),
     Rule("ast-slop/decorative-comment", "info", CODE, r"(?:(?://|#)\s*(?:={3,}|[─━]{3,}|\*{3,}|~{3,}|-{3,}\s*\z))"),
-    Rule("ast-slop/meta-comment", "info", CODE, r"(?i)(?://|/\*|#)\s*(?:Generated\s+by|AI[- ]?assisted|Auto[- ]?generated|Created\s+with\s+(?:Claude|GPT|ChatGPT|Copilot|Gemini|AI)|Written\s+by\s+(?:Claude|GPT|ChatGPT|Copilot|Gemini|AI))"),
+    Rule("ast-slop/meta-comment", "info", CODE, "(?i)(?:" + "|".join(META_COMMENTS) + ")"),
     Rule("ast-slop/todo-stub", "info", CODE, r"(?i)^\s*(?://|/\*|\*|#).*\b(?:TODO|FIXME|HACK|XXX)\b", r"(?i)(?:#\d+|@[a-zA-Z0-9_-]+|\(\d{4}-\d{2}-\d{2}\)|https?://|TODO/FIXME)"),
-    Rule("ast-slop/generic-name", "suggestion", JS, r"(?:const|let|var)\s+(?:var1|var2|var3|temp|tmp|retval|foo|bar|baz|qux|quux|stuff|thing|something|whatever|misc|obj|itm|x|y|z|a|b|c)\b", r"(?:\b(?:name|id)\s*=\s*[\"']|FormData|CustomEvent|useQuery|useMutation|useSWR|useFetch|=>)"),
-    Rule("ast-slop/as-any", "warning", TS, r"\bas\s+any\b", r"\bas\s+unknown\s+as\s+\w+"),
-    Rule("ast-slop/double-assertion", "warning", TS, r"\bas\s+unknown\s+as\s+(?:string|number|boolean)\b"),
-    Rule("ast-slop/defensive-typeof", "info", TS, r"typeof\s+\w+\s*(?:===|!==)\s*['\"]undefined['\"]"),
-    Rule("ast-slop/defensive-isinstance", "info", PY, r"isinstance\s*\(.*#\s*type:\s*ignore"),
-    Rule("ast-slop/hardcoded-config", "warning", CODE, r"['\"]https?://[^'\"]+['\"]", r"(?:localhost|127\.0\.0\.1|example\.(?:com|org)|\.(?:png|svg|css|js)['\"]|^\s*(?://|#|\*|import\b))"),
+    Rule("ast-slop/generic-name", "suggestion", (*JS, *GO, *RS), r"(?:const|let|var)\s+(?:" + "|".join(GENERIC_NAMES) + r")\b", GENERIC_FINE),
+    Rule("ast-slop/generic-name", "suggestion", PY, r"(?:^|\s)(?:" + "|".join(GENERIC_NAMES) + r")\s*=", GENERIC_FINE, has=("=",)),
+    Rule("ast-slop/as-any", "warning", TS, r"\bas\s+any\b", r"\bas\s+unknown\s+as\s+\w+", has=("any",)),
+    Rule("ast-slop/double-assertion", "warning", TS, r"\bas\s+unknown\s+as\s+(?:string|number|boolean)\b", has=("unknown",)),
+    Rule("ast-slop/defensive-typeof", "info", TS, r"typeof\s+\w+\s*(?:===|!==)\s*['\"]undefined['\"]", has=("typeof",)),
+    Rule("ast-slop/defensive-isinstance", "info", PY, r"isinstance\s*\(.*#\s*type:\s*ignore", has=("isinstance",)),
+    Rule("ast-slop/hardcoded-config", "warning", CODE, r"['\"]https?://[^'\"]+['\"]", r"(?:localhost|127\.0\.0\.1|example\.(?:com|org)|\.(?:png|svg|css|js)['\"]|^\s*(?://|#|\*|import\b))", has=("http",)),
     Rule("ast-slop/debug-path", "warning", JS, r"^\s*debugger\s*;?", "", TEST_PATH),
     Rule("ast-slop/debug-path", "info", JS, r"process\.env\.DEBUG\b", "", TEST_PATH),
-    Rule("ast-slop/barrel-wildcard-import", "info", JS, r"^\s*import\s+\*\s+as\s+\w+\s+from\s+['\"][^'\"]*(?:/index)['\"]"),
-    Rule("ast-slop/barrel-type-import", "info", TS, r"^\s*import\s+type\s+.*from\s+['\"][^'\"]*(?:/index)['\"]"),
-    Rule("ast-slop/suspicious-alias", "info", JS, r"\bas\s+(?:data|temp|tmp|obj|item|helper|utils?|stuff|thing|foo|bar|x|y)\b.*\bfrom\b"),
+    Rule("ast-slop/barrel-wildcard-import", "info", JS, r"^\s*import\s+\*\s+as\s+\w+\s+from\s+['\"][^'\"]*(?:/index)['\"]", has=("import",)),
+    Rule("ast-slop/barrel-type-import", "info", TS, r"^\s*import\s+type\s+.*from\s+['\"][^'\"]*(?:/index)['\"]", has=("import",)),
+    Rule("ast-slop/suspicious-alias", "info", JS, r"\bas\s+(?:data|temp|tmp|obj|item|helper|utils?|stuff|thing|foo|bar|x|y)\b.*\bfrom\b", has=("from",)),
     # types
-    Rule("types/ts-suppress", "warning", TS, r"//\s*@ts-(?:ignore|expect-error)"),
-    Rule("types/double-assertion", "warning", TS, r"\bas\s+unknown\s+as\s+\w+"),
-    Rule("types/generic-any", "warning", TS, r"(?:(?:Record|Map)\s*<[^,>]+,\s*any\s*>|\w+\s*<\s*any\s*[,>])", r"^\s*(?://|\*)"),
+    Rule("types/ts-suppress", "warning", TS, r"//\s*@ts-(?:ignore|expect-error)", has=("@ts-",)),
+    Rule("types/double-assertion", "warning", TS, r"\bas\s+unknown\s+as\s+\w+", each=True, has=("unknown",)),
+    *[Rule("types/generic-any", "warning", TS, p, each=True, has=("any",)) for p in GENERIC_ANY],
     Rule("types/non-null-assertion", "warning", TS, r"[A-Za-z0-9_)\]]!(?:\.|;|,|\)|\]|\z)", r"^\s*(?://|\*)|['\"`]"),
     Rule("types/missing-return-type", "info", TS, r"(?:function\s+\w+\s*\([^)]*\)\s*\{|(?:const|let|var)\s+\w+\s*=\s*(?:\([^)]*\)|\w+)\s*=>\s*\{)", r"function\s+(?:constructor|render|componentDidMount|useEffect|useState)"),
-    Rule("types/as-any-window", "warning", TS, r"\b(?:window|document|navigator|globalThis)\b.*\bas\s+any\b"),
-    Rule("types/as-any-json-parse", "warning", TS, r"JSON\.parse\s*\(.*\bas\s+any\b"),
+    Rule("types/as-any-window", "warning", TS, r"\b(?:window|document|navigator|globalThis)\b.*\bas\s+any\b", has=("any",)),
+    Rule("types/as-any-json-parse", "warning", TS, r"JSON\.parse\s*\(.*\bas\s+any\b", has=("JSON.parse",)),
     # security
     Rule("security-deep/eval-usage", "error", JS, r"(?:\beval\s*\(|\bnew\s+Function\s*\(|\b(?:setTimeout|setInterval)\s*\(\s*['\"`])", COMMENT, TEST_PATH),
     Rule("security-deep/inner-html", "error", JS, r"(?:\.innerHTML\s*=|\bdocument\s*\.\s*write\s*\()", COMMENT, TEST_PATH),
@@ -68,54 +117,53 @@ RULES: list[Rule] = [
     # python
     Rule("python-deep/bare-except", "error", PY, r"^\s*except\s*:\s*(?:#.*)?\z"),
     Rule("python-deep/broad-exception", "warning", PY, r"^\s*except\s+(?:Exception|BaseException)\s*:"),
-    Rule("python-deep/global-variable", "error", PY, r"^\s*global\s+\w+"),
-    Rule("python-deep/star-import", "error", PY, r"^\s*from\s+\S+\s+import\s+\*"),
+    Rule("python-deep/global-variable", "error", PY, r"^\s*global\s+\w+", has=("global",)),
+    Rule("python-deep/star-import", "error", PY, r"^\s*from\s+\S+\s+import\s+\*", has=("import",)),
     Rule("python-deep/print-statement", "info", PY, r"^\s*print\s*\(", "", TEST_PATH),
-    Rule("python-deep/f-string-in-log", "warning", PY, r"\b(?:logging|logger|log)\.(?:debug|info|warning|error|critical|exception)\s*\(\s*f['\"]"),
-    Rule("python-deep/mutable-default", "error", PY, r"^\s*def\s+\w+\s*\(.*=\s*(?:\[\s*\]|\{\s*\})"),
-    Rule("python-deep/no-return-type", "warning", PY, r"^\s*def\s+[a-zA-Z_]\w*\s*\([^)]*\)\s*:"),
-    Rule("python-deep/no-type-hint", "warning", PY, r"^\s*def\s+\w+\s*\(\s*(?:self\s*,\s*|cls\s*,\s*)?[a-zA-Z_]\w*\s*[,)=]", r"\(\s*(?:self|cls)?\s*\)"),
+    Rule("python-deep/f-string-in-log", "warning", PY, r"\b(?:logging|logger|log)\.(?:debug|info|warning|error|critical|exception)\s*\(\s*f['\"]", has=("log",)),
+    Rule("python-deep/mutable-default", "error", PY, r"^\s*def\s+\w+\s*\(.*=\s*(?:\[\s*\]|\{\s*\})", has=("def",)),
+    Rule("python-deep/no-return-type", "warning", PY, r"^\s*def\s+[a-zA-Z_]\w*\s*\([^)]*\)\s*:", has=("def",)),
+    Rule("python-deep/no-type-hint", "warning", PY, r"^\s*def\s+\w+\s*\(\s*(?:self\s*,\s*|cls\s*,\s*)?[a-zA-Z_]\w*\s*[,)=]", r"\(\s*(?:self|cls)?\s*\)", has=("def",)),
     # go
-    Rule("go-deep/empty-interface", "error", GO, r"\binterface\s*\{\s*\}", COMMENT),
-    Rule("go-deep/goto-usage", "error", GO, r"\bgoto\s+[A-Za-z_]\w*", COMMENT),
+    Rule("go-deep/empty-interface", "error", GO, r"\binterface\s*\{\s*\}", COMMENT, has=("interface",)),
+    Rule("go-deep/goto-usage", "error", GO, r"\bgoto\s+[A-Za-z_]\w*", COMMENT, has=("goto",)),
     Rule("go-deep/unchecked-error", "error", GO, r"^\s*(?:_|[A-Za-z_]\w*\s*,\s*_)\s*:?=\s*[\w.]+\s*\(", r"\berr\b"),
     # rust
-    Rule("rust-deep/unwrap-in-prod", "error", RS, r"\.unwrap\s*\(\s*\)", COMMENT, TEST_PATH),
-    Rule("rust-deep/expect-in-prod", "warning", RS, r"\.expect\s*\(", COMMENT, TEST_PATH),
-    Rule("rust-deep/todo-macro", "error", RS, r"\btodo!\s*\(", COMMENT, TEST_PATH),
-    Rule("rust-deep/unimplemented-macro", "error", RS, r"\bunimplemented!\s*\(", COMMENT, TEST_PATH),
-    Rule("rust-deep/clone-on-copy", "warning", RS, r"(?:\b\d+|\btrue|\bfalse|'.')\.clone\s*\(\)", COMMENT),
-    Rule("rust-deep/redundant-clone", "warning", RS, r"\breturn\s+\w+\.clone\s*\(\)", COMMENT),
-    Rule("rust-deep/wildcard-catch", "warning", RS, r"^\s*_\s*=>", COMMENT),
+    Rule("rust-deep/unwrap-in-prod", "error", RS, r"\.unwrap\s*\(\s*\)", COMMENT, TEST_PATH, has=("unwrap",)),
+    Rule("rust-deep/expect-in-prod", "warning", RS, r"\.expect\s*\(", COMMENT, TEST_PATH, has=("expect",)),
+    Rule("rust-deep/todo-macro", "error", RS, r"\btodo!\s*\(", COMMENT, TEST_PATH, has=("todo!",)),
+    Rule("rust-deep/unimplemented-macro", "error", RS, r"\bunimplemented!\s*\(", COMMENT, TEST_PATH, has=("unimplemented!",)),
+    Rule("rust-deep/clone-on-copy", "warning", RS, r"(?:\b\d+|\btrue|\bfalse|'.')\.clone\s*\(\)", COMMENT, has=("clone",)),
+    Rule("rust-deep/redundant-clone", "warning", RS, r"\breturn\s+\w+\.clone\s*\(\)", COMMENT, has=("clone",)),
+    Rule("rust-deep/wildcard-catch", "warning", RS, r"^\s*_\s*=>", COMMENT, has=("=>",)),
     # frameworks
-    Rule("nextjs/hardcoded-env", "info", JS, r"['\"]https?://(?:localhost|127\.0\.0\.1|0\.0\.0\.0):\d+['\"]|['\"]https?://[a-z0-9-]+\.example\.com(?:/|['\"])"),
+    Rule("nextjs/hardcoded-env", "info", JS, r"['\"]https?://(?:localhost|127\.0\.0\.1|0\.0\.0\.0):\d+['\"]|['\"]https?://[a-z0-9-]+\.example\.com(?:/|['\"])", has=("http",)),
     Rule("nextjs/pages-router-in-app", "warning", JS, r"\bexport\s+(?:(?:async\s+)?function|const)\s+(?:getServerSideProps|getStaticProps|getStaticPaths)\b"),
-    Rule("nextjs/next-router-vs-navigation", "warning", JS, r"from\s+['\"]next/router['\"]"),
-    Rule("tailwind/apply-anti-pattern", "warning", CSS, r"@apply\s+\S+"),
-    Rule("tailwind/important-modifier", "info", JS, r"className\s*=\s*[\"'`](?:[^\"'`]*\s)?![^\"'`]+[\"'`]"),
-    Rule("tailwind/inline-style-conflict", "warning", JS, r"<\w+[^>]*\bclassName\s*=[^>]*\bstyle\s*=\s*\{"),
-    Rule("tailwind/magic-values", "suggestion", JS, r"className\s*=\s*[\"'`][^\"'`]*-\[\d+(?:\.\d+)?(?:px|rem|em|%)?\]"),
+    Rule("nextjs/next-router-vs-navigation", "warning", JS, r"from\s+['\"]next/router['\"]", has=("next/router",)),
+    Rule("tailwind/apply-anti-pattern", "warning", CSS, r"@apply\s+\S+", has=("@apply",)),
+    Rule("tailwind/important-modifier", "info", JS, r"className\s*=\s*[\"'`](?:[^\"'`]*\s)?![^\"'`]+[\"'`]", has=("className",)),
+    Rule("tailwind/inline-style-conflict", "warning", JS, r"<\w+[^>]*\bclassName\s*=[^>]*\bstyle\s*=\s*\{", has=("className",)),
+    Rule("tailwind/magic-values", "suggestion", JS, r"className\s*=\s*[\"'`][^\"'`]*-\[\d+(?:\.\d+)?(?:px|rem|em|%)?\]", has=("className",)),
     # imports, architecture, dead code, translation
     Rule("import-intelligence/side-effect-import", "info", JS, r"^\s*import\s+['\"][^'\"]+['\"]", "", r"(?:^|/)(?:main|index|entry|setup)\.[a-z]+\z"),
-    Rule("import-intelligence/react-auto-jsx", "suggestion", JS, r"^\s*import\s+React\s+from\s+['\"]react['\"]"),
-    Rule("arch-constraints/unstable-dependency", "info", JS, r"(?i)from\s+['\"]\.[^'\"]*\b(?:internal|private|temp|hack|wip|experimental|unstable|prototype)\b[^'\"]*['\"]"),
-    Rule("dead-flow/dead-conditional", "warning", JS, r"^\s*if\s*\(\s*(?:true|false|0|1|null|undefined|!0|!1)\s*\)"),
-    Rule("dead-flow/empty-block", "warning", JS, r"catch\s*(?:\([^)]*\))?\s*\{\s*\}"),
+    Rule("import-intelligence/react-auto-jsx", "suggestion", JS, r"^\s*import\s+React\s+from\s+['\"]react['\"]", has=("React",)),
+    Rule("arch-constraints/unstable-dependency", "info", JS, r"(?i)from\s+['\"]\.[^'\"]*\b(?:internal|private|temp|hack|wip|experimental|unstable|prototype)\b[^'\"]*['\"]", has=("from",)),
+    Rule("dead-flow/dead-conditional", "warning", JS, r"^\s*if\s*\(\s*(?:true|false|0|1|null|undefined|!0|!1)\s*\)", has=("if",)),
+    Rule("dead-flow/empty-block", "warning", JS, r"catch\s*(?:\([^)]*\))?\s*\{\s*\}", has=("catch",)),
     Rule("dead-flow/empty-block", "info", JS, r"^\s*(?:if|for|while|switch)\s*\([^)]*\)\s*\{\s*\}"),
     Rule("i18n-lint/hardcoded-string-props", "warning", JS, r"\b(?:title|label|placeholder|alt|aria-label)\s*=\s*\"[A-Z][a-z]+ [^\"]+\""),
-    Rule("i18n-lint/hardcoded-string-jsx", "info", JS, r">\s*[A-Z][a-z]+(?: [A-Za-z]+)+\s*</"),
+    Rule("i18n-lint/hardcoded-string-jsx", "info", JS, r">\s*[A-Z][a-z]+(?: [A-Za-z]+)+\s*</", has=("</",)),
     Rule("i18n-lint/locale-mismatch", "warning", JS, r"(?:from|require\()\s*['\"][^'\"]*(?:locales?|i18n)/[a-z]{2}\.json['\"]"),
     # syntax and formatting
     Rule("syntax-deep/trailing-whitespace", "info", (*CODE, "css", "html", "yaml"), r"[ \t]+\z"),
     Rule("syntax-deep/mixed-indent-line", "warning", CODE, r"^(?: +\t|\t+ )"),
-    Rule("syntax-deep/precision-loss", "warning", JS, r"\b[1-9]\d{16,}\b"),
-    Rule("syntax-deep/unicode-anomaly", "warning", CODE, r"[\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}]"),
+    Rule("syntax-deep/unicode-anomaly", "warning", CODE, "[" + "".join(rf"\x{{{a:04X}}}-\x{{{b:04X}}}" for a, b in UNICODE_ANOMALIES) + "]", each=True),
     Rule("format-lint/max-line-length", "info", CODE, r"^.{121,}", r"^\s*(?:import\s+|https?://)"),
     # markup
-    Rule("html/missing-alt", "error", HTML, r"(?i)<img\b", r"(?i)\balt\s*="),
-    Rule("html/missing-lang", "warning", HTML, r"(?i)<html\b", r"(?i)\blang\s*="),
-    Rule("html/deprecated-tag", "warning", HTML, r"(?i)<(?:center|font|marquee|blink|strike|big|tt|frame|frameset|acronym|applet|basefont|dir)\b"),
-    Rule("html/inline-event-handler", "warning", HTML, r"(?i)\bon(?:click|change|submit|load|mouseover|mouseout|keydown|keyup|focus|blur|input)\s*="),
+    Rule("html/missing-alt", "error", HTML, r"(?i)<img\b[^>]*>", r"(?i)\balt\s*=", each=True),
+    Rule("html/missing-lang", "warning", HTML, r"(?i)<html\b[^>]*>", r"(?i)\blang\s*=", each=True),
+    Rule("html/deprecated-tag", "warning", HTML, r"(?i)<(?:center|font|marquee|blink|strike|big|tt|frame|frameset|acronym|applet|basefont|dir)\b", each=True),
+    Rule("html/inline-event-handler", "warning", HTML, r"(?i)\bon(?:click|change|submit|load|mouseover|mouseout|keydown|keyup|focus|blur|input)\s*=", each=True),
     Rule("md/broken-link", "warning", MD, r"\[[^\]]*\]\(\s*#?\s*\)"),
     Rule("md/missing-fenced-lang", "suggestion", MD, r"^\s*(?:```+|~~~+)\s*\z"),
     Rule("yaml/tab-indent", "error", YAML, r"^\t"),
@@ -129,26 +177,51 @@ def detect(all_lines: DataFrame, rules: list[Rule] | None = None, disabled: set[
     text, path = F.col("text"), F.col("path")
 
     def hit(r: Rule):
-        test = F.col("lang").isin(*r.langs) & matches(text, r.pattern)
-        if r.but:
+        test = F.col("lang").isin(*r.langs)
+        if r.has:
+            test &= reduce(Column.__or__, [F.contains(text, F.lit(x)) for x in r.has])
+        test &= matches(text, r.pattern)
+        if r.but and not r.each:
             test &= ~matches(text, r.but)
         if r.off:
             test &= ~matches(path, r.off)
-        return F.when(test, F.struct(F.lit(r.id).alias("rule"), F.lit(r.severity).alias("severity"), extract(text, r.pattern).alias("message")))
+        found = F.regexp_extract_all(text, F.lit(java(r.pattern)), F.lit(0)) if r.each else F.array(extract(text, r.pattern))
+        if r.but and r.each:
+            found = F.filter(found, lambda m: ~matches(m, r.but))
+        return F.when(test, F.transform(found, lambda m: F.struct(F.lit(r.id).alias("rule"), F.lit(r.severity).alias("severity"), m.alias("message"))))
 
     seen = sorted({lang for r in on for lang in r.langs})
-    found = all_lines.filter(F.col("lang").isin(*seen)).select("path", "num", "text", F.explode(F.array_compact(F.array(*map(hit, on)))).alias("d"))
+    found = all_lines.filter(F.col("lang").isin(*seen)).select("path", "num", "text", F.explode(F.flatten(F.array_compact(F.array(*map(hit, on))))).alias("d"))
     return found.select("path", "d.rule", "d.severity", F.col("num").cast("int").alias("line"), F.instr("text", F.col("d.message")).cast("int").alias("col"), "d.message")
 
 
+#: Numbers as source text writes them; hexadecimal, octal and binary ones are matched whole, and have no digits to lose.
+NUMBER = r"\b(?:0[xX][0-9a-fA-F]+|0[oO][0-7]+|0[bB][01]+|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)\b"
+
+
+def precision_loss(all_lines: DataFrame) -> DataFrame:
+    """Decimal literals of more than 15 significant digits that a double gives back as another number or notation."""
+    n = F.col("message")
+    rows = all_lines.filter(F.col("lang").isin(*CODE)).filter(matches(F.col("text"), r"\d{8}")).select("path", "num", "text", F.explode(F.regexp_extract_all("text", F.lit(java(NUMBER)), F.lit(0))).alias("message"))
+    # Leading zeros and the point are no significant digits; trailing zeros are.
+    digits = F.regexp_replace(F.replace(F.regexp_extract(n, r"^[^eE]*", 0), F.lit("."), F.lit("")), r"^0+", "")
+    back = F.regexp_replace(F.regexp_replace(F.replace(F.regexp_extract(n.cast("double").cast("string"), r"^[^E]*", 0), F.lit("."), F.lit("")), r"^0+", ""), r"0+\z", "")
+    same = (F.regexp_replace(digits, r"0+\z", "") == back) & ~matches(n, r"[eE]|^\.|\..*0\z")
+    rows = rows.filter(~matches(n, r"^0[xXoObB]")).filter((F.length(digits) > 15) & ~same)
+    return rows.select("path", F.lit("syntax-deep/precision-loss").alias("rule"), F.lit("warning").alias("severity"), F.col("num").cast("int").alias("line"), F.instr("text", n).cast("int").alias("col"), "message")
+
+
 def sql(rules: list[Rule] | None = None) -> str:
     """The same as a SELECT over a relation lines(path, lang, num, text)."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     arms = []
     for r in RULES if rules is None else rules:
         test = f"lang IN ({', '.join(map(quote, r.langs))}) AND regexp_matches(text, {quote(r.pattern)})"
-        test += f" AND NOT regexp_matches(text, {quote(r.but)})" if r.but else ""
+        test += f" AND NOT regexp_matches(text, {quote(r.but)})" if r.but and not r.each else ""
         test += f" AND NOT regexp_matches(path, {quote(r.off)})" if r.off else ""
-        m = f"regexp_extract(text, {quote(r.pattern)})"
-        arms.append(f"SELECT path, {quote(r.id)} AS rule, {quote(r.severity)} AS severity, num::INT AS line, strpos(text, {m})::INT AS col, {m} AS message FROM lines WHERE {test}")
+        m, source = f"regexp_extract(text, {quote(r.pattern)})", "lines"
+        if r.each:
+            m, source = "m", f"(SELECT *, unnest(regexp_extract_all(text, {quote(r.pattern)})) AS m FROM lines)"
+            test += f" AND NOT regexp_matches(m, {quote(r.but)})" if r.but else ""
+        arms.append(f"SELECT path, {quote(r.id)} AS rule, {quote(r.severity)} AS severity, num::INT AS line, strpos(text, {m})::INT AS col, {m} AS message FROM {source} WHERE {test}")
     return "\nUNION ALL ".join(arms)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.text import extract, matches, trim_all
 from corpusmill.operators.context_rules import _found
+from corpusmill.operators.folds import COMMON_NAMES, COPIED_LINES
 from corpusmill.operators.views import words
 
 SUFFIXES = ("", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.js", ".py")
@@ -111,8 +112,12 @@ def repeated_constants(strings: DataFrame, least: int = 3, shown: int = 10) -> D
     """Literals that stand ``least`` times in as many files, where they stand first, and some of the places."""
     usable = strings.filter(~matches(F.col("value"), r"^(?:https?://|\.{1,2}/|@|use )") & ~matches(F.col("value"), r"^[a-z-]+/[a-z0-9/_-]+\z") & matches(F.col("value"), r"[A-Za-z]"))
     place = F.concat(F.col("path"), F.lit(":"), F.col("num").cast("string"))
-    by = usable.groupBy("value").agg(F.count("*").alias("n"), F.countDistinct("path").alias("n_files"), F.min(F.struct("path", "num")).alias("first"), F.slice(F.array_sort(F.collect_set(place)), 1, shown).alias("places"))
-    return by.filter((F.col("n") >= least) & (F.col("n_files") >= least)).select("value", F.col("n").cast("long"), F.col("n_files").cast("long"), F.col("first.path").alias("path"), F.col("first.num").cast("int").alias("line"), F.array_join("places", ",").alias("places"))
+    by = usable.groupBy("value").agg(F.count("*").alias("n"), F.countDistinct("path").alias("n_files"), F.min(F.struct("path", "num")).alias("first"))
+    by = by.filter((F.col("n") >= least) & (F.col("n_files") >= least))
+    # Of a literal that stands everywhere, each task keeps the first places alone.
+    one = usable.select("value", place.alias("place")).distinct().withColumn("r", F.row_number().over(Window.partitionBy("value").orderBy("place"))).filter(F.col("r") <= shown)
+    places = one.groupBy("value").agg(F.array_join(F.array_sort(F.collect_list("place")), ",").alias("places"))
+    return by.join(places, "value").select("value", F.col("n").cast("long"), F.col("n_files").cast("long"), F.col("first.path").alias("path"), F.col("first.num").cast("int").alias("line"), "places")
 
 
 def one_line_functions(lines: DataFrame) -> DataFrame:
@@ -124,10 +129,21 @@ def one_line_functions(lines: DataFrame) -> DataFrame:
     return lines.withColumn("name", name).withColumn("types", types).withColumn("body", F.regexp_replace(F.coalesce(after, F.lit("")), r"\s+", " ")).filter("name <> ''").select("path", "num", "name", "types", "body")
 
 
-def copied_functions(functions: DataFrame, least: int = 20) -> DataFrame:
-    """Functions of other names with a body that also stands elsewhere: one row a body, with how many have it."""
-    by = functions.filter(F.length("body") > least).groupBy(F.md5("body").alias("key")).agg(F.count("*").alias("n"), F.countDistinct("name").alias("n_names"), F.min(F.struct("path", "num", "name")).alias("first"))
-    return by.filter("n >= 2 AND n_names >= 2").select("key", F.col("n").cast("long"), F.col("n_names").cast("long"), F.col("first.path").alias("path"), F.col("first.name").alias("name"))
+def copied_functions(functions: DataFrame, least: int = COPIED_LINES) -> DataFrame:
+    """Bodies of more than ``least`` lines that functions of two names or more have: one row a body.
+
+    ``functions`` has path, num, name, n_lines and body (see folds.functions). Names that many functions share do not
+    count. A body that very many functions have is reduced to a row in each task first.
+    """
+    usable = functions.filter((F.col("n_lines") > least) & ~F.col("name").isin(*COMMON_NAMES))
+    by = usable.groupBy(F.md5("body").alias("key"), "name").agg(F.count("*").alias("n"), F.min(F.struct("path", "num", "name")).alias("first"))
+    by = by.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("n_names"), F.min("first").alias("first"))
+    return by.filter("n_names >= 2").select("key", "n", "n_names", F.col("first.path").alias("path"), F.col("first.num").cast("int").alias("line"), F.col("first.name").alias("name"))
+
+
+def copied_function_findings(functions: DataFrame) -> DataFrame:
+    """Each copied body as a finding at its first function."""
+    return _found(copied_functions(functions).withColumnRenamed("line", "num"), "dup-detect/copy-paste-function", "warning", F.col("name"))
 
 
 def copied_signatures(functions: DataFrame, least: int = 4) -> DataFrame:
@@ -187,12 +203,17 @@ def high_coupling(imports: DataFrame, most: int = 10) -> DataFrame:
     return _found(by, "arch-constraints/high-coupling", "warning", F.col("n"))
 
 
+# What tells the layers, in their order.
+UI_PATHS = [r"/components?/", r"/views?/", r"/pages?/", r"/ui/", r"/screens?/", r"\.(?:tsx|jsx)\z"]
+DB_SOURCES = [r"(?:^|\.\./|\./)(?:db|database|models?|repositories?|entities?|knex|prisma|drizzle|sequelize|typeorm|mongoose)/", r"/db/", r"/lib/db/", r"/data/(?:models?|repositories?|entities?)/"]
+API_PATHS = [r"/api/", r"/routes?/", r"/controllers?/", r"/handlers?/", r"/endpoints?/"]
+SERVICE_SOURCES = [r"/services?/", r"/use-?cases?/", r"/business/", r"/domain/"]
+
+
 def layer_violation(imports: DataFrame) -> DataFrame:
     """Views, or routes that pass by the services, which import the database."""
-    db = matches(F.col("source"), r"(?i)(?:(?:^|\.\./|\./)(?:db|database|models?|repositor(?:y|ies)|entit(?:y|ies)|knex|prisma|drizzle|sequelize|typeorm|mongoose)/|/db/|/lib/db/)")
-    ui = matches(F.col("path"), r"(?i)(?:/components?/|/views?/|/pages?/|/ui/|/screens?/|\.(?:tsx|jsx)\z)")
-    api = matches(F.col("path"), r"(?i)/(?:api|routes?|controllers?|handlers?|endpoints?)/")
-    service = matches(F.col("source"), r"(?i)/(?:services?|use-?cases?|business|domain)/")
+    any_ = lambda c, patterns: matches(F.col(c), "(?i)(?:" + "|".join(patterns) + ")")
+    ui, db, api, service = any_("path", UI_PATHS), any_("source", DB_SOURCES), any_("path", API_PATHS), any_("source", SERVICE_SOURCES)
     return _found(imports.filter(db & (ui | (api & ~service))), "arch-constraints/layer-violation", "warning", F.col("source"))
 
 

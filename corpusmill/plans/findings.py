@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.text import extract, matches, round_half_up
 from corpusmill.model import DEFAULT_TIER, EOF_LINE, SEVERITIES, SEVERITY_WEIGHT, TIERS
+from corpusmill.rules import CATEGORIES, FACTS, RULE_TIERS
 
 
 def severity_rank(c: Column | str) -> Column:
@@ -21,6 +22,18 @@ def engine(rule: Column | str = "rule") -> Column:
     return F.substring_index(rule, "/", 1)
 
 
+def _lookup(values: dict, key: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), key)
+
+
+def described(findings: DataFrame) -> DataFrame:
+    """Findings with engine, category, fixable, suggestion (replace, insert, delete, refactor or null) and confidence."""
+    rule = F.col("rule")
+    part = lambda n: _lookup({k: v[n] for k, v in FACTS.items() if v[n] is not None}, rule)
+    category = F.coalesce(part(0), _lookup(CATEGORIES, engine(rule)), F.lit("style"))
+    return findings.withColumns({"engine": engine(rule), "category": category, "fixable": F.coalesce(part(1), F.lit(False)), "suggestion": part(2), "confidence": part(3)})
+
+
 def override(findings: DataFrame, overrides: list[tuple[str, str]]) -> DataFrame:
     """New severities by rule: an exact entry beats wildcards (prefix/*), of which the first wins; off drops the row."""
     exact = {k: v for k, v in overrides if not k.endswith("*")}
@@ -92,9 +105,13 @@ def first_places(findings: DataFrame, k: int = 3) -> DataFrame:
 
 # ---- scores
 
+#: No tier counts more findings of a rule.
+MOST_CAP = 40
+
+
 def with_tiers(findings: DataFrame, tiers: dict[str, str] | None = None) -> DataFrame:
-    """mult and cap of each finding's rule; rules without a tier are of the default one."""
-    tier = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in tiers.items() for x in kv]), "rule"), F.lit(DEFAULT_TIER)) if tiers else F.lit(DEFAULT_TIER)
+    """mult and cap of each finding's rule (``tiers``, or those of the rule table); others are of the default tier."""
+    tier = F.coalesce(_lookup(RULE_TIERS if tiers is None else tiers or {"": DEFAULT_TIER}, F.col("rule")), F.lit(DEFAULT_TIER))
     mult, cap = (F.element_at(F.create_map(*[F.lit(x) for k, v in TIERS.items() for x in (k, v[i])]), tier) for i in (0, 1))
     return findings.withColumn("mult", mult).withColumn("cap", cap)
 
@@ -110,11 +127,15 @@ def score(findings: DataFrame, n_files: int, *, tiers: dict[str, str] | None = N
     for s, w in SEVERITY_WEIGHT.items():
         weight = F.when(F.col("severity") == s, w).otherwise(weight)
     w = Window.partitionBy(*by, "rule").orderBy("path", "line", "col", "message")
-    rows = with_tiers(findings, tiers).withColumn("r", F.row_number().over(w)).withColumn("w", F.when(F.col("r") <= F.col("cap"), weight * F.col("mult")).otherwise(0.0))
+    # Only the first findings of a rule are ranked (each task keeps MOST_CAP of them before they move); all are counted.
+    first = findings.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= MOST_CAP)
+    rows = with_tiers(first, tiers).filter(F.col("r") <= F.col("cap")).withColumn("w", weight * F.col("mult"))
     rows = rows.withColumn("run", F.sum("w").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     log = mode == "logarithmic"
-    over = (F.col("r") > F.col("cap")) | (F.lit(log) & (F.col("w") > 0) & (F.col("run") > max_per_rule))
-    rules = rows.groupBy(*by, "rule").agg(F.sum("w").alias("w"), F.count(F.when(over, 1)).alias("capped"), F.count(F.when(F.col("severity").isin("error", "warning"), 1)).alias("bad"))
+    within = ~(F.lit(log) & (F.col("w") > 0) & (F.col("run") > max_per_rule))
+    rules = rows.groupBy(*by, "rule").agg(F.sum("w").alias("w"), F.count(F.when(within, 1)).alias("within"))
+    every = findings.groupBy(*by, "rule").agg(F.count("*").alias("n"), F.count(F.when(F.col("severity").isin("error", "warning"), 1)).alias("bad"))
+    rules = every.join(rules, [*by, "rule"]).withColumn("capped", F.col("n") - F.col("within"))
     total = F.sum(F.least("w", F.lit(max_per_rule)) if log else F.col("w")).alias("total")
     out = rules.groupBy(*by).agg(total, F.sum("capped").cast("long").alias("n_capped"), F.sum("bad").alias("bad"))
     density = F.least(F.lit(1.0), F.col("bad") / F.lit(float(n_files + smoothing))) if n_files + smoothing > 0 else F.lit(1.0)
@@ -150,23 +171,34 @@ def baseline_gate(scores: DataFrame, baseline: int | None) -> DataFrame:
 
 # ---- effort
 
-_MINUTES = {"trivial": 1, "simple": 5, "moderate": 15, "complex": 60}
+# Minutes and priority of each complexity.
+_EFFORT = {"trivial": (1, 1), "simple": (5, 2), "moderate": (15, 3), "complex": (60, 4)}
 
 
 def assess(findings: DataFrame) -> DataFrame:
-    """complexity, minutes and priority of each finding, by ordered rules."""
-    kind = F.when(F.col("rule").rlike("comment|whitespace|trailing|blank-line|print-statement|console-leftover"), "trivial")
-    kind = kind.when(F.col("rule").rlike("import|quotes|semicolons|todo|missing-alt|missing-lang"), "simple").when(F.col("rule").rlike("god-file|circular|cycle|layer-violation|high-coupling"), "complex")
-    kind = kind.when(F.col("severity") == "error", "moderate").otherwise("simple")
-    minutes = F.element_at(F.create_map(*[F.lit(x) for kv in _MINUTES.items() for x in kv]), kind)
-    return findings.withColumn("complexity", kind).withColumn("minutes", minutes).withColumn("priority", 4 - severity_rank("severity"))
+    """complexity, minutes and priority of described findings (see ``described``), by the first rule that holds.
+
+    Complex: architecture, errors that cannot be fixed or that are of security. Moderate: other errors; warnings that
+    can be fixed but suggest nothing, or are of security or performance. Trivial: what can be fixed as suggested with
+    a confidence over 0.8, unless it is deleted. All else is simple.
+    """
+    error, warning = F.col("severity") == "error", F.col("severity") == "warning"
+    security, suggests = F.col("category") == "security", F.col("suggestion").isNotNull()
+    kind = F.when((F.col("category") == "architecture") | (error & (~F.col("fixable") | security)), "complex")
+    kind = kind.when(error | (warning & ((F.col("fixable") & ~suggests) | security | (F.col("category") == "performance"))), "moderate")
+    sure = F.col("fixable") & suggests & (F.col("confidence") > 0.8) & (F.col("suggestion") != "delete")
+    kind = kind.when(sure, "trivial").otherwise("simple")
+    part = lambda n: F.element_at(F.create_map(*[F.lit(x) for k, v in _EFFORT.items() for x in (k, v[n])]), F.col("complexity"))
+    return findings.withColumn("complexity", kind).withColumn("minutes", part(0)).withColumn("priority", part(1))
 
 
 def effort(assessed: DataFrame) -> DataFrame:
-    """One row: n, minutes, the highest priority, and the time as text."""
-    out = assessed.agg(F.count("*").alias("n"), F.coalesce(F.sum("minutes"), F.lit(0)).cast("long").alias("minutes"), F.coalesce(F.max("priority"), F.lit(0)).cast("int").alias("priority"))
-    hours, rest = F.floor(F.col("minutes") / 60), F.col("minutes") % 60
-    return out.withColumn("effort", F.when(hours > 0, F.concat(hours.cast("string"), F.lit("h "), rest.cast("string"), F.lit("m"))).otherwise(F.concat(rest.cast("string"), F.lit("m"))))
+    """One row: n, numbers by complexity, minutes, the highest priority, and the time as text."""
+    by = [F.count(F.when(F.col("complexity") == k, 1)).alias(f"n_{k}") for k in _EFFORT]
+    out = assessed.agg(F.count("*").alias("n"), *by, F.coalesce(F.sum("minutes"), F.lit(0)).cast("long").alias("minutes"), F.coalesce(F.max("priority"), F.lit(0)).cast("int").alias("priority"))
+    hours, rest = F.floor(F.col("minutes") / 60).cast("string"), F.col("minutes") % 60
+    text = F.when(F.col("minutes") < 60, F.concat(F.col("minutes").cast("string"), F.lit(" min"))).when(rest > 0, F.concat(hours, F.lit("h "), rest.cast("string"), F.lit("m"))).otherwise(F.concat(hours, F.lit("h")))
+    return out.withColumn("effort", text)
 
 
 # ---- history
@@ -198,10 +230,10 @@ def age(then: Column, now: Column) -> Column:
 
 # ---- rules
 
-def catalogue(findings_rules: DataFrame, tiers: dict[str, str]) -> DataFrame:
+def catalogue(findings_rules: DataFrame, tiers: dict[str, str] | None = None) -> DataFrame:
     """rule, engine, tier, sorted by engine and rule."""
-    known = F.try_element_at(F.create_map(*[F.lit(x) for kv in tiers.items() for x in kv]), "rule")
-    return findings_rules.select("rule").distinct().select("rule", engine().alias("engine"), F.coalesce(known, F.lit(DEFAULT_TIER)).alias("tier"))
+    known = _lookup(RULE_TIERS if tiers is None else tiers, F.col("rule"))
+    return findings_rules.select("rule").distinct().select("rule", engine().alias("engine"), F.coalesce(known, F.lit(DEFAULT_TIER)).alias("tier")).orderBy("engine", "rule")
 
 
 def search(rules: DataFrame, text: str) -> DataFrame:

@@ -113,14 +113,31 @@ def _tool(d: DataFrame, path, rule, severity, line, col, message) -> DataFrame:
 def dependency_audit(dependencies: DataFrame, latest: DataFrame | None = None) -> DataFrame:
     """Manifest rules over (path, kind, name, version): unpinned, in two sections, deprecated, behind the latest."""
     # Packages that have been given up.
-    deprecated = ("request", "left-pad", "tslint", "node-sass", "moment", "colors", "faker")
+    deprecated = ("babel-eslint", "eslint-plugin-babel", "node-sass", "request", "request-promise", "left-pad", "buffer", "mkdirp", "rimraf", "har-validator", "npmconf", "glob")
+    by_version = {"core-js": "2"}
     row = lambda df, rule, severity: df.select("path", F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.lit(1).alias("line"), F.lit(1).alias("col"), F.col("name").alias("message"))
+    given_up = F.col("name").isin(*deprecated)
+    for name, version in by_version.items():
+        given_up |= (F.col("name") == name) & F.startswith("version", F.lit(version))
     out = row(dependencies.filter(F.col("version").rlike(r"^(?:\*|latest|x|>=?)")), "dep-audit/unpinned", "warning")
     twice = dependencies.filter(F.col("kind").isin("dependencies", "devDependencies")).groupBy("path", "name").agg(F.countDistinct("kind").alias("k")).filter("k > 1")
     peer = dependencies.groupBy("path", "name").agg(F.bool_or(F.col("kind") == "peerDependencies").alias("p"), F.bool_or(F.col("kind") == "dependencies").alias("d")).filter("p AND d")
-    out = out.unionByName(row(twice, "dep-audit/cross-listed", "warning")).unionByName(row(peer, "dep-audit/peer-in-deps", "warning")).unionByName(row(dependencies.filter(F.col("name").isin(*deprecated)), "dep-audit/deprecated", "warning"))
+    out = out.unionByName(row(twice, "dep-audit/cross-listed", "warning")).unionByName(row(peer, "dep-audit/peer-in-deps", "warning")).unionByName(row(dependencies.filter(F.col("kind").isin("dependencies", "devDependencies") & given_up).select("path", "name").distinct(), "dep-audit/deprecated", "warning"))
     if latest is not None:
         part = lambda c, n: F.regexp_extract(c, r"(\d+)\.(\d+)", n).try_cast("int")
         both = dependencies.join(latest.select("name", F.col("version").alias("new")), "name").withColumn("major", part("new", 1) > part("version", 1)).withColumn("minor", (part("new", 1) == part("version", 1)) & (part("new", 2) > part("version", 2)))
         out = out.unionByName(row(both.filter("major"), "dep-audit/major-outdated", "warning")).unionByName(row(both.filter("minor"), "dep-audit/minor-outdated", "info"))
     return out
+
+
+def manifest_audit(files: DataFrame) -> DataFrame:
+    """Manifests that name no engine of theirs, and those beside no lock file."""
+    # Files that lock versions.
+    locks = ("package-lock.json", "yarn.lock", "pnpm-lock.yaml", "bun.lockb")
+    own = files.filter(F.col("path").rlike(r"(?:^|/)package\.json\z")).withColumn("d", F.from_json("content", "struct<engines:map<string,string>>"))
+    folder = F.regexp_replace("path", r"[^/]*\z", "")
+    locked = files.filter(F.regexp_extract("path", r"([^/]*)\z", 1).isin(*locks)).select(folder.alias("folder")).distinct()
+    row = lambda df, rule, severity: df.select("path", F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.lit(1).alias("line"), F.lit(1).alias("col"), F.lit("").alias("message"))
+    bare = own.filter(F.coalesce(F.try_element_at("d.engines", F.lit("node")), F.lit("")) == "")
+    needs = own.withColumn("folder", folder)
+    return row(bare, "dep-audit/missing-engines", "info").unionByName(row(needs.join(locked, "folder", "left_anti"), "dep-audit/missing-lockfile", "error"))

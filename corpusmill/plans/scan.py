@@ -28,6 +28,11 @@ class Context:
     config: dict
     disabled: set[str] = field(default_factory=set)
 
+    def release(self) -> None:
+        """Give the memory of the kept lines and imports back, when nothing will be read again."""
+        self.lines.unpersist()
+        self.imports.unpersist()
+
     def __post_init__(self):
         self.lines = views.lines(self.files).repartition("path").sortWithinPartitions("path", "num").persist(StorageLevel.MEMORY_AND_DISK)
         self.imports = views.imports(self.lines).persist(StorageLevel.MEMORY_AND_DISK)
@@ -54,6 +59,8 @@ detector("lines")(lambda c: line_rules.detect(c.lines, disabled=c.disabled))
 detector("context")(lambda c: context_rules.all_rules(c.files, c.lines))
 detector("more-context")(lambda c: context_rules.more_rules(c.files, c.lines))
 detector("folds")(lambda c: folds.all_folds(c.files))
+detector("numbers")(lambda c: line_rules.precision_loss(c.lines))
+detector("copied-functions")(lambda c: relations.copied_function_findings(folds.functions(c.files)))
 detector("config")(lambda c: config_lint(c.files))
 
 

@@ -208,10 +208,11 @@ def json_depth(spark, sf_dir):
     return context_rules.deep_nesting(syn(spark, sf_dir)[1], 5, "json/deep-nesting", ("json",), r"[{\[]", r"[}\]]")
 
 
-@query(rf"""WITH {SYN}, n AS (SELECT *, lead(text) OVER {_W} AS nxt FROM lines)
+@query(rf"""WITH {SYN}, n AS (SELECT *, [x for x in [lead(text, 1) OVER w, lead(text, 2) OVER w, lead(text, 3) OVER w, lead(text, 4) OVER w] if x IS NOT NULL AND NOT regexp_matches(x, '^\s*(?://|\z)')][1] AS js,
+  [x for x in [lead(text, 1) OVER w, lead(text, 2) OVER w] if x IS NOT NULL AND NOT regexp_matches(x, '^\s*(?:#|\z)')][1] AS py FROM lines WINDOW w AS {_W})
 SELECT {out('ast-slop/swallowed-exception', 'info')} FROM n
-WHERE ({_JS} AND (regexp_matches(text, 'catch\s*(?:\([^)]*\))?\s*\{{\s*\}}') OR (regexp_matches(text, 'catch\s*(?:\([^)]*\))?\s*\{{\s*\z') AND regexp_matches(nxt, '^\s*\}}'))))
-   OR (lang = 'python' AND regexp_matches(text, '^\s*except\b.*:\s*(?:#.*)?\z') AND regexp_matches(nxt, '^\s*(?:pass|\.\.\.|continue)\s*\z'))""")
+WHERE (lang <> 'python' AND (regexp_matches(text, 'catch\s*(?:\(\s*\w+\s*\))?\s*\{{\s*\}}\s*\z') OR (regexp_matches(text, 'catch\s*(?:\(\s*\w+\s*\))?\s*\{{\s*\z') AND trim(js) = '}}')))
+   OR (lang = 'python' AND regexp_matches(text, '^\s*except\s*(?:\w+(?:\s+as\s+\w+)?)?\s*:') AND trim(py) IN ('pass', '...'))""")
 def swallowed_exception(spark, sf_dir):
     return context_rules.swallowed(syn(spark, sf_dir)[1])
 
@@ -271,8 +272,20 @@ def yaml_files(spark, sf_dir):
     return context_rules.yaml_files(syn(spark, sf_dir)[1])
 
 
-# rows of these are checked by unit tests, not by SQL
-@query()
+def _by_snippet(rows: list[tuple]) -> str:
+    """Findings written down by hand for each snippet (its place, rule, severity, line, column, message) as SQL."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    values = ", ".join(f"({i}, {quote(synthetic.SNIPPETS[i][0])}, {quote(synthetic.SNIPPETS[i][1])}, {quote(rule)}, {quote(sev)}, {line}, {quote(str(col))}, {quote(msg)})" for i, rule, sev, line, col, msg in rows)
+    col = "CASE WHEN col LIKE '%+key' THEN replace(col, '+key', '')::INT + length(p_partkey::VARCHAR) ELSE try_cast(col AS INT) END"
+    return f"""SELECT folder || '/f' || p_partkey || '.' || ext AS path, rule, severity, line::INT AS line, ({col})::INT AS col, replace(message, '$K', p_partkey::VARCHAR) AS message
+FROM part JOIN (VALUES {values}) AS t(i, folder, ext, rule, severity, line, col, message) ON p_partkey % {len(synthetic.SNIPPETS)} = i"""
+
+
+@query(_by_snippet([
+    (0, "nextjs/image-missing-dimensions", "warning", 1, 1, '<Image src="a.png" />'), (0, "nextjs/metadata-in-client", "error", 1, 1, ""), (0, "tailwind/duplicate-utilities", "warning", 10, 1, ""), (0, "tailwind/incomplete-flex", "info", 10, 1, ""),
+    (1, "types/as-any-json-parse", "warning", 16, 1, ""), (3, "dead-flow/unreachable-after-terminator", "warning", 16, 1, ""), (3, "syntax-deep/inconsistent-indent-style", "info", 15, 1, ""),
+    (10, "syntax-deep/inconsistent-indent-style", "info", 14, 1, ""), (11, "md/todo-in-doc", "info", 3, 1, ""), (12, "syntax-deep/inconsistent-indent-style", "info", 5, 1, ""),
+]))
 def other_context_rules(spark, sf_dir):
     f, ls = syn(spark, sf_dir)
     out_ = context_rules.trivial_comment(ls)
@@ -283,12 +296,18 @@ def other_context_rules(spark, sf_dir):
     return out_
 
 
-@query()
+@query(_by_snippet([
+    (0, "perf-hints/react-missing-memo", "info", 7, 1, "Widget$K"), (1, "perf-hints/n-plus-one", "info", 9, 1, 'const row = await db.query("SELECT * FROM t WHERE id=" + id)'), (1, "perf-hints/string-concat-in-loop", "warning", 10, 1, "total"),
+    (4, "ast-slop/py-bare-except", "warning", 9, 5, "except"), (4, "ast-slop/py-empty-class", "info", 15, 1, "Empty$K"), (4, "ast-slop/py-print", "warning", 6, 5, "print"), (4, "ast-slop/py-stub-function", "warning", 12, 1, "stub$K"),
+    (4, "ast-slop/py-wildcard-import", "info", 2, 1, "sys"), (4, "python-deep/mutable-default", "error", 5, "14+key", "run$K"), (5, "go-deep/defer-in-loop", "error", 5, 1, "defer close(i)"), (6, "rust-deep/large-enum-variant", "warning", 13, 1, "Big$K"),
+    (9, "json/duplicate-keys", "error", 3, 3, "a"), (10, "yaml/duplicate-keys", "error", 3, 3, "k"),
+]))
 def fold_rules(spark, sf_dir):
     return folds.all_folds(synthetic.files(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {SYN}, m AS (SELECT path, num, CASE WHEN instr(reverse(text), '*/') = 0 AND instr(reverse(text), '/*') = 0 THEN NULL WHEN instr(reverse(text), '/*') = 0 THEN true WHEN instr(reverse(text), '*/') = 0 THEN false ELSE instr(reverse(text), '*/') < instr(reverse(text), '/*') END AS mark FROM lines)
+SELECT path, num::INT AS num, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY path ORDER BY num ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS in_comment FROM m""")
 def block_comment_state(spark, sf_dir):
     return folds.comment_lines(syn(spark, sf_dir)[1])
 
@@ -311,17 +330,9 @@ def merged_block_regions(spark, sf_dir):
     return relations.merged_regions(relations.blocks(doc_files(spark, sf_dir)))
 
 
-@query(f"""WITH {SYN}, s AS (SELECT path AS id, list_distinct(regexp_extract_all(content, '[A-Za-z_]+')) AS t FROM files WHERE lang IN ('go', 'html')),
-p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.t, b.t)) AS n_both, len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)) AS n_either FROM s a JOIN s b ON a.id < b.id WHERE a.id LIKE '%0.%' AND b.id LIKE '%0.%')
-SELECT a, b, n_both::BIGINT AS n_both, n_either::BIGINT AS n_either FROM p WHERE n_both * 100 >= n_either * 90""")
-def similar_files(spark, sf_dir):
-    f = synthetic.files(spark, sf_dir).filter(F.col("lang").isin("go", "html") & F.col("path").like("%0.%"))
-    return relations.similar_sets(f.select(F.col("path").alias("id"), F.array_distinct(F.regexp_extract_all("content", F.lit("([A-Za-z_]+)"), 1)).alias("tokens")))
-
-
-# all files; similar_files is the slice of them that SQL can compare
+# tested by brute force: SQL would compare all pairs
 @query()
-def similar_files_whole(spark, sf_dir):
+def similar_files(spark, sf_dir):
     f = synthetic.files(spark, sf_dir)
     return relations.similar_groups(f.select(F.col("path").alias("id"), F.array_distinct(F.regexp_extract_all("content", F.lit("([A-Za-z_]+)"), 1)).alias("tokens")))
 
@@ -343,9 +354,34 @@ _FUNCS = rf"""fs AS (SELECT path, num, regexp_extract(text, '^\s*(?:export\s+)?(
 funcs AS (SELECT path, num, name, body, array_to_string(list_transform(string_split(params, ','), lambda p: trim(regexp_replace(p, '^[^:]*:?', ''), ' ')), ',') AS types FROM fs WHERE name <> '')"""
 
 
-@query(f"WITH {SYN}, {_FUNCS} SELECT md5(body) AS key, count(*) AS n, count(DISTINCT name) AS n_names, arg_min(path, (path, num, name)) AS path, arg_min(name, (path, num, name)) AS name FROM funcs WHERE length(body) > 20 GROUP BY md5(body) HAVING count(*) >= 2 AND count(DISTINCT name) >= 2")
+# bodies that functions of several names have, worked out by hand: snippet, lines, first line and name, functions a file
+_COPIED = [
+    (13, ("let sum = 0", "for (const item of items) {", "sum += item.price", "sum += item.tax", "audit(item.name)", "}", "return sum"), 2, "alpha", 2),
+    (13, ("if (flag) {", "log(flag)", "return 1", "} else {", "return 2", "}", "done()"), 27, "pick", 1),
+    (1, ("for (const id of req.ids) {", 'const row = await db.query("SELECT * FROM t WHERE id=" + id)', "total += `x${id}`", "}", 'eval("1")', "return load(total)", "res.end()"), 7, "handler", 1),
+]
+
+
+def _copied_sql() -> str:
+    arms = []
+    for at, body, line, name, n in _COPIED:
+        folder, ext, _ = synthetic.SNIPPETS[at]
+        text = " || chr(10) || ".join("'" + x.replace("'", "''") + "'" for x in body)
+        path = f"'{folder}/f' || p_partkey || '.{ext}'"
+        arms.append(f"SELECT md5({text}) AS key, {n} * count(*)::BIGINT AS n, {n} * count(*)::BIGINT AS n_names, min({path}) AS path, {line} AS line, '{name}' || arg_min(p_partkey, {path}) AS name FROM part WHERE p_partkey % {len(synthetic.SNIPPETS)} = {at} HAVING {n} * count(*) > 1")
+    return " UNION ALL ".join(arms)
+
+
+@query(_copied_sql())
 def copied_functions(spark, sf_dir):
-    return relations.copied_functions(relations.one_line_functions(syn(spark, sf_dir)[1]))
+    return relations.copied_functions(folds.functions(synthetic.files(spark, sf_dir)))
+
+
+@query(rf"""WITH {SYN}, n AS (SELECT path, num, text, unnest(regexp_extract_all(text, '\b(?:0[xX][0-9a-fA-F]+|0[oO][0-7]+|0[bB][01]+|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)\b')) AS v FROM lines WHERE lang IN ('typescript', 'javascript', 'python', 'go', 'rust')),
+d AS (SELECT *, ltrim(replace(regexp_extract(v, '^[^eE]*'), '.', ''), '0') AS digits, rtrim(ltrim(replace(regexp_extract(v::DOUBLE::VARCHAR, '^[^e]*'), '.', ''), '0'), '0') AS back FROM n WHERE NOT regexp_matches(v, '^0[xXoObB]'))
+SELECT path, 'syntax-deep/precision-loss' AS rule, 'warning' AS severity, num::INT AS line, strpos(text, v)::INT AS col, v AS message FROM d WHERE length(digits) > 15 AND (rtrim(digits, '0') <> back OR regexp_matches(v, '[eE]|^\.|\..*0$'))""")
+def precision_loss(spark, sf_dir):
+    return line_rules.precision_loss(syn(spark, sf_dir)[1])
 
 
 @query(f"WITH {SYN}, {_FUNCS} SELECT a.path, a.types, a.name AS a, b.name AS b FROM funcs a JOIN funcs b ON a.path = b.path AND a.types = b.types AND a.num < b.num AND a.name <> b.name WHERE length(a.types) >= 4")
@@ -400,9 +436,9 @@ def high_coupling(spark, sf_dir):
     return relations.high_coupling(views.imports(syn(spark, sf_dir)[1]), 2)
 
 
-@query(rf"""WITH {IMPORTS} SELECT {out('arch-constraints/layer-violation', 'warning', msg='source')} FROM imports
-WHERE regexp_matches(source, '(?i)(?:(?:^|\.\./|\./)(?:db|database|models?|repositor(?:y|ies)|entit(?:y|ies)|knex|prisma|drizzle|sequelize|typeorm|mongoose)/|/db/|/lib/db/)')
-  AND (regexp_matches(path, '(?i)(?:/components?/|/views?/|/pages?/|/ui/|/screens?/|\.(?:tsx|jsx)\z)') OR (regexp_matches(path, '(?i)/(?:api|routes?|controllers?|handlers?|endpoints?)/') AND NOT regexp_matches(source, '(?i)/(?:services?|use-?cases?|business|domain)/')))""")
+@query(rf"""WITH {IMPORTS}, l AS (SELECT *, regexp_matches(source, '(?i)(?:^|\.\./|\./)(?:db|database|models?|repositories?|entities?|knex|prisma|drizzle|sequelize|typeorm|mongoose)/') OR contains(lower(source), '/db/') OR regexp_matches(source, '(?i)/data/(?:models?|repositories?|entities?)/') AS db,
+  regexp_matches(path, '(?i)/(?:components?|views?|pages?|ui|screens?)/') OR regexp_matches(path, '(?i)\.[tj]sx$') AS ui, regexp_matches(path, '(?i)/(?:api|routes?|controllers?|handlers?|endpoints?)/') AS api, regexp_matches(source, '(?i)/(?:services?|use-?cases?|business|domain)/') AS service FROM imports)
+SELECT {out('arch-constraints/layer-violation', 'warning', msg='source')} FROM l WHERE db AND (ui OR (api AND NOT service))""")
 def layer_violation(spark, sf_dir):
     return relations.layer_violation(views.imports(syn(spark, sf_dir)[1]))
 
@@ -415,22 +451,9 @@ def user_rules(spark, sf_dir):
     return relations.user_rules(rules, views.imports(ls), ls)
 
 
-_EDGES = "edges AS (SELECT DISTINCT s_nationkey::VARCHAR AS src, ((s_suppkey * 7) % 25)::VARCHAR AS dst FROM supplier WHERE s_suppkey % 3 = 0)"
-
-
-@query(f"""WITH RECURSIVE {_EDGES},
-walk(start, last, members) AS (SELECT src, dst, [src, dst] FROM edges WHERE src < dst
-  UNION ALL SELECT start, e.dst, list_append(members, e.dst) FROM walk JOIN edges e ON walk.last = e.src WHERE e.src <> e.dst AND e.dst > start AND NOT list_contains(members, e.dst) AND len(members) < 3),
-found AS (SELECT members FROM walk JOIN edges e ON walk.last = e.src AND e.dst = walk.start UNION ALL SELECT [src] FROM edges WHERE src = dst)
-SELECT DISTINCT len(members)::BIGINT AS n, array_to_string(members, ' > ') AS cycle FROM found""")
-def cycles(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").filter("s_suppkey % 3 = 0")
-    return relations.cycles(s.select(F.col("s_nationkey").cast("string").alias("src"), (F.col("s_suppkey") * 7 % 25).cast("string").alias("dst")).distinct(), 3)
-
-
-# all rows and the deepest cycles of the survey; cycles is the slice that SQL can walk
+# tested by brute force: SQL would walk all paths
 @query()
-def cycles_whole(spark, sf_dir):
+def cycles(spark, sf_dir):
     s = table(spark, sf_dir, "supplier")
     return relations.cycles(s.select(F.col("s_nationkey").cast("string").alias("src"), (F.col("s_suppkey") * 7 % 25).cast("string").alias("dst")).distinct())
 
@@ -441,7 +464,8 @@ def import_cycles(spark, sf_dir):
     return relations.cycles(relations.import_edges(views.imports(ls), f))
 
 
-@query()
+# file n imports ./f<n>, ./c<n>, ./prices, ../wide and others; only the first names a file, its own
+@query("SELECT 'src/util/f' || p_partkey || '.ts' AS src, 'src/util/f' || p_partkey || '.ts' AS dst FROM part WHERE p_partkey % " + str(len(synthetic.SNIPPETS)) + " = 2")
 def import_graph(spark, sf_dir):
     f, ls = syn(spark, sf_dir)
     return relations.import_edges(views.imports(ls), f)
@@ -470,7 +494,7 @@ def found(spark, sf_dir) -> DataFrame:
     return line_rules.detect(syn(spark, sf_dir)[1])
 
 
-FOUND = f"{SYN}, found AS ({line_rules.sql()})"
+FOUND = f"{SYN}, found AS MATERIALIZED ({line_rules.sql()})"
 _RANK = "CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 WHEN 'info' THEN 2 WHEN 'suggestion' THEN 3 ELSE 4 END"
 _OVERRIDES = [("ast-slop/todo-stub", "error"), ("types/*", "off"), ("ast-slop/*", "info"), ("ast-slop/as-any", "off")]
 
@@ -518,14 +542,24 @@ def first_places(spark, sf_dir):
     return P.first_places(found(spark, sf_dir))
 
 
+# written down here by hand, apart from the rule table that the engine reads
+_TIER = """CASE WHEN rule IN ('ast-slop/narrative-comment', 'security-deep/eval-usage', 'security-deep/sql-injection', 'security-deep/shell-injection', 'security-deep/prototype-pollution', 'security-deep/ssrf-risk', 'security-deep/hardcoded-secret', 'security-deep/xss-risk',
+    'security-deep/unsafe-html', 'html/missing-alt', 'yaml/tab-indent', 'python-deep/bare-except', 'python-deep/mutable-default', 'go-deep/goto-usage') THEN 'strict'
+  WHEN rule IN ('dead-flow/dead-conditional', 'syntax-deep/unicode-anomaly', 'rust-deep/unwrap-in-prod', 'rust-deep/todo-macro', 'rust-deep/unimplemented-macro', 'python-deep/global-variable', 'python-deep/star-import', 'go-deep/unchecked-error', 'go-deep/empty-interface') THEN 'standard'
+  WHEN rule IN ('nextjs/pages-router-in-app', 'nextjs/next-router-vs-navigation', 'tailwind/apply-anti-pattern', 'tailwind/inline-style-conflict', 'html/missing-lang', 'html/inline-event-handler', 'python-deep/no-type-hint', 'python-deep/no-return-type') THEN 'maintainability'
+  WHEN rule IN ('ast-slop/decorative-comment', 'arch-constraints/unstable-dependency', 'format-lint/max-line-length', 'tailwind/important-modifier', 'python-deep/print-statement') THEN 'style'
+  WHEN rule IN ('tailwind/magic-values', 'css/universal-selector', 'md/missing-fenced-lang') THEN 'advisory' ELSE 'mechanical' END"""
+
+
 def _score_sql(by: str = "", log: bool = True, n: int = 100, smoothing: int = 20) -> str:
     keys, only = f"{by}, " if by else "", f"PARTITION BY {by}, rule" if by else "PARTITION BY rule"
     raw = "100.0 - 100.0 * ln(1 + total * density) / ln(1 + 100.0 + total * density)" if log else "100.0 - total"
-    return f"""WITH {FOUND}, f AS (SELECT *, split_part(rule, '/', 1) AS engine FROM found),
-r AS (SELECT *, row_number() OVER ({only} ORDER BY path, line, col, message) AS r FROM f),
-w AS (SELECT *, CASE WHEN r <= 16 THEN 0.5 * CASE severity WHEN 'error' THEN 10.0 WHEN 'warning' THEN 1.0 ELSE 0.0 END ELSE 0.0 END::DOUBLE AS w FROM r),
+    return f"""WITH {FOUND}, f AS (SELECT *, split_part(rule, '/', 1) AS engine, {_TIER} AS tier FROM found),
+c AS (SELECT *, CASE tier WHEN 'strict' THEN 40 WHEN 'standard' THEN 30 WHEN 'maintainability' THEN 24 WHEN 'mechanical' THEN 16 ELSE 8 END AS cap, CASE tier WHEN 'strict' THEN 1.0 WHEN 'standard' THEN 1.0 WHEN 'maintainability' THEN 0.75 WHEN 'advisory' THEN 0.25 ELSE 0.5 END AS mult FROM f),
+r AS (SELECT *, row_number() OVER ({only} ORDER BY path, line, col, message) AS r FROM c),
+w AS (SELECT *, (CASE WHEN r <= cap THEN mult * CASE severity WHEN 'error' THEN 10.0 WHEN 'warning' THEN 1.0 ELSE 0.0 END ELSE 0.0 END)::DOUBLE AS w FROM r),
 u AS (SELECT *, sum(w) OVER ({only} ORDER BY r) AS run FROM w),
-g AS (SELECT {keys}rule, sum(w) AS w, count(*) FILTER (r > 16 {'OR (w > 0 AND run > 5)' if log else ''}) AS capped, count(*) FILTER (severity IN ('error', 'warning')) AS bad FROM u GROUP BY ALL),
+g AS (SELECT {keys}rule, sum(w) AS w, count(*) FILTER (r > cap {'OR (w > 0 AND run > 5)' if log else ''}) AS capped, count(*) FILTER (severity IN ('error', 'warning')) AS bad FROM u GROUP BY ALL),
 t AS (SELECT {keys}sum({'least(w, 5.0)' if log else 'w'})::DOUBLE AS total, sum(capped)::BIGINT AS n_capped, least(1.0, sum(bad) / {n + smoothing}.0)::DOUBLE AS density FROM g {'GROUP BY ' + by if by else ''}),
 s AS (SELECT *, floor(greatest(0.0, least(100.0, {raw})) + 0.5)::INT AS score FROM t)
 SELECT {keys}score, CASE WHEN score >= 75 THEN 'healthy' WHEN score >= 50 THEN 'needs work' ELSE 'critical' END AS label, round(density, 9) AS density, round(total, 6) AS total, n_capped FROM s"""
@@ -562,13 +596,22 @@ def scoreable(spark, sf_dir):
     return P.scoreable(synthetic.files(spark, sf_dir), ("typescript", "javascript", "python")).withColumn("unsupported", F.round("unsupported", 6))
 
 
-_ASSESS = f"""SELECT *, CASE WHEN regexp_matches(rule, 'comment|whitespace|trailing|blank-line|print-statement|console-leftover') THEN 'trivial' WHEN regexp_matches(rule, 'import|quotes|semicolons|todo|missing-alt|missing-lang') THEN 'simple' WHEN regexp_matches(rule, 'god-file|circular|cycle|layer-violation|high-coupling') THEN 'complex' WHEN severity = 'error' THEN 'moderate' ELSE 'simple' END AS complexity, 4 - {_RANK} AS priority FROM found"""
+# by hand: which findings are complex (architecture, security, errors without a fix), moderate, or trivial
+_ASSESS = """SELECT *, CASE WHEN starts_with(rule, 'arch-constraints/') OR (severity = 'error' AND rule NOT IN ('html/missing-alt', 'yaml/tab-indent')) THEN 'complex'
+  WHEN severity = 'error' OR rule IN ('ast-slop/hardcoded-config', 'html/inline-event-handler') OR (severity = 'warning' AND starts_with(rule, 'security-deep/')) THEN 'moderate'
+  WHEN rule IN ('ast-slop/todo-stub', 'syntax-deep/unicode-anomaly') THEN 'trivial' ELSE 'simple' END AS complexity FROM found"""
 
 
-@query(f"""WITH {FOUND}, a AS ({_ASSESS}), m AS (SELECT *, CASE complexity WHEN 'trivial' THEN 1 WHEN 'simple' THEN 5 WHEN 'moderate' THEN 15 ELSE 60 END AS minutes FROM a), t AS (SELECT count(*) AS n, sum(minutes)::BIGINT AS minutes, max(priority)::INT AS priority FROM m)
-SELECT n, minutes, priority, CASE WHEN minutes >= 60 THEN (minutes // 60) || 'h ' || (minutes % 60) || 'm' ELSE minutes || 'm' END AS effort FROM t""")
+@query(f"""WITH {FOUND}, a AS ({_ASSESS}), t AS (SELECT count(*) AS n, count(*) FILTER (complexity = 'trivial') AS n_trivial, count(*) FILTER (complexity = 'simple') AS n_simple, count(*) FILTER (complexity = 'moderate') AS n_moderate, count(*) FILTER (complexity = 'complex') AS n_complex,
+  max(CASE complexity WHEN 'trivial' THEN 1 WHEN 'simple' THEN 2 WHEN 'moderate' THEN 3 ELSE 4 END)::INT AS priority FROM a), m AS (SELECT *, (n_trivial + 5 * n_simple + 15 * n_moderate + 60 * n_complex)::BIGINT AS minutes FROM t)
+SELECT *, CASE WHEN minutes < 60 THEN minutes || ' min' WHEN minutes % 60 > 0 THEN (minutes // 60) || 'h ' || (minutes % 60) || 'm' ELSE (minutes // 60) || 'h' END AS effort FROM m""")
 def effort_summary(spark, sf_dir):
-    return P.effort(P.assess(found(spark, sf_dir)))
+    return P.effort(P.assess(P.described(found(spark, sf_dir))))
+
+
+@query(f"WITH {FOUND}, a AS ({_ASSESS}) SELECT path, rule, severity, line, col, message, complexity FROM a")
+def assessed_findings(spark, sf_dir):
+    return P.assess(P.described(found(spark, sf_dir))).select("path", "rule", "severity", "line", "col", "message", "complexity")
 
 
 _DAILY = "days AS (SELECT date_trunc('day', ts) AS day, (count(*) % 100)::INT AS score FROM events GROUP BY 1)"
@@ -596,10 +639,9 @@ def change_sessions(spark, sf_dir):
     return quiet(table(spark, sf_dir, "events"), "30 minutes", by=("user_id",))
 
 
-@query(f"WITH {FOUND} SELECT DISTINCT rule, split_part(rule, '/', 1) AS engine, CASE split_part(rule, '/', 1) WHEN 'security-deep' THEN 'strict' ELSE 'mechanical' END AS tier FROM found")
+@query(f"WITH {FOUND} SELECT DISTINCT rule, split_part(rule, '/', 1) AS engine, {_TIER} AS tier FROM found")
 def rule_catalogue(spark, sf_dir):
-    strict = {r.id: "strict" for r in line_rules.RULES if r.id.startswith("security-deep/")}
-    return P.catalogue(found(spark, sf_dir), strict)
+    return P.catalogue(found(spark, sf_dir))
 
 
 @query(f"""WITH {FOUND}, c AS (SELECT DISTINCT rule, split_part(rule, '/', 1) AS engine, 'mechanical' AS tier FROM found)
@@ -616,12 +658,16 @@ def sarif_rules(spark, sf_dir):
     return reports.sarif_rules(found(spark, sf_dir)).select("rule", "level")
 
 
-@query()
+@query(f"""WITH {FOUND} SELECT path, line, rule, CASE severity WHEN 'error' THEN 'error' WHEN 'warning' THEN 'warning' ELSE 'note' END AS level, path AS uri, greatest(line, 1) AS start_line, greatest(col, 1) AS start_col FROM found""")
 def sarif_results(spark, sf_dir):
-    return reports.sarif_results(found(spark, sf_dir))
+    rows = reports.sarif_results(found(spark, sf_dir))
+    place = "$.locations[0].physicalLocation."
+    field = lambda name: F.get_json_object("json", name)
+    return rows.select("path", "line", field("$.ruleId").alias("rule"), field("$.level").alias("level"), field(place + "artifactLocation.uri").alias("uri"), field(place + "region.startLine").cast("int").alias("start_line"), field(place + "region.startColumn").cast("int").alias("start_col"))
 
 
-@query()
+@query(f"""WITH {FOUND}, r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY {_RANK}, line, rule, col, message) AS r, count(*) OVER (PARTITION BY path) AS n FROM found)
+SELECT path, n, string_agg('  ' || line || ' ' || severity || ' ' || rule, chr(10) ORDER BY r) AS text FROM r WHERE r <= 50 GROUP BY path, n""")
 def report_by_file(spark, sf_dir):
     return reports.by_file(found(spark, sf_dir))
 
@@ -682,11 +728,11 @@ def fix_preview(spark, sf_dir):
 _MANIFEST = '{"dependencies": {"react": "^18.0.0", "request": "*"}, "devDependencies": {"react": "17.1.0"}, "peerDependencies": {"react": "x"}}'
 
 
-@query("""SELECT 'a/package.json' AS path, rule, severity, 1 AS line, 1 AS col, message FROM (VALUES ('dep-audit/unpinned', 'warning', 'request'), ('dep-audit/unpinned', 'warning', 'react'), ('dep-audit/cross-listed', 'warning', 'react'), ('dep-audit/peer-in-deps', 'warning', 'react'), ('dep-audit/deprecated', 'warning', 'request'), ('dep-audit/major-outdated', 'warning', 'react'), ('dep-audit/minor-outdated', 'info', 'react')) AS t(rule, severity, message)""")
+@query("""SELECT 'a/package.json' AS path, rule, severity, 1 AS line, 1 AS col, message FROM (VALUES ('dep-audit/unpinned', 'warning', 'request'), ('dep-audit/unpinned', 'warning', 'react'), ('dep-audit/cross-listed', 'warning', 'react'), ('dep-audit/peer-in-deps', 'warning', 'react'), ('dep-audit/deprecated', 'warning', 'request'), ('dep-audit/missing-engines', 'info', ''), ('dep-audit/missing-lockfile', 'error', ''), ('dep-audit/major-outdated', 'warning', 'react'), ('dep-audit/minor-outdated', 'info', 'react')) AS t(rule, severity, message)""")
 def dependency_audit(spark, sf_dir):
     f = as_files(spark.createDataFrame([("a/package.json", _MANIFEST)], "p string, c string"), F.col("p"), F.col("c"))
     latest = spark.createDataFrame([("react", "18.2.0")], "name string, version string")
-    return reports.dependency_audit(manifest_dependencies(f), latest)
+    return reports.dependency_audit(manifest_dependencies(f), latest).unionByName(reports.manifest_audit(f))
 
 
 # ---- whole scans and probes
@@ -704,13 +750,15 @@ def scan_findings(spark, sf_dir):
     return _result(spark, sf_dir)
 
 
-@query()
+@query(_by_snippet([
+    (3, "ast-slop/console-leftover", "suggestion", 13, 1, ""), (3, "ast-slop/silent-recovery", "info", 8, 1, ""), (4, "ast-slop/console-leftover", "suggestion", 6, 1, ""), (13, "dead-flow/unreachable-after-if-else-return", "warning", 34, 1, ""),
+]))
 def more_context_rules(spark, sf_dir):
     f, ls = syn(spark, sf_dir)
     return context_rules.more_rules(f, ls)
 
 
-@query()
+@query(_by_snippet([(13, "import-intelligence/type-only-import", "suggestion", 1, 1, "./prices")]))
 def type_only_imports(spark, sf_dir):
     ls = syn(spark, sf_dir)[1]
     return relations.type_only_imports(views.imports(ls), ls)

@@ -26,6 +26,8 @@ SNIPPETS: list[tuple[str, str, str]] = [
     ("conf", "yaml", "base: &base$K\n  k: 1\n  k: 2\none: *base$K\ntwo: *base$K\n\n\n\nthree: *base$K\n\n\n\nfour: 4\n\tbad: 1\n"),
     ("docs", "md", "# Title $K\n\nTODO write more\n\nOld heading\n===========\n\n[empty](#)\n\n```\ncode\n```\n"),
     ("src/util", "ts", "import { b$K } from './c$K'\nexport const a$K = b$K + 1\nexport const shared = a$K\n\tconst mixed = 1\n  const spaced = 2\nconst long = \"aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa\"\nt('menu.open')\nt('menu.close')\n"),
+    ("src/sums", "ts", "import { Price } from './prices'\nexport function alpha$K(items: Map<string, any>): Promise<any> {\n  let sum = 0\n  for (const item of items) {\n    sum += item.price\n    sum += item.tax // with tax\n    audit(item.name)\n  }\n  return sum\n}\n\nconst beta$K = async (things) => {\n  let sum = 0\n  for (const item of items) {\n    sum += item.price\n\n    sum += item.tax\n    audit(item.name)\n  }\n  return sum\n}\nconst big = 9007199254740993\nconst even = 100000000000000000\nconst part = 0.1234567890123456789\nconst pair = [one as unknown as Left, two as unknown as Right]\nlet price: Price\nfunction pick$K(flag) {\n  if (flag) {\n    log(flag)\n    return 1\n  } else {\n    return 2\n  }\n  done()\n}\ntry {\n  go()\n} catch (e) {\n\n  // nothing\n}\n"),
+    ("web", "html", "<html lang=\"en\">\n<img src=\"a\"> <img src=\"b\" alt=\"b\"> <IMG src=\"c\">\n</html>\n"),
 ]
 
 

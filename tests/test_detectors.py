@@ -32,6 +32,9 @@ LINES = [
     ("ast-slop/hardcoded-config", "u = 'https://api.net/x'", "u = 'http://localhost/x'"),
     ("types/ts-suppress", "// @ts-ignore", "// ts is fine"),
     ("types/generic-any", "x: Array<any>", "x: Array<string>"),
+    ("types/double-assertion", "x as unknown as Row", "x as Row"),
+    ("html/missing-lang", "<html>", "<html lang='en'>"),
+    ("syntax-deep/unicode-anomaly", "x\u200b = 1", "x = 1"),
     ("types/non-null-assertion", "a.b!.c", "a != b"),
     ("security-deep/eval-usage", "eval(x)", "// eval(x)"),
     ("security-deep/sql-injection", "db.query('SELECT 1 ' + x)", "db.query('find ' + x)"),
@@ -58,7 +61,6 @@ LINES = [
     ("css/universal-selector", "* {", ".a {"),
     ("syntax-deep/trailing-whitespace", "a ", "a"),
     ("syntax-deep/mixed-indent-line", " \ta", "\ta"),
-    ("syntax-deep/precision-loss", "x = 12345678901234567", "x = 123"),
 ]
 
 
@@ -132,6 +134,66 @@ def test_comment_state_matches_a_loop(spark):
             inside = True if a > b else False if b > a else inside
 
 
+def test_every_match_counts(spark):
+    text = ["a = [x as unknown as Left, y as unknown as Right]", "let m: Map<string, any>, p: Promise<any>", "a\u0001b\u007f\u2066\ufff9\ufeff"]
+    html = "<img src='a'> <img src='b' alt='b'> <IMG src='c'>\n<html data-x><html lang='de'>\n<center><b onclick='a()' onblur='b()'>"
+    got = sorted((r.path, r.line, r.rule, r.message) for r in line_rules.detect(views.lines(files(spark, ("a.ts", "\n".join(text)), ("b.html", html)))).collect() if r.rule.split("/")[0] in ("types", "html") or "unicode" in r.rule)
+    want = [("a.ts", 1, "types/double-assertion", f"as unknown as {x}") for x in ("Left", "Right")]
+    want += [("a.ts", 2, "types/generic-any", x) for x in ("Map<string, any>", "Promise<any>", "Promise<any>")]  # as a Promise, and as any T<any>
+    want += [("a.ts", 3, "syntax-deep/unicode-anomaly", x) for x in "\u0001\u007f\u2066\ufeff\ufff9"]
+    want += [("b.html", 1, "html/missing-alt", "<img src='a'>"), ("b.html", 1, "html/missing-alt", "<IMG src='c'>"), ("b.html", 2, "html/missing-lang", "<html data-x>")]
+    want += [("b.html", 3, "html/deprecated-tag", "<center"), ("b.html", 3, "html/inline-event-handler", "onclick="), ("b.html", 3, "html/inline-event-handler", "onblur=")]
+    assert got == sorted(want)
+
+
+def test_hints_are_implied(spark):
+    """Rules that look for a string first find the same without."""
+    from dataclasses import replace
+
+    rows = [(f"a{n}.{EXT[next(r for r in line_rules.RULES if r.id == rule).langs[0]]}", f"{hit}\n{miss}") for n, (rule, hit, miss) in enumerate(LINES)]
+    lines = views.lines(files(spark, *rows))
+    key = lambda rules: sorted(map(str, line_rules.detect(lines, rules).collect()))
+    assert key(line_rules.RULES) == key([replace(r, has=()) for r in line_rules.RULES])
+
+
+def test_meta_comments(spark):
+    text = "// Generated by x\n# Created with GPT\n# Written by GPT\n/* Created with GPT */\n// written by copilot\n/* AI assisted */\n// generic"
+    assert rules(line_rules.detect(views.lines(files(spark, ("a.ts", text))), [r for r in line_rules.RULES if r.id == "ast-slop/meta-comment"])) == [("ast-slop/meta-comment", n) for n in (1, 2, 5, 6)]
+
+
+@pytest.mark.parametrize(("number", "lost"), [("9007199254740993", True), ("100000000000000000", False), ("9007199254740992", False), ("12345678901234567", True), ("0.1234567890123456789", True), ("123", False), ("0xFFFFFFFFFFFFFFFFF", False), ("1234567890.1234567", False), ("1.0000000000000000", True), ("1234567890123456e3", True)])
+def test_precision_loss(spark, number, lost):
+    got = line_rules.precision_loss(views.lines(files(spark, ("a.ts", f"x = {number}")))).collect()
+    assert [(r.message, r.line, r.col) for r in got] == ([(number, 1, 5)] if lost else [])
+
+
+def test_swallowed(spark):
+    js = ["try {} catch (e) {}", "} catch (e) {", "", "  // nothing", "}", "} catch {", "  log()", "}", "} catch (e) {", "", "", "", "", "}"]
+    py = ["except ValueError as e:", "    # why", "    pass", "except:", "    ...", "except (A, B):", "    pass", "except X:", "", "", "    pass"]
+    ls = views.lines(files(spark, ("a.js", "\n".join(js)), ("b.py", "\n".join(py))))
+    assert sorted((r.path, r.line) for r in C.swallowed(ls).collect()) == [("a.js", 1), ("a.js", 2), ("b.py", 1), ("b.py", 4)]
+
+
+def test_function_bodies(spark):
+    js = "export async function one(a,\n  b) {\n  go() // x\n\n  if (a) {\n    stop({ b })\n  }\n  return a\n}\nconst two = (a) => {\n  go()\n  if (a) {\n    stop({ b })\n  }\n  return a\n}\nclass K {\n  three(x): void {\n    return a_long_enough_name(x)\n  }\n}\nif (x) {\n}\nfunction open() {\n  never closed in this file at all\n"
+    got = folds.function_bodies(js, "typescript")
+    same = "go()\nif (a) {\nstop({ b })\n}\nreturn a"
+    assert got[:3] == [(1, 9, "one", 6, "b) {\n" + same), (10, 16, "two", 5, same), (18, 20, "three", 1, "return a_long_enough_name(x)")]
+    assert got[3][:3] == (24, 26, "open")
+    py = "def f(a):\n    x = 1  # one\n\n    return a + x + 12345\n\ndef g():\n    pass\n"
+    assert folds.function_bodies(py, "python") == [(1, 4, "f", 2, "x = 1\nreturn a + x + 12345")]
+    body = "".join(f"  step{i}(value)\n" for i in range(6))
+    rows = [("a.ts", f"function one() {{\n{body}}}\nfunction two() {{\n{body}}}\n"), ("b.ts", f"function three() {{\n{body}  // end\n}}\nfunction one() {{\n{body.replace('step0', 'other')}}}\nfunction init() {{\n{body}}}\n")]
+    got = relations.copied_functions(folds.functions(files(spark, *rows))).collect()
+    assert [(r.n, r.n_names, r.path, r.line, r.name) for r in got] == [(3, 3, "a.ts", 1, "one")]
+
+
+def test_layers(spark):
+    rows = [("src/ui/a.ts", "import { a } from '../x/data/models/b'"), ("src/api/b.ts", "import { a } from '../x/db/c'"), ("src/api/c.ts", "import { a } from '../services/db/c'"), ("src/pages/d.ts", "import { a } from './entities/c'"), ("src/pages/e.ts", "import { a } from './entity/c'")]
+    got = relations.layer_violation(views.imports(views.lines(files(spark, *rows)))).collect()
+    assert sorted(r.path for r in got) == ["src/api/b.ts", "src/pages/d.ts", "src/ui/a.ts"]
+
+
 def test_windows(spark):
     py = "def a():\n    pass\ndef b():\n    '''doc'''\ntry:\n    x()\nexcept ValueError:\n    pass\n"
     ls = views.lines(files(spark, ("a.py", py)))
@@ -216,7 +278,7 @@ def test_circular_dependency(spark):
     assert got == {("src/m0/f.ts", 2, " > ".join(p for p, _ in ring)), ("src/z.ts", 1, "src/z.ts")}
 
 
-def test_cycles_whole(spark, tmp_path):
+def test_cycles(spark, tmp_path):
     from corpusmill import queries
 
     spark.createDataFrame([(i, i * 7 % 25 - 7) for i in range(7, 20)] + [(k, n) for n, k in ((0, 18), (1, 11), (2, 4), (3, 22), (4, 0))], "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
@@ -233,7 +295,7 @@ def test_cycles_whole(spark, tmp_path):
 
     for v in {a for a, _ in edges}:
         walk([v])
-    assert {r.cycle for r in queries.QUERIES["cycles_whole"](spark, str(tmp_path)).collect()} == want and "0 > 1 > 2 > 3 > 4" in want
+    assert {r.cycle for r in queries.QUERIES["cycles"](spark, str(tmp_path)).collect()} == want and "0 > 1 > 2 > 3 > 4" in want
 
 
 def test_similar_sets(spark):
@@ -258,14 +320,14 @@ def test_similar_groups(spark):
     assert same and near and len(got) == len(same) + len(near) < len(want)
 
 
-def test_similar_files_whole(spark, tmp_path):
+def test_similar_files(spark, tmp_path):
     import re
 
     from corpusmill import queries, synthetic
 
     spark.range(1, 121).select(F.col("id").alias("p_partkey")).write.parquet(f"{tmp_path}/part.parquet")
     sets = {r.path: {*re.findall("[A-Za-z_]+", r.content)} for r in synthetic.files(spark, str(tmp_path)).collect()}
-    got = queries.QUERIES["similar_files_whole"](spark, str(tmp_path)).collect()
+    got = queries.QUERIES["similar_files"](spark, str(tmp_path)).collect()
     same = {r.b: r.a for r in got if r.n_both == r.n_either}
     near = {(r.a, r.b) for r in got if r.n_both < r.n_either}
     first = lambda i: same.get(i, i)

@@ -98,11 +98,48 @@ def test_labels(spark):
     assert [r.l for r in row.collect()] == ["critical", "needs work", "needs work", "healthy"]
 
 
+@pytest.mark.parametrize(
+    ("category", "severity", "fixable", "suggestion", "confidence", "complexity"),
+    [
+        ("style", "info", True, "replace", 0.9, "trivial"), ("style", "warning", False, None, None, "simple"), ("style", "error", True, None, None, "moderate"), ("architecture", "info", True, "replace", 0.9, "complex"),
+        ("style", "error", False, None, None, "complex"), ("security", "error", True, "replace", 0.9, "complex"), ("security", "warning", True, "replace", 0.9, "moderate"), ("performance", "warning", False, None, None, "moderate"),
+        ("style", "warning", True, None, None, "moderate"), ("style", "info", True, "delete", 0.95, "simple"), ("style", "info", True, "replace", 0.8, "simple"), ("style", "suggestion", False, None, None, "simple"),
+    ],
+)
+def test_assess(spark, category, severity, fixable, suggestion, confidence, complexity):
+    row = spark.createDataFrame([(category, severity, fixable, suggestion, confidence)], "category string, severity string, fixable boolean, suggestion string, confidence double")
+    got = P.assess(row).first()
+    assert (got.complexity, got.minutes, got.priority) == (complexity, *{"trivial": (1, 1), "simple": (5, 2), "moderate": (15, 3), "complex": (60, 4)}[complexity])
+
+
 def test_effort(spark):
-    rows = found(spark, ("a", "x/god-file", "warning", 1, 1), ("a", "x/eval", "error", 1, 1), ("a", "x/decorative-comment", "info", 1, 1))
-    got = P.effort(P.assess(rows)).first()
-    assert (got.n, got.minutes, got.priority, got.effort) == (3, 76, 4, "1h 16m")
-    assert P.effort(P.assess(rows.limit(0))).first().effort == "0m"
+    rows = found(spark, ("a", "arch-constraints/god-file", "warning", 1, 1), ("a", "html/missing-alt", "error", 1, 1), ("a", "ast-slop/todo-stub", "info", 1, 1))
+    got = P.effort(P.assess(P.described(rows))).first()
+    assert (got.n, got.minutes, got.priority, got.effort, got.n_complex, got.n_moderate, got.n_trivial) == (3, 76, 4, "1h 16m", 1, 1, 1)
+    assert P.effort(P.assess(P.described(rows.limit(0)))).first().effort == "0 min"
+    two = P.effort(P.assess(P.described(found(spark, *[("a", "arch-constraints/god-file", "warning", n, 1) for n in range(2)])))).first()
+    assert two.effort == "2h"
+
+
+def test_described_and_tiers(spark):
+    rows = found(spark, ("a", "types/ts-suppress", "warning", 1, 1), ("a", "go-deep/goto-usage", "error", 1, 1), ("a", "own/rule", "info", 1, 1), ("a", "json/deep-nesting", "warning", 1, 1))
+    got = {r.rule: (r.engine, r.category, r.fixable, r.suggestion, r.confidence) for r in P.described(rows).collect()}
+    assert got == {"types/ts-suppress": ("types", "types", True, "delete", 0.7), "go-deep/goto-usage": ("go-deep", "syntax", False, None, None), "own/rule": ("own", "style", False, None, None), "json/deep-nesting": ("json", "architecture", False, None, None)}
+    tiers = {r.rule: (r.mult, r.cap) for r in P.with_tiers(rows).collect()}
+    assert tiers == {"types/ts-suppress": (0.5, 16), "go-deep/goto-usage": (1.0, 40), "own/rule": (0.5, 16), "json/deep-nesting": (0.75, 24)}
+    # 50 strict errors of one rule: all of the rule's five points, 49 of them capped; twice as many files, half the density
+    many = found(spark, *[("a", "go-deep/goto-usage", "error", n, 1) for n in range(50)])
+    one = P.score(many, 0, smoothing=100.0).first()
+    assert (one.total, one.density, one.n_capped) == (5.0, 0.5, 50) and P.score(many, 100, smoothing=100.0).first().density == 0.25
+    assert [r.rule for r in P.catalogue(rows).collect()] == ["go-deep/goto-usage", "json/deep-nesting", "own/rule", "types/ts-suppress"]
+
+
+def test_manifest_audit(spark):
+    rows = files(spark, ("a/package.json", '{"engines": {"node": ">=20"}}'), ("a/yarn.lock", ""), ("b/package.json", "{}"), ("c/package.json", '{"engines": {"npm": "1"}}'), ("c/pnpm-lock.yaml", ""))
+    got = sorted((r.path, r.rule, r.severity) for r in reports.manifest_audit(rows).collect())
+    assert got == [("b/package.json", "dep-audit/missing-engines", "info"), ("b/package.json", "dep-audit/missing-lockfile", "error"), ("c/package.json", "dep-audit/missing-engines", "info")]
+    deps = spark.createDataFrame([("a", "dependencies", "glob", "1"), ("a", "devDependencies", "core-js", "2.1"), ("b", "dependencies", "core-js", "3.1"), ("b", "peerDependencies", "request", "1"), ("b", "dependencies", "moment", "1")], "path string, kind string, name string, version string")
+    assert sorted((r.path, r.message) for r in reports.dependency_audit(deps).collect() if r.rule == "dep-audit/deprecated") == [("a", "core-js"), ("a", "glob")]
 
 
 def test_trend_and_history(spark, tmp_path):
