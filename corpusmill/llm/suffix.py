@@ -5,13 +5,16 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from corpusmill.llm import kernels as K
 from corpusmill.llm.exchange import NOTE, NOTE_ARROW, SENT, Chunk, Corpus, Gathered, Sorted, sent_table
 
-_SHARED, _SPANS = 1, 2
+_SHARED, _SPANS, _LATER = 1, 2, 3
+#: An anchor at more places than this is hot: its strings are dealt one by one, so that no group holds all its contexts.
+HOT = 1 << 12
 _U = np.uint64
 #: Bytes of distinct contexts that are sorted as one text.
 SORT_BYTES = 1 << 18
@@ -172,16 +175,71 @@ class _Anchors:
 def _send(width: int, gram: int, bits: int):
     def send(chunk: int, docs: pa.Table, notes: pa.Table) -> pa.Table:
         s = Sorted(_Anchors(Chunk(docs, notes), width, gram).hash, bits + 32)
-        return sent_table(chunk, [(b, K.bundle(K.pack_ints(s.low(own, bits), rising=True), K.pack_bits(s.size[own] > 1))) for b, own in s.buckets(bits)])
+        return sent_table(chunk, [(b, K.bundle(K.pack_ints(s.low(own, bits), rising=True), K.pack_ints(s.size[own]))) for b, own in s.buckets(bits)])
 
     return send
 
 
-def _shared(parts: list[list[bytes]]) -> list[bytes]:
-    values = [K.unpack_ints(p[0]) for p in parts]
-    g = Gathered(values)
-    several = g.sorted([K.unpack_bits(p[1], len(v)) for p, v in zip(parts, values, strict=True)])
-    return [K.pack_bits(x) for x in g.deal(np.repeat((g.size > 1) | np.logical_or.reduceat(several, g.at), g.size))]
+def _shared(hot: int):
+    """For each anchor sent, a bit if it stands at two places or more; and, where any is hot, a bit for that."""
+
+    def shared(parts: list[list[bytes]]) -> list[bytes]:
+        g = Gathered([K.unpack_ints(p[0]) for p in parts])
+        n = np.add.reduceat(g.sorted([K.unpack_ints(p[1]).astype(np.int64) for p in parts]), g.at)
+        several, many = g.deal(np.repeat(n > 1, g.size)), g.deal(np.repeat(n > hot, g.size))
+        return [K.bundle(K.pack_bits(x), *([K.pack_bits(y)] if y.any() else [])) for x, y in zip(several, many, strict=True)]
+
+    return shared
+
+
+def _marked(c: Chunk, a: _Anchors, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which runs have an anchor that recurs, and which a hot one."""
+    s = Sorted(a.hash, bits + 32)
+    out = np.zeros((2, len(s.values)), bool)
+    for b, own in s.buckets(bits):
+        for row, blob in zip(out, K.unbundle(c.notes[_SHARED][b]), strict=False):
+            row[own] = K.unpack_bits(blob, own.stop - own.start)
+    return s.spread(out[0]), s.spread(out[1])
+
+
+def _hot_strings(c: Chunk, a: _Anchors, hot: np.ndarray, width: int) -> tuple[Sorted, np.ndarray, np.ndarray]:
+    """The strings of hot runs by two hashes, where they start, and of each distinct one the first by (doc_id, start)."""
+    n = (a.hi - a.lo + 1)[hot]
+    at = np.repeat(a.lo[hot] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+    order = np.lexsort((at, c.ids[np.repeat(a.doc[hot], n)]))  # chunks hold documents by id, but equal ids follow by text
+    at = at[order]
+    h, more = (K.span_hashes(c.data, at, at + width, seed=k) for k in (0, 1))
+    s = Sorted(h, second=more)
+    first = np.minimum.reduceat(s.order, s.at) if len(at) else at
+    return s, at, first
+
+
+def _place(c: Chunk, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    doc = np.searchsorted(c.offsets, at, "right") - 1
+    return c.ids[doc], at - c.offsets[doc]
+
+
+def _send_hot(width: int, gram: int, bits: int):
+    def send(chunk: int, docs: pa.Table, notes: pa.Table) -> pa.Table:
+        c = Chunk(docs, notes)
+        a = _Anchors(c, width, gram)
+        if not len(a.hash) or not (hot := _marked(c, a, bits)[1]).any():
+            return sent_table(chunk, [])
+        s, at, first = _hot_strings(c, a, hot, width)
+        ids, start = _place(c, at[first])
+        return sent_table(chunk, [(b, K.bundle(K.pack_ints(s.low(own, bits), rising=True), K.pack_plain(s.seconds[own]), K.pack_ints(ids[own]), K.pack_ints(start[own]))) for b, own in s.buckets(bits)])
+
+    return send
+
+
+def _later(parts: list[list[bytes]]) -> list[bytes]:
+    """Whether a string of a chunk stands earlier in another one."""
+    g = Gathered([K.unpack_ints(p[0]) for p in parts], [K.unpack_plain(p[1]) for p in parts])
+    ids, start = (g.sorted([K.unpack_ints(p[i]).view(np.int64) for p in parts]) for i in (2, 3))
+    group = np.repeat(np.arange(len(g.at)), g.size)
+    least = np.lexsort((start, ids, group))[g.at] if len(g.at) else g.at
+    least = np.repeat(least, g.size)
+    return [K.pack_bits(x) for x in g.deal((ids != ids[least]) | (start != start[least]))]
 
 
 def _gather(data: np.ndarray, lo: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -195,8 +253,8 @@ def _contexts(width: int, gram: int, bits: int, near: int):
     def contexts(chunk: int, docs: pa.Table, notes: pa.Table) -> pa.Table:
         c = Chunk(docs, notes)
         a = _Anchors(c, width, gram)
-        s = Sorted(a.hash, bits + 32)
-        keep = np.flatnonzero(s.spread(s.bits_from(c.notes.get(_SHARED, {}), bits))) if len(a.hash) else np.zeros(0, np.int64)
+        several, hot = _marked(c, a, bits) if len(a.hash) else (np.zeros(0, bool),) * 2
+        keep = np.flatnonzero(several & ~hot)
         if not len(keep):
             return sent_table(chunk, [])
         lo, size, anchor, doc = a.lo[keep], a.hi[keep] - a.lo[keep] + width, a.hash[keep], a.doc[keep]
@@ -324,7 +382,7 @@ def _spans(width: int):
     return spans
 
 
-def _remove(width: int, schema: pa.Schema):
+def _remove(width: int, schema: pa.Schema, gram: int, bits: int, any_hot: bool):
     def remove(chunk: int, docs: pa.Table, notes: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return schema.empty_table()
@@ -334,6 +392,11 @@ def _remove(width: int, schema: pa.Schema):
         whole = np.flatnonzero(c.copy & (np.diff(c.offsets) >= width))
         starts = np.concatenate([c.offsets[doc] + lo, c.offsets[whole]])
         ends = np.concatenate([c.offsets[doc] + hi + width, c.offsets[whole + 1]])
+        if any_hot and len((a := _Anchors(c, width, gram)).hash) and (hot := _marked(c, a, bits)[1]).any():
+            s, at, first = _hot_strings(c, a, hot, width)
+            own, of = _place(c, at), _place(c, at[s.spread(first)])
+            again = at[s.spread(s.bits_from(c.notes.get(_LATER, {}), bits)) | (own[0] != of[0]) | (own[1] != of[1])]
+            starts, ends = np.append(starts, again), np.append(ends, again + width)
         gone = K.cover(starts, ends, len(c.data))
         removed = np.diff(np.append(0, np.cumsum(gone))[c.offsets])
         begins = gone.copy()
@@ -349,7 +412,7 @@ def _remove(width: int, schema: pa.Schema):
     return remove
 
 
-def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 100, carry: list[str] | None = None) -> DataFrame:
+def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 100, carry: list[str] | None = None, hot: int = HOT) -> DataFrame:
     """Remove each byte covered by a string of ``width`` bytes that also starts earlier (smaller doc_id, or before).
 
     Returns doc_id, the carried columns (default: all others), n_bytes, n_removed, n_spans and kept (binary: a cut
@@ -357,7 +420,9 @@ def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width:
     a quarter of their bytes, rounded down to a power of two) at equal places. An exchange of packed anchor hashes
     tells which recur; the bytes around those go to the anchor's bucket, equal stretches once. There the distinct
     stretches are one text, whose suffixes are sorted in two stages, and adjacent common prefixes of ``width`` or
-    more make the groups of equal strings; all but the first of a group are later ones.
+    more make the groups of equal strings; all but the first of a group are later ones. The strings of anchors at more
+    than ``hot`` places, such as a passage that a third of all texts hold, never meet as one group: each goes by its
+    own two 64-bit hashes, once a chunk.
 
     Documents whose whole text a smaller doc_id has are removed whole if they have ``width`` bytes. Strings are
     judged on the input, matches never cross documents. Equal stretches are found by two independent 64-bit hashes
@@ -370,10 +435,16 @@ def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width:
     carry = [c for c in (docs.columns if carry is None else carry) if c not in (doc_id, text, *own)]
     corpus = Corpus(docs, "suffix", doc_id=doc_id, text=text, carry=carry)
     bits = corpus.bits(corpus.bytes // 8)
-    shared = corpus.answers(corpus.each_chunk(_send(width, gram, bits), corpus.notes, SENT), _shared, _SHARED)
+    shared = corpus.answers(corpus.each_chunk(_send(width, gram, bits), corpus.notes, SENT), _shared(hot), _SHARED)
+    notes = corpus.notes.unionByName(corpus.scratch.keep(shared, "shared"))
     near = max(5, int(corpus.bytes // BUCKET_BYTES).bit_length())
-    found = corpus.each_chunk(_contexts(width, gram, bits, near), corpus.notes.unionByName(shared), SENT)
-    spans = corpus.scratch.keep(found.groupBy("bucket").applyInArrow(_spans(width), NOTE), "spans")
+    found = corpus.each_chunk(_contexts(width, gram, bits, near), notes, SENT)
+    ends = corpus.notes.unionByName(corpus.scratch.keep(found.groupBy("bucket").applyInArrow(_spans(width), NOTE), "spans"))
+    # A bundle of two parts tells of hot anchors.
+    any_hot = not notes.filter(F.col("n_kind") == _SHARED).filter(F.substring("n_data", 1, 1) == F.lit(bytearray(b"\x02"))).isEmpty()
+    if any_hot:
+        later = corpus.answers(corpus.each_chunk(_send_hot(width, gram, bits), notes, SENT), _later, _LATER)
+        ends = ends.unionByName(notes.filter(F.col("n_kind") == _SHARED)).unionByName(corpus.scratch.keep(later, "later"))
     schema = T.StructType([T.StructField("doc_id", T.LongType()), *[T.StructField(f"c_{i}", docs.schema[c].dataType) for i, c in enumerate(corpus.carried)], *[T.StructField(c, T.LongType()) for c in own[:3]], T.StructField("kept", T.BinaryType())])
-    out = corpus.each_chunk(_remove(width, to_arrow_schema(schema)), corpus.notes.unionByName(spans), schema)
+    out = corpus.each_chunk(_remove(width, to_arrow_schema(schema), gram, bits, any_hot), ends, schema)
     return out.toDF(doc_id, *corpus.carried, *own)

@@ -91,8 +91,9 @@ def test_repeated_ids_with_different_texts(spark):
     rows = _repeated()
     got = substring.dedup(_frame(spark, rows)).collect()
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept) for r in got) == sorted((-1 if d is None else d, *x) for d, *x in brute.substring(rows))
-    got = suffix.dedup(_frame(spark, rows), width=40).collect()
-    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == sorted((-1 if d is None else d, *x) for d, *x in brute.suffix(rows, 40))
+    for hot in (suffix.HOT, 0):
+        got = suffix.dedup(_frame(spark, rows), width=40, hot=hot).collect()
+        assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == sorted((-1 if d is None else d, *x) for d, *x in brute.suffix(rows, 40))
     got = ngram_join.join(_frame(spark, rows)).collect()
     # 1 and 2 share w, 4 has w too, 2 and 3 share u, and so has 7: one component.
     want = [(1, 26, 1), (2, 26, 1), (2, 26, 1), (2, 26, 1), (3, 26, 1), (4, 26, 1), (4, 26, 1), (5, 56, 5), (6, 0, 6), (7, 0, 7), (7, 26, 1), (-1, 26, -1), (-1, 26, -1)]
@@ -104,9 +105,11 @@ def test_dedup_of_empty_tables(spark):
     assert [x.count() for x in (substring.dedup(none), suffix.dedup(none), ngram_join.join(none), licenses.scan(none))] == [0] * 4
 
 
-def test_suffix(spark):
+@pytest.mark.parametrize("hot", [suffix.HOT, 3, 0])
+def test_suffix(spark, hot):
     rows = [*_rows(2), (None, _rows(2)[4][1] * 3)]
-    got = suffix.dedup(_frame(spark, rows), width=40).collect()
+    rows += [(2000 + i, f"{i} before {'common passage of some eighty letters that many texts hold, in other places too'} {i * 7} behind") for i in range(12)]
+    got = suffix.dedup(_frame(spark, rows), width=40, hot=hot).collect()
     want = brute.suffix(rows, 40)
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == sorted((-1 if d is None else d, *x) for d, *x in want)
 
