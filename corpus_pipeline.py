@@ -7,46 +7,73 @@ return the columns of documents. Rows that share a doc_id are one document and s
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm import mixing, ngram_join, packing, substring, toxicity
 from corpusmill.plans.storage import Scratch
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 TOXIC_FROM = 0.3
 
 
+def _held(docs: DataFrame) -> DataFrame:
+    """doc_id, text, source and all columns as one struct, so that none of their names meets an operator's."""
+    return docs.select("doc_id", "text", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
+def _columns(rows: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
+    """The columns of docs out of the struct, but for new ones."""
+    return rows.select(*[(new[c] if c in new else F.col("row").getField(c)).alias(c) for c in docs.columns])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score of TOXIC_FROM or more go."""
+    """Documents with a toxicity score of TOXIC_FROM or more go; all columns of the others stay.
+
+    Null and empty texts have no evidence and stay. Null ids stay, and are never learnt from. Of an id labelled twice
+    the largest label counts. Without labels nothing goes. Empty table: empty result.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~toxicity.held_out())
-    rows = toxicity.score(docs, *toxicity.fit(docs, labels), carry=True)
-    return rows.filter(F.col("score") < TOXIC_FROM).select(*COLUMNS)
+    rows = toxicity.score(_held(docs), *toxicity.fit(docs, labels), carry=True)
+    return _columns(rows.filter(F.col("score") < TOXIC_FROM), docs)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (5-word shingles, Jaccard similarity 0.8 or more) the smallest doc_id stays."""
+    """Of each group of near copies (5-word shingles, Jaccard similarity 0.8 or more) the smallest doc_id stays.
+
+    Texts without words are no copies of each other and stay, and so do rows without id. Rows that share an id stay
+    or go together. All columns stay. Empty table: empty result.
+    """
     gone = ngram_join.join(docs).filter("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of 13-word windows that a smaller doc_id has go; a text that loses all its words goes as a whole.
 
-    Texts that lose nothing stay as they are; in others the words left are joined by one space.
+    Texts that lose nothing stay as they are; in others the words left are joined by one space, and n_chars counts
+    them anew. Null texts become empty ones. Null ids are larger than all. Rows that share an id take nothing from each
+    other. Other columns stay as they are. Empty table: empty result.
     """
-    rows = substring.dedup(docs, whole=True).filter((F.col("n_removed") < F.col("n_words")) | (F.col("n_words") == 0))
-    n_chars = F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(F.col("n_chars")).cast("long")
-    return rows.select("doc_id", F.col("kept").alias("text"), "lang", "source", n_chars.alias("n_chars"))
+    rows = substring.dedup(_held(docs), whole=True).filter((F.col("n_removed") < F.col("n_words")) | (F.col("n_words") == 0))
+    n_chars = F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("row").getField("n_chars").cast("long"))
+    return _columns(rows, docs, text=F.col("kept"), n_chars=n_chars)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each time a document is drawn towards its source's target; documents are taken whole."""
-    return mixing.mix(docs, whole=True).select(*COLUMNS)
+    """A row for each time a document is drawn towards its source's target; documents are taken whole.
+
+    Sources are those of ``op1``: a null source is one of its own, empty and null texts have size 0 and are drawn as
+    any other document. All columns stay. Empty table: empty result.
+    """
+    return _columns(mixing.mix(_held(docs), whole=True), docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the mixed documents in sequences of at most 2048 tokens."""
+    """Pieces of the mixed documents in sequences of at most 2048 tokens.
+
+    A document drawn twice is packed twice. Null and empty texts are the end id alone; null ids stay null. Columns but
+    doc_id and text are not read. Empty table: empty result.
+    """
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
