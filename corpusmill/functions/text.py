@@ -2,15 +2,55 @@
 
 from __future__ import annotations
 
+import re
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 
 
+_BEFORE, _BEHIND = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+
+
+def _opens_with_word(rest: str) -> bool:
+    """Whether all that a pattern may go on with is a word character."""
+    if re.match(r"[A-Za-z0-9_]|\\w(?![*?])", rest):
+        return not re.match(r"(?:\\w|[A-Za-z0-9_])(?:[*?]|\{0)", rest)
+    group = re.match(r"\((?:\?:)?([^()\\\[\]]+)\)(?![*?{])", rest)
+    return bool(group) and all(re.match(r"[A-Za-z0-9_](?![*?{])", x) for x in group[1].split("|"))
+
+
+def _ends_with_word(before: str) -> bool:
+    """Whether all that a pattern may have ended with is a word character."""
+    if re.search(r"\\w\+?\Z", before):
+        return True
+    if re.search(r"(?<!\\)[A-Za-z0-9_]\Z", before):
+        return True
+    group = re.search(r"\((?:\?:)?([^()\\\[\]]+)\)\Z", before)
+    return bool(group) and all(re.search(r"[A-Za-z0-9_]\Z", x) for x in group[1].split("|"))
+
+
+@cache
 def java(pattern: str) -> str:
-    """A pattern written for RE2, for Java: word edges are ASCII ones there too."""
-    return pattern.replace(r"\b", _EDGE)
+    """A pattern written for RE2, for Java: word edges are ASCII ones there too.
+
+    Where a word character must follow an edge, or must stand before it, one look to the other side says all.
+    """
+    out, rest = "", pattern
+    while (at := rest.find(r"\b")) >= 0:
+        before, rest = out + rest[:at], rest[at + 2 :]
+        inside = before.count("[") - before.count(r"\[") > before.count("]") - before.count(r"\]")
+        if inside or before.endswith("\\"):
+            out = before + r"\b"
+        elif _opens_with_word(rest):
+            out = before + _BEFORE
+        elif _ends_with_word(before):
+            out = before + _BEHIND
+        else:
+            out = before + _EDGE
+    return out + rest
 
 
 def matches(text: Column, pattern: str) -> Column:

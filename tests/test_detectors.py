@@ -134,6 +134,25 @@ def test_comment_state_matches_a_loop(spark):
             inside = True if a > b else False if b > a else inside
 
 
+def test_word_edges():
+    """Edges by one look mean what an edge on both sides means, in every rule and on made-up texts."""
+    import re
+
+    from corpusmill.functions import text
+
+    rng = random.Random(7)
+    patterns = [p for r in line_rules.RULES for p in (r.pattern, r.but) if r"\b" in p]
+    patterns += [r"\b(?:a|bc)\b", r"\b(?:a|\.b)", r"x?\b", r"\ba*", r"(?:a|b)\b", r"(?:a|b)?\bc", r"\w+\b", r"\w*\b", r"\b\w+", r"\b\d+", r"=\b", r"\b\(a"]
+    bits = ["as", " ", "any", "é", "eval", "(", ")", ".", "_", "x", "unknown", "type", ":", "=", "TODO", "interface", "{", "}", "goto", "a1", "document", "write", "-", "中"]
+    lines = ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 9))) for _ in range(1500)]
+    python = lambda p: p.replace(r"\z", r"\Z").replace(r"\x{", r"\u{")
+    assert text.java(r"\beval\s*\(") == r"(?<![A-Za-z0-9_])eval\s*\(" and text.java(r"\bas\s+any\b").endswith("any(?![A-Za-z0-9_])")
+    for p in patterns:
+        one, both = re.compile(python(text.java(p)), re.A), re.compile(python(p.replace(r"\b", text._EDGE)), re.A)
+        for line in lines:
+            assert [m.span() for m in one.finditer(line)] == [m.span() for m in both.finditer(line)], (p, line)
+
+
 def test_every_match_counts(spark):
     text = ["a = [x as unknown as Left, y as unknown as Right]", "let m: Map<string, any>, p: Promise<any>", "a\u0001b\u007f\u2066\ufff9\ufeff"]
     html = "<img src='a'> <img src='b' alt='b'> <IMG src='c'>\n<html data-x><html lang='de'>\n<center><b onclick='a()' onblur='b()'>"
