@@ -62,6 +62,28 @@ def extract(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract(text, java(pattern), group)
 
 
+_ESCAPED = r"\\."
+#: A literal pattern behind what an expression may follow, up to here; and what closes it from here on.
+_OPEN_PATTERN = r"[=(:,;\[!&|?{}+\-~^%<> ]/(?:\\.|\[(?:\\.|[^\]\\])*\]|[^/\\\[])*\z"
+_CLOSES_PATTERN = r"^(?:\\.|\[(?:\\.|[^\]\\])*\]|[^/\\\[])*/"
+
+
+def inside_string(text: Column, at: Column) -> Column:
+    """Whether column ``at`` (from 1) of a line of code lies in a quoted string, a template or a literal pattern."""
+    before, behind = F.substring(text, F.lit(1), at - 1), F.substring(text, at, F.length(text))
+    bare = F.regexp_replace(before, _ESCAPED, "")
+    odd = [F.regexp_count(bare, F.lit(q)) % 2 == 1 for q in ("'", '"', "`")]
+    return odd[0] | odd[1] | odd[2] | (before.rlike(_OPEN_PATTERN) & behind.rlike(_CLOSES_PATTERN))
+
+
+def inside_string_sql(text: str, at: str) -> str:
+    """The same for DuckDB."""
+    before, behind = f"substr({text}, 1, {at} - 1)", f"substr({text}, {at})"
+    bare = f"regexp_replace({before}, '{_ESCAPED}', '', 'g')"
+    odd = " OR ".join(f"(length({bare}) - length(replace({bare}, {q}, ''))) % 2 = 1" for q in ("chr(39)", "chr(34)", "chr(96)"))
+    return f"({odd} OR (regexp_matches({before}, '{_OPEN_PATTERN}') AND regexp_matches({behind}, '{_CLOSES_PATTERN}')))"
+
+
 def trim_all(text: Column) -> Column:
     """Without white space (space and 0x09 to 0x0D) on both ends; trim() alone takes spaces."""
     return F.regexp_replace(text, r"^[\x09-\x0D ]+|[\x09-\x0D ]+\z", "")

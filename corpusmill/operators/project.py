@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
+from pathlib import Path
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -104,3 +108,113 @@ def config(own: dict | None = None) -> dict:
             if isinstance(value, bool) != isinstance(got, bool) or (isinstance(value, int | float) and not isinstance(got, int | float)):
                 raise ValueError(f"{section}.{key} has the wrong kind")
     return out
+
+
+#: Where a configuration stands in a folder or one above it, in this order.
+CONFIG_FILES = (".lint/config.yml", ".lint/config.yaml", ".lint/config.json")
+
+
+def find_config(start: str) -> Path | None:
+    """The first configuration file in a folder of the driver's file system, or in the nearest folder above it."""
+    folder = Path(start).resolve()
+    for place in (folder, *folder.parents):
+        for name in CONFIG_FILES:
+            if (place / name).is_file():
+                return place / name
+    return None
+
+
+def _scalar(text: str) -> object:
+    text = text.strip()
+    if text[:1] in ("'", '"') and text[-1:] == text[:1] and len(text) > 1:
+        return text[1:-1]
+    if text.startswith("[") and text.endswith("]"):
+        return [_scalar(x) for x in text[1:-1].split(",") if x.strip()]
+    for word, value in (("true", True), ("false", False), ("null", None), ("~", None), ("", None)):
+        if text.lower() == word:
+            return value
+    try:
+        return float(text) if re.search(r"[.eE]", text) else int(text)
+    except ValueError:
+        return text
+
+
+def parse_yaml(text: str) -> dict:
+    """Nested maps, lists of scalars and scalars, which is all that a configuration holds; else ValueError."""
+    rows = [(len(x) - len(x.lstrip()), x.strip()) for x in (re.sub(r"(?:^|\s)#.*$", "", line) for line in text.split("\n")) if x.strip() and x.strip() != "---"]
+    root: dict = {}
+    stack: list[tuple[int, object]] = [(-1, root)]
+    for n, (indent, row) in enumerate(rows):
+        while stack[-1][0] >= indent:
+            stack.pop()
+        if isinstance(stack[-1][1], list) and not row.startswith("- "):
+            stack.pop()  # a list at the indent of its key is over
+        own = stack[-1][1]
+        if row.startswith("- ") and isinstance(own, list):
+            own.append(_scalar(row[2:]))
+            continue
+        m = re.match(r"""(?:"([^"]+)"|'([^']+)'|([^:\s][^:]*?))\s*:(?:\s+(.*))?$""", row)
+        if not m or not isinstance(own, dict):
+            raise ValueError(f"no configuration: {row}")
+        key, value = m[1] or m[2] or m[3], m[4]
+        below = rows[n + 1] if n + 1 < len(rows) else (0, "")
+        if not value and (below[0] > indent or (below[0] == indent and below[1].startswith("- "))):
+            own[key] = [] if below[1].startswith("- ") else {}
+            stack.append((indent - 1 if below[0] == indent else indent, own[key]))
+        else:
+            own[key] = _scalar(value or "")
+    return root
+
+
+def read_config(path: Path | str, seen: tuple[Path, ...] = ()) -> dict:
+    """A configuration file with the files that it extends, the nearest winning; presets are left to ``config``."""
+    path = Path(path).resolve()
+    if path in seen:
+        raise ValueError(f"{path} extends itself")
+    text = path.read_text()
+    own = (json.loads(text) if path.suffix == ".json" else parse_yaml(text)) or {}
+    base = own.get("extends")
+    if isinstance(base, str) and (base.startswith((".", "/")) or base.endswith((".yml", ".yaml", ".json"))):
+        parent = path.parent / base
+        if not parent.is_file():
+            raise ValueError(f"{path} extends {base}, which is no file")
+        return deep_merge(read_config(parent, (*seen, path)), {k: v for k, v in own.items() if k != "extends"})
+    return own
+
+
+def load_config(start: str) -> dict:
+    """The configuration of a project: its file's, or that of a folder above, with all it extends, over the defaults."""
+    path = find_config(start)
+    return config(read_config(path)) if path else config()
+
+
+# Modules that come with the runtime.
+BUILTINS = (
+    "assert", "async_hooks", "buffer", "child_process", "cluster", "console", "constants", "crypto", "dgram", "diagnostics_channel", "dns", "domain", "events", "fs", "http", "http2", "https", "inspector",
+    "module", "net", "os", "path", "perf_hooks", "process", "punycode", "querystring", "readline", "repl", "stream", "string_decoder", "sys", "timers", "tls", "trace_events", "tty", "url", "util", "v8", "vm",
+    "wasi", "worker_threads", "zlib",
+)
+
+
+def declared(files: DataFrame) -> DataFrame:
+    """name: what manifests, requirements and Python projects declare, and what comes with the runtime."""
+    npm = manifest_dependencies(files).select("name")
+    line = F.trim(F.col("line"))
+    pip = files.filter(F.col("path").rlike(r"(?:^|/)requirements\.txt\z")).select(F.explode(F.split("content", "\n")).alias("line")).filter(~line.rlike(r"^(?:#|\z)")).select(F.trim(F.regexp_extract(line, r"^[^=<>!\[]*", 0)).alias("name"))
+    toml = files.filter(F.col("path").rlike(r"(?:^|/)pyproject\.toml\z")).select(F.explode(F.split("content", "\n")).alias("line")).select(F.regexp_extract(line, r'^"?([a-zA-Z0-9_-]+)"?\s*[=<>]', 1).alias("name"))
+    own = files.sparkSession.createDataFrame([(x,) for x in BUILTINS], "name string")
+    return npm.unionByName(pip).unionByName(toml).unionByName(own).filter("name <> ''").distinct()
+
+
+def alias_names(files: DataFrame) -> DataFrame:
+    """name: what a compiler's configuration maps to own folders, without the star at its end."""
+    text = F.regexp_replace("content", r"(?m)^\s*//.*$", "")
+    paths = files.filter(F.col("path").rlike(r"(?:^|/)[jt]sconfig[^/]*\.json\z")).select(F.from_json(text, "struct<compilerOptions:struct<paths:map<string,array<string>>>>")["compilerOptions"]["paths"].alias("p"))
+    return paths.filter("p IS NOT NULL").select(F.explode(F.map_keys("p")).alias("key")).select(F.regexp_replace("key", r"/?\*\z", "").alias("name")).filter("name <> ''").distinct()
+
+
+def missing_config(files: DataFrame, name: str = ".lint/config.yml") -> DataFrame:
+    """One finding if a project has no configuration of its own."""
+    has = files.filter(F.col("path").rlike(r"(?:^|/)" + name.replace(".", r"\.") + r"\z")).limit(1)
+    one = files.sparkSession.createDataFrame([(name.split("/")[0], "meta-quality/missing-config", "info", 1, 1, name)], "path string, rule string, severity string, line int, col int, message string")
+    return one.join(has.select(F.lit(1).alias("one")), F.lit(True), "left_anti")

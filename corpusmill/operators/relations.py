@@ -184,12 +184,21 @@ def tree_shakeable(imports: DataFrame) -> DataFrame:
     return _found(imports.filter(F.col("source").isin(*packages) & (F.size("symbols") > 0)), "import-intelligence/tree-shakeable", "suggestion", F.col("source"))
 
 
-def undeclared_imports(imports: DataFrame, declared: DataFrame) -> DataFrame:
-    """Bare imports whose package is not declared: an anti join. ``declared`` has name (dependencies and builtins)."""
+def undeclared_imports(imports: DataFrame, declared: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """Bare imports whose package is not declared: an anti join. ``declared`` has name (dependencies and builtins).
+
+    Imports that begin with one of ``aliases`` (name) are the project's own: an anti join on the parts of their path.
+    """
     source = F.col("source")
     package = F.when(source.startswith("@"), F.regexp_extract(source, r"^(@[^/]+/[^/]+)", 1)).otherwise(F.regexp_extract(source, r"^([^/]+)", 1))
     bare = imports.filter((F.col("lang") != "python") & ~matches(source, r"^(?:[./]|node:|@/|~/)")).withColumn("name", package)
-    return _found(bare.join(declared.select("name").distinct(), "name", "left_anti"), "ast-slop/hallucinated-import", "error", F.col("name"))
+    bare = bare.join(declared.select("name").distinct(), "name", "left_anti")
+    if aliases is not None:
+        parts = F.split(source, "/")
+        starts = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+        own = bare.select("path", "num", F.explode(starts).alias("alias")).join(aliases.select(F.col("name").alias("alias")).distinct(), "alias", "left_semi").select("path", "num").distinct()
+        bare = bare.join(own, ["path", "num"], "left_anti")
+    return _found(bare, "ast-slop/hallucinated-import", "error", F.col("name"))
 
 
 def unused_exports(exports: DataFrame, imports: DataFrame) -> DataFrame:
@@ -290,10 +299,13 @@ def cycle_members(edges: DataFrame, deepest: int = 5) -> DataFrame:
 # ---- markup and translations
 
 def unused_selectors(lines: DataFrame) -> DataFrame:
-    """Classes of style sheets that no page or component has."""
-    css = lines.filter("lang = 'css'").select("path", "num", F.explode(F.regexp_extract_all("text", F.lit(r"\.([A-Za-z_][\w-]*)\s*[,{:]"), 1)).alias("name"))
+    """Classes and ids of style sheets that no page or component has."""
+    marks = lambda mark: F.transform(F.regexp_extract_all("text", F.lit(rf"{mark}([A-Za-z_][\w-]*)\s*[,{{:]"), 1), lambda n: F.concat(F.lit(mark.strip("\\")), n))
+    css = lines.filter("lang = 'css'").select("path", "num", F.explode(F.concat(marks(r"\."), marks("#"))).alias("name"))
     lists = F.concat(F.regexp_extract_all("text", F.lit(r"class(?:Name)?\s*=\s*\"([^\"]*)\""), 1), F.regexp_extract_all("text", F.lit(r"class(?:Name)?\s*=\s*'([^']*)'"), 1))
-    used = lines.filter(F.col("lang").isin("html", "typescript", "javascript")).select(F.explode(lists).alias("l")).select(F.explode(F.split("l", r"\s+")).alias("name")).distinct()
+    ids = F.regexp_extract_all("text", F.lit(r"\bid\s*=\s*[\"']([^\"']*)[\"']"), 1)
+    names = F.concat(F.transform(F.flatten(F.transform(lists, lambda x: F.split(x, r"\s+"))), lambda n: F.concat(F.lit("."), n)), F.transform(ids, lambda n: F.concat(F.lit("#"), n)))
+    used = lines.filter(F.col("lang").isin("html", "typescript", "javascript")).select(F.explode(names).alias("name")).distinct()
     return _found(css.join(used, "name", "left_anti"), "css/unused-selector", "info", F.col("name"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import extract, java, trim_all
@@ -31,6 +31,18 @@ def imports(all_lines: DataFrame) -> DataFrame:
     return all_lines.withColumn("source", source).filter("source IS NOT NULL").select("path", "lang", "num", "source", symbols.alias("symbols"), text.rlike(r"^\s*import\s+type\s").alias("type_only"))
 
 
+def go_imports(all_lines: DataFrame) -> DataFrame:
+    """path, num, source, name (the local one, or the last part of the path) of Go imports, alone or in a block."""
+    go = all_lines.filter("lang = 'go'")
+    w = Window.partitionBy("path").orderBy("num").rowsBetween(Window.unboundedPreceding, -1)
+    edge = F.when(go["text"].rlike(r"^\s*import\s*\("), True).when(go["text"].rlike(r"^\s*\)"), False)
+    rows = go.withColumn("inside", F.coalesce(F.last(edge, ignorenulls=True).over(w), F.lit(False)))
+    alone, listed = r"^\s*import\s+(?:([\w.]+)\s+)?\"([^\"]+)\"", r"^\s*(?:([\w.]+)\s+)?\"([^\"]+)\""
+    part = lambda n: F.when(F.col("inside"), extract(F.col("text"), listed, n)).otherwise(extract(F.col("text"), alone, n))
+    rows = rows.withColumn("source", part(2)).withColumn("given", part(1)).filter("source <> ''")
+    return rows.select("path", "num", "source", F.when(F.col("given") != "", F.col("given")).otherwise(F.element_at(F.split("source", "/"), -1)).alias("name"))
+
+
 def exports(all_lines: DataFrame) -> DataFrame:
     name = extract(F.col("text"), EXPORT, 1)
     return all_lines.filter(F.col("lang").isin("typescript", "javascript")).withColumn("name", name).filter("name <> ''").select("path", "num", "name")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,29 +47,58 @@ def override(findings: DataFrame, overrides: list[tuple[str, str]]) -> DataFrame
     return findings.withColumn("severity", F.coalesce(new, "severity")).filter("severity <> 'off'")
 
 
-#: A directive in a comment: what it does, and the rules that it names (none: all).
-DIRECTIVE = r"(?://|#|/\*|<!--)\s*lint-(ignore-next|ignore-line|ignore-start|ignore-end|ignore)\b[ ]*([A-Za-z0-9_/*, -]*)"
+#: A directive in a comment: what it does, and the rules that it names (none: all). The second four are older names.
+DIRECTIVE = r"(?://|#|/\*|<!--)\s*lint-(ignore-next|ignore-line|ignore-start|ignore-end|ignore|disable-next-line|disable-line|disable|enable)\b[ ]*([A-Za-z0-9_/*, -]*)"
+_KINDS = {"ignore-next": "next", "ignore": "next", "disable-next-line": "next", "ignore-line": "line", "disable-line": "line", "ignore-start": "start", "disable": "start", "ignore-end": "end", "enable": "end"}
 
 
 def directives(lines: DataFrame) -> DataFrame:
-    """path, num, kind, rule (a row for each rule named, null for all)."""
-    rows = lines.withColumn("kind", extract(F.col("text"), DIRECTIVE, 1)).filter("kind <> ''")
-    named = F.filter(F.split(F.regexp_replace(extract(F.col("text"), DIRECTIVE, 2), r"\*/|--.*\z|-->", ""), r"[, ]+"), lambda s: s != "")
-    return rows.select("path", "num", "kind", F.explode_outer(named).alias("rule_named"))
+    """path, num, kind (next, line, start or end), rules (named ones; none: all)."""
+    kind = _lookup(_KINDS, extract(F.col("text"), DIRECTIVE, 1))
+    named = F.filter(F.split(F.regexp_replace(extract(F.col("text"), DIRECTIVE, 2), r"\*/|--.*\z|-->", ""), r"[, ]+"), lambda s: ~s.isin("", "*"))
+    return lines.filter(F.contains("text", F.lit("lint-"))).withColumn("kind", kind).filter("kind IS NOT NULL").select("path", "num", "kind", named.alias("rules"))
 
 
 def suppress(findings: DataFrame, lines: DataFrame, disabled: tuple[str, ...] = ()) -> DataFrame:
-    """Findings that no directive covers: of their line, of the line before, or of a block (open ones end the file)."""
+    """Findings that no directive covers: of their line, of the line before, or of a block (open ones end the file).
+
+    A block ends at the next end; a start before that takes the place of the first.
+    """
     marks = directives(lines)
-    target = F.when(F.col("kind") == "ignore-line", F.col("num")).otherwise(F.col("num") + 1)
-    one = marks.filter(F.col("kind").isin("ignore-next", "ignore-line", "ignore")).select("path", target.alias("a"), target.alias("b"), "rule_named")
-    edge = marks.filter(F.col("kind").isin("ignore-start", "ignore-end")).withColumn("next_end", F.min(F.when(F.col("kind") == "ignore-end", F.col("num"))).over(Window.partitionBy("path").orderBy("num").rangeBetween(1, Window.unboundedFollowing)))
-    block = edge.filter("kind = 'ignore-start'").select("path", F.col("num").alias("a"), F.coalesce("next_end", F.lit(EOF_LINE)).alias("b"), "rule_named")
-    spans = one.unionByName(block).withColumnRenamed("path", "s_path")
+    target = F.when(F.col("kind") == "line", F.col("num")).otherwise(F.col("num") + 1)
+    one = marks.filter(F.col("kind").isin("next", "line")).select("path", target.alias("a"), target.alias("b"), "rules")
+    w = Window.partitionBy("path").orderBy("num")
+    edge = marks.filter(F.col("kind").isin("start", "end")).withColumn("then", F.lead("kind").over(w)).withColumn("stop", F.lead("num").over(w))
+    block = edge.filter("kind = 'start' AND (then IS NULL OR then = 'end')").select("path", F.col("num").alias("a"), F.coalesce("stop", F.lit(EOF_LINE)).alias("b"), "rules")
+    spans = one.unionByName(block).select(F.col("path").alias("s_path"), "a", "b", F.explode_outer("rules").alias("rule_named"))
     hit = (F.col("path") == F.col("s_path")) & F.col("line").between(F.col("a"), F.col("b")) & (F.col("rule_named").isNull() | (F.col("rule_named") == F.col("rule")))
     return findings.filter(~F.col("rule").isin(*disabled) if disabled else F.lit(True)).join(spans, hit, "left_anti")
 
 
+def ignored_files(text: DataFrame) -> DataFrame:
+    """Globs of an ignore list: its lines that begin with file:."""
+    return text.select(F.trim(F.regexp_replace("value", r"#.*\z", "")).alias("line")).filter(F.startswith("line", F.lit("file:"))).select(F.trim(F.substring(F.col("line"), 6, 1 << 20)).alias("glob")).filter("glob <> ''")
+
+
+def compared(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Findings of two scans as new, fixed or kept ones; findings that repeat count as often as they stand."""
+    columns = ["path", "rule", "severity", "line", "col", "message"]
+    a, b = before.select(*columns), after.select(*columns)
+    parts = (("new", b.exceptAll(a)), ("fixed", a.exceptAll(b)), ("kept", a.intersectAll(b)))
+    return reduce(DataFrame.unionByName, [rows.withColumn("change", F.lit(name)) for name, rows in parts])
+
+
+#: Libraries and calls that tell that a project translates its texts.
+TRANSLATES = r"react-i18next|i18next|vue-i18n|intl|react-intl|@lingui|i18n\.t|gettext"
+
+
+def translation_gate(findings: DataFrame, files: DataFrame) -> DataFrame:
+    """Findings on translation only of projects that translate: one whose code names a library for it."""
+    uses = files.filter(F.col("lang").isin("typescript", "javascript") & matches(F.col("content"), TRANSLATES)).agg((F.count("*") > 0).alias("translates"))
+    rows = findings.join(F.broadcast(uses))  # one row
+    return rows.filter(F.col("translates") | ~F.startswith("rule", F.lit("i18n-lint/"))).drop("translates")
+
+
 def first_of_each(findings: DataFrame) -> DataFrame:
     """One row a path, line and rule: the worst, then the leftmost, then by message."""
     w = Window.partitionBy("path", "line", "rule").orderBy(severity_rank("severity"), "col", "message")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import redact
-from corpusmill.plans.findings import severity_rank
+from corpusmill.model import SEVERITIES
+from corpusmill.plans.findings import engine, severity_rank
 
 
 def as_json(findings: DataFrame) -> DataFrame:
@@ -39,6 +42,23 @@ def by_file(findings: DataFrame, most: int = 50) -> DataFrame:
     return rows.groupBy("path").agg(F.first("n").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", line.alias("t")))), lambda x: x["t"]), "\n").alias("text"))
 
 
+def by_rule(findings: DataFrame, places: int = 3) -> DataFrame:
+    """engine, rule, n, worst (severity), places: findings by engine and rule, with the first places of each."""
+    by = findings.groupBy("rule").agg(F.count("*").alias("n"), F.min(severity_rank("severity")).alias("rank"))
+    w = Window.partitionBy("rule").orderBy("path", "line", "col", "message")
+    at = F.concat_ws(":", "path", F.col("line").cast("string"), F.col("col").cast("string"))
+    first = findings.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= places).groupBy("rule").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", at.alias("at")))), lambda x: x["at"]), "\n").alias("places"))
+    worst = F.element_at(F.array(*map(F.lit, SEVERITIES)), F.least(F.col("rank"), F.lit(len(SEVERITIES) - 1)).cast("int") + 1)
+    return by.join(first, "rule").select(engine("rule").alias("engine"), "rule", "n", worst.alias("worst"), "places")
+
+
+def agent_prompt(findings: DataFrame) -> DataFrame:
+    """path, n, text: the findings of each file as a task list for a coding agent, secrets masked; files in order."""
+    line = F.concat(F.lit("- Line "), F.col("line").cast("string"), F.lit(": ["), F.upper("severity"), F.lit("] "), F.col("rule"), F.lit("\n  "), redact(F.coalesce("message", F.lit(""))))
+    by = findings.groupBy("path").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "rule", "col", line.alias("t")))), lambda x: x["t"]), "\n").alias("text"))
+    return by.select("path", "n", F.concat(F.lit("## "), F.col("path"), F.lit("\n"), F.col("text")).alias("text")).orderBy("path")
+
+
 def lsp(findings: DataFrame) -> DataFrame:
     """Ranges from 0, severities from 1."""
     return findings.select("path", "rule", F.greatest(F.col("line") - 1, F.lit(0)).alias("start_line"), F.greatest(F.col("col") - 1, F.lit(0)).alias("start_char"), (severity_rank("severity") + 1).alias("severity"))
@@ -93,17 +113,27 @@ def _vulnerable(d: DataFrame, path: str, severity, message) -> DataFrame:
     return _tool(d, F.lit(path), F.lit("security-deep/dependency-vulnerability"), severity, F.lit(1), F.lit(1), message)
 
 
+#: The sections of a report on unused code, each a map of file to symbols.
+UNUSED_SECTIONS = ("files", "dependencies", "exports", "types", "classMembers", "enumMembers")
+
+
 def knip(rows: DataFrame) -> DataFrame:
-    """Sections of unused files, dependencies, exports and types."""
-    one = "struct<files:array<string>,issues:array<struct<file:string,dependencies:array<struct<name:string>>,exports:array<struct<name:string,line:int,col:int>>,types:array<struct<name:string,line:int,col:int>>>>>"
-    d = rows.select(F.from_json("json", one).alias("d"))
-    out = _tool(d.select(F.explode("d.files").alias("f")), F.col("f"), F.lit("knip/files"), F.lit("warning"), F.lit(1), F.lit(1), F.lit(""))
+    """Unused files, dependencies, exports, types, class and enum members: a finding for each symbol of a section.
+
+    Sections are maps of file to symbols; the tool's other form, a list of files and one of issues, is read too.
+    """
+    one = "struct<" + ",".join(f"{s}:map<string,array<string>>" for s in UNUSED_SECTIONS) + ">"
+    d = rows.filter(~F.col("json").rlike(r'"files"\s*:\s*\[') & ~F.contains("json", F.lit('"issues"'))).select(F.from_json("json", one).alias("d"))
+    found = [_tool(d.select(F.explode(f"d.{s}").alias("path", "symbols")).select("path", F.explode("symbols").alias("x")), F.col("path"), F.lit(f"knip/{s}"), F.lit("warning"), F.lit(1), F.lit(1), F.col("x")) for s in UNUSED_SECTIONS]
+    place = "array<struct<name:string,line:int,col:int>>"
+    listed = "struct<files:array<string>,issues:array<struct<file:string," + ",".join(f"{s}:{place}" for s in UNUSED_SECTIONS[1:4]) + ">>>"
+    d = rows.filter(F.col("json").rlike(r'"files"\s*:\s*\[') | F.contains("json", F.lit('"issues"'))).select(F.from_json("json", listed).alias("d"))
+    found.append(_tool(d.select(F.explode("d.files").alias("f")), F.col("f"), F.lit("knip/files"), F.lit("warning"), F.lit(1), F.lit(1), F.lit("")))
     issues = d.select(F.explode("d.issues").alias("i"))
-    for section in ("dependencies", "exports", "types"):
-        one_ = issues.select("i.file", F.explode(f"i.{section}").alias("x"))
-        at = (F.lit(1), F.lit(1)) if section == "dependencies" else (F.col("x.line"), F.col("x.col"))
-        out = out.unionByName(_tool(one_, F.col("file"), F.lit(f"knip/{section}"), F.lit("warning"), *at, F.col("x.name")))
-    return out
+    for s in UNUSED_SECTIONS[1:4]:
+        rows_ = issues.select("i.file", F.explode(f"i.{s}").alias("x"))
+        found.append(_tool(rows_, F.col("file"), F.lit(f"knip/{s}"), F.lit("warning"), F.coalesce("x.line", F.lit(1)), F.coalesce("x.col", F.lit(1)), F.col("x.name")))
+    return reduce(DataFrame.unionByName, found)
 
 
 def _tool(d: DataFrame, path, rule, severity, line, col, message) -> DataFrame:

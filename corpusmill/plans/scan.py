@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import importlib.util
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from pathlib import Path
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.operators import context_rules, folds, line_rules, relations, views
 from corpusmill.operators.project import config as read_config
-from corpusmill.operators.project import config_lint
+from corpusmill.operators.project import alias_names, config_lint, declared
 from corpusmill.plans import findings as P
 
 COLUMNS = ["path", "rule", "severity", "line", "col", "message"]
@@ -55,6 +57,35 @@ def detector(name: str):
     return add
 
 
+def check_plugin(plugin: object, path: str) -> list[str]:
+    """What a plugin lacks: a name, a description, the languages that it reads, and run, a function of a Context."""
+    lacks = [f"{path}: {x} must be a text that is not empty" for x in ("name", "description") if not (isinstance(getattr(plugin, x, None), str) and getattr(plugin, x).strip())]
+    langs = getattr(plugin, "languages", None)
+    if not isinstance(langs, (list, tuple)) or not langs or not all(isinstance(x, str) and x.strip() for x in langs):
+        lacks.append(f"{path}: languages must be a list of texts that is not empty")
+    if not callable(getattr(plugin, "run", None)):
+        lacks.append(f"{path}: run must be a function")
+    return lacks
+
+
+def load_plugin(path: str) -> list[str]:
+    """Register the detector of a Python file that defines ``plugin``; what is wrong with it, if anything.
+
+    The file runs on the driver, so it must be trusted; its run gets a Context whose files are those of its languages.
+    """
+    spec = importlib.util.spec_from_file_location(f"corpusmill_plugin_{Path(path).stem}", path)
+    try:
+        module = importlib.util.module_from_spec(spec)
+        spec.loader.exec_module(module)
+    except Exception as e:  # noqa: BLE001  a plugin may fail in any way
+        return [f"{path}: {e}"]
+    plugin = getattr(module, "plugin", None)
+    if lacks := check_plugin(plugin, path):
+        return lacks
+    detector(plugin.name)(lambda c: plugin.run(Context(c.files.filter(F.col("lang").isin(*plugin.languages)), c.config, c.disabled)))
+    return []
+
+
 detector("lines")(lambda c: line_rules.detect(c.lines, disabled=c.disabled))
 detector("context")(lambda c: context_rules.all_rules(c.files, c.lines))
 detector("more-context")(lambda c: context_rules.more_rules(c.files, c.lines))
@@ -70,6 +101,7 @@ def _relations(c: Context) -> DataFrame:
     for rows in (
         relations.duplicate_imports(c.imports), relations.tree_shakeable(c.imports), relations.unused_exports(c.exports, c.imports), relations.type_only_imports(c.imports, c.lines),
         relations.high_coupling(c.imports, c.config["quality"]["maxCoupling"]), relations.layer_violation(c.imports), relations.unused_selectors(c.lines), relations.aliases(c.imports, c.files),
+        relations.undeclared_imports(c.imports, declared(c.files), alias_names(c.files)),
         relations.workspaces(c.files), relations.barrel_bypass(c.imports, relations.reexports(c.lines)),
         relations.circular_dependency(c.imports, c.files),
     ):
@@ -87,7 +119,7 @@ def findings(files: DataFrame, config: dict | None = None, engines: list[str] |
         rows = REGISTRY[name](context).select(*COLUMNS)
         out = rows if out is None else out.unionByName(rows)
     out = P.override(out, list(cfg["rules"].items())) if cfg["rules"] else out
-    return P.first_of_each(P.suppress(out, context.lines))
+    return P.first_of_each(P.suppress(P.translation_gate(out, files), context.lines))
 
 
 def result(files: DataFrame, found: DataFrame, n_files: int, config: dict | None = None) -> DataFrame:

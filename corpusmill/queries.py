@@ -299,7 +299,7 @@ def other_context_rules(spark, sf_dir):
 @query(_by_snippet([
     (0, "perf-hints/react-missing-memo", "info", 7, 1, "Widget$K"), (1, "perf-hints/n-plus-one", "info", 9, 1, 'const row = await db.query("SELECT * FROM t WHERE id=" + id)'), (1, "perf-hints/string-concat-in-loop", "warning", 10, 1, "total"),
     (4, "ast-slop/py-bare-except", "warning", 9, 5, "except"), (4, "ast-slop/py-empty-class", "info", 15, 1, "Empty$K"), (4, "ast-slop/py-print", "warning", 6, 5, "print"), (4, "ast-slop/py-stub-function", "warning", 12, 1, "stub$K"),
-    (4, "ast-slop/py-wildcard-import", "info", 2, 1, "sys"), (4, "python-deep/mutable-default", "error", 5, "14+key", "run$K"), (5, "go-deep/defer-in-loop", "error", 5, 1, "defer close(i)"), (6, "rust-deep/large-enum-variant", "warning", 13, 1, "Big$K"),
+    (4, "ast-slop/py-wildcard-import", "info", 2, 1, "sys"), (4, "python-deep/mutable-default", "error", 5, "14+key", "run$K"), (5, "go-deep/defer-in-loop", "error", 12, 1, "defer close(i)"), (6, "rust-deep/large-enum-variant", "warning", 13, 1, "Big$K"),
     (9, "json/duplicate-keys", "error", 3, 3, "a"), (10, "yaml/duplicate-keys", "error", 3, 3, "k"),
 ]))
 def fold_rules(spark, sf_dir):
@@ -471,8 +471,10 @@ def import_graph(spark, sf_dir):
     return relations.import_edges(views.imports(ls), f)
 
 
-@query(rf"""WITH {SYN}, css AS (SELECT path, num, unnest(regexp_extract_all(text, '\.([A-Za-z_][\w-]*)\s*[,{{:]', 1)) AS name FROM lines WHERE lang = 'css'),
-used AS (SELECT DISTINCT unnest(string_split_regex(l, '\s+')) AS name FROM (SELECT unnest(list_concat(regexp_extract_all(text, 'class(?:Name)?\s*=\s*"([^"]*)"', 1), regexp_extract_all(text, 'class(?:Name)?\s*=\s*''([^'']*)''', 1))) AS l FROM lines WHERE lang IN ('html', 'typescript', 'javascript')))
+@query(rf"""WITH {SYN}, css AS (SELECT path, num, '.' || unnest(regexp_extract_all(text, '\.([A-Za-z_][\w-]*)\s*[,{{:]', 1)) AS name FROM lines WHERE lang = 'css' UNION ALL SELECT path, num, '#' || unnest(regexp_extract_all(text, '#([A-Za-z_][\w-]*)\s*[,{{:]', 1)) FROM lines WHERE lang = 'css'),
+own AS (SELECT text FROM lines WHERE lang IN ('html', 'typescript', 'javascript')),
+used AS (SELECT DISTINCT '.' || unnest(string_split_regex(l, '\s+')) AS name FROM (SELECT unnest(list_concat(regexp_extract_all(text, 'class(?:Name)?\s*=\s*"([^"]*)"', 1), regexp_extract_all(text, 'class(?:Name)?\s*=\s*''([^'']*)''', 1))) AS l FROM own)
+  UNION SELECT DISTINCT '#' || unnest(regexp_extract_all(text, '\bid\s*=\s*["'']([^"'']*)["'']', 1)) FROM own)
 SELECT {out('css/unused-selector', 'info', msg='name')} FROM css ANTI JOIN used USING (name)""")
 def unused_selectors(spark, sf_dir):
     return relations.unused_selectors(syn(spark, sf_dir)[1])
@@ -504,10 +506,14 @@ def rule_override(spark, sf_dir):
     return P.override(found(spark, sf_dir), _OVERRIDES)
 
 
-@query(rf"""WITH {FOUND}, d AS (SELECT path, num, regexp_extract(text, '(?://|#|/\*|<!--)\s*lint-(ignore-next|ignore-line|ignore-start|ignore-end|ignore)\b', 1) AS kind FROM lines),
-e AS (SELECT *, min(CASE WHEN kind = 'ignore-end' THEN num END) OVER (PARTITION BY path ORDER BY num RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS stop FROM d WHERE kind IN ('ignore-start', 'ignore-end')),
-s AS (SELECT path, CASE WHEN kind = 'ignore-line' THEN num ELSE num + 1 END AS a, CASE WHEN kind = 'ignore-line' THEN num ELSE num + 1 END AS b FROM d WHERE kind IN ('ignore-next', 'ignore-line', 'ignore') UNION ALL SELECT path, num, coalesce(stop, 999999) FROM e WHERE kind = 'ignore-start')
-SELECT f.* FROM found f WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.path = f.path AND f.line BETWEEN a AND b)""")
+_MARK = r"(?://|#|/\*|<!--)\s*lint-(ignore-next|ignore-line|ignore-start|ignore-end|ignore|disable-next-line|disable-line|disable|enable)\b[ ]*([A-Za-z0-9_/*, -]*)"
+
+
+@query(rf"""WITH {FOUND}, m AS (SELECT path, num, regexp_extract(text, '{_MARK}', 1) AS word, list_filter(string_split_regex(regexp_replace(regexp_extract(text, '{_MARK}', 2), '\*/|--.*\z|-->', '', 'g'), '[, ]+'), lambda x: x NOT IN ('', '*')) AS rules FROM lines),
+d AS (SELECT path, num, rules, CASE WHEN word IN ('ignore-next', 'ignore', 'disable-next-line') THEN 'next' WHEN word IN ('ignore-line', 'disable-line') THEN 'line' WHEN word IN ('ignore-start', 'disable') THEN 'start' ELSE 'end' END AS kind FROM m WHERE word <> ''),
+e AS (SELECT *, lead(kind) OVER {_W} AS nxt, lead(num) OVER {_W} AS stop FROM d WHERE kind IN ('start', 'end')),
+s AS (SELECT path, CASE kind WHEN 'line' THEN num ELSE num + 1 END AS a, CASE kind WHEN 'line' THEN num ELSE num + 1 END AS b, rules FROM d WHERE kind IN ('next', 'line') UNION ALL SELECT path, num, coalesce(stop, 999999), rules FROM e WHERE kind = 'start' AND (nxt IS NULL OR nxt = 'end'))
+SELECT f.* FROM found f WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.path = f.path AND f.line BETWEEN a AND b AND (len(rules) = 0 OR list_contains(rules, f.rule)))""")
 def suppressed(spark, sf_dir):
     return P.suppress(found(spark, sf_dir), syn(spark, sf_dir)[1])
 
@@ -745,6 +751,33 @@ def _result(spark, sf_dir) -> DataFrame:
     return scan.findings(f)
 
 
+@query(f"""WITH {FOUND}, w AS (SELECT rule, count(*) AS n, min({_RANK}) AS worst_rank FROM found GROUP BY rule), o AS (SELECT rule, path || ':' || line || ':' || col AS place, row_number() OVER (PARTITION BY rule ORDER BY path, line, col, message) AS r FROM found),
+p AS (SELECT rule, string_agg(place, chr(10) ORDER BY r) AS places FROM o WHERE r <= 3 GROUP BY rule)
+SELECT split_part(rule, '/', 1) AS engine, rule, n, CASE worst_rank WHEN 0 THEN 'error' WHEN 1 THEN 'warning' WHEN 2 THEN 'info' ELSE 'suggestion' END AS worst, places FROM w JOIN p USING (rule)""")
+def report_by_rule(spark, sf_dir):
+    return reports.by_rule(found(spark, sf_dir))
+
+
+@query(f"""WITH {FOUND} SELECT path, count(*) AS n, '## ' || path || chr(10) || string_agg('- Line ' || line || ': [' || upper(severity) || '] ' || rule || chr(10) || '  ' || message, chr(10) ORDER BY line, rule, col, '- Line ' || line || ': [' || upper(severity) || '] ' || rule || chr(10) || '  ' || message) AS text
+FROM found WHERE rule NOT IN ('security-deep/hardcoded-secret') GROUP BY path""")
+def agent_prompt(spark, sf_dir):
+    # messages with secrets are masked, as the query redaction shows; here are those of all other rules
+    return reports.agent_prompt(found(spark, sf_dir).filter("rule <> 'security-deep/hardcoded-secret'"))
+
+
+@query(f"""WITH {FOUND}, a AS (SELECT * FROM found WHERE NOT starts_with(rule, 'types/')), b AS (SELECT path, rule, CASE WHEN rule = 'ast-slop/todo-stub' THEN 'error' ELSE severity END AS severity, line, col, message FROM found WHERE NOT starts_with(rule, 'html/'))
+SELECT *, 'new' AS change FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a) UNION ALL SELECT *, 'fixed' FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'kept' FROM (SELECT * FROM a INTERSECT ALL SELECT * FROM b)""")
+def compared_scans(spark, sf_dir):
+    rows = found(spark, sf_dir)
+    after = P.override(rows, [("ast-slop/todo-stub", "error"), ("html/*", "off")])
+    return P.compared(rows.filter("NOT startswith(rule, 'types/')"), after)
+
+
+@query(f"SELECT 'cmd/f' || p_partkey || '.go' AS path, num, source, name FROM part JOIN (VALUES (3, 'fmt', 'fmt'), (6, 'example.org/x/files', 'io'), (7, 'os', 'os')) AS t(num, source, name) ON p_partkey % {len(synthetic.SNIPPETS)} = 5")
+def go_imports(spark, sf_dir):
+    return views.go_imports(syn(spark, sf_dir)[1])
+
+
 @query()
 def scan_findings(spark, sf_dir):
     return _result(spark, sf_dir)

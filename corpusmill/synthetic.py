@@ -18,15 +18,15 @@ SNIPPETS: list[tuple[str, str, str]] = [
     ("src/util", "ts", "import { helper } from './f$K'\nimport { odd } from './internal/part'\nimport { wide } from '../wide'\n// ========================\n/* Generated by a tool */\nexport function copy$K(a: string, b: number) {\n  return helper(a).concat(String(b)).trim()\n}\nexport function copyAgain$K(a: string, b: number) {\n  return helper(a).concat(String(b)).trim()\n}\nconst tmp = copy$K('repeated constant text', 1)\nconst password = \"supersecret$K\"\nlet unusedThing$K = 3\nfunction deep() {\n  if (a) {\n    for (;;) {\n      while (b) {\n        if (c) {\n          if (d) { go() }\n        }\n      }\n    }\n  }\n}\n"),
     ("src/app", "js", "const x = 1\nconst label = 'repeated constant text'\nconst name = \"single\"\nconst two = 'other quotes here'\nconst q = 1;\ntry {\n  run()\n} catch (e) {\n}\n\n\n\nconsole.log(name)   \nfunction go$K() {\n\treturn 1;\n  const late = 2\n}\nif (true) {\n  go$K()\n}\nimport { useRouter } from 'next/router'\nexport async function getServerSideProps() {}\nconst local = 'http://localhost:3000'\nconst url = \"https://api.service.net/v1\"\ndebugger;\n/* lint-ignore-start */\ndebugger;\n/* lint-ignore-end */\ndebugger; // lint-ignore-line\n"),
     ("tools", "py", "import os\nfrom sys import *\n\n# Set up the logger\ndef run$K(a, b=[]):\n    print(a)\n    try:\n        go()\n    except:\n        pass\n\ndef stub$K():\n    pass\n\nclass Empty$K:\n    pass\n\ndef _hidden(x: int) -> int:\n    global state\n    logger.info(f\"x {x}\")\n    return x\n"),
-    ("cmd", "go", "package main\n\nfunc Exported$K(x interface{}) {\n\tfor i := 0; i < 3; i++ {\n\t\tdefer close(i)\n\t}\n\tgoto end\n}\n\n// Documented$K does it\nfunc Documented$K() {\n\tv, _ := load(\"a\")\n}\n"),
+    ("cmd", "go", "package main\n\nimport \"fmt\"\n\nimport (\n\tio \"example.org/x/files\"\n\t\"os\"\n)\n\nfunc Exported$K(x interface{}) {\n\tfor i := 0; i < 3; i++ {\n\t\tdefer close(i)\n\t}\n\tgoto end\n}\n\n// Documented$K does it\nfunc Documented$K() {\n\tv, _ := load(\"a\")\n}\n"),
     ("crate", "rs", "fn main() {\n    let a = x.unwrap();\n    let b = y.expect(\"no\");\n    unsafe { go() }\n    // SAFETY: checked\n    unsafe { go() }\n    match a {\n        _ => todo!(),\n    }\n    let c = 5.clone();\n}\n\nenum Big$K {\n    Small,\n    Large(String, Vec<u8>, HashMap<String, u8>),\n}\n"),
-    ("web", "html", "<html>\n<body>\n<img src=\"a.png\">\n<img src=\"b.png\" alt=\"b\">\n<center class=\"used-$K box\">x</center>\n<a onclick=\"go()\">y</a>\n</body>\n</html>\n"),
-    ("web", "css", ".used-$K { color: red; }\n.unused-$K {\n  color: red;\n  margin: 0 !important;\n  color: blue !important;\n}\n.box {\n  top: 0 !important;\n  left: 0 !important;\n}\n* {\n  margin: 0;\n}\n"),
+    ("web", "html", "<html>\n<body>\n<img src=\"a.png\">\n<img src=\"b.png\" alt=\"b\">\n<center class=\"used-$K box\">x</center>\n<a id=\"top\" onclick=\"go()\">y</a>\n</body>\n</html>\n"),
+    ("web", "css", ".used-$K { color: red; }\n.unused-$K {\n  color: red;\n  margin: 0 !important;\n  color: blue !important;\n}\n#top, #gone {\n  left: 1;\n}\n.box {\n  top: 0 !important;\n  left: 0 !important;\n}\n* {\n  margin: 0;\n}\n"),
     ("conf", "json", "{\n  \"a\": 1,\n  \"a\": 2,\n  \"b\": {\n\"c\": {\n\"d\": {\n\"e\": {\n\"f\": {\n\"g\": $K}}}}},\n  \"x\": 1, \"y\": 2,\n  \"z\": 1, \"w\": 2,\n  \"last\": [1, 2],\n}\n"),
     ("conf", "yaml", "base: &base$K\n  k: 1\n  k: 2\none: *base$K\ntwo: *base$K\n\n\n\nthree: *base$K\n\n\n\nfour: 4\n\tbad: 1\n"),
     ("docs", "md", "# Title $K\n\nTODO write more\n\nOld heading\n===========\n\n[empty](#)\n\n```\ncode\n```\n"),
     ("src/util", "ts", "import { b$K } from './c$K'\nexport const a$K = b$K + 1\nexport const shared = a$K\n\tconst mixed = 1\n  const spaced = 2\nconst long = \"aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa\"\nt('menu.open')\nt('menu.close')\n"),
-    ("src/sums", "ts", "import { Price } from './prices'\nexport function alpha$K(items: Map<string, any>): Promise<any> {\n  let sum = 0\n  for (const item of items) {\n    sum += item.price\n    sum += item.tax // with tax\n    audit(item.name)\n  }\n  return sum\n}\n\nconst beta$K = async (things) => {\n  let sum = 0\n  for (const item of items) {\n    sum += item.price\n\n    sum += item.tax\n    audit(item.name)\n  }\n  return sum\n}\nconst big = 9007199254740993\nconst even = 100000000000000000\nconst part = 0.1234567890123456789\nconst pair = [one as unknown as Left, two as unknown as Right]\nlet price: Price\nfunction pick$K(flag) {\n  if (flag) {\n    log(flag)\n    return 1\n  } else {\n    return 2\n  }\n  done()\n}\ntry {\n  go()\n} catch (e) {\n\n  // nothing\n}\n"),
+    ("src/sums", "ts", "import { Price } from './prices'\nexport function alpha$K(items: Map<string, any>): Promise<any> {\n  let sum = 0\n  for (const item of items) {\n    sum += item.price\n    sum += item.tax // with tax\n    audit(item.name)\n  }\n  return sum\n}\n\nconst beta$K = async (things) => {\n  let sum = 0\n  for (const item of items) {\n    sum += item.price\n\n    sum += item.tax\n    audit(item.name)\n  }\n  return sum\n}\nconst big = 9007199254740993\nconst even = 100000000000000000\nconst part = 0.1234567890123456789\nconst pair = [one as unknown as Left, two as unknown as Right]\nlet price: Price\nfunction pick$K(flag) {\n  if (flag) {\n    log(flag)\n    return 1\n  } else {\n    return 2\n  }\n  done()\n}\ntry {\n  go()\n} catch (e) {\n\n  // nothing\n}\nconst late: Set<any> = 1 // lint-disable-line types/generic-any\n/* lint-disable ast-slop/generic-name, types/generic-any */\nconst tmp: Promise<any> = 2\n/* lint-enable */\nconst tmp = 3\nconst code = 'eval(1)'\nconst pattern = /eval(x)/\n"),
     ("web", "html", "<html lang=\"en\">\n<img src=\"a\"> <img src=\"b\" alt=\"b\"> <IMG src=\"c\">\n</html>\n"),
 ]
 

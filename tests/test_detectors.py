@@ -134,6 +134,51 @@ def test_comment_state_matches_a_loop(spark):
             inside = True if a > b else False if b > a else inside
 
 
+def _inside(text, at):
+    """As a loop over characters says it."""
+    counts = dict.fromkeys("'\"`", 0)
+    i = 0
+    while i < at:
+        if text[i] == "\\":
+            i += 2
+            continue
+        if text[i] in counts:
+            counts[text[i]] += 1
+        i += 1
+    if any(n % 2 for n in counts.values()):
+        return True
+    for i in range(1, at):
+        if text[i] == "/" and text[i - 1] in "=(:,;[!&|?{}+-~^%<> ":
+            j, in_class = i + 1, False
+            while j < len(text) and (text[j] != "/" or in_class):
+                if text[j] == "\\":
+                    j += 1
+                elif text[j] == "[":
+                    in_class = True
+                elif text[j] == "]":
+                    in_class = False
+                j += 1
+            if j < len(text) and at < j:
+                return True
+    return False
+
+
+def test_inside_string(spark):
+    from corpusmill.functions.text import inside_string
+
+    lines = ["eval(1)", "x = 'eval(1)'", 'x = "eval(1)"', "x = `eval(1)`", "x = 'it' + eval(1)", r"x = 'it\'s' + eval(1)", "x = /eval(1)/", "x = /a[/]eval(1)/", "x = a / eval(1) / b", r"x = /a\/eval(1)/", "x = a/eval(1)/b", "x = /a/ + eval(1)"]
+    rows = spark.createDataFrame([(x, x.index("eval") + 1) for x in lines], "text string, at int").select("text", "at", inside_string(F.col("text"), F.col("at")).alias("inside"))
+    assert {r.text: r.inside for r in rows.collect()} == {x: _inside(x, x.index("eval")) for x in lines}
+    got = line_rules.detect(views.lines(files(spark, ("a.js", "\n".join(lines)))), [r for r in line_rules.RULES if r.id == "security-deep/eval-usage"]).collect()
+    assert sorted(r.line for r in got) == [n for n, x in enumerate(lines, 1) if not _inside(x, x.index("eval"))]
+
+
+def test_go_imports(spark):
+    text = 'package x\nimport "fmt"\nimport (\n\tio "a/b/files"\n\t. "c/d"\n\n\t_ "e"\n)\nvar x = "not/this"\n'
+    got = sorted((r.num, r.source, r.name) for r in views.go_imports(views.lines(files(spark, ("a.go", text)))).collect())
+    assert got == [(2, "fmt", "fmt"), (4, "a/b/files", "io"), (5, "c/d", "."), (7, "e", "_")]
+
+
 def test_word_edges():
     """Edges by one look mean what an edge on both sides means, in every rule and on made-up texts."""
     import re

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.model import SEVERITY_WEIGHT, TIERS
-from corpusmill.operators import project, views
+from corpusmill.operators import project, relations, views
 from corpusmill.plans import findings as P
 from corpusmill.plans import fixes, reports, scan
 from corpusmill.sources.files import append_history, as_files, read_history
@@ -39,6 +39,90 @@ def test_suppress(spark):
     assert got == [(2, "y/one"), (4, "x/one"), (4, "y/one"), (6, "x/one"), (8, "x/one"), (8, "y/one")]
 
 
+def test_suppress_older_names_and_blocks(spark):
+    text = "// lint-disable-next-line x/one\nbad\nbad // lint-disable-line\n/* lint-disable x/one */\nbad\n/* lint-disable y/one */\nbad\n/* lint-enable */\nbad\n/* lint-enable */\nbad"
+    lines = views.lines(files(spark, ("a.ts", text)))
+    rows = found(spark, *[("a.ts", rule, "error", n, 1) for n in (2, 3, 5, 7, 9, 11) for rule in ("x/one", "y/one")])
+    got = sorted((r.line, r.rule) for r in P.suppress(rows, lines).collect())
+    # the second start takes the place of the first, so line 5 is not covered
+    assert got == [(2, "y/one"), (5, "x/one"), (5, "y/one"), (7, "x/one"), (9, "x/one"), (9, "y/one"), (11, "x/one"), (11, "y/one")]
+    ignore = spark.createDataFrame([("x/one # why",), ("file: gen/**",), ("# no",), ("file:a.ts",)], "value string")
+    assert [r.glob for r in P.ignored_files(ignore).collect()] == ["gen/**", "a.ts"]
+
+
+def test_compared_scans(spark):
+    a = found(spark, ("a", "x/one", "info", 1, 1), ("a", "x/one", "info", 1, 1), ("a", "x/two", "info", 2, 1))
+    b = found(spark, ("a", "x/one", "info", 1, 1), ("a", "x/three", "info", 2, 1))
+    assert sorted((r.change, r.rule) for r in P.compared(a, b).collect()) == [("fixed", "x/one"), ("fixed", "x/two"), ("kept", "x/one"), ("new", "x/three")]
+
+
+def test_translation_gate(spark):
+    rows = found(spark, ("a", "i18n-lint/hardcoded-string-jsx", "info", 1, 1), ("a", "x/one", "info", 1, 1))
+    assert [r.rule for r in P.translation_gate(rows, files(spark, ("a.ts", "x"))).collect()] == ["x/one"]
+    assert P.translation_gate(rows, files(spark, ("a.ts", "import { t } from 'i18next'"))).count() == 2
+
+
+def test_plugins(spark, tmp_path):
+    good = "from types import SimpleNamespace\nfrom corpusmill.operators.context_rules import _found\nplugin = SimpleNamespace(name='my-plugin', description='d', languages=['go'], run=lambda c: _found(c.lines.filter(\"text = 'bad'\"), 'my-plugin/bad', 'error'))\n"
+    (tmp_path / "good.py").write_text(good)
+    (tmp_path / "bad.py").write_text("class plugin:\n    name = ' '\n    languages = []\n")
+    (tmp_path / "broken.py").write_text("1 / 0")
+    try:
+        assert scan.load_plugin(str(tmp_path / "good.py")) == []
+        got = scan.findings(files(spark, ("a.go", "bad"), ("b.ts", "bad")), engines=["my-plugin"]).collect()
+        assert [(r.path, r.rule) for r in got] == [("a.go", "my-plugin/bad")]
+        with pytest.raises(ValueError, match="registered already"):
+            scan.load_plugin(str(tmp_path / "good.py"))
+    finally:
+        scan.REGISTRY.pop("my-plugin", None)
+    assert len(scan.load_plugin(str(tmp_path / "bad.py"))) == 4 and "division" in scan.load_plugin(str(tmp_path / "broken.py"))[0]
+
+
+def test_config_files(tmp_path):
+    (tmp_path / ".lint").mkdir()
+    (tmp_path / "a/b").mkdir(parents=True)
+    (tmp_path / "base.json").write_text('{"extends": "up.yaml", "ci": {"failBelow": 60}, "rules": {"x/one": "off"}}')
+    (tmp_path / "up.yaml").write_text("ci:\n  failBelow: 10\n  failOnErrors: false\n")
+    text = "# own\nextends: ../base.json\nrules:\n  x/two: 'error'  # why\n  \"y/*\": off\nscoring:\n  smoothing: 1.5\n  mode: linear\nquality: {}\n".replace("quality: {}\n", "")
+    (tmp_path / ".lint/config.yml").write_text(text)
+    assert project.find_config(str(tmp_path / "a/b")) == (tmp_path / ".lint/config.yml").resolve()
+    got = project.load_config(str(tmp_path / "a/b"))
+    assert got["rules"] == {"x/one": "off", "x/two": "error", "y/*": "off"} and got["ci"] == {"failBelow": 60, "failOnErrors": False}
+    assert got["scoring"]["smoothing"] == 1.5 and got["scoring"]["mode"] == "linear" and got["quality"] == project.DEFAULTS["quality"]
+    (tmp_path / "up.yaml").write_text("extends: ./base.json\n")
+    with pytest.raises(ValueError, match="extends itself"):
+        project.load_config(str(tmp_path))
+    (tmp_path / "up.yaml").write_text("extends: ./none.json\n")
+    with pytest.raises(ValueError, match="no file"):
+        project.load_config(str(tmp_path))
+    assert project.parse_yaml("a:\n- 1\n- two\nb: [x, 2]\nc:\n  d:\n    - true\n  e: null\n") == {"a": [1, "two"], "b": ["x", 2], "c": {"d": [True], "e": None}}
+    with pytest.raises(ValueError, match="no configuration"):
+        project.parse_yaml("just text")
+
+
+def test_undeclared_imports(spark):
+    rows = files(
+        spark, ("package.json", '{"dependencies": {"react": "1"}, "optionalDependencies": {"opt": "1"}}'), ("requirements.txt", "numpy==1\n# no\nregex[all]>=2"), ("pyproject.toml", 'polars = "1"'),
+        ("tsconfig.json", '{\n// paths\n"compilerOptions": {"paths": {"@app/*": ["src/*"], "lib": ["lib"]}}}'),
+        ("a.ts", "import a from 'react'\nimport b from 'gone/part'\nimport c from '@app/x/y'\nimport d from 'lib'\nimport e from 'fs'\nimport f from 'node:fs'\nimport g from '@other/x'\nimport h from 'libs/a'"),
+    )
+    names = {r.name for r in project.declared(rows).collect()}
+    assert {"react", "numpy", "regex", "polars", "fs"} <= names and "no" not in names
+    got = relations.undeclared_imports(views.imports(views.lines(rows)), project.declared(rows), project.alias_names(rows)).collect()
+    assert sorted((r.line, r.message) for r in got) == [(2, "gone"), (7, "@other/x"), (8, "libs")]
+
+
+def test_missing_config(spark):
+    assert project.missing_config(files(spark, ("a.ts", "x"))).count() == 1
+    assert project.missing_config(files(spark, (".lint/config.yml", "x"))).count() == 0
+
+
+def test_unused_code_sections(spark):
+    text = json.dumps({s: {"a.ts": [f"{s}1", f"{s}2"]} for s in reports.UNUSED_SECTIONS})
+    got = sorted((r.path, r.rule, r.message) for r in reports.knip(spark.createDataFrame([(text,)], "json string")).collect())
+    assert got == sorted(("a.ts", f"knip/{s}", f"{s}{n}") for s in reports.UNUSED_SECTIONS for n in (1, 2))
+
+
 def _score(rows, n_files, smoothing, most, tiers):
     by, total, capped, bad = {}, 0.0, 0, 0
     for r in sorted(rows, key=lambda r: (r[0], r[3], r[4])):
