@@ -131,17 +131,29 @@ class Index:
     def __init__(self, vocabulary: np.ndarray, weight: np.ndarray, rows: np.ndarray, terms: np.ndarray, tf: np.ndarray, toxic: np.ndarray, prior: float):
         self.vocabulary, self.say, self.prior, self.toxic = Vocabulary(vocabulary), weight, prior, toxic
         self.slope, self.shift = 1.0, 0.0
-        own = self._weights(rows, terms, tf, len(toxic))
-        order = np.lexsort((rows, terms))
-        self.rows, self.weight = rows[order].astype(np.int32), own[order]
-        at, _ = K.pair_groups(terms[order], rows[order] // BLOCK)
+        if (np.diff(terms) < 0).any():
+            order = np.lexsort((rows, terms))
+            rows, terms, tf = rows[order], terms[order], tf[order]
+        self.rows, self.tf, self.weight = rows.astype(np.int32), tf.astype(np.int32), self._weights(rows, terms, tf, len(toxic))
+        at, _ = K.pair_groups(terms, rows // BLOCK)
         self.post = np.append(at, len(rows))
         self.block = (self.rows[at] // BLOCK).astype(np.int32)
         self.most = np.maximum.reduceat(self.weight, at) if len(at) else np.zeros(0)
-        self.entry = np.searchsorted(terms[order][at], np.arange(len(vocabulary) + 1))
+        self.entry = np.searchsorted(terms[at], np.arange(len(vocabulary) + 1))
         self.blocks = max(1, -(-len(toxic) // BLOCK))
         self.read = 0  # postings that queries have looked at
 
+    def __getstate__(self) -> tuple:
+        """What the index is made of, packed: a few bytes a posting travel, and each task's process makes the index."""
+        counts = np.diff(self.post[self.entry])
+        return K.pack_ints(self.vocabulary.terms, rising=True), self.say, K.pack_ints(counts), K.pack_ints(self.rows), K.pack_ints(self.tf), self.toxic, self.prior, self.slope, self.shift
+
+    def __setstate__(self, state: tuple) -> None:
+        vocabulary, say, counts, rows, tf, toxic, prior, slope, shift = state
+        terms = np.repeat(np.arange(len(say)), K.unpack_ints(counts).astype(np.int64))
+        self.__init__(K.unpack_ints(vocabulary), say, K.unpack_ints(rows).astype(np.int64), terms, K.unpack_ints(tf).astype(np.float64), toxic, prior)
+        self.slope, self.shift = slope, shift
+
     def _weights(self, rows: np.ndarray, terms: np.ndarray, tf: np.ndarray, n: int) -> np.ndarray:
         w = (1 + np.log(tf)) * self.say[terms]
         norm = np.sqrt(np.bincount(rows, w * w, n))
@@ -330,8 +342,9 @@ def fit(docs: DataFrame, examples: DataFrame, *, doc_id: str = "doc_id", text: s
     place[order] = np.arange(len(got))
     index = Index(terms, say, place[own], at, tf, marked[order], prior)
     if got:
-        fold = known.filter("apart").select("text", "toxic").mapInArrow(_voted(docs.sparkSession.sparkContext.broadcast(index)), "share double, toxic int").toPandas()
-        fold = fold.sort_values(["share", "toxic"])
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+        fold = known.filter("apart").select("text", "toxic").mapInArrow(_voted(shared), "share double, toxic int").toPandas().sort_values(["share", "toxic"])
+        shared.destroy()
         index.calibrate(fold["share"].to_numpy(np.float64), fold["toxic"].to_numpy(np.float64))
     scratch.close()
     return index, [got[i].doc_id for i in order.tolist()]
