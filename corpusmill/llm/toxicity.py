@@ -16,7 +16,7 @@ from corpusmill.plans.storage import Scratch
 
 #: Bounds of the model: labelled rows that are learnt from, examples in the index and terms in them, examples in a block
 #: of it, neighbours that vote.
-ROWS, EXAMPLES, POSTINGS, BLOCK, NEIGHBOURS = 30_000, 4096, 1 << 24, 64, 15
+ROWS, EXAMPLES, POSTINGS, BLOCK, NEIGHBOURS = 30_000, 2048, 1 << 23, 64, 15
 #: One in so many labelled rows calibrates the votes and is no example.
 FOLDS = 5
 #: How much a term's say grows with what its presence tells of the label (its log-likelihood ratio, in nats).
