@@ -17,6 +17,9 @@ from corpusmill.plans.storage import Scratch
 #: Bounds of the model: labelled rows that are learnt from, examples in the index and terms in them, examples in a block
 #: of it, neighbours that vote.
 ROWS, EXAMPLES, POSTINGS, BLOCK, NEIGHBOURS = 30_000, 2048, 1 << 23, 64, 15
+#: Terms that one in COMMON examples hold (the DENSE most frequent of them) are rows of a matrix instead of postings;
+#: GROUP texts are multiplied with it at once.
+COMMON, DENSE, GROUP = 32, 768, 128
 #: One in so many labelled rows calibrates the votes and is no example.
 FOLDS = 5
 #: How much a term's say grows with what its presence tells of the label (its log-likelihood ratio, in nats).
@@ -141,6 +144,14 @@ class Index:
         self.most = np.maximum.reduceat(self.weight, at) if len(at) else np.zeros(0)
         self.entry = np.searchsorted(terms[at], np.arange(len(vocabulary) + 1))
         self.blocks = max(1, -(-len(toxic) // BLOCK))
+        n = np.diff(self.post[self.entry])
+        common = np.flatnonzero(n * COMMON >= max(1, len(toxic)))
+        common = np.sort(common[np.argsort(-n[common], kind="stable")[:DENSE]])
+        self.column = np.full(len(vocabulary), -1, np.int32)
+        self.column[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), self.blocks * BLOCK))
+        at, n = _ranges(self.post[self.entry[common]], self.post[self.entry[common + 1]])
+        self.dense[np.repeat(np.arange(len(common)), n), self.rows[at]] = self.weight[at]
         self.read = 0  # postings that queries have looked at
 
     def __getstate__(self) -> tuple:
@@ -159,28 +170,29 @@ class Index:
         norm = np.sqrt(np.bincount(rows, w * w, n))
         return w / norm[rows]
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, scores: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of highest cosine above 0 (ties: smaller place), exactly.
 
-        Blocks have an upper bound each, from their entries. The blocks of the highest bounds are read first; of the
-        others only those whose bound reaches the k-th best cosine: the rest of the postings is not touched.
+        scores holds what the common terms give each example, if the terms are but the others. Each block has an upper
+        bound: its highest such score and its entries' largest weights. The blocks of the highest bounds are read
+        first; of the others only those whose bound reaches the k-th best cosine: other postings are not touched.
         """
+        if scores is None:
+            column = self.column[terms]
+            scores = weights[column >= 0] @ self.dense[column[column >= 0]]
+            terms, weights = terms[column < 0], weights[column < 0]
         entry, n = _ranges(self.entry[terms], self.entry[terms + 1])
-        say = np.repeat(weights, n)
-        block = self.block[entry]
-        bound = np.bincount(block, self.most[entry] * say, self.blocks)
-        scores = np.zeros(len(self.toxic))
+        say, block = np.repeat(weights, n), self.block[entry]
+        bound = scores.reshape(self.blocks, BLOCK).max(axis=1) + np.bincount(block, self.most[entry] * say, self.blocks)
         first = np.zeros(self.blocks, bool)
         first[np.argsort(-bound, kind="stable")[: max(2, -(-2 * k // BLOCK))]] = True
-        left = bound > 0
-        for wanted in (lambda: first, lambda: left & ~first & (bound >= self._least(scores, k) - 1e-9)):
+        for wanted in (lambda: first, lambda: ~first & (bound > 0) & (bound >= self._least(scores, k) - 1e-9)):
             own = np.flatnonzero(wanted()[block])
             at, m = _ranges(self.post[entry[own]], self.post[entry[own] + 1])
             self.read += len(at)
-            scores += np.bincount(self.rows[at], self.weight[at] * np.repeat(say[own], m), len(scores))
-        rounded = np.round(scores, 12)
+            scores = scores + np.bincount(self.rows[at], self.weight[at] * np.repeat(say[own], m), len(scores))
         near = np.flatnonzero(scores >= max(self._least(scores, k) - 1e-9, 1e-15))
-        best = near[np.lexsort((near, -rounded[near]))][:k]
+        best = near[np.lexsort((near, -np.round(scores[near], 12)))][:k]
         return best, scores[best]
 
     @staticmethod
@@ -213,18 +225,31 @@ class Index:
         n = len(offsets) - 1
         d, t, tf = _counts(data, offsets, self.vocabulary)
         out, evidence = np.full(n, self.prior * 0.5), [[] for _ in range(n)]
-        at, size = K.groups(d)
-        for a, m in zip(at.tolist(), size.tolist(), strict=True):
-            terms, own = t[a : a + m], tf[a : a + m]
-            key = hashlib.blake2b(terms.tobytes() + own.tobytes(), digest_size=16).digest()
-            if key not in seen:
-                if len(seen) > 50_000:
-                    seen.clear()
-                rows, cosine = self.nearest(terms, self._weights(np.zeros(m, np.int64), terms, own, 1), k)
-                # Votes fall with the distance; a small vote of the prior steadies few or far neighbours.
-                vote = cosine / (1.05 - np.minimum(cosine, 1.0))
-                seen[key] = (float((vote @ self.toxic[rows] + 0.05 * self.prior) / (vote.sum() + 0.05)), rows.tolist())
-            out[d[a]], evidence[d[a]] = seen[key]
+        if not len(d):
+            return out, evidence
+        w, column = self._weights(d, t, tf, n), self.column[t]
+        cut = np.searchsorted(d, np.arange(n + 1))
+        for lo in range(0, n, GROUP):
+            hi = min(n, lo + GROUP)
+            own = slice(cut[lo], cut[hi])
+            common = np.flatnonzero(column[own] >= 0) + cut[lo]
+            asked = np.zeros((hi - lo, len(self.dense)))
+            asked[d[common] - lo, column[common]] = w[common]
+            scores = asked @ self.dense
+            for i in range(lo, hi):
+                a, b = cut[i], cut[i + 1]
+                if a == b:
+                    continue
+                key = hashlib.blake2b(t[a:b].tobytes() + tf[a:b].tobytes(), digest_size=16).digest()
+                if key not in seen:
+                    if len(seen) > 50_000:
+                        seen.clear()
+                    rare = column[a:b] < 0
+                    rows, cosine = self.nearest(t[a:b][rare], w[a:b][rare], k, scores[i - lo])
+                    # Votes fall with the distance; a small vote of the prior steadies few or far neighbours.
+                    vote = cosine / (1.05 - np.minimum(cosine, 1.0))
+                    seen[key] = (float((vote @ self.toxic[rows] + 0.05 * self.prior) / (vote.sum() + 0.05)), rows.tolist())
+                out[i], evidence[i] = seen[key]
         return out, evidence
 
 
