@@ -16,7 +16,7 @@ from corpusmill.plans.storage import Scratch
 
 #: Bounds of the model: labelled rows that are learnt from, examples in the index and terms in them, examples in a block
 #: of it, neighbours that vote.
-ROWS, EXAMPLES, POSTINGS, BLOCK, NEIGHBOURS = 30_000, 2048, 1 << 23, 64, 15
+ROWS, EXAMPLES, POSTINGS, BLOCK, NEIGHBOURS = 30_000, 1536, 1 << 23, 64, 15
 #: Terms that one in COMMON examples hold (the DENSE most frequent of them) are rows of a matrix instead of postings;
 #: GROUP texts are multiplied with it at once.
 COMMON, DENSE, GROUP = 32, 768, 128
