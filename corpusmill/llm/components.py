@@ -51,8 +51,8 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 
     Each round makes a forest of every partition's edges, so that a vertex has one row a partition at most; then
     each vertex takes the smallest of its roots. What ties roots to each other (two of them at one vertex, or a root
-    that has a root elsewhere) are the edges of the next round, far fewer. What is left when ONE_TASK rows suffice is finished in one task. Labels are then followed from
-    round to round. No edges: no rows.
+    that has a root elsewhere) are the edges of the next round, far fewer. What is left when ONE_TASK rows suffice is
+    finished in one task. Labels are then followed from round to round. No edges: no rows.
     """
     rounds: list[DataFrame] = []
     left, parts = edges, 0
@@ -69,6 +69,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         # Fewer partitions each round, so that the rounds end.
         parts = max(1, min(n // ONE_TASK, parts // 2 if parts else n))
         left = own.unionByName(both).distinct().repartition(parts)
+    scratch.drop(*(f"{name}-forest{i}" for i in range(len(rounds))))
     out = rounds[0]
     for later in rounds[1:]:
         up = later.select(F.col("v").alias("root"), F.col("root").alias("up"))

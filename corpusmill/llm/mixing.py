@@ -203,6 +203,7 @@ def plan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     final = places.join(F.broadcast(fixed), ["sid", "epoch", "block"], "left").filter(F.coalesce("now", "drawn"))
     final = final.groupBy(F.col("sid").alias("mix_sid"), F.col("block").alias("mix_block")).agg(F.sort_array(F.collect_list(F.struct("epoch", "shard", "cut", "at"))).alias("mix_plan"))
     final = scratch.keep(final, "draws")
+    scratch.drop("sized", "places")
     if final.count() <= BROADCAST_BLOCKS:  # at most so many rows of a hundred bytes; else the rows are dealt by block
         final = F.broadcast(final)
 

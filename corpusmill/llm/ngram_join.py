@@ -358,6 +358,7 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width:
     # An id that stands in several rows ties the texts of all of them.
     edges.append(every.filter("several AND copy_of IS NOT NULL AND n > 0").select(F.col("doc_id").alias("v"), F.col("copy_of").alias("root")))
     found = components(keep(reduce(DataFrame.unionByName, edges), "edges"), corpus.scratch, "links")
+    corpus.scratch.drop("candidates", "weights", "edges")
 
     base = every.select("doc_id", "n", "copy_of", F.when(F.col("several"), F.col("doc_id")).otherwise(F.coalesce("copy_of", "doc_id")).alias("of"))
     out = join_hot(base, found.select(F.col("v").alias("of"), F.col("root").alias("component_id")), "of", corpus.n, "left")
