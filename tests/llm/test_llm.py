@@ -509,6 +509,74 @@ def test_quality_statistics(spark):
     assert quality.score(frame.limit(0), quality.fit(frame.limit(0), labels)).count() == 0
 
 
+def test_quality_verdict_by_brute_force(spark):
+    """Features from plain counts, trees walked node by node, and the verdict, on rows that nothing was fitted on too."""
+    rng = np.random.default_rng(18)
+    rows = []
+    for i in range(300):
+        words = [f"w{k}" for k in rng.integers(0, 300, 40)]
+        if i % 3 == 0:
+            words = [w.upper() + "!!" if rng.random() < 0.4 else w for w in words]
+        rows.append((i, " ".join(words) + (".\nend of it\n" if i % 2 else "")))
+    rows += [(1000, None), (1001, "A! " * 30), (1002, "short"), (1003, "x\n" * 40), (1001, "A! " * 30)]
+    frame = _frame(spark, rows).selectExpr("*", "1 AS n_words", "2 AS score", "3 AS label", "4 AS l_id", "5 AS base_failed")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(0, 300, 2)] + [(7, None), (None, 1)], "doc_id long, quality int")
+    model = quality.fit(frame, labels)
+
+    def features(t):
+        n_words, word_chars, n_symbols, n_dup, n_repeat = brute.statistics(t)
+        t = t or ""
+        words = brute.WORD.findall(t)
+        n_lines = sum(bool(brute.WORD.search(x)) for x in t.split("\n"))
+        letters = sum(c.isascii() and c.isalpha() for c in t)
+        share = lambda a, b: a / max(1, b)
+        return [
+            share(word_chars, n_words), share(n_symbols, n_words), share(sum(any(c in "#*$%&|<>" for c in w) for w in words), n_words), share(n_dup, n_lines), share(n_repeat, n_words),
+            share(sum("A" <= c <= "Z" for c in t), letters), share(sum("0" <= c <= "9" for c in t), word_chars), share(t.count("!"), n_words), share(sum(c in ".,;:?" for c in t), n_words),
+            share(n_words, n_lines), share(len(set(words)), n_words),
+        ]
+
+    def walk(x):
+        raw = model.base
+        for at in model.roots.tolist():
+            while model.feature[at] >= 0:
+                at = model.left[at] if x[model.feature[at]] <= model.threshold[at] else model.right[at]
+            raw += model.value[at]
+        return 1 / (1 + math.exp(-raw))
+
+    assert len(model.roots) == 60 and [f[0] for f in quality.FEATURES][5] == "upper"
+    got = sorted(quality.score(frame, model).collect(), key=lambda r: r.doc_id)
+    right = 0
+    for r, (d, t) in zip(got, sorted(rows, key=lambda r: r[0]), strict=True):
+        n_words, _, _, _, n_repeat = brute.statistics(t)
+        failed = n_words < 20 or 100 * n_repeat > 30 * n_words
+        score = walk(features(t))
+        assert r.doc_id == d and r.score == pytest.approx(score, abs=1e-9) and r.base_failed == failed and r.kept == (not failed and r.score >= 0.5)
+        right += d < 300 and d % 2 == 1 and (r.score >= 0.5) == (d % 3 > 0)
+    assert right > 140  # of 150 rows that have no label
+
+
+def test_clashing_columns_and_repeated_rows(spark):
+    """Columns that operators name themselves, and rows that stand twice, change no result."""
+    import public_tokenizers
+
+    rows = [(i, f"Released under the MIT License. {'word ' * i}{i}") for i in range(25)] + [(None, None), (30, "")]
+    plain = _frame(spark, rows)
+    clash = plain.selectExpr("*", *[f"{i} AS {c}" for i, c in enumerate(("row", "key", "size", "n_sentences", "licenses", "hits", "piece", "start", "sequence_id", "d_id", "d_text", "c_0", "tokens", "gp", "component_id", "n_removed", "digest"))])
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ops = {
+        "licenses": lambda d: licenses.scan(d), "packing": lambda d: packing.pack(d, path).select("doc_id", "piece", "start", "length", "ids_crc32"), "ngram": lambda d: ngram_join.join(d),
+        "substring": lambda d: substring.dedup(d, carry=[]), "suffix": lambda d: suffix.dedup(d, carry=[]),
+    }
+    for name, op in ops.items():
+        want = sorted(map(str, op(plain).collect()))
+        assert sorted(map(str, op(clash).collect())) == want, name
+        if name in ("licenses", "packing"):  # no rows meet
+            assert sorted(map(str, op(clash.union(clash)).collect())) == sorted(want * 2), name
+    carried = substring.dedup(clash).first().asDict()
+    assert carried["row"] == 0 and carried["c_0"] == 11 and carried["digest"] == 16 and substring.dedup(clash).columns.count("n_removed") == 1
+
+
 def test_trees_are_monotonic():
     rng = np.random.default_rng(8)
     x = rng.random((2000, len(quality.FEATURES)))
