@@ -75,16 +75,19 @@ def similar_sets(sets: DataFrame, num: int = 90, den: int = 100) -> DataFrame:
     """(a, b, n_both, n_either) for ids a < b whose token sets have Jaccard num/den or more: an exact prefix-filter join.
 
     ``sets`` has id and tokens (an array of distinct tokens). Rare tokens come first; two similar sets share one of
-    their first tokens, so those are the join key, and sizes prune before sets are compared.
+    their first tokens, so those are the join key; sizes, and the places of the first token in common, prune before
+    sets are compared.
     """
     df = sets.select("id", F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
     n = F.col("n")
     ranked = sets.withColumn("n", F.size("tokens")).select("id", "n", F.explode("tokens").alias("t")).join(df, "t").filter("df > 1")
     place = F.row_number().over(Window.partitionBy("id").orderBy("df", "t"))
     shared = F.count("*").over(Window.partitionBy("id"))
-    first = ranked.withColumn("r", place + (n - shared)).filter(F.col("r") <= n - F.ceil(n * num / den) + 1).select("id", "n", "t")
-    a, b = first.select(F.col("id").alias("a"), F.col("n").alias("na"), "t"), first.select(F.col("id").alias("b"), F.col("n").alias("nb"), "t")
-    near = a.join(b, "t").filter("a < b").filter((F.least("na", "nb") * den >= F.greatest("na", "nb") * num)).select("a", "b").distinct()
+    first = ranked.withColumn("r", place + (n - shared)).filter(F.col("r") <= n - F.ceil(n * num / den) + 1).select("id", "n", "t", "r")
+    a, b = (first.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("r").alias(f"r{x}"), "t") for x in "ab")
+    near = a.join(b, "t").filter("a < b").filter((F.least("na", "nb") * den >= F.greatest("na", "nb") * num))
+    # Behind their first common token two sets can share no more than what either has left.
+    near = near.filter((1 + F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb"))) * (num + den) >= num * (F.col("na") + F.col("nb"))).select("a", "b").distinct()
     left, right = sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
     rows = near.join(left, "a").join(right, "b").withColumn("n_both", F.size(F.array_intersect("ta", "tb")).cast("long"))
     rows = rows.withColumn("n_either", (F.size("ta") + F.size("tb") - F.col("n_both")).cast("long"))
