@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import importlib.util
+import re
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 from pathlib import Path
 
 from pyspark import StorageLevel
@@ -15,6 +18,7 @@ from corpusmill.operators import context_rules, folds, line_rules, relations, vi
 from corpusmill.operators.project import config as read_config
 from corpusmill.operators.project import alias_names, config_lint, declared
 from corpusmill.plans import findings as P
+from corpusmill.plans.storage import Scratch
 
 COLUMNS = ["path", "rule", "severity", "line", "col", "message"]
 
@@ -95,29 +99,34 @@ detector("copied-functions")(lambda c: relations.copied_function_findings(folds.
 detector("config")(lambda c: config_lint(c.files))
 
 
-@detector("relations")
-def _relations(c: Context) -> DataFrame:
-    out = relations.unused_imports(c.imports, c.lines)
-    for rows in (
-        relations.duplicate_imports(c.imports), relations.tree_shakeable(c.imports), relations.unused_exports(c.exports, c.imports), relations.type_only_imports(c.imports, c.lines),
-        relations.high_coupling(c.imports, c.config["quality"]["maxCoupling"]), relations.layer_violation(c.imports), relations.unused_selectors(c.lines), relations.aliases(c.imports, c.files),
-        relations.undeclared_imports(c.imports, declared(c.files), alias_names(c.files)),
-        relations.workspaces(c.files), relations.barrel_bypass(c.imports, relations.reexports(c.lines)),
-        relations.circular_dependency(c.imports, c.files),
-    ):
-        out = out.unionByName(rows)
-    return out
+detector("unused-imports")(lambda c: relations.unused_imports(c.imports, c.lines))
+detector("import-forms")(lambda c: relations.duplicate_imports(c.imports).unionByName(relations.tree_shakeable(c.imports)).unionByName(relations.type_only_imports(c.imports, c.lines)))
+detector("import-targets")(lambda c: relations.aliases(c.imports, c.files).unionByName(relations.barrel_bypass(c.imports, relations.reexports(c.lines))))
+detector("undeclared-imports")(lambda c: relations.undeclared_imports(c.imports, declared(c.files), alias_names(c.files)))
+detector("unused-exports")(lambda c: relations.unused_exports(c.exports, c.imports))
+detector("architecture")(lambda c: relations.high_coupling(c.imports, c.config["quality"]["maxCoupling"]).unionByName(relations.layer_violation(c.imports)))
+detector("cycles")(lambda c: relations.circular_dependency(c.imports, c.files, c.config["imports"]["maxCircularDepth"]))
+detector("selectors")(lambda c: relations.unused_selectors(c.lines))
+detector("workspaces")(lambda c: relations.workspaces(c.files))
 
 
-def findings(files: DataFrame, config: dict | None = None, engines: list[str] | None = None) -> DataFrame:
-    """All findings of the engines (detector names) chosen, after overrides and suppression, one a path, line and rule."""
+def findings(files: DataFrame, config: dict | None = None, engines: list[str] | None = None, at_once: int = 0) -> DataFrame:
+    """All findings of the engines (detector names) chosen, after overrides and suppression, one a path, line and rule.
+
+    With ``at_once`` each detector's findings are written to a scratch table, that many detectors at a time, so that
+    their plans are made and compiled side by side; otherwise all are one lazy plan.
+    """
     cfg = read_config(config)
     off = {r for r, s in cfg["rules"].items() if s == "off" and not r.endswith("*")}
     context = Context(files, cfg, off)
-    out = None
-    for name in engines or list(REGISTRY):
-        rows = REGISTRY[name](context).select(*COLUMNS)
-        out = rows if out is None else out.unionByName(rows)
+    names = engines or list(REGISTRY)
+    if at_once:
+        scratch = Scratch(files.sparkSession, "scan")
+        with ThreadPoolExecutor(at_once) as pool:
+            rows = list(pool.map(lambda n: scratch.keep(REGISTRY[n](context).select(*COLUMNS), re.sub(r"\W+", "-", n)), names))
+    else:
+        rows = [REGISTRY[n](context).select(*COLUMNS) for n in names]
+    out = reduce(DataFrame.unionByName, rows)
     out = P.override(out, list(cfg["rules"].items())) if cfg["rules"] else out
     return P.first_of_each(P.suppress(P.translation_gate(out, files), context.lines))
 

@@ -747,8 +747,7 @@ def dependency_audit(spark, sf_dir):
 def _result(spark, sf_dir) -> DataFrame:
     from corpusmill.plans import scan
 
-    f = synthetic.files(spark, sf_dir)
-    return scan.findings(f)
+    return scan.findings(synthetic.files(spark, sf_dir), at_once=8)
 
 
 @query(f"""WITH {FOUND}, w AS (SELECT rule, count(*) AS n, min({_RANK}) AS worst_rank FROM found GROUP BY rule), o AS (SELECT rule, path || ':' || line || ':' || col AS place, row_number() OVER (PARTITION BY rule ORDER BY path, line, col, message) AS r FROM found),

@@ -338,7 +338,7 @@ def test_circular_dependency(spark):
 
     ring = [(f"src/m{i}/f.ts", f"const k = {i}\nimport {{ a }} from '../m{(i + 1) % 5}/f'\n") for i in range(5)]
     f = files(spark, *ring, ("src/x.ts", "import { a } from './y'\n"), ("src/y.ts", "import { a } from './m0/f'\n"), ("src/z.ts", "import z from './z'\n"))
-    got = {(r.path, r.line, r.message) for r in scan.REGISTRY["relations"](scan.Context(f, scan.read_config(None))).filter("rule = 'import-intelligence/circular-dependency'").collect()}
+    got = {(r.path, r.line, r.message) for r in scan.REGISTRY["cycles"](scan.Context(f, scan.read_config(None))).filter("rule = 'import-intelligence/circular-dependency'").collect()}
     assert got == {("src/m0/f.ts", 2, " > ".join(p for p, _ in ring)), ("src/z.ts", 1, "src/z.ts")}
 
 

@@ -112,6 +112,15 @@ def test_undeclared_imports(spark):
     assert sorted((r.line, r.message) for r in got) == [(2, "gone"), (7, "@other/x"), (8, "libs")]
 
 
+def test_scan_at_once(spark):
+    """Detectors side by side find what one plan finds."""
+    rows = files(spark, ("src/a.ts", "import { x } from './b'\nimport { y } from 'gone'\nconst z = 1 as any\n"), ("src/b.ts", "import { q } from './a'\nexport const x = 1\n"), ("w.css", "#a { b: c; }\n"))
+    names = ["lines", "unused-imports", "undeclared-imports", "cycles", "selectors"]
+    key = lambda df: sorted((r.path, r.line, r.rule, r.message) for r in df.collect())
+    one = key(scan.findings(rows, engines=names))
+    assert one == key(scan.findings(rows, engines=names, at_once=3)) and {"import-intelligence/circular-dependency", "ast-slop/hallucinated-import", "css/unused-selector", "ast-slop/as-any"} <= {r[2] for r in one}
+
+
 def test_missing_config(spark):
     assert project.missing_config(files(spark, ("a.ts", "x"))).count() == 1
     assert project.missing_config(files(spark, (".lint/config.yml", "x"))).count() == 0
