@@ -16,14 +16,18 @@ from corpusmill.plans.storage import Scratch
 TOXIC_FROM = 0.3
 
 
+_READ = ("doc_id", "text", "source")
+
+
 def _held(docs: DataFrame) -> DataFrame:
-    """doc_id, text, source and all columns as one struct, so that none of their names meets an operator's."""
-    return docs.select("doc_id", "text", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    """What the operators read, and all other columns as one struct, so that none of their names meets an operator's."""
+    return docs.select(*_READ, F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in _READ]).alias("row"))
 
 
 def _columns(rows: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
-    """The columns of docs out of the struct, but for new ones."""
-    return rows.select(*[(new[c] if c in new else F.col("row").getField(c)).alias(c) for c in docs.columns])
+    """The columns of docs again, but for new ones."""
+    own = lambda c: new[c] if c in new else F.col(c) if c in _READ else F.col("row").getField(c)
+    return rows.select(*[own(c).alias(c) for c in docs.columns])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
