@@ -236,8 +236,10 @@ def shuffled(planned: DataFrame, *, doc_id: str = "doc_id", seed: int = 20240501
     more = ("mix_shard", "mix_epoch", "mix_words", "mix_place")
     names = [c for c in planned.columns if c not in (*RESULTS, *more)]
     rows = planned.select(*[F.col(f"`{c}`") for c in names], F.inline(F.transform("mix_draws", lambda d: F.struct(d["shard"].alias("mix_shard"), d["epoch"].alias("mix_epoch"), d["words"].alias("mix_words")))))
-    own = F.xxhash64(F.col(doc_id), "mix_epoch", "mix_words", F.lit(seed + 2))
-    return rows.withColumn("mix_place", F.row_number().over(Window.partitionBy("mix_shard").orderBy(own, F.col(doc_id), "mix_epoch")))
+    order = [F.xxhash64(F.col(doc_id), "mix_epoch", "mix_words", F.lit(seed + 2)), F.col(doc_id), F.col("mix_epoch")]
+    # Dealt and sorted here, not by the window alone, which goes where nobody reads the places.
+    rows = rows.repartition("mix_shard").sortWithinPartitions("mix_shard", *order)
+    return rows.withColumn("mix_place", F.row_number().over(Window.partitionBy("mix_shard").orderBy(*order)))
 
 
 def mix(docs: DataFrame, *, doc_id: str = "doc_id", seed: int = 20240501, **options) -> DataFrame:

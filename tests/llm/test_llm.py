@@ -285,6 +285,12 @@ def test_mixing_by_brute_force(spark, monkeypatch):
         assert sorted(r.mix_place for r in v) == list(range(1, len(v) + 1))
     ordered = [r.doc_id or 0 for r in sorted(mixed, key=lambda r: (r.mix_shard, r.mix_place))]
     assert ordered != sorted(ordered)
+    # also where nobody reads the places: rows come shard by shard, in the shards' order
+    bare = mixing.mix(frame).select("doc_id", "mix_shard").collect()
+    by_shard = {}
+    for r in bare:
+        by_shard.setdefault(r.mix_shard, []).append(r.doc_id)
+    assert by_shard == {k: [r.doc_id for r in sorted(v, key=lambda r: r.mix_place)] for k, v in own.items()}
     taken = {}
     for r in mixed:
         taken[r.doc_id] = taken.get(r.doc_id, 0) + r.mix_words
