@@ -31,18 +31,22 @@ def _measured(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
     return rows.select("*", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"), key.alias("key"))
 
 
+def _shelves() -> Column:
+    return F.ceil(F.count("*") / PER_SHELF).cast("int")
+
+
 def _headed(measured: DataFrame, n: int, least: int) -> DataFrame:
     """Each measured page with its type, what it refers to, and the shelf of its payload that it reads.
 
     A payload that many pages share has a shelf for each PER_SHELF of them, so that no task of the join that rebuilds
     records gets all its pages.
     """
-    first = measured.groupBy("key").agg(F.min("page_id").alias("first_id"), F.ceil(F.count("*") / PER_SHELF).cast("int").alias("shelves"))
+    first = measured.groupBy("key").agg(F.min("page_id").alias("first_id"), _shelves().alias("shelves"))
     rows = join_hot(measured, first, "key", n)
     again = (F.col("payload_bytes") >= least) & F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     return rows.select(
         "page_id", "url", "payload_bytes", "payload_digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first_id")).alias("refers_to"),
-        "key", "shelves", F.pmod(F.xxhash64("page_id", "url"), F.col("shelves")).cast("int").alias("shelf"),
+        "key", F.pmod(F.xxhash64("page_id", "url"), F.col("shelves")).cast("int").alias("shelf"),
     )
 
 
@@ -79,8 +83,8 @@ def write_archive(pages: DataFrame, root: str, *, least: int = 0, date: str = DA
     own = _measured(pages, **columns)
     measured = scratch.keep(own.drop("payload"), "measured")
     heads = _headed(measured, measured.count(), least)
-    heads.select("key", "shelf", "shelves", header(date).alias("header")).write.option("compression", "zstd").parquet(f"{root}/headers")
-    own.groupBy("key").agg(F.any_value("payload").alias("payload")).write.option("compression", "zstd").parquet(f"{root}/payloads")
+    heads.select("key", "shelf", header(date).alias("header")).write.option("compression", "zstd").parquet(f"{root}/headers")
+    own.groupBy("key").agg(F.any_value("payload").alias("payload"), _shelves().alias("shelves")).write.option("compression", "zstd").parquet(f"{root}/payloads")
     scratch.close()
 
 
@@ -90,11 +94,9 @@ def read_archive(spark, root: str) -> DataFrame:
     Returns the fields parsed from the header, the record, its payload, and what is measured on the latter:
     payload_bytes and payload_digest. Fails on a record whose payload is not of the length and digest in its header.
     """
-    heads = spark.read.schema("key binary, shelf int, shelves int, header string").parquet(f"{root}/headers")
-    loads = spark.read.schema("key binary, payload binary").parquet(f"{root}/payloads")
-    # Which payloads have more than one shelf stands in the headers; such keys are few (PER_SHELF pages each).
-    many = heads.filter("shelves > 1").groupBy("key").agg(F.max("shelves").alias("more"))
-    loads = loads.join(many, "key", "left").select("key", "payload", F.explode(F.sequence(F.lit(0), F.coalesce("more", F.lit(1)) - 1)).alias("shelf"))
+    heads = spark.read.schema("key binary, shelf int, header string").parquet(f"{root}/headers")
+    loads = spark.read.schema("key binary, payload binary, shelves int").parquet(f"{root}/payloads")
+    loads = loads.select("key", "payload", F.explode(F.sequence(F.lit(0), F.col("shelves") - 1)).alias("shelf"))
     rows = heads.join(loads, ["key", "shelf"], "left").select("header", record_bytes(F.col("header"), F.col("payload")).alias("record"))
 
     def field(name: str) -> Column:
