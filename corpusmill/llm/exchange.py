@@ -24,7 +24,7 @@ from corpusmill.plans.storage import Scratch
 
 #: Of a corpus of up to ROOT_FROM bytes; beyond it both grow with the root of its size, so that messages grow in
 #: number as the input does, up to MOST_TIMES as much memory a task.
-CHUNK_BYTES, BUCKET_HASHES = 4 << 20, 4 << 20
+CHUNK_BYTES, BUCKET_HASHES = 4 << 20, 2 << 20
 ROOT_FROM, MOST_TIMES = 32 << 30, 16
 NOTE = "n_chunk int, n_kind int, n_num long, n_data binary"
 SENT = "bucket int, s_chunk int, s_data binary"
@@ -70,13 +70,20 @@ class Corpus:
 
     def each_chunk(self, fn: Callable, notes: DataFrame, schema: str | T.StructType) -> DataFrame:
         """fn(chunk number, documents, notes) for each chunk. Notes without documents are left out by fn."""
-        return self.rows.groupBy("chunk").cogroup(notes.groupBy("n_chunk")).applyInArrow(lambda key, docs, own: fn(key[0].as_py(), docs, own), schema)
+
+        def run(key: tuple, docs: pa.Table, own: pa.Table) -> pa.Table:
+            out = fn(key[0].as_py(), docs, own)
+            K.give_back()
+            return out
+
+        return self.rows.groupBy("chunk").cogroup(notes.groupBy("n_chunk")).applyInArrow(run, schema)
 
     def answers(self, sent: DataFrame, answer: Callable[[list[list[bytes]]], list[bytes]], kind: int) -> DataFrame:
         """Notes of ``kind`` with what ``answer`` gives each chunk for the parts that it has sent to a bucket."""
 
         def run(key: tuple, rows: pa.Table) -> pa.Table:
             got = answer([K.unbundle(x.as_py()) for x in rows["s_data"]])
+            K.give_back()
             n = rows.num_rows
             return pa.table([rows["s_chunk"].combine_chunks(), pa.array([kind] * n, pa.int32()), pa.array([key[0].as_py()] * n, pa.int64()), pa.array(got, pa.binary())], schema=NOTE_ARROW)
 

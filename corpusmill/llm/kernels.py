@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import struct
 
@@ -18,10 +19,21 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: A random number for each byte.
 LETTERS = np.random.default_rng(11).integers(1, 1 << 63, 256, np.uint64) * _U(2) + _U(1)
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _TRIM = None
 #: Spans of more bytes than this are hashed one by one.
 _LONG_SPAN = 256
 
 
+def give_back() -> None:
+    """Return freed memory to the system: the process of a task lives on for other ones, of other stages."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads all bits (in place)."""
     x ^= x >> _U(32)

@@ -242,7 +242,7 @@ class Index:
                     continue
                 key = hashlib.blake2b(t[a:b].tobytes() + tf[a:b].tobytes(), digest_size=16).digest()
                 if key not in seen:
-                    if len(seen) > 50_000:
+                    if len(seen) > 10_000:
                         seen.clear()
                     rare = column[a:b] < 0
                     rows, cosine = self.nearest(t[a:b][rare], w[a:b][rare], k, scores[i - lo])
@@ -405,6 +405,7 @@ def score(docs: DataFrame, index: Index, names: list[int], *, doc_id: str = "doc
             for a, b, data, offsets in _parts(batch.column(at)):
                 got, evidence = model.shares(data, offsets, seen)
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[: len(out)]), pa.array(model.calibrated(got)), pa.array([ids[e] for e in evidence], pa.list_(pa.int64()))], names=[*(f.name for f in out), "score", "evidence"])
+        K.give_back()
 
     schema = T.StructType([*out, T.StructField("score", T.DoubleType()), T.StructField("evidence", T.ArrayType(T.LongType()))])
     return rows.mapInArrow(run, schema)
