@@ -16,7 +16,7 @@ from corpusmill.plans.storage import Scratch
 
 #: Words in a block, and blocks in a shard of the mix. Blocks are larger only where more than MOST_BLOCKS (9 * 10^12
 #: words) would be, the reach of the hypergeometric generator.
-UNIT, BLOCKS_A_SHARD, MOST_BLOCKS = 1 << 15, 256, 1 << 28
+UNIT, BLOCKS_A_SHARD, MOST_BLOCKS = 1 << 15, 64, 1 << 28
 #: Up to so many drawn blocks (a row of some hundred bytes each) are broadcast.
 BROADCAST_BLOCKS = 1 << 17
 RESULTS = ("mix_size", "mix_source_size", "mix_target", "mix_draws", "mix_taken")
@@ -231,7 +231,7 @@ def shuffled(planned: DataFrame, *, doc_id: str = "doc_id", seed: int = 20240501
     """A row of a plan for each time it is drawn, shard by shard, shuffled within each shard.
 
     Adds mix_shard, mix_epoch, mix_words (words taken this time) and mix_place (from 1, in the shard's order). Shards
-    hold BLOCKS_A_SHARD blocks (some 50 MB of text), whatever the input.
+    hold BLOCKS_A_SHARD blocks (some 12 MB of text), whatever the input.
     """
     more = ("mix_shard", "mix_epoch", "mix_words", "mix_place")
     names = [c for c in planned.columns if c not in (*RESULTS, *more)]
