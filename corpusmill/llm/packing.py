@@ -3,21 +3,26 @@
 from __future__ import annotations
 
 import math
+import os
 import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.llm import kernels as K
 from corpusmill.plans.storage import Scratch
 
 #: Items packed by one task at the lowest level; groups that meet at each higher level; bins an end node hands up.
 GROUP_ITEMS, FAN_IN = 32_768, 8
+#: Texts that are handed to an encoder at once.
+BATCH_ROWS = 1000
 #: Bins with at most this part of the length left are emitted at once.
 NEARLY_FULL = 1 / 256
 #: A fixed value: the pattern by which byte-level BPE of this kind parts text before merging.
@@ -36,6 +41,8 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        # One text at a time needs no threads, each of which would keep memory of its own.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tiktoken
         from tokenizers import Tokenizer
 
@@ -68,6 +75,7 @@ _PIECES_SQL = "row long, doc_id long, first long, n_ids long, crcs array<bigint>
 def _tokenise(path: str, end_id: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, piece = Encoder(path), TaskContext.get().partitionId() << 40
+        K.give_back()
         for batch in batches:
             rows: list[tuple] = []
             if batch.num_rows:
@@ -136,6 +144,18 @@ def _pack(most: int, last: bool):
     return pack
 
 
+@contextmanager
+def _batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What runs within hands so many rows at once to Python; the session's setting is put back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def pack(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", most: int = 2048, end_id: int = 0) -> DataFrame:
     """Pieces of documents packed into sequences of at most ``most`` tokens, as few as the tree of best fits finds.
 
@@ -151,7 +171,8 @@ def pack(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str =
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "pack")
-    pieces = scratch.keep(docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(_tokenise(tokenizer, end_id, most), _PIECES_SQL), "pieces")
+    with _batches_of(spark, BATCH_ROWS):
+        pieces = scratch.keep(docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(_tokenise(tokenizer, end_id, most), _PIECES_SQL), "pieces")
     full = F.col("first") == most
     n = pieces.filter(~full).count()
     groups = max(1, math.ceil(n / GROUP_ITEMS))
