@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import licenses, mixing, ngram_join, packing, quality, substring, suffix, topk, toxicity, warc
+from corpusmill.llm import centroids, licenses, mixing, ngram_join, packing, phrases, quality, substring, suffix, topk, toxicity, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 TOXIC_FROM = 0.3
@@ -71,6 +71,14 @@ def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 def _sql_str(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -116,6 +124,49 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 20"""
 
 
+
+
+def _centroids_sql(k: int = 8, rounds: int = 10, dims: int = 64) -> str:
+    steps = [f"""
+v AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+                   WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, e) - 1 AS c, e FROM (SELECT sha256('3:' || vec_id) AS h, e FROM v WHERE vec_id IS NOT NULL ORDER BY h, e LIMIT {k}))"""]
+    for r in range(rounds + 1):
+        # The least pair (distance, number), as one number.
+        steps.append(f"""
+a{r} AS MATERIALIZED (SELECT row, vec_id, any_value(v.e) AS e, min(list_sum(list_transform(list_zip(v.e, c.e), lambda p: ((p[1] - p[2]) * (p[1] - p[2]))::HUGEINT)) * {k} + c.c) AS best FROM v, c{r} c GROUP BY row, vec_id)""")
+        steps.append(f"""
+c{r + 1} AS MATERIALIZED (SELECT old.c, coalesce(new.e, old.e) AS e FROM c{r} old LEFT JOIN (
+  SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS e FROM (
+    SELECT (best % {k})::BIGINT AS c, j, sum(e[j])::HUGEINT AS s, count(*)::HUGEINT AS n FROM a{r}, range(1, {dims + 1}) t(j) GROUP BY ALL) GROUP BY c) new USING (c))""")
+    return "WITH " + ",".join(steps[:-1]) + f""",
+f AS (SELECT vec_id, (best % {k})::INT AS cluster, (best // {k})::BIGINT AS distance FROM a{rounds})
+SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(c.e, ',')) AS centroid_sha256
+FROM f JOIN c{rounds} c ON c.c = f.cluster"""
+
+
+_PHRASES_SQL = """
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT row, lang, unnest(x) AS piece, generate_subscripts(x, 1) AS i FROM (SELECT row, lang, string_split_regex(t, '[.,;:!?\n-\r]') AS x FROM d)),
+w AS (SELECT row, lang, i, unnest(x) AS w1, generate_subscripts(x, 1) AS j FROM (SELECT row, lang, i, regexp_extract_all(piece, '[^ \t]+') AS x FROM p)),
+g AS MATERIALIZED (SELECT lang, w1, lead(w1, 1) OVER o AS w2, lead(w1, 2) OVER o AS w3, lead(w1, 3) OVER o AS w4 FROM w WINDOW o AS (PARTITION BY row, i ORDER BY j)),
+f AS MATERIALIZED (SELECT lang, [w1] AS s, count(*) AS f FROM g GROUP BY ALL
+  UNION ALL SELECT lang, [w1, w2], count(*) AS f FROM g WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 30
+  UNION ALL SELECT lang, [w1, w2, w3], count(*) AS f FROM g WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 30
+  UNION ALL SELECT lang, [w1, w2, w3, w4], count(*) AS f FROM g WHERE w4 IS NOT NULL GROUP BY ALL HAVING count(*) >= 30),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE len(s) = 1 GROUP BY lang),
+c AS (SELECT lang, s, f AS a FROM f WHERE len(s) > 1),
+inside AS (SELECT lang, s[x : x + m - 1] AS s, max(f) AS longer FROM c JOIN f USING (lang, s), range(2, 4) t(m), range(1, 4) u(x) WHERE m < len(s) AND x + m - 1 <= len(s) GROUP BY ALL),
+kept AS (SELECT c.* FROM c LEFT JOIN inside USING (lang, s) WHERE longer IS NULL OR 100 * longer < 80 * a),
+cut AS (SELECT lang, s, a, k, s[1 : k] AS head, s[k + 1 : len(s)] AS tail FROM kept, range(1, 4) t(k) WHERE k < len(s)),
+scored AS (SELECT cut.lang, cut.s, a, k, h.f AS l, t.f AS r, ((2000000::HUGEINT * a) // (h.f + t.f))::BIGINT AS score
+           FROM cut JOIN f h ON h.lang = cut.lang AND h.s = head JOIN f t ON t.lang = cut.lang AND t.s = tail),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang, s ORDER BY score, k) AS pick FROM scored),
+ranked AS (SELECT lang, array_to_string(s, ' ') AS phrase, a, l, r, score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(s, ' ')) AS rank FROM best WHERE pick = 1)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
@@ -128,8 +179,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_licenses": op8_licenses,
         "op9_substring": op9_substring,
         "op10_suffix": op10_suffix,
+        "op12_centroids": op12_centroids,
+        "op13_phrases": op13_phrases,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": _WARC_SQL, "op5_topk": _TOPK_SQL, "op8_licenses": _license_sql()}
+    return {"op3_warc": _WARC_SQL, "op5_topk": _TOPK_SQL, "op8_licenses": _license_sql(), "op12_centroids": _centroids_sql(), "op13_phrases": _PHRASES_SQL}
