@@ -120,7 +120,9 @@ class Automaton:
     def deepen(self, frequent: np.ndarray | None) -> None:
         """One more level: phrases whose link and head are frequent (None: all are)."""
         node = self.nodes[-1]
-        good = self.live if frequent is None else self.live & frequent[np.maximum(node, 0)]
+        good = self.live.copy()
+        if frequent is not None:
+            good[good] = frequent[node[good]]
         live = np.zeros(len(node), bool)
         live[1:] = good[1:] & good[:-1] & ~self.begins[1:]
         at = np.flatnonzero(live)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import centroids, licenses, mixing, ngram_join, packing, phrases, quality, substring, suffix, topk, toxicity, warc
+from corpusmill.llm import centroids, licenses, mixing, ngram_join, packing, phrases, private, quality, substring, suffix, topk, toxicity, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 TOXIC_FROM = 0.3
@@ -71,6 +71,12 @@ def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_private(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = private.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["plain"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+    return rows.select("doc_id", *map(count, private.KINDS), F.sha2(private.listed("spans", lambda s: s["plain"]), 256).alias("base_sha256"), private.listed("spans").alias("spans"))
+
+
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(_table(spark, sf_dir, "embeddings"))
 
@@ -179,6 +185,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_licenses": op8_licenses,
         "op9_substring": op9_substring,
         "op10_suffix": op10_suffix,
+        "op11_private": op11_private,
         "op12_centroids": op12_centroids,
         "op13_phrases": op13_phrases,
     }
