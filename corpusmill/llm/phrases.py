@@ -22,7 +22,7 @@ from corpusmill.llm.exchange import BUCKET_HASHES, MOST_TIMES, ROOT_FROM
 from corpusmill.plans.storage import Scratch
 
 #: Bytes of text in a shard; grows with the root of the corpus beyond ROOT_FROM bytes.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 #: Rows that one task ranks at once, and lists that are merged at once.
 RANKED, FAN_IN = 1 << 16, 16
 _U = np.uint64
@@ -48,7 +48,8 @@ def _shard(texts: pa.Array, langs: list[str]) -> tuple[int, list[str], list[int]
     starts = np.flatnonzero(inside & (edge[:-1] | np.append(True, ~inside[:-1])[: len(data)]))
     ends = np.flatnonzero(inside & (edge[1:] | np.append(~inside[1:], True)[: len(data)])) + 1
     doc = np.searchsorted(offsets, starts, "right") - 1
-    breaks = np.cumsum(kind == 2, dtype=np.int64)[starts] + doc
+    breaks = np.cumsum(kind == 2, dtype=np.int32 if len(data) < 1 << 31 else np.int64)[starts] + doc
+    del kind, inside, edge
     begins = np.append(True, breaks[1:] != breaks[:-1]) if len(starts) else np.zeros(0, bool)
     names, own = np.unique(np.array(langs, object), return_inverse=True) if langs else (np.zeros(0, object), np.zeros(0, np.int64))
     lang = own[doc]
