@@ -105,6 +105,12 @@ TEXTS: dict[str, str] = {
     _GPL.format("lesser general public license") + " " + _LATER.format("3"): "lgpl3_full",
     **{f"this work is licensed under {a} creative commons attribution{n} 4.0 international license": f"cc_{k.lower()}_full" for n, k in _CC.items() for a in ("a", "the")},
     **{f"creative commons attribution{n} 4.0 international public license": f"cc_{k.lower()}_title" for n, k in _CC.items()},
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "zlib_full",
+    "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third-parties to whom the software is furnished to do so all subject to the following": "bsl_full",
+    "distributed under the boost software license version 1.0": "bsl_full",
+    "boost software license - version 1.0 - august 17th 2003": "bsl_title",
+    **{f"this program and the accompanying materials are made available under the terms of the eclipse public license {v}2.0 {x}": "epl_full" for v in ("", "v ", "v. ", "v", "version ") for x in ("which is available at", "which accompanies this distribution", "which is available at https://www.eclipse.org/legal/epl-2.0", "which is available at https://www.eclipse.org/legal/epl-2.0/", "which is available at http://www.eclipse.org/legal/epl-2.0")},
+    "eclipse public license - v 2.0": "epl_title",
     "creative commons legal code cc0 1.0 universal": "cc0_title",
     "cc0 1.0 universal": "cc0_title",
 }
@@ -127,6 +133,9 @@ _FULL: list[tuple[str, tuple[str, ...], str]] = [
     *[(n, (f"{k}_title",), "copyleft") for n, k in (("GPL-2.0", "gpl2"), ("GPL-3.0", "gpl3"), ("AGPL-3.0", "agpl3"), ("LGPL-2.1", "lgpl21"), ("LGPL-3.0", "lgpl3"))],
     *[(f"CC-{k}-4.0", (f"cc_{k.lower()}_{x}",), _CC_KINDS.get(k, "noncommercial")) for k in _CC.values() for x in ("full", "title")],
     ("CC0-1.0", ("cc0_title",), "permissive"),
+    ("Zlib", ("zlib_full",), "permissive"),
+    *[("BSL-1.0", (i,), "permissive") for i in ("bsl_full", "bsl_title")],
+    *[("EPL-2.0", (i,), "copyleft") for i in ("epl_full", "epl_title")],
 ]
 # Identifiers that files name in a tag, and their kinds.
 SPDX: dict[str, str] = {
@@ -141,35 +150,88 @@ TAGS = {f"{_TAG} {name.lower()}{more}": f"spdx_{name.lower()}" for name in SPDX
 _FULL += [(name, (f"spdx_{name.lower()}",), kind) for name, kind in SPDX.items()]
 #: Rules of these are tried before the others. A reservation of rights right before a licence belongs to its notice.
 TEXT_RULES = [(name, (*own, *ids), kind) for own in (("reserved",), ()) for name, ids, kind in _FULL]
+# Each pattern is tried once a run of like characters, is possessive and repeats no group, so that any text takes time as
+# it is long; each begins with a character or class of its own, so that most places are passed at a glance.
+#: What opens a comment line, and items of a list in it: marks up to white space or the line's end.
+_LEADER = r"\n(?:[\x20\x09]*+(?:@?rem|dnl)(?=[\x20\x09]))?+[\x20\x09/*#;%+<>!-]*+(?:(?<=[\x20\x09\n])|(?=\n|\z))"
+#: What closes a comment at a line's end.
+_CLOSER = r"(?:\*(?<!\*\*)\**+/|-(?<!--)-++>)(?=[\x20\x09]*+(?:\n|\z))"
 #: A sentence ends at . ; : ! ? before white space or the end, at an empty line, and may end at any line end.
-_STOP, _EMPTY = r"[.;:!?]+(?:[\x20\x09-\x0D]+|\z)", r"[\x0A\x0D][\x20\x09-\x0D]*[\x0A\x0D]"
-#: What opens a comment line and an item of a list in it, and what closes a comment.
-_LEADER = r"(?<![^\x0A\x0D])(?:[\x20\x09]*(?://+!?|/\*+!?|\*+/?|#+|--+|;+|<!--+|-|%+|>+|@?rem(?=[\x20\x09])|dnl(?=[\x20\x09]))(?=[\x20\x09-\x0D]|\z))+|[\x20\x09]*(?:\*+/|--+>)(?=[\x20\x09]*(?:[\x0A\x0D]|\z))"
+_STOP = r"[.;:!?](?<![.;:!?]{2})[.;:!?]*+(?=[\x20\x09-\x0D]|\z)"
+_SPACES = r"\x20(?=[\x20\x09\x0B\x0C])[\x20\x09\x0B\x0C]++|[\x09\x0B\x0C][\x20\x09\x0B\x0C]*+"
 _KNOWN = SENTENCES | TEXTS | TAGS
-#: Any known sentence, its words parted by spaces or line ends (\x02), between two ends of sentences (\x01) or lines.
-_ANY = r"(?<![^\x01\x02])(?:" + "|".join(r"[ \x02]".join(map(re.escape, s.split(" "))) for s in sorted(_KNOWN, key=lambda s: (-len(s), s))) + r")(?![^\x01\x02])"
+_OWNER = r"(?<![^\x01\x02])neither[ \x02]the[ \x02]name[ \x02]of[ \x02][^\x01]{1,120}?[ \x02]nor[ \x02]the[ \x02]names[ \x02]of[ \x02]its"
+#: A known sentence has at most so many words, so lines, and characters.
+_WORDS, _CHARS = max(s.count(" ") + 1 for s in _KNOWN), max(map(len, _KNOWN))
 
 
-def normalised(text: Column) -> Column:
-    """Text as one line: A-Z in lower case, comment leaders, commas, quotes and brackets gone, runs of white space one
-    space, \x01 where a sentence ends and \x02 where a line ends within what may be a sentence.
+def _let(value: Column, use) -> Column:
+    """use(value), with the value made once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def normalised(docs: DataFrame, text: str) -> DataFrame:
+    """docs with ``text`` as one line: A-Z in lower case, comment leaders, commas, quotes and brackets gone, runs of
+    white space one space, \x01 where a sentence ends and \x02 where a line ends within what may be a sentence.
     """
-    one = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ\x01\x02", "abcdefghijklmnopqrstuvwxyz\x03\x03")
+    one = F.col(text)
+    replaced = lambda out, *pairs: replaced(F.replace(out, F.lit(pairs[0][0]), F.lit(pairs[0][1])), *pairs[1:]) if pairs else out
+    docs = docs.withColumn(text, replaced(F.coalesce(one, F.lit("")), ("\x01", "\x03"), ("\x02", "\x03"), ("\r\n", "\n"), ("\r", "\n")))
+    # lower() knows two more letters that become ASCII ones: those texts take the long way.
+    docs = docs.withColumn(text, F.when(F.contains(one, F.lit("K")) | F.contains(one, F.lit("İ")), F.translate(one, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).otherwise(F.lower(one)))
     # A tag is a sentence, and so is each licence of a tag that names up to four.
-    tagged = F.regexp_replace(one, _TAG + r":[\x20\x09]*\(?", _TAG + " ")
+    tagged = F.regexp_replace(one, _TAG + r":[\x20\x09]*+\(?", _TAG + " ")
     for _ in range(3):
-        tagged = F.regexp_replace(tagged, rf"({_TAG} [a-z0-9.+-]+)[\x20\x09]+(?:or|and)[\x20\x09]+(?=[a-z0-9])", f"$1\x01{_TAG} ")
-    one = F.when(F.contains(one, F.lit(_TAG + ":")), tagged).otherwise(one)
-    one = F.regexp_replace(F.replace(one, F.lit("\r\n"), F.lit("\n")), _LEADER, "")
-    one = F.regexp_replace(F.regexp_replace(F.regexp_replace(one, _STOP, "\x01"), _EMPTY, "\x01"), r"[\x0A\x0D]", "\x02")
-    one = F.regexp_replace(F.translate(one, ",\"'()“”‘’", ""), r"[\x20\x09-\x0D]+", " ")
+        tagged = F.regexp_replace(tagged, rf"({_TAG} [a-z0-9.+-]++)[\x20\x09]++(?:or|and)[\x20\x09]++(?=[a-z0-9])", f"$1\x01{_TAG} ")
+    docs = docs.withColumn(text, F.when(F.contains(one, F.lit(_TAG + ":")), tagged).otherwise(one))
+    docs = docs.withColumn(text, F.regexp_replace(F.concat(F.lit("\n"), one), _LEADER, "\n"))
+    out = F.when(F.contains(one, F.lit("*/")) | F.contains(one, F.lit("-->")), F.regexp_replace(one, _CLOSER, "")).otherwise(one)
+    out = replaced(F.regexp_replace(F.regexp_replace(out, _STOP, "\x01"), "[,\"'()]", ""), *((c, "") for c in "“”‘’"))
+    docs = docs.withColumn(text, out)
+    wide = [F.contains(one, F.lit(c)) for c in ("  ", "\t", "\x0b", "\x0c")]
+    out = replaced(F.when(wide[0] | wide[1] | wide[2] | wide[3], F.regexp_replace(one, _SPACES, " ")).otherwise(one), (" \n", "\n"), ("\n ", "\n"), (" \x01", "\x01"), ("\x01 ", "\x01"))
+    docs = docs.withColumn(text, F.trim(replaced(F.regexp_replace(out, r"\n\n++", "\x01"), ("\n", "\x02"))))
     # Sentences of BSD name the owner.
-    return F.regexp_replace(F.regexp_replace(one, r"^ | $| ?([\x01\x02]) ?", "$1"), r"(?<![^\x01\x02])neither[ \x02]the[ \x02]name[ \x02]of[ \x02][^\x01]{1,120}?[ \x02]nor[ \x02]the[ \x02]names[ \x02]of[ \x02]its", "neither the name of the copyright holder nor the names of its")
+    return docs.withColumn(text, F.when(F.contains(one, F.lit("neither")), F.regexp_replace(one, _OWNER, "neither the name of the copyright holder nor the names of its")).otherwise(one))
+
+
+def _begun() -> Column:
+    """The known sentences that begin with one word or two, the longest first."""
+    by: dict[str, list[str]] = {}
+    for s in sorted(_KNOWN, key=lambda s: (-len(s), s)):
+        for w in {" ".join(s.split(" ")[:n]) for n in (1, 2)}:
+            by.setdefault(w, []).append(s)
+    return F.create_map(*[x for w, own in by.items() for x in (F.lit(w), F.array(*[F.struct(F.lit(s).alias("s"), F.lit(_KNOWN[s]).alias("id")) for s in own]))])
+
+
+def sentences(docs: DataFrame, text: str) -> DataFrame:
+    """docs with ``text`` as the identifiers of its known sentences, in order. Between them other text may stand.
+
+    The text is split where sentences or lines end. A piece is looked up by its first two words (all, if it has but
+    one) among the known sentences, with the lines behind it if it ends with its line; the longest one that ends where
+    a piece ends counts, and pieces that it takes begin no other.
+    """
+    begun = _begun()
+    key = lambda p: F.substring_index(F.ltrim(p, F.lit("\x01")), " ", 2)
+    docs = normalised(docs, text).withColumn(text, F.split(F.replace(F.col(text), F.lit("\x01"), F.lit("\x02\x01")), "\x02"))
+    pieces, starts = F.col(text), "starts of " + text
+    docs = docs.withColumn(starts, F.filter(F.transform(pieces, lambda p, i: F.when(F.map_contains_key(begun, key(p)), i)), lambda i: i.isNotNull()))
 
+    def hit(i: Column) -> Column:
+        # Pieces longer than any known sentence are cut: they can only fail. What a stop parts stays parted by it.
+        cut = F.transform(F.slice(pieces, i + 1, _WORDS), lambda p: F.left(p, F.lit(_CHARS + 2)))
+        lines = F.ltrim(F.array_join(cut, "\x02"), F.lit("\x01"))
+        fits = lambda line: F.filter(F.try_element_at(begun, key(F.get(pieces, i))), lambda k: F.startswith(F.translate(line, "\x02", " "), k["s"]) & F.substring(line, F.length(k["s"]) + 1, F.lit(1)).isin("", "\x02"))
+        used = lambda line, k: F.length(k["s"]) - F.length(F.replace(F.left(line, F.length(k["s"])), F.lit("\x02"), F.lit(""))) + 1
+        named = lambda line: _let(F.get(fits(line), F.lit(0)), lambda k: F.when(k.isNotNull(), F.struct(i.alias("at"), (i + used(line, k)).alias("free"), k["id"].alias("id"))))
+        return _let(lines, named)
 
-def sentences(text: Column) -> Column:
-    """The known sentences of a text, in order. Between them other text may stand."""
-    return F.transform(F.regexp_extract_all(normalised(text), F.lit(_ANY), F.lit(0)), lambda s: F.translate(s, "\x02", " "))
+    hits = F.filter(F.transform(starts, hit), lambda h: h.isNotNull())
+    # A sentence of n lines can only hide those that begin in them.
+    inside = lambda all_, h, n: F.exists(F.slice(all_, F.greatest(F.lit(1), n - _WORDS + 1), F.least(n, F.lit(_WORDS))), lambda other: (other["at"] < h["at"]) & (other["free"] > h["at"]))
+    outer = lambda all_: F.when(F.exists(all_, lambda h: h["free"] > h["at"] + 1), F.filter(all_, lambda h, n: ~inside(all_, h, n))).otherwise(all_)
+    found = _let(hits, lambda all_: F.transform(outer(all_), lambda h: h["id"]))
+    return docs.withColumn(text, F.when(F.size(starts) > 0, found).otherwise(F.array().cast("array<string>"))).drop(starts)
 
 
 def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -180,10 +242,7 @@ def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Data
     place. SPDX tags are sentences too. Null or empty text and texts without known sentences: 0, empty lists, null licence and kind. Whole
     texts of any length are read. Repeated rows give repeated rows; null doc_id stays. Rows do not meet: no shuffle.
     """
-    known = F.create_map(*[F.lit(x) for pair in _KNOWN.items() for x in pair])
-    one = F.coalesce(F.col(text), F.lit(""))
-    ids = F.transform(sentences(one), lambda s: F.try_element_at(known, s))
-    out = docs.select(F.col(doc_id).alias("doc_id"), ids.alias("sentence_ids")).withColumn("n_sentences", F.size("sentence_ids").cast("long"))
+    out = sentences(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("sentence_ids")), "sentence_ids").withColumn("n_sentences", F.size("sentence_ids").cast("long"))
     # Each identifier stands as " id "; a matched sequence becomes " #rule " and is out of reach of later rules.
     line = F.concat(F.lit(" "), F.array_join("sentence_ids", "  "), F.lit(" "))
     rules = TEXT_RULES + RULES

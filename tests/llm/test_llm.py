@@ -498,6 +498,32 @@ def test_licenses_tags(spark):
     assert [got[i] for i in range(len(cases))] == [name for name, _ in cases]
 
 
+def test_licenses_more_notices(spark):
+    cases = [
+        ("Zlib", "This software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors be held liable for any damages.\n\nPermission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:\n\n1. The origin of this software must not be misrepresented."),
+        ("EPL-2.0", "/*\n * This program and the accompanying materials are made\n * available under the terms of the Eclipse Public License 2.0\n * which is available at https://www.eclipse.org/legal/epl-2.0/\n */"),
+        ("EPL-2.0", "Eclipse Public License - v 2.0\n\nTHE ACCOMPANYING PROGRAM"),
+        ("BSL-1.0", "//          Copyright Joe Coder 2004 - 2006.\n// Distributed under the Boost Software License, Version 1.0.\n//    (See accompanying file LICENSE_1_0.txt)"),
+        ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003\n\nPermission is hereby granted"),
+        # A sentence that hides in the lines of a longer one does not count beside it.
+        ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either\nversion 2 of the License\nor at your option any later version."),
+        ("MIT", "-- /*** Released under the MIT License. ***/"), ("MIT", "# # # released under the mit license"), ("MIT", "rem Released under the MIT License"), ("MIT", "<!-- Released under the MIT License -->"), ("", "x /* Released under the MIT License"),
+    ]
+    got = {r.doc_id: r.licenses for r in licenses.scan(_frame(spark, [(i, t) for i, (_, t) in enumerate(cases)])).collect()}
+    assert [got[i] for i in range(len(cases))] == [name for name, _ in cases]
+
+
+def test_licenses_long_runs(spark):
+    import time
+
+    runs = ["x" + " " * 10**6 + "y", "." * 10**6 + "x", "# " * 10**6, "-" * 10**6 + "x", "\n" * 10**6 + "x", " \n" * 10**6, "*/ " * 10**6, "-->  " * 10**5, "permission " * 10**5, "the\n" * 10**4, "neither the name of " * 10**4, "\"'" * 10**6, "\r" * 10**6]
+    began = time.time()
+    got = licenses.scan(_frame(spark, [(i, text + "\n\nReleased under the MIT License.") for i, text in enumerate(runs)])).collect()
+    assert [r.license for r in got] == ["MIT"] * len(runs) and time.time() - began < 120
+    tags = licenses.scan(_frame(spark, [(1, "spdx-license-identifier: mit or " * 10**4)])).first()
+    assert tags.licenses == "MIT"
+
+
 def test_licenses_hint(spark):
     texts = ["All rights  reserved.", "All rights\treserved.", "All rights res\"erved.", "This program is \"free\" software.", "This is free and unencumbered software released into the public  domain."]
     got = {r.doc_id: r.n_sentences for r in licenses.scan(_frame(spark, list(enumerate(texts)))).collect()}
