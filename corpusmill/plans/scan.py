@@ -14,7 +14,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.operators import context_rules, folds, line_rules, relations, views
+from corpusmill.operators import context_rules, folds, line_rules, relations, syntax, views
 from corpusmill.operators.project import config as read_config
 from corpusmill.operators.project import alias_names, config_lint, declared
 from corpusmill.plans import findings as P
@@ -94,6 +94,7 @@ detector("lines")(lambda c: line_rules.detect(c.lines, disabled=c.disabled))
 detector("context")(lambda c: context_rules.all_rules(c.files, c.lines))
 detector("more-context")(lambda c: context_rules.more_rules(c.files, c.lines))
 detector("folds")(lambda c: folds.all_folds(c.files))
+detector("tree")(lambda c: syntax.tree_rules(c.files))
 detector("numbers")(lambda c: line_rules.precision_loss(c.lines))
 detector("copied-functions")(lambda c: relations.copied_function_findings(folds.functions(c.files)))
 detector("config")(lambda c: config_lint(c.files))
@@ -126,7 +127,7 @@ def findings(files: DataFrame, config: dict | None = None, engines: list[str] |
             rows = list(pool.map(lambda n: scratch.keep(REGISTRY[n](context).select(*COLUMNS), re.sub(r"\W+", "-", n)), names))
     else:
         rows = [REGISTRY[n](context).select(*COLUMNS) for n in names]
-    out = reduce(DataFrame.unionByName, rows)
+    out = syntax.in_code(reduce(DataFrame.unionByName, rows), context.lines)
     out = P.override(out, list(cfg["rules"].items())) if cfg["rules"] else out
     return P.first_of_each(P.suppress(P.translation_gate(out, files), context.lines))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill import synthetic
 from corpusmill.functions.text import redact
-from corpusmill.operators import context_rules, folds, line_rules, relations, views
+from corpusmill.operators import context_rules, folds, line_rules, relations, syntax, views
 from corpusmill.plans import findings as P
 from corpusmill.plans import fixes, reports
 from corpusmill.sources.files import as_files, language_counts, manifest_dependencies
@@ -272,13 +272,13 @@ def yaml_files(spark, sf_dir):
     return context_rules.yaml_files(syn(spark, sf_dir)[1])
 
 
-def _by_snippet(rows: list[tuple]) -> str:
+def _by_snippet(rows: list[tuple], snippets: list[tuple[str, str, str]] = synthetic.SNIPPETS) -> str:
     """Findings written down by hand for each snippet (its place, rule, severity, line, column, message) as SQL."""
     quote = lambda x: "'" + x.replace("'", "''") + "'"
-    values = ", ".join(f"({i}, {quote(synthetic.SNIPPETS[i][0])}, {quote(synthetic.SNIPPETS[i][1])}, {quote(rule)}, {quote(sev)}, {line}, {quote(str(col))}, {quote(msg)})" for i, rule, sev, line, col, msg in rows)
+    values = ", ".join(f"({i}, {quote(snippets[i][0])}, {quote(snippets[i][1])}, {quote(rule)}, {quote(sev)}, {line}, {quote(str(col))}, {quote(msg)})" for i, rule, sev, line, col, msg in rows)
     col = "CASE WHEN col LIKE '%+key' THEN replace(col, '+key', '')::INT + length(p_partkey::VARCHAR) ELSE try_cast(col AS INT) END"
     return f"""SELECT folder || '/f' || p_partkey || '.' || ext AS path, rule, severity, line::INT AS line, ({col})::INT AS col, replace(message, '$K', p_partkey::VARCHAR) AS message
-FROM part JOIN (VALUES {values}) AS t(i, folder, ext, rule, severity, line, col, message) ON p_partkey % {len(synthetic.SNIPPETS)} = i"""
+FROM part JOIN (VALUES {values}) AS t(i, folder, ext, rule, severity, line, col, message) ON p_partkey % {len(snippets)} = i"""
 
 
 @query(_by_snippet([
@@ -796,6 +796,61 @@ def type_only_imports(spark, sf_dir):
     return relations.type_only_imports(views.imports(ls), ls)
 
 
+# ---- syntax over lines: states, tokens, blocks, statements
+
+MODULES = synthetic.sql(synthetic.MODULES)
+
+
+def modules(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    f = synthetic.files(spark, sf_dir, synthetic.MODULES)
+    return f, views.lines(f)
+
+
+@query(f"WITH RECURSIVE {MODULES}, {syntax.states_sql()} SELECT path, num::INT AS num, state FROM states")
+def lexical_states(spark, sf_dir):
+    return syntax.states(modules(spark, sf_dir)[1])
+
+
+@query(f"WITH RECURSIVE {DOCS}, {syntax.states_sql()} SELECT state, count(*) AS n_lines, count(DISTINCT path) AS n_files, sum(num)::BIGINT AS places FROM states GROUP BY state")
+def document_states(spark, sf_dir):
+    rows = syntax.states(views.lines(doc_files(spark, sf_dir)))
+    return rows.groupBy("state").agg(F.count("*").alias("n_lines"), F.countDistinct("path").alias("n_files"), F.sum(F.col("num").cast("long")).alias("places"))
+
+
+@query(_by_snippet([
+    (0, "ast-slop/as-any", "warning", 16, 17, "as any"), (0, "types/double-assertion", "warning", 18, 13, "as unknown as number"), (0, "types/double-assertion", "warning", 19, 13, "as unknown as Shape"),
+    (1, "security-deep/eval-usage", "error", 9, 1, "eval("), (1, "security-deep/inner-html", "error", 14, 3, ".innerHTML ="), (1, "security-deep/unsafe-html", "error", 14, 3, ".innerHTML ="),
+    (3, "ast-slop/as-any", "warning", 2, 34, "as any"), (3, "ast-slop/as-any", "warning", 6, 27, "as any"), (3, "ast-slop/as-any", "warning", 9, 22, "as any"), (3, "ast-slop/as-any", "warning", 10, 15, "as any"), (3, "types/as-any-json-parse", "warning", 6, 10, "JSON.parse(text) as any"),
+], synthetic.MODULES))
+def findings_in_code(spark, sf_dir):
+    """Line rules about code, quiet in comments, strings and templates over lines."""
+    ls = modules(spark, sf_dir)[1]
+    return syntax.in_code(line_rules.detect(ls), ls).filter(F.col("rule").rlike(r"^security-deep/|^types/(?:as-any|double)|^ast-slop/as-any\z"))
+
+
+@query(_by_snippet([
+    (0, "ast-slop/swallowed-exception", "info", 4, 5, "catch"), (0, "ast-slop/swallowed-exception", "info", 7, 16, "catch"), (0, "ast-slop/as-any", "warning", 16, 17, "as any"), (0, "ast-slop/console-leftover", "suggestion", 17, 1, "console.debug"),
+    (0, "ast-slop/double-assertion", "warning", 18, 13, "as unknown as number"), (3, "ast-slop/as-any", "warning", 9, 22, "as any"), (3, "ast-slop/as-any", "warning", 10, 15, "as any"), (4, "ast-slop/console-leftover", "suggestion", 1, 1, "console.log"),
+], synthetic.MODULES))
+def tree_slop(spark, sf_dir):
+    return syntax.tree_slop(syntax.tokens(modules(spark, sf_dir)[0]))
+
+
+@query(_by_snippet([
+    (2, "dead-flow/dead-after-return", "warning", 11, 3, "return 6"), (2, "dead-flow/dead-after-break", "error", 20, 5, "continue 18"), (2, "dead-flow/dead-after-throw", "error", 25, 3, "throw 22"), (2, "dead-flow/dead-after-return", "warning", 33, 5, "return 32"),
+    (3, "dead-flow/dead-after-return", "warning", 15, 5, "return 14"), (3, "dead-flow/dead-after-return", "warning", 18, 34, "return 18"), (4, "dead-flow/dead-after-return", "warning", 9, 1, "return 8"),
+], synthetic.MODULES))
+def tree_unreachable(spark, sf_dir):
+    return syntax.unreachable(syntax.tokens(modules(spark, sf_dir)[0]))
+
+
+@query(f"""SELECT folder || '/f' || p_partkey || '.ts' AS path, kind, n FROM part JOIN (VALUES (0, 'src/core', 'function', 1), (0, 'src/core', 'try', 3), (0, 'src/core', 'catch', 3),
+(2, 'src/flow', 'function', 3), (2, 'src/flow', 'if', 1), (2, 'src/flow', 'object', 1), (2, 'src/flow', 'for', 1), (2, 'src/flow', 'arrow', 1), (2, 'src/flow', 'switch', 1), (2, 'src/flow', 'try', 1), (2, 'src/flow', 'finally', 1),
+(3, 'src/data', 'arrow', 2), (3, 'src/data', 'function', 3), (3, 'src/data', 'class', 1), (3, 'src/data', 'object', 1), (3, 'src/data', 'block', 2), (4, 'tests', 'for', 1), (4, 'tests', 'if', 1), (4, 'tests', 'else', 1), (4, 'tests', 'block', 2)) AS t(i, folder, kind, n) ON p_partkey % {len(synthetic.MODULES)} = i""")
+def block_kinds(spark, sf_dir):
+    return syntax.blocks(syntax.tokens(modules(spark, sf_dir)[0])).groupBy("path", "kind").agg(F.count("*").cast("int").alias("n"))
+
+
 _PROJECT = [
     ("package.json", '{"dependencies": {"next": "14.0.0", "react": "18.0.0"}, "scripts": {"build": "x"}, "workspaces": ["packages/*", "gone/*"]}'),
     ("tsconfig.json", '{"compilerOptions": {"target": "es5"}}'), ("yarn.lock", ""), ("packages/a/index.ts", "export { one } from './one'\n"), ("next.config.js", "module.exports = {}"),

@@ -35,19 +35,29 @@ def _quote(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Modules whose state and syntax run over lines: (folder, extension, text)
+MODULES: list[tuple[str, str, str]] = [
+    ("src/core", "ts", "export function load$K(id: string) {\n  try {\n    return read(id)\n  } catch (e) {\n    // nothing to do\n  }\n  try { go() } catch {\n  }\n  try {\n    go()\n  } catch (e) {\n    console.log(e)\n    throw e\n  }\n}\nconst a = value as any\nconsole.debug(a, \"console.log(x) as any\")\nconst n = x as unknown as number\nconst o = x as unknown as Shape\n"),
+    ("src/core", "ts", "/*\n * eval(code) was used here\n * const b = x as any\n */\nconst doc = `\n  eval(code)\n  el.innerHTML = user + x\n`\neval(code$K)\nconst re = /[/*]eval(x)/\nconst s = 'it\\'s eval(z)' /* open\n eval(q)\n*/ + eval(w)\nel.innerHTML = user + x\n"),
+    ("src/flow", "ts", "function a$K(x) {\n  if (x) return 1\n  if (!x) {\n    throw new Error('x')\n  }\n  return {\n    value: x,\n  }\n\n  // far below\n  cleanup(x)\n}\nfunction b(list) {\n  for (const i of list) {\n    list.forEach((y) => {\n      return y\n    })\n    continue\n\n    use(i)\n  }\n  throw new Error(\n    'long',\n  )\n  const dead = 1\n  function hoisted() {}\n}\nswitch (k) {\n  case 1:\n    break\n  case 2:\n    return 2;\n    lost()\n  default:\n    done()\n}\ntry { go() } finally {\n  return 1\n  spared()\n}\n"),
+    ("src/data", "ts", "const one$K = () => {\n  const row = prisma.user.find() as any\n  return row\n}\nfunction two(text) {\n  return JSON.parse(text) as any\n}\nfunction three(text) {\n  const f = (x) => x as any\n  return text as any\n}\nclass Four {\n  five(a = { b: 1 }, c) {\n    return\n    a.b\n  }\n}\nconst t = `${ (() => { return 1; more() })() } ${'}'} console.log(1)`\n"),
+    ("tests", "ts", "console.log('in a test $K')\nconst x = y / 2 / 3\nconst z = `a ${`b ${c}`} d`\nlabel: for (;;) {\n  if (z) { break label }\n  else { continue }\n}\nreturn\nfoo()\n"),
+]
+
+
+def files(spark: SparkSession, sf_dir: str, snippets: list[tuple[str, str, str]] = SNIPPETS) -> DataFrame:
     key = F.col("p_partkey").cast("string")
-    at = (F.col("p_partkey") % len(SNIPPETS) + 1).cast("int")
-    pick = lambda i: F.element_at(F.array(*[F.lit(s[i]) for s in SNIPPETS]), at)
+    at = (F.col("p_partkey") % len(snippets) + 1).cast("int")
+    pick = lambda i: F.element_at(F.array(*[F.lit(s[i]) for s in snippets]), at)
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey")
     return as_files(part, F.concat(pick(0), F.lit("/f"), key, F.lit("."), pick(1)), F.replace(pick(2), F.lit("$K"), key))
 
 
-def sql() -> str:
+def sql(snippets: list[tuple[str, str, str]] = SNIPPETS) -> str:
     """The CTEs files(path, ext, lang, content) and lines(path, lang, num, text)."""
     from corpusmill.model import EXTENSIONS
 
-    pick = lambda i: "[" + ", ".join(_quote(s[i]) for s in SNIPPETS) + f"][(p_partkey % {len(SNIPPETS)} + 1)::INT]"
+    pick = lambda i: "[" + ", ".join(_quote(s[i]) for s in snippets) + f"][(p_partkey % {len(snippets)} + 1)::INT]"
     langs = "CASE ext " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in EXTENSIONS.items()) + " END"
     return f"""raw AS (SELECT {pick(0)} || '/f' || p_partkey || '.' || {pick(1)} AS path, {pick(1)} AS ext, replace({pick(2)}, '$K', p_partkey::VARCHAR) AS content FROM part),
 files AS (SELECT path, ext, {langs} AS lang, content FROM raw),
