@@ -6,7 +6,7 @@ import json
 import re
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import matches
@@ -66,17 +66,28 @@ def config_lint(files: DataFrame) -> DataFrame:
     return out.unionByName(_found(nxt.filter(~matches(F.col("content"), r"reactStrictMode\s*:\s*true")), "config-lint/next-config", "info"))
 
 
-def locale_keys(files: DataFrame, folders: str = r"(?:^|/)(?:locales?|i18n|messages|lang|translations)/(?:.*/)?([A-Za-z]{2}(?:-[A-Za-z]{2})?)\.json\z", deepest: int = 6) -> DataFrame:
-    """locale, name (joined with dots) of all leaves of locale files, by flattening a level at a time."""
+def _nesting(json: Column) -> Column:
+    """How deep the braces of a JSON text nest, those in strings aside."""
+    marks = F.regexp_extract_all(F.regexp_replace(json, r'"(?:\\.|[^"\\])*+"', ""), F.lit("[{}]"), F.lit(0))
+    step = lambda acc, m: F.struct((acc["now"] + F.when(m == "{", 1).otherwise(-1)).alias("now"), F.greatest(acc["most"], acc["now"] + F.when(m == "{", 1).otherwise(0)).alias("most"))
+    return F.aggregate(marks, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step, lambda acc: acc["most"])
+
+
+def locale_keys(files: DataFrame, folders: str = r"(?:^|/)(?:locales?|i18n|messages|lang|translations)/(?:.*/)?([A-Za-z]{2}(?:-[A-Za-z]{2})?)\.json\z") -> DataFrame:
+    """locale, name (joined with dots) of all leaves of locale files, however deep they stand.
+
+    Values are variants, so that a text that looks like an object is a text. Each level replaces an object by its
+    entries and keeps leaves; there are as many levels as the deepest file has, which is one number that a first look
+    at the files gives. Broken files and empty objects have no keys; what is no object is a leaf, lists too.
+    """
     rows = files.withColumn("locale", F.regexp_extract("path", folders, 1)).filter("locale <> ''")
-    level = rows.select("locale", F.lit("").alias("prefix"), F.col("content").alias("json"))
-    out = None
+    deepest = rows.agg(F.max(_nesting(F.col("content"))).alias("n")).first().n or 0
+    level = rows.select("locale", F.lit("").alias("name"), F.try_parse_json("content").alias("v")).filter("schema_of_variant(v) LIKE 'OBJECT%'")
     for _ in range(deepest):
-        level = level.select("locale", "prefix", F.explode(F.from_json("json", "map<string,string>")).alias("k", "json")).withColumn("prefix", F.when(F.col("prefix") == "", F.col("k")).otherwise(F.concat_ws(".", "prefix", "k")))
-        leaves = level.filter(~F.startswith(F.trim("json"), F.lit("{"))).select("locale", F.col("prefix").alias("name"))
-        out = leaves if out is None else out.unionByName(leaves)
-        level = level.filter(F.startswith(F.trim("json"), F.lit("{"))).select("locale", "prefix", "json")
-    return out.distinct()
+        entry = "struct(if(name = '', e.key, concat(name, '.', e.key)) AS name, e.value AS v)"
+        inner = f"CASE WHEN schema_of_variant(v) LIKE 'OBJECT%' THEN transform(map_entries(cast(v AS map<string, variant>)), e -> {entry}) ELSE array(struct(name, v)) END"
+        level = level.select("locale", F.explode(F.expr(inner)).alias("x")).select("locale", "x.name", "x.v")
+    return level.filter("name <> ''").select("locale", "name").distinct()
 
 
 def deep_merge(base: dict, over: dict) -> dict:

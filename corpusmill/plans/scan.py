@@ -19,6 +19,7 @@ from corpusmill.operators.project import config as read_config
 from corpusmill.operators.project import alias_names, config_lint, declared
 from corpusmill.plans import findings as P
 from corpusmill.plans.storage import Scratch
+from corpusmill.sources.diffs import in_ranges
 
 COLUMNS = ["path", "rule", "severity", "line", "col", "message"]
 
@@ -111,11 +112,12 @@ detector("selectors")(lambda c: relations.unused_selectors(c.lines))
 detector("workspaces")(lambda c: relations.workspaces(c.files))
 
 
-def findings(files: DataFrame, config: dict | None = None, engines: list[str] | None = None, at_once: int = 0) -> DataFrame:
+def findings(files: DataFrame, config: dict | None = None, engines: list[str] | None = None, at_once: int = 0, changes: DataFrame | None = None) -> DataFrame:
     """All findings of the engines (detector names) chosen, after overrides and suppression, one a path, line and rule.
 
     With ``at_once`` each detector's findings are written to a scratch table, that many detectors at a time, so that
-    their plans are made and compiled side by side; otherwise all are one lazy plan.
+    their plans are made and compiled side by side; otherwise all are one lazy plan. ``changes`` (path, start, stop)
+    leaves the findings on changed lines.
     """
     cfg = read_config(config)
     off = {r for r, s in cfg["rules"].items() if s == "off" and not r.endswith("*")}
@@ -129,7 +131,8 @@ def findings(files: DataFrame, config: dict | None = None, engines: list[str] |
         rows = [REGISTRY[n](context).select(*COLUMNS) for n in names]
     out = syntax.in_code(reduce(DataFrame.unionByName, rows), context.lines)
     out = P.override(out, list(cfg["rules"].items())) if cfg["rules"] else out
-    return P.first_of_each(P.suppress(P.translation_gate(out, files), context.lines))
+    out = P.first_of_each(P.suppress(P.translation_gate(out, files), context.lines))
+    return out if changes is None else in_ranges(out, changes)
 
 
 def result(files: DataFrame, found: DataFrame, n_files: int, config: dict | None = None) -> DataFrame:

@@ -877,11 +877,35 @@ def config_rules(spark, sf_dir):
     return config_lint(_project(spark)).unionByName(relations.workspaces(_project(spark)))
 
 
-@query("SELECT * FROM (VALUES ('en', 'menu.open'), ('en', 'menu.sub.deep'), ('en', 'title'), ('de', 'menu.open')) AS t(locale, name)")
+_DEPTH = 20
+
+
+@query(f"""SELECT locale, name FROM (SELECT 'en' AS locale, '{'k.' * _DEPTH}p' || p_partkey AS name FROM part UNION ALL SELECT 'en', 'p' || p_partkey || '.flat' FROM part
+UNION ALL SELECT 'en', 'p' || p_partkey || '.text' FROM part UNION ALL SELECT 'de', 'p' || p_partkey || '.flat' FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT 'de', 'p' || p_partkey || '.list' FROM part WHERE p_partkey % 2 = 0)""")
 def locale_key_rows(spark, sf_dir):
+    """Keys of locale files made from part, 20 levels deep; a text that looks like JSON is a leaf."""
     from corpusmill.operators.project import locale_keys
 
-    return locale_keys(_project(spark))
+    key = F.concat(F.lit("p"), F.col("p_partkey").cast("string"))
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    deep = text("{" + '"k": {' * _DEPTH + '"', key, '": "{x}"' + "}" * _DEPTH + ', "', key, '": {"flat": "A", "text": "{\\"b\\": {}}", "none": {}}}')
+    flat = text('{"', key, '": {"flat": "B", "list": [{"x": 1}]}}')
+    part = table(spark, sf_dir, "part")
+    rows = part.select(text("app/", key, "/locales/en.json").alias("p"), deep.alias("c")).unionByName(part.filter("p_partkey % 2 = 0").select(text("app/", key, "/locales/de.json").alias("p"), flat.alias("c")))
+    rows = rows.unionByName(part.filter("p_partkey % 7 = 0").select(text("app/", key, "/locales/fr.json").alias("p"), F.lit('{"broken": ').alias("c")))
+    return locale_keys(as_files(rows, F.col("p"), F.col("c")))
+
+
+@query(f"WITH {FOUND} SELECT f.* FROM found f JOIN part ON f.path = 'src/api/f' || p_partkey || '.ts' AND p_partkey % {len(synthetic.SNIPPETS)} = 1 WHERE f.line BETWEEN 5 AND 7 OR f.line BETWEEN 12 AND 13 OR f.line = 16")
+def changed_findings(spark, sf_dir):
+    """Findings on lines that diffs (made from part) add."""
+    from corpusmill.sources import diffs
+
+    path = F.concat(F.lit("src/api/f"), F.col("p_partkey").cast("string"), F.lit(".ts"))
+    body = "@@ -4,3 +4,5 @@ x\n y\n+a\n+++ b/src/not/a/header.ts\n+c\n-d\n-e\n y\n@@ -10,2 +11,3 @@\n y\n-z\n+z\n+z\n@@ -15 +16 @@\n-q\n+q\n\\ No newline at end of file\n"
+    diff = F.concat(F.lit("diff --git a/x b/x\n--- a/"), path, F.lit("\n+++ b/"), path, F.lit("\n" + body))
+    rows = table(spark, sf_dir, "part").filter(F.col("p_partkey") % len(synthetic.SNIPPETS) == 1).select(diff.alias("diff"))
+    return diffs.in_ranges(found(spark, sf_dir), diffs.ranges(rows))
 
 
 @query("SELECT event_type AS engine, count(*) AS n, round(avg(value), 6) AS avg_ms, min(value) AS min_ms, max(value) AS max_ms, round(sum(value), 4) AS total_ms FROM events GROUP BY 1")
