@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -92,12 +93,17 @@ class Vocabulary:
         return out
 
 
-def _counts(data: np.ndarray, offsets: np.ndarray, vocabulary: Vocabulary | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (text, term) pairs with their numbers, by text; terms as places in a vocabulary, if given."""
+def _counts(data: np.ndarray, offsets: np.ndarray, vocabulary: Vocabulary | None = None, rest: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (text, term) pairs with their numbers, by text; terms as places in a vocabulary, if given.
+
+    rest, one number a text, then gets what _unseen says of its other terms.
+    """
     h, d = _terms(data, offsets)
     if vocabulary is not None:
         at = vocabulary.places(h)
         known = np.flatnonzero(at >= 0)
+        if rest is not None:
+            rest[:] = _unseen(h[at < 0], d[at < 0], len(rest))
         key = np.sort(d[known].astype(np.uint64) << np.uint64(32) | at[known].astype(np.uint64))
         at, size = K.groups(key)
         return (key[at] >> np.uint64(32)).astype(np.int64), (key[at] & np.uint64(0xFFFFFFFF)).astype(np.int64), size
@@ -108,6 +114,14 @@ def _counts(data: np.ndarray, offsets: np.ndarray, vocabulary: Vocabulary | None
     return d[order], h[order], size[order]
 
 
+def _unseen(h: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
+    """Of each text, the sum of (1 + log tf) squared over its terms of no example."""
+    key = np.sort(h << _DOC_BITS | d.astype(np.uint64))
+    at, size = K.groups(key)
+    part = 1 + np.log(np.arange(1, int(size.max(initial=1)) + 1))
+    return np.bincount((key[at] & np.uint64((1 << 14) - 1)).astype(np.int64), part[size - 1] ** 2, n)
+
+
 def _parts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """A column's texts a few MB at a time: first, last, bytes, offsets."""
     data, offsets = K.flatten(column)
@@ -128,11 +142,12 @@ class Index:
     """Examples as TF-IDF unit vectors over all their terms: an inverted index in blocks of BLOCK examples.
 
     A term's entries are the blocks that hold it, each with the largest weight there and its postings. Weights are
-    (1 + log tf) * idf * (1 + GAIN * gain), gain being what the term's presence tells of the label.
+    (1 + log tf) * idf * (1 + GAIN * gain), gain being what the term's presence tells of the label. A text's terms that
+    no example has meet none, but make its vector longer: they weigh ``unseen``, the idf of a term of one document.
     """
 
-    def __init__(self, vocabulary: np.ndarray, weight: np.ndarray, rows: np.ndarray, terms: np.ndarray, tf: np.ndarray, toxic: np.ndarray, prior: float):
-        self.vocabulary, self.say, self.prior, self.toxic = Vocabulary(vocabulary), weight, prior, toxic
+    def __init__(self, vocabulary: np.ndarray, weight: np.ndarray, rows: np.ndarray, terms: np.ndarray, tf: np.ndarray, toxic: np.ndarray, prior: float, unseen: float = 0.0):
+        self.vocabulary, self.say, self.prior, self.toxic, self.unseen = Vocabulary(vocabulary), weight, prior, toxic, unseen
         self.slope, self.shift = 1.0, 0.0
         if (np.diff(terms) < 0).any():
             order = np.lexsort((rows, terms))
@@ -157,17 +172,17 @@ class Index:
     def __getstate__(self) -> tuple:
         """What the index is made of, packed: a few bytes a posting travel, and each task's process makes the index."""
         counts = np.diff(self.post[self.entry])
-        return K.pack_ints(self.vocabulary.terms, rising=True), self.say, K.pack_ints(counts), K.pack_ints(self.rows), K.pack_ints(self.tf), self.toxic, self.prior, self.slope, self.shift
+        return K.pack_ints(self.vocabulary.terms, rising=True), self.say, K.pack_ints(counts), K.pack_ints(self.rows), K.pack_ints(self.tf), self.toxic, self.prior, self.unseen, self.slope, self.shift
 
     def __setstate__(self, state: tuple) -> None:
-        vocabulary, say, counts, rows, tf, toxic, prior, slope, shift = state
+        vocabulary, say, counts, rows, tf, toxic, prior, unseen, slope, shift = state
         terms = np.repeat(np.arange(len(say)), K.unpack_ints(counts).astype(np.int64))
-        self.__init__(K.unpack_ints(vocabulary), say, K.unpack_ints(rows).astype(np.int64), terms, K.unpack_ints(tf).astype(np.float64), toxic, prior)
+        self.__init__(K.unpack_ints(vocabulary), say, K.unpack_ints(rows).astype(np.int64), terms, K.unpack_ints(tf).astype(np.float64), toxic, prior, unseen)
         self.slope, self.shift = slope, shift
 
-    def _weights(self, rows: np.ndarray, terms: np.ndarray, tf: np.ndarray, n: int) -> np.ndarray:
+    def _weights(self, rows: np.ndarray, terms: np.ndarray, tf: np.ndarray, n: int, rest: np.ndarray | float = 0.0) -> np.ndarray:
         w = (1 + np.log(tf)) * self.say[terms]
-        norm = np.sqrt(np.bincount(rows, w * w, n))
+        norm = np.sqrt(np.bincount(rows, w * w, n) + rest * self.unseen**2)
         return w / norm[rows]
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, scores: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -223,11 +238,12 @@ class Index:
     def shares(self, data: np.ndarray, offsets: np.ndarray, seen: dict, k: int = NEIGHBOURS) -> tuple[np.ndarray, list[list[int]]]:
         """Each text's share of toxic votes, and the places of the examples that voted; seen keeps what equal vectors got."""
         n = len(offsets) - 1
-        d, t, tf = _counts(data, offsets, self.vocabulary)
+        rest = np.zeros(n)
+        d, t, tf = _counts(data, offsets, self.vocabulary, rest)
         out, evidence = np.full(n, self.prior * 0.5), [[] for _ in range(n)]
         if not len(d):
             return out, evidence
-        w, column = self._weights(d, t, tf, n), self.column[t]
+        w, column = self._weights(d, t, tf, n, rest), self.column[t]
         cut = np.searchsorted(d, np.arange(n + 1))
         for lo in range(0, n, GROUP):
             hi = min(n, lo + GROUP)
@@ -240,7 +256,7 @@ class Index:
                 a, b = cut[i], cut[i + 1]
                 if a == b:
                     continue
-                key = hashlib.blake2b(t[a:b].tobytes() + tf[a:b].tobytes(), digest_size=16).digest()
+                key = hashlib.blake2b(t[a:b].tobytes() + tf[a:b].tobytes() + rest[i].tobytes(), digest_size=16).digest()
                 if key not in seen:
                     if len(seen) > 10_000:
                         seen.clear()
@@ -365,7 +381,7 @@ def fit(docs: DataFrame, examples: DataFrame, *, doc_id: str = "doc_id", text: s
     order = np.lexsort((top, marked))
     place = np.empty(len(got), np.int64)
     place[order] = np.arange(len(got))
-    index = Index(terms, say, place[own], at, tf, marked[order], prior)
+    index = Index(terms, say, place[own], at, tf, marked[order], prior, math.log(1 + n_docs))
     if got:
         shared = docs.sparkSession.sparkContext.broadcast(index)
         fold = known.filter("apart").select("text", "toxic").mapInArrow(_voted(shared), "share double, toxic int").toPandas().sort_values(["share", "toxic"])

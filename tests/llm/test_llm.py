@@ -660,7 +660,8 @@ def test_toxicity_by_brute_force(spark):
     """Scores and evidence against dense vectors, made here from words and stems."""
     rng = np.random.default_rng(17)
     words = [f"word{i}" for i in range(300)] + ["it", "of"]
-    rows = [(i, " ".join(rng.choice(words, int(rng.integers(1, 30)))).upper() + (" foulest" if i % 7 == 0 else "")) for i in range(300)]
+    # Odd rows have words of their own, which no example has.
+    rows = [(i, " ".join(rng.choice(words, int(rng.integers(1, 30)))).upper() + (" foulest" if i % 7 == 0 else "") + " ".join(f" own{i}x{j} own{i}x{j}" for j in range(i % 5 if i % 2 else 0))) for i in range(300)]
     labels = [(i, int(i % 7 == 0)) for i in range(0, 300, 2)]
     frame = _frame(spark, rows)
     index, names = toxicity.fit(frame, spark.createDataFrame(labels, "doc_id long, toxic int"))
@@ -692,7 +693,7 @@ def test_toxicity_by_brute_force(spark):
     says = {t: say(t) for t in space}
 
     def vector(d):
-        v = {t: (1 + math.log(n)) * says[t] for t, n in bags[d].items() if t in says}
+        v = {t: (1 + math.log(n)) * says.get(t, math.log(1 + len(rows))) for t, n in bags[d].items()}
         norm = math.sqrt(sum(x * x for x in v.values()))
         return {t: x / norm for t, x in v.items()}
 
@@ -710,6 +711,16 @@ def test_toxicity_by_brute_force(spark):
         assert got[d].score == pytest.approx(float(index.calibrated(np.array([share]))[0]), abs=0.02)
 
 
+def test_unknown_words_lower_the_cosine(spark):
+    rows = [(i, f"vile gnarl foul{i % 9}" if i % 2 else f"kind mild good{i % 9}") for i in range(200)] + [(900, "vile gnarl"), (901, "vile gnarl " + " ".join(f"x{i}" for i in range(3000))), (902, "kind mild")]
+    frame = _frame(spark, rows)
+    index, names = toxicity.fit(frame, spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int"))
+    text = {d: t for d, t in rows}
+    share = lambda d: float(index.shares(np.frombuffer(text[d].encode(), np.uint8), np.array([0, len(text[d].encode())]), {})[0][0])
+    got = {r.doc_id: r.score for r in toxicity.score(frame, index, names).filter("doc_id >= 900").collect()}
+    assert share(900) > share(901) > share(902) and got[900] > got[901] > got[902]
+
+
 def test_nearest_is_exact():
     rng = np.random.default_rng(10)
     vocabulary = np.sort(rng.integers(1, 1 << 49, 300).astype(np.uint64))
