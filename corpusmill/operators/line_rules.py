@@ -21,6 +21,8 @@ COMMENT = r"^\s*(?://|/\*|\*|#)"
 class Rule:
     """Lines of the languages that match, unless they match ``but``, or their path matches ``off``.
 
+    but may be several tests, each of patterns that must all match; one such test is enough.
+
     each: every match of a line is a finding, and ``but`` is held against the match. has: a match holds one of these
     strings, so that lines without them need no pattern. code: a match that begins in a string or literal pattern is
     none, and neither are lines of more than LONG_LINE characters, which tools have written.
@@ -30,7 +32,7 @@ class Rule:
     severity: str
     langs: tuple[str, ...]
     pattern: str
-    but: str = ""
+    but: str | tuple[tuple[str, ...], ...] = ""
     off: str = ""
     each: bool = False
     has: tuple[str, ...] = ()
@@ -70,12 +72,14 @@ GENERIC_ANY = [
 ]
 # Control and invisible characters, as ranges in their order.
 UNICODE_ANOMALIES = [(0x00, 0x08), (0x0B, 0x0C), (0x0E, 0x1F), (0x7F, 0x7F), (0x200B, 0x200B), (0x200C, 0x200D), (0x200E, 0x200F), (0x202A, 0x202E), (0x2066, 0x2069), (0xFEFF, 0xFEFF), (0xFFF9, 0xFFFB)]
-_CALL, _ARGUMENT = r"\b(?:function|callback|handler)\b", r"\(\s*\w*\s*,?\s*\b"
-_ANSWER, _PARTS = r"\b(?:response|res|result|axios|fetch|api)\b", r"\{\s*[^}]*\b\w+\b[^}]*\}\s*="
-#: Lines on which such a name is in order.
+# Tests of lines on which such a name is in order; of a test with two patterns both must match.
 GENERIC_FINE = (
-    rf"\b(?:name|id)\s*=\s*[\"']|(?:{_CALL}|=>).*{_ARGUMENT}|{_ARGUMENT}.*(?:{_CALL}|=>)|\b(?:query|params|req|request|ctx|context)\s*[.\[]\s*"
-    rf"|{_PARTS}.*{_ANSWER}|{_ANSWER}.*{_PARTS}|\b(?:FormData|event|CustomEvent)\b|\b(?:useQuery|useMutation|useSWR|useFetch)\b"
+    (r"\b(?:name|id)\s*=\s*[\"']",),
+    (r"\b(?:function|=>|callback|handler)\b", r"\(\s*\w*\s*,?\s*\b"),
+    (r"\b(?:query|params|req|request|ctx|context)\s*[.\[]\s*",),
+    (r"\{\s*[^}]*\b\w+\b[^}]*\}\s*=", r"\b(?:response|res|result|axios|fetch|api)\b"),
+    (r"\b(?:FormData|event|CustomEvent)\b",),
+    (r"\b(?:useQuery|useMutation|useSWR|useFetch)\b",),
 )
 
 # What each rule looks for. Patterns are RE2-safe.
@@ -174,6 +178,17 @@ RULES: list[Rule] = [
 ]
 
 
+def _tests(but: str | tuple[tuple[str, ...], ...]) -> tuple[tuple[str, ...], ...]:
+    return ((but,),) if isinstance(but, str) else but
+
+
+def _place(found: Column, i: Column) -> Column:
+    """Where in the line (column ``text``) the match of a place in ``found`` stands: equal matches before it are passed."""
+    m = F.get(found, i)
+    before = F.size(F.filter(F.slice(found, 1, i), lambda x: x == m))
+    return F.length(F.call_function("substring_index", F.col("text"), m, before + 1)) + 1
+
+
 def detect(all_lines: DataFrame, rules: list[Rule] | None = None, disabled: set[str] = frozenset()) -> DataFrame:
     """path, rule, severity, line, col, message (the matched text): one pass, whichever rules are on."""
     on = [r for r in (RULES if rules is None else rules) if r.id not in disabled]
@@ -185,19 +200,19 @@ def detect(all_lines: DataFrame, rules: list[Rule] | None = None, disabled: set[
             test &= reduce(Column.__or__, [F.contains(text, F.lit(x)) for x in r.has])
         test &= matches(text, r.pattern)
         if r.but and not r.each:
-            test &= ~matches(text, r.but)
+            test &= ~reduce(Column.__or__, [reduce(Column.__and__, [matches(text, p) for p in all_]) for all_ in _tests(r.but)])
         if r.code:
             test &= (F.length(text) <= LONG_LINE) & ~inside_string(text, F.instr(text, extract(text, r.pattern)))
         if r.off:
             test &= ~matches(path, r.off)
         found = F.regexp_extract_all(text, F.lit(java(r.pattern)), F.lit(0)) if r.each else F.array(extract(text, r.pattern))
-        if r.but and r.each:
-            found = F.filter(found, lambda m: ~matches(m, r.but))
-        return F.when(test, F.transform(found, lambda m: F.struct(F.lit(r.id).alias("rule"), F.lit(r.severity).alias("severity"), m.alias("message"))))
+        place = (lambda m, i: _place(found, i)) if r.each else (lambda m, i: F.instr(text, m))
+        hits = F.transform(found, lambda m, i: F.struct(F.lit(r.id).alias("rule"), F.lit(r.severity).alias("severity"), m.alias("message"), place(m, i).alias("col")))
+        return F.when(test, F.filter(hits, lambda h: ~matches(h["message"], r.but)) if r.but and r.each else hits)
 
     seen = sorted({lang for r in on for lang in r.langs})
     found = all_lines.filter(F.col("lang").isin(*seen)).select("path", "num", "text", F.explode(F.flatten(F.array_compact(F.array(*map(hit, on))))).alias("d"))
-    return found.select("path", "d.rule", "d.severity", F.col("num").cast("int").alias("line"), F.instr("text", F.col("d.message")).cast("int").alias("col"), "d.message")
+    return found.select("path", "d.rule", "d.severity", F.col("num").cast("int").alias("line"), F.col("d.col").cast("int").alias("col"), "d.message")
 
 
 #: Numbers as source text writes them; hexadecimal, octal and binary ones are matched whole, and have no digits to lose.
@@ -222,13 +237,17 @@ def sql(rules: list[Rule] | None = None) -> str:
     arms = []
     for r in RULES if rules is None else rules:
         test = f"lang IN ({', '.join(map(quote, r.langs))}) AND regexp_matches(text, {quote(r.pattern)})"
-        test += f" AND NOT regexp_matches(text, {quote(r.but)})" if r.but and not r.each else ""
+        if r.but and not r.each:
+            test += " AND NOT (" + " OR ".join("(" + " AND ".join(f"regexp_matches(text, {quote(p)})" for p in all_) + ")" for all_ in _tests(r.but)) + ")"
         test += f" AND NOT regexp_matches(path, {quote(r.off)})" if r.off else ""
         first = f"strpos(text, regexp_extract(text, {quote(r.pattern)}))"
         test += f" AND length(text) <= {LONG_LINE} AND NOT {inside_string_sql('text', first)}" if r.code else ""
         m, source = f"regexp_extract(text, {quote(r.pattern)})", "lines"
+        col = f"strpos(text, {m})"
         if r.each:
-            m, source = "m", f"(SELECT *, unnest(regexp_extract_all(text, {quote(r.pattern)})) AS m FROM lines)"
+            every = f"SELECT *, regexp_extract_all(text, {quote(r.pattern)}) AS ms FROM lines"
+            m, source = "m", f"(SELECT *, ms[i] AS m, len(list_filter(ms[1:i], lambda x: x = ms[i])) AS nth FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM ({every})))"
+            col = "list_sum(list_transform(string_split(text, m)[1:nth], lambda p: length(p))) + (nth - 1) * length(m) + 1"
             test += f" AND NOT regexp_matches(m, {quote(r.but)})" if r.but else ""
-        arms.append(f"SELECT path, {quote(r.id)} AS rule, {quote(r.severity)} AS severity, num::INT AS line, strpos(text, {m})::INT AS col, {m} AS message FROM {source} WHERE {test}")
+        arms.append(f"SELECT path, {quote(r.id)} AS rule, {quote(r.severity)} AS severity, num::INT AS line, ({col})::INT AS col, {m} AS message FROM {source} WHERE {test}")
     return "\nUNION ALL ".join(arms)

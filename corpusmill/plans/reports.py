@@ -126,12 +126,13 @@ def knip(rows: DataFrame) -> DataFrame:
     d = rows.filter(~F.col("json").rlike(r'"files"\s*:\s*\[') & ~F.contains("json", F.lit('"issues"'))).select(F.from_json("json", one).alias("d"))
     found = [_tool(d.select(F.explode(f"d.{s}").alias("path", "symbols")).select("path", F.explode("symbols").alias("x")), F.col("path"), F.lit(f"knip/{s}"), F.lit("warning"), F.lit(1), F.lit(1), F.col("x")) for s in UNUSED_SECTIONS]
     place = "array<struct<name:string,line:int,col:int>>"
-    listed = "struct<files:array<string>,issues:array<struct<file:string," + ",".join(f"{s}:{place}" for s in UNUSED_SECTIONS[1:4]) + ">>>"
+    listed = "struct<files:array<string>,issues:array<struct<file:string," + ",".join(f"{s}:{place}" for s in UNUSED_SECTIONS[1:4]) + "," + ",".join(f"{s}:map<string,{place}>" for s in UNUSED_SECTIONS[4:]) + ">>>"
     d = rows.filter(F.col("json").rlike(r'"files"\s*:\s*\[') | F.contains("json", F.lit('"issues"'))).select(F.from_json("json", listed).alias("d"))
     found.append(_tool(d.select(F.explode("d.files").alias("f")), F.col("f"), F.lit("knip/files"), F.lit("warning"), F.lit(1), F.lit(1), F.lit("")))
     issues = d.select(F.explode("d.issues").alias("i"))
-    for s in UNUSED_SECTIONS[1:4]:
-        rows_ = issues.select("i.file", F.explode(f"i.{s}").alias("x"))
+    for s in UNUSED_SECTIONS[1:]:  # members stand by the class or enum that has them
+        own = F.col(f"i.{s}") if s in UNUSED_SECTIONS[:4] else F.flatten(F.map_values(f"i.{s}"))
+        rows_ = issues.select("i.file", F.explode(own).alias("x"))
         found.append(_tool(rows_, F.col("file"), F.lit(f"knip/{s}"), F.lit("warning"), F.coalesce("x.line", F.lit(1)), F.coalesce("x.col", F.lit(1)), F.col("x.name")))
     return reduce(DataFrame.unionByName, found)
 

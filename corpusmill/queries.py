@@ -701,8 +701,8 @@ _FIX_SURE = " ".join(f"WHEN '{r}' THEN {c}" for r, c in fixes.DELETE.items()) +
 _FIX_NEW = " ".join(f"WHEN '{r}' THEN regexp_replace(text, '{v[0]}', '{v[1]}', 'g')" for r, v in fixes.REPLACE.items())
 _STEPS = f"""{FOUND}, steps AS (SELECT f.path, f.line, rule, CASE WHEN rule IN ({', '.join(repr(r) for r in fixes.DELETE)}) THEN 'delete' ELSE 'replace' END AS kind, text AS old, CASE rule {_FIX_NEW} ELSE '' END AS new, (CASE rule {_FIX_SURE} END)::DOUBLE AS confidence
   FROM found f JOIN lines l ON f.path = l.path AND f.line = l.num WHERE rule IN ({', '.join(repr(r) for r in [*fixes.DELETE, *fixes.REPLACE])})),
-one AS (SELECT *, row_number() OVER (PARTITION BY path, line ORDER BY confidence DESC, rule) AS r FROM steps WHERE confidence >= 0.8),
-plan AS (SELECT path, line, rule, kind, old, new, confidence, row_number() OVER (PARTITION BY path ORDER BY line DESC)::INT AS step FROM one WHERE r = 1)"""
+one AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY path, line ORDER BY confidence DESC, rule) AS r FROM steps WHERE confidence >= 0.8),
+plan AS MATERIALIZED (SELECT path, line, rule, kind, old, new, confidence, row_number() OVER (PARTITION BY path ORDER BY line DESC)::INT AS step FROM one WHERE r = 1)"""
 
 
 def _steps(spark, sf_dir) -> DataFrame:
@@ -721,7 +721,7 @@ def fix_apply(spark, sf_dir):
     return fixes.apply(f, ls, _steps(spark, sf_dir))
 
 
-@query(f"WITH {_STEPS} SELECT f.path, f.rule, f.line, f.severity, f.col, f.message FROM found f ANTI JOIN plan p ON f.path = p.path AND f.rule = p.rule AND f.line = p.line")
+@query(f"WITH {_STEPS} SELECT f.path, f.rule, f.line, f.severity, f.col, f.message FROM found f LEFT JOIN (SELECT path, rule, line, 1 AS planned FROM plan) p USING (path, rule, line) WHERE planned IS NULL")
 def fix_remaining(spark, sf_dir):
     return fixes.remaining(found(spark, sf_dir), _steps(spark, sf_dir))
 

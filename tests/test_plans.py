@@ -274,7 +274,7 @@ def test_reports(spark):
     assert reports.golangci(one({"Issues": [{"FromLinter": "errcheck", "Text": "t", "Severity": "", "Pos": {"Filename": "a.go", "Line": 1, "Column": 2}}]})).first().rule == "lint-external/golangci/errcheck"
     assert reports.clippy(one({"reason": "compiler-message", "message": {"message": "m", "level": "warning", "code": {"code": "clippy::needless"}, "spans": [{"file_name": "a.rs", "line_start": 4, "column_start": 5, "is_primary": True}]}})).first()[:4] == ("a.rs", "lint-external/clippy/needless", "warning", 4)
     assert reports.npm_audit(one({"vulnerabilities": {"a": {"name": "a", "severity": "high", "range": "<1"}}})).first().severity == "error"
-    assert {r.rule for r in reports.knip(one({"files": ["u.ts"], "issues": [{"file": "p", "dependencies": [{"name": "d"}], "exports": [{"name": "e", "line": 1, "col": 2}], "types": []}]})).collect()} == {"knip/files", "knip/dependencies", "knip/exports"}
+    assert {r.rule for r in reports.knip(one({"files": ["u.ts"], "issues": [{"file": "p", "dependencies": [{"name": "d"}], "exports": [{"name": "e", "line": 1, "col": 2}], "types": [], "classMembers": {"C": [{"name": "m", "line": 3, "col": 1}]}, "enumMembers": {"E": [{"name": "k"}]}}]})).collect()} == {"knip/files", "knip/dependencies", "knip/exports", "knip/classMembers", "knip/enumMembers"}
     assert json.loads(reports.as_json(rows).first().json)["rule"] in ("x/a", "x/b")
 
 

@@ -144,3 +144,13 @@ def test_tree_slop(spark):
 def test_console_in_tests(spark, name):
     files = as_files(spark.createDataFrame([("x/" + name, "console.log(1)")], "p string, c string"), F.col("p"), F.col("c"))
     assert syntax.tree_slop(syntax.tokens(files)).collect() == []
+
+
+def test_columns_of_equal_matches_and_fine_names(spark):
+    from corpusmill.operators import line_rules
+
+    lines = ["f(a as unknown as T, b as unknown as T)", "\u200bx\u200b y", "const foo = f(x => 1)", "const foo = (a, x=>y)", "const foo = handler(", "const foo = handler[0]", "const { foo } = api.get(1); let bar = 1", "let bar = { q: 1 }", "const foo = id"]
+    ls = views.lines(_files(spark, "\n".join(lines)))
+    got = sorted((r.rule, r.line, r.col) for r in line_rules.detect(ls).collect() if r.rule in ("types/double-assertion", "syntax-deep/unicode-anomaly", "ast-slop/generic-name"))
+    want = [("types/double-assertion", 1, 5), ("types/double-assertion", 1, 24), ("syntax-deep/unicode-anomaly", 2, 1), ("syntax-deep/unicode-anomaly", 2, 3)]
+    assert got == sorted(want + [("ast-slop/generic-name", n, lines[n - 1].index("let bar" if "let bar" in lines[n - 1] else "const foo") + 1) for n in (3, 5, 6, 8, 9)])
