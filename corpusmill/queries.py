@@ -851,6 +851,38 @@ def block_kinds(spark, sf_dir):
     return syntax.blocks(syntax.tokens(modules(spark, sf_dir)[0])).groupBy("path", "kind").agg(F.count("*").cast("int").alias("n"))
 
 
+def _only(rows: DataFrame, sql: str) -> DataFrame:
+    """Findings of the rules that an expectation names."""
+    import re
+
+    return rows.filter(F.col("rule").isin(*set(re.findall(r"'([a-z-]+/[a-z-]+)', '(?:error|warning|info|suggestion)'", sql))))
+
+
+_ODD_CONTEXT = _by_snippet([
+    (0, "ast-slop/trivial-comment", "suggestion", 1, 1, "// the user account balance"), (0, "ast-slop/overdefensive-type", "info", 5, 1, "name"), (0, "ast-slop/unnecessary-abstraction", "info", 8, 1, "Shape"),
+    (1, "types/as-any-orm", "suggestion", 1, 1, ""), (2, "types/as-any-window", "warning", 1, 1, ""), (3, "types/as-any-param", "warning", 1, 1, ""), (4, "types/as-any", "warning", 1, 1, ""),
+    (5, "ast-slop/placeholder-impl", "warning", 1, 1, ""), (6, "arch-constraints/god-file", "warning", 1, 1, "307"), (7, "syntax-deep/crlf-line-endings", "warning", 1, 1, ""), (8, "syntax-deep/mixed-line-endings", "warning", 1, 1, ""),
+    (9, "syntax-deep/zwnbsp-mid-file", "warning", 2, 1, ""), (10, "nextjs/misplaced-use-client", "warning", 1, 1, ""), (11, "nextjs/missing-use-client", "error", 1, 1, ""), (12, "nextjs/link-without-aria", "suggestion", 1, 1, '<Link href="/a"></Link>'),
+], synthetic.ODD)
+_ODD_FOLDS = _by_snippet([
+    (13, "syntax-deep/regex-escape-in-string", "warning", 1, 12, "\\d"), (13, "syntax-deep/invalid-escape-sequence", "warning", 2, 12, "\\q"), (13, "syntax-deep/unnecessary-regex-class-escape", "info", 3, 13, "\\."),
+    (14, "dead-flow/dead-switch-code", "warning", 4, 1, "lost();"), (14, "dead-flow/dead-switch-case-after-default", "warning", 7, 1, "case 2:"),
+    (15, "go-deep/init-side-effect", "warning", 2, 1, "func init() {"), (15, "go-deep/context-missing", "warning", 5, 1, "Load$K"), (15, "go-deep/deep-copy-missing", "warning", 8, 1, "CloneThing"),
+], synthetic.ODD)
+
+
+@query(_ODD_CONTEXT)
+def odd_context_rules(spark, sf_dir):
+    f = synthetic.files(spark, sf_dir, synthetic.ODD)
+    ls = views.lines(f)
+    return _only(context_rules.all_rules(f, ls).unionByName(context_rules.more_rules(f, ls)), _ODD_CONTEXT)
+
+
+@query(_ODD_FOLDS)
+def odd_fold_rules(spark, sf_dir):
+    return _only(folds.all_folds(synthetic.files(spark, sf_dir, synthetic.ODD)), _ODD_FOLDS)
+
+
 _PROJECT = [
     ("package.json", '{"dependencies": {"next": "14.0.0", "react": "18.0.0"}, "scripts": {"build": "x"}, "workspaces": ["packages/*", "gone/*"]}'),
     ("tsconfig.json", '{"compilerOptions": {"target": "es5"}}'), ("yarn.lock", ""), ("packages/a/index.ts", "export { one } from './one'\n"), ("next.config.js", "module.exports = {}"),

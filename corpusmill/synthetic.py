@@ -45,6 +45,27 @@ MODULES: list[tuple[str, str, str]] = [
 ]
 
 
+#: Files that show rules which the others leave alone: (folder, extension, text)
+ODD: list[tuple[str, str, str]] = [
+    ("src/odd", "ts", "// the user account balance\nconst balance = user.account.balance\nexport class Box {\n  take(name: string) {\n    if (typeof name === 'string') { use(name, $K) }\n  }\n}\ninterface Shape { area(): number }\nclass Square implements Shape { }\n"),
+    ("src/odd", "ts", "const row$K = prisma.user as any\n"),
+    ("src/odd", "ts", "const w$K = window as any\n"),
+    ("src/odd", "ts", "function g$K(eventOf: any) { return eventOf as any }\n"),
+    ("src/odd", "ts", "const v$K = q as any\n"),
+    ("src/odd", "ts", "function soon$K(a) {\n  // TODO implement\n  return null\n}\n"),
+    ("src/odd", "ts", "".join(f"export const e{i} = {i}\n" for i in range(6)) + "use(1)\n" * 300),
+    ("src/odd", "ts", "one($K)\r\ntwo()\r\n"),
+    ("src/odd", "ts", "one($K)\r\ntwo()\nthree()\n"),
+    ("src/odd", "ts", "one($K)\ntw\ufeffo()\n"),
+    ("src/odd", "tsx", "'use client'\nexport const x$K = 1\n"),
+    ("src/odd", "tsx", "export const B$K = () => <button onClick={f}>x</button>\n"),
+    ("src/odd", "tsx", "export const L = () => <Link href=\"/a\"></Link>\n"),
+    ("src/odd", "ts", "const a = \"\\d\"\nconst b = \"\\q\"\nconst c = /[\\.]/\n"),
+    ("src/odd", "ts", "switch (k) {\n  case 1:\n    break;\n    lost();\n  default:\n    done();\n  case 2:\n    more();\n}\n"),
+    ("cmd/odd", "go", "package main\nfunc init() {\n\thttp.Get(u)\n}\nfunc Load$K(id string) {\n\tdb.Query(id)\n}\nfunc CloneThing(t *Thing) *Thing {\n\treturn t\n}\n"),
+]
+
+
 def files(spark: SparkSession, sf_dir: str, snippets: list[tuple[str, str, str]] = SNIPPETS) -> DataFrame:
     key = F.col("p_partkey").cast("string")
     at = (F.col("p_partkey") % len(snippets) + 1).cast("int")
