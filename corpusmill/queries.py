@@ -734,9 +734,9 @@ def fix_preview(spark, sf_dir):
 _MANIFEST = '{"dependencies": {"react": "^18.0.0", "request": "*"}, "devDependencies": {"react": "17.1.0"}, "peerDependencies": {"react": "x"}}'
 
 
-@query("""SELECT 'a/package.json' AS path, rule, severity, 1 AS line, 1 AS col, message FROM (VALUES ('dep-audit/unpinned', 'warning', 'request'), ('dep-audit/unpinned', 'warning', 'react'), ('dep-audit/cross-listed', 'warning', 'react'), ('dep-audit/peer-in-deps', 'warning', 'react'), ('dep-audit/deprecated', 'warning', 'request'), ('dep-audit/missing-engines', 'info', ''), ('dep-audit/missing-lockfile', 'error', ''), ('dep-audit/major-outdated', 'warning', 'react'), ('dep-audit/minor-outdated', 'info', 'react')) AS t(rule, severity, message)""")
+@query("""SELECT 'a' || p_partkey || '/package.json' AS path, rule, severity, 1 AS line, 1 AS col, message FROM part, (VALUES ('dep-audit/unpinned', 'warning', 'request'), ('dep-audit/unpinned', 'warning', 'react'), ('dep-audit/cross-listed', 'warning', 'react'), ('dep-audit/peer-in-deps', 'warning', 'react'), ('dep-audit/deprecated', 'warning', 'request'), ('dep-audit/missing-engines', 'info', ''), ('dep-audit/missing-lockfile', 'error', ''), ('dep-audit/major-outdated', 'warning', 'react'), ('dep-audit/minor-outdated', 'info', 'react')) AS t(rule, severity, message)""")
 def dependency_audit(spark, sf_dir):
-    f = as_files(spark.createDataFrame([("a/package.json", _MANIFEST)], "p string, c string"), F.col("p"), F.col("c"))
+    f = as_files(table(spark, sf_dir, "part"), F.concat(F.lit("a"), F.col("p_partkey").cast("string"), F.lit("/package.json")), F.lit(_MANIFEST))
     latest = spark.createDataFrame([("react", "18.2.0")], "name string, version string")
     return reports.dependency_audit(manifest_dependencies(f), latest).unionByName(reports.manifest_audit(f))
 
@@ -890,23 +890,26 @@ _PROJECT = [
 ]
 
 
-def _project(spark) -> DataFrame:
-    return as_files(spark.createDataFrame(_PROJECT, "p string, c string"), F.col("p"), F.col("c"))
+def _project(spark, sf_dir) -> DataFrame:
+    """A project for each row of part, its files below a folder of its own."""
+    made = F.array(*[F.struct(F.concat(F.lit("r"), F.col("p_partkey").cast("string"), F.lit("/" + p)).alias("p"), F.lit(c).alias("c")) for p, c in _PROJECT])
+    rows = table(spark, sf_dir, "part").select(F.explode(made).alias("x"))
+    return as_files(rows, F.col("x.p"), F.col("x.c"))
 
 
-@query("SELECT * FROM (VALUES ('framework', 'nextjs'), ('framework', 'react'), ('package-manager', 'yarn')) AS t(kind, name)")
+@query("SELECT DISTINCT t.* FROM part, (VALUES ('framework', 'nextjs'), ('framework', 'react'), ('package-manager', 'yarn')) AS t(kind, name)")
 def project_tools(spark, sf_dir):
     from corpusmill.operators.project import detect
 
-    return detect(_project(spark))
+    return detect(_project(spark, sf_dir))
 
 
-@query("""SELECT path, rule, severity, 1 AS line, 1 AS col, message FROM (VALUES ('tsconfig.json', 'config-lint/tsconfig-strict', 'warning', ''), ('tsconfig.json', 'config-lint/tsconfig-target', 'info', 'es5'), ('package.json', 'config-lint/missing-eslint', 'info', ''),
+@query("""SELECT 'r' || p_partkey || '/' || path AS path, rule, severity, 1 AS line, 1 AS col, message FROM part, (VALUES ('tsconfig.json', 'config-lint/tsconfig-strict', 'warning', ''), ('tsconfig.json', 'config-lint/tsconfig-target', 'info', 'es5'), ('package.json', 'config-lint/missing-eslint', 'info', ''),
 ('package.json', 'config-lint/missing-prettier', 'info', ''), ('package.json', 'config-lint/missing-editorconfig', 'info', ''), ('package.json', 'config-lint/package-json-scripts', 'info', 'test,lint'), ('next.config.js', 'config-lint/next-config', 'info', ''), ('package.json', 'ast-slop/workspace-misconfig', 'warning', 'gone/*')) AS t(path, rule, severity, message)""")
 def config_rules(spark, sf_dir):
     from corpusmill.operators.project import config_lint
 
-    return config_lint(_project(spark)).unionByName(relations.workspaces(_project(spark)))
+    return config_lint(_project(spark, sf_dir)).unionByName(relations.workspaces(_project(spark, sf_dir)))
 
 
 _DEPTH = 20
@@ -959,19 +962,20 @@ def language_coverage(spark, sf_dir):
 
 
 _OTHER_TOOLS = {
-    "ruff": '[{"code": "F401", "message": "unused", "filename": "a.py", "location": {"row": 2, "column": 3}}, {"code": "W291", "message": "space", "filename": "b.py", "location": {"row": 1, "column": 9}}]',
-    "pip_audit": '{"dependencies": [{"name": "pkg", "version": "1", "vulns": [{"id": "V-1", "fix_versions": []}, {"id": "V-2", "fix_versions": []}]}]}',
-    "cargo_audit": '{"vulnerabilities": {"list": [{"advisory": {"id": "R-1", "title": "t"}, "package": {"name": "c", "version": "1"}}]}}',
-    "govulncheck": '{"finding": {"osv": "GO-1", "fixed_version": "v2"}}',
-    "npm_audit": '{"vulnerabilities": {"a": {"name": "a", "severity": "high", "range": "<1"}, "b": {"name": "b", "severity": "low", "range": "<2"}}}',
+    "ruff": '[{"code": "F401", "message": "unused", "filename": "a$K.py", "location": {"row": 2, "column": 3}}, {"code": "W291", "message": "space", "filename": "b$K.py", "location": {"row": 1, "column": 9}}]',
+    "pip_audit": '{"dependencies": [{"name": "pkg$K", "version": "1", "vulns": [{"id": "V-1", "fix_versions": []}, {"id": "V-2", "fix_versions": []}]}]}',
+    "cargo_audit": '{"vulnerabilities": {"list": [{"advisory": {"id": "R-$K", "title": "t"}, "package": {"name": "c", "version": "1"}}]}}',
+    "govulncheck": '{"finding": {"osv": "GO-$K", "fixed_version": "v2"}}',
+    "npm_audit": '{"vulnerabilities": {"a": {"name": "a$K", "severity": "high", "range": "<1"}, "b": {"name": "b$K", "severity": "low", "range": "<2"}}}',
 }
 
 
-@query("""SELECT path, rule, severity, line::INT AS line, col::INT AS col, message FROM (VALUES ('a.py', 'lint-external/ruff/F401', 'error', 2, 3, 'unused'), ('b.py', 'lint-external/ruff/W291', 'warning', 1, 9, 'space'),
-('requirements.txt', 'security-deep/dependency-vulnerability', 'error', 1, 1, 'pkg V-1'), ('requirements.txt', 'security-deep/dependency-vulnerability', 'error', 1, 1, 'pkg V-2'), ('Cargo.toml', 'security-deep/dependency-vulnerability', 'error', 1, 1, 'c R-1'),
-('go.mod', 'security-deep/dependency-vulnerability', 'error', 1, 1, 'GO-1'), ('package.json', 'security-deep/dependency-vulnerability', 'error', 1, 1, 'a <1'), ('package.json', 'security-deep/dependency-vulnerability', 'info', 1, 1, 'b <2')) AS t(path, rule, severity, line, col, message)""")
+@query("""SELECT replace(path, '$K', p_partkey::VARCHAR) AS path, rule, severity, line::INT AS line, col::INT AS col, replace(message, '$K', p_partkey::VARCHAR) AS message FROM part, (VALUES ('a$K.py', 'lint-external/ruff/F401', 'error', 2, 3, 'unused'), ('b$K.py', 'lint-external/ruff/W291', 'warning', 1, 9, 'space'),
+('requirements.txt', 'security-deep/dependency-vulnerability', 'error', 1, 1, 'pkg$K V-1'), ('requirements.txt', 'security-deep/dependency-vulnerability', 'error', 1, 1, 'pkg$K V-2'), ('Cargo.toml', 'security-deep/dependency-vulnerability', 'error', 1, 1, 'c R-$K'),
+('go.mod', 'security-deep/dependency-vulnerability', 'error', 1, 1, 'GO-$K'), ('package.json', 'security-deep/dependency-vulnerability', 'error', 1, 1, 'a$K <1'), ('package.json', 'security-deep/dependency-vulnerability', 'info', 1, 1, 'b$K <2')) AS t(path, rule, severity, line, col, message)""")
 def other_tools(spark, sf_dir):
-    rows = [getattr(reports, name)(spark.createDataFrame([(text,)], "json string")) for name, text in _OTHER_TOOLS.items()]
+    part = table(spark, sf_dir, "part")
+    rows = [getattr(reports, name)(part.select(F.replace(F.lit(text), F.lit("$K"), F.col("p_partkey").cast("string")).alias("json"))) for name, text in _OTHER_TOOLS.items()]
     out_ = rows[0]
     for r in rows[1:]:
         out_ = out_.unionByName(r)
