@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.operators.views import lines
+
 LANGS = ("typescript", "javascript")
 #: What a line, or a part of one, ends in.
 CODE, COMMENT, TEMPLATE, STRING, LINE_COMMENT = range(5)
@@ -66,7 +68,7 @@ def _running(start: Column, rows: Column, key: str) -> Column:
     return F.aggregate(rows, F.struct(start.alias("s"), F.array().cast(f"array<struct<{key}:bigint,start:int>>").alias("out")), step, lambda acc: acc["out"])
 
 
-def states(lines: DataFrame) -> DataFrame:
+def states(all_lines: DataFrame) -> DataFrame:
     """path, num, state (CODE, COMMENT or TEMPLATE) that each line starts in.
 
     Lines are functions of three states, and functions compose: CHUNK lines make one, CHUNK chunks make one, and a
@@ -76,7 +78,7 @@ def states(lines: DataFrame) -> DataFrame:
     """
     t = F.col("text")
     f = F.when(t.rlike("`|/\\*|\\*/"), F.array(*[_passes(t, s) for s in range(HANDED)])).otherwise(F.array(*map(F.lit, range(HANDED))))
-    rows = lines.filter(F.col("lang").isin(*LANGS)).select("path", F.col("num").cast("long").alias("num"), f.alias("f")).withColumn("chunk", F.expr(f"(num - 1) div {CHUNK}"))
+    rows = all_lines.filter(F.col("lang").isin(*LANGS)).select("path", F.col("num").cast("long").alias("num"), f.alias("f")).withColumn("chunk", F.expr(f"(num - 1) div {CHUNK}"))
     gathered = lambda df, by, key: df.groupBy("path", *by).agg(F.sort_array(F.collect_list(F.struct(key, "f"))).alias("rows"))
     chunks = gathered(rows, ["chunk"], "num")
     spans = gathered(chunks.select("path", "chunk", _composed(F.transform("rows", lambda r: r["f"])).alias("f"), F.expr(f"chunk div {CHUNK}").alias("span")), ["span"], "chunk")
@@ -108,13 +110,13 @@ states AS (SELECT walk.path, walk.num, walk.state FROM walk JOIN fs USING (path,
 ABOUT_CODE = r"^(?:security-deep/|types/(?!ts-suppress)|dead-flow/|ast-slop/(?:as-any|console-leftover|double-assertion|defensive-typeof)\z)"
 
 
-def in_code(found: DataFrame, lines: DataFrame, about: str = ABOUT_CODE) -> DataFrame:
+def in_code(found: DataFrame, all_lines: DataFrame, about: str = ABOUT_CODE) -> DataFrame:
     """Findings without those of rules about code that begin within a comment, a string or a template.
 
     The state at a finding's column is that of its line, passed through the text before the column. Findings of other
     rules and languages, and those without a line, stay. Each finding meets one line: an equi-join on path and number.
     """
-    facts = lines.filter(F.col("lang").isin(*LANGS)).select("path", "num", "text").join(states(lines), ["path", "num"])
+    facts = all_lines.filter(F.col("lang").isin(*LANGS)).select("path", "num", "text").join(states(all_lines), ["path", "num"])
     facts = facts.select(F.col("path").alias("at_path"), F.col("num").alias("at_num"), F.col("text").alias("at_text"), "state")
     asked = found.filter(F.col("rule").rlike(about))
     before = F.substring(F.col("at_text"), F.lit(1), F.col("col") - 1)
@@ -341,8 +343,48 @@ def unreachable(toks: DataFrame, spans: DataFrame | None = None) -> DataFrame:
     return asked.select("path", name.alias("rule"), severity.alias("severity"), "line", "col", F.concat_ws(" ", "ended", F.col("ended_line").cast("string")).alias("message"))
 
 
+# Names of merge functions, what makes one safe, and the import of a safe one.
+MERGES = ("deepMerge", "deepExtend", "mergeDeep", "defaultsDeep")
+_KEYS = "(?:__proto__|constructor|prototype)"
+_QUOTED_KEY = "(?:" + "|".join(f"{q}{_KEYS}{q}" for q in ("'", '"', "`")) + ")"
+MERGE_GUARDS = [
+    r"\bObject\s*\.\s*(?:hasOwnProperty|hasOwn)\s*\(",
+    r"\bhasOwnProperty\s*\(",
+    r"Object\s*\.\s*create\s*\(\s*null\s*\)",
+    r"Object\s*\.\s*keys\s*\(",
+    rf"\b(?:key|prop|k|name)\s*(?:===|!==|==|!=)\s*{_QUOTED_KEY}",
+    rf"\.\s*(?:includes|indexOf|some)\s*\(\s*{_QUOTED_KEY}",
+    rf"{_KEYS}\s*in\s+\w+",
+]
+SAFE_MERGE = r"\bimport\s*\{[^}]*\bdeepMerge\b[^}]*\}\s*from\s*['\"][^'\"]*deep-merge[^'\"]*['\"]"
+
+
+def deep_merges(toks: DataFrame, spans: DataFrame, files: DataFrame, all_lines: DataFrame) -> DataFrame:
+    """Merge functions without a check of their keys, and calls of merge functions that nothing guards.
+
+    A merge function is safe if a line within its body holds a guard: an interval anti join of bodies and guard lines.
+    Calls within a safe body, on the line of a definition, and in files that import a safe merge are safe too; of a
+    line the first call counts.
+    """
+    rule = "security-deep/prototype-pollution"
+    seen = _follow(toks, 4).withColumn("named", F.col("text").isin(*MERGES) & (F.col("kind") == "word"))
+    heads = seen.filter("named").withColumn("lead", F.when((F.col("before") == "function") | F.col("before").isin("const", "let", "var") & F.col("t1").isin("=", ":") & (F.col("t2") == "function"), F.col("before"))).filter("lead IS NOT NULL")
+    starts = toks.select("path", (F.col("seq") + 1).alias("seq"), F.col("line").alias("d_line"), F.col("col").alias("d_col"))
+    heads = heads.join(starts, ["path", "seq"]).select("path", F.col("seq").alias("def"), "text", "d_line", "d_col", "parent")
+    bodies = spans.select("path", "a", "b", "parent").join(toks.select("path", F.col("seq").alias("a"), F.col("line").alias("first")), ["path", "a"]).join(toks.select("path", F.col("seq").alias("b"), F.col("line").alias("last")), ["path", "b"])
+    own = heads.join(bodies, ["path", "parent"]).filter("a > def").groupBy("path", "def", "text", "d_line", "d_col").agg(F.min(F.struct("a", "b", "first", "last")).alias("body")).select("path", "def", "text", "d_line", "d_col", "body.*")
+    guard = all_lines.filter(F.col("lang").isin(*LANGS) & F.col("text").rlike("(?i)" + "|".join(MERGE_GUARDS))).select(F.col("path").alias("g_path"), F.col("num").alias("g_num"))
+    held = (F.col("path") == F.col("g_path")) & (F.col("g_num") >= F.col("d_line")) & (F.col("g_num") <= F.col("last"))
+    unsafe, safe = own.join(guard, held, "left_anti"), own.join(guard, held, "left_semi")
+    out = _out(unsafe.select("path", F.col("d_line").alias("line"), F.col("d_col").alias("col"), "text"), rule, "warning", F.concat(F.lit("unsafe "), F.col("text")))
+    calls = seen.filter("named AND t1 = '(' AND coalesce(before, '') <> '.'").join(heads.select("path", F.col("d_line").alias("line")).distinct(), ["path", "line"], "left_anti")
+    calls = _inside(calls, safe.select("path", F.col("def").alias("a"), "b"), "left_anti").join(files.filter(F.col("content").rlike(SAFE_MERGE)).select("path"), "path", "left_anti")
+    first = calls.groupBy("path", "line").agg(F.min(F.struct("col", "text")).alias("x")).select("path", "line", "x.*")
+    return out.unionByName(_out(first, rule, "warning", F.col("text")))
+
+
 def tree_rules(files: DataFrame) -> DataFrame:
     """All findings of this module that read tokens."""
     toks = tokens(files)
     spans = blocks(toks)
-    return tree_slop(toks, spans).unionByName(unreachable(toks, spans))
+    return tree_slop(toks, spans).unionByName(unreachable(toks, spans)).unionByName(deep_merges(toks, spans, files, lines(files)))

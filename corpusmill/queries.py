@@ -878,6 +878,16 @@ def odd_context_rules(spark, sf_dir):
     return _only(context_rules.all_rules(f, ls).unionByName(context_rules.more_rules(f, ls)), _ODD_CONTEXT)
 
 
+@query(_by_snippet([
+    (16, "security-deep/prototype-pollution", "warning", 1, 1, "unsafe deepMerge"), (16, "security-deep/prototype-pollution", "warning", 2, 31, "deepMerge"), (16, "security-deep/prototype-pollution", "warning", 10, "11+key", "deepMerge"),
+    (17, "security-deep/prototype-pollution", "warning", 3, 1, "unsafe mergeDeep"),
+], synthetic.ODD))
+def unguarded_merges(spark, sf_dir):
+    f = synthetic.files(spark, sf_dir, synthetic.ODD)
+    toks = syntax.tokens(f)
+    return syntax.deep_merges(toks, syntax.blocks(toks), f, views.lines(f))
+
+
 @query(_ODD_FOLDS)
 def odd_fold_rules(spark, sf_dir):
     return _only(folds.all_folds(synthetic.files(spark, sf_dir, synthetic.ODD)), _ODD_FOLDS)

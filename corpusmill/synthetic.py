@@ -63,6 +63,8 @@ ODD: list[tuple[str, str, str]] = [
     ("src/odd", "ts", "const a = \"\\d\"\nconst b = \"\\q\"\nconst c = /[\\.]/\n"),
     ("src/odd", "ts", "switch (k) {\n  case 1:\n    break;\n    lost();\n  default:\n    done();\n  case 2:\n    more();\n}\n"),
     ("cmd/odd", "go", "package main\nfunc init() {\n\thttp.Get(u)\n}\nfunc Load$K(id string) {\n\tdb.Query(id)\n}\nfunc CloneThing(t *Thing) *Thing {\n\treturn t\n}\n"),
+    ("src/merge", "ts", "function deepMerge(a, b) {\n  for (const k in b) { a[k] = deepMerge(a[k], b[k]) }\n  return a\n}\nfunction mergeDeep(a, b) {\n  for (const k of Object.keys(b)) {\n    a[k] = mergeDeep(a[k], b[k])\n  }\n}\nconst c$K = deepMerge({}, input)\nconst s = 'deepMerge(x)' // deepMerge(y)\n"),
+    ("src/merge", "ts", "import { deepMerge } from '../utils/deep-merge'\nconst d$K = deepMerge({}, x)\nconst mergeDeep = function (a, b) {\n  return { ...a, ...b }\n}\n"),
 ]
 
 
