@@ -378,6 +378,15 @@ def package_edges(lines: DataFrame) -> DataFrame:
     return to.join(local, "dst", "left_semi").join(own, "path").select("src", "dst").distinct()
 
 
+def package_cycles(lines: DataFrame, deepest: int = 5) -> DataFrame:
+    """Go packages that import each other in a circle of at most ``deepest``: a finding at the first file of each folder."""
+    rings = cycle_members(package_edges(lines), deepest).filter("size(members) > 1").select(F.array_sort("members").alias("ring")).distinct()
+    rings = rings.select(F.explode("ring").alias("package"), F.array_join("ring", " -> ").alias("ring"))
+    own = lines.filter("lang = 'go'").withColumn("package", extract(F.col("text"), r"^package\s+(\w+)", 1)).filter("package <> ''")
+    folders = own.groupBy("package", F.regexp_replace("path", r"/?[^/]*\z", "").alias("folder")).agg(F.min("path").alias("path"))
+    return _found(folders.join(rings, "package").withColumn("num", F.lit(1)), "go-deep/package-cycle", "error", F.col("ring"))
+
+
 def workspaces(files: DataFrame) -> DataFrame:
     """Workspace folders of a manifest that hold no file."""
     listed = files.filter(F.col("path").rlike(r"(?:^|/)package\.json\z")).select("path", F.explode(F.from_json("content", "struct<workspaces:array<string>>")["workspaces"]).alias("glob"))

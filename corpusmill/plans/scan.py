@@ -109,6 +109,7 @@ detector("unused-exports")(lambda c: relations.unused_exports(c.exports, c.impor
 detector("architecture")(lambda c: relations.high_coupling(c.imports, c.config["quality"]["maxCoupling"]).unionByName(relations.layer_violation(c.imports)))
 detector("cycles")(lambda c: relations.circular_dependency(c.imports, c.files, c.config["imports"]["maxCircularDepth"]))
 detector("selectors")(lambda c: relations.unused_selectors(c.lines))
+detector("go-packages")(lambda c: relations.package_cycles(c.lines))
 detector("workspaces")(lambda c: relations.workspaces(c.files))
 
 

@@ -888,6 +888,23 @@ def unguarded_merges(spark, sf_dir):
     return syntax.deep_merges(toks, syntax.blocks(toks), f, views.lines(f))
 
 
+@query("""SELECT folder || p_partkey || file AS path, 'go-deep/package-cycle' AS rule, 'error' AS severity, 1 AS line, 1 AS col, 'a' || p_partkey || ' -> b' || p_partkey || tail AS message
+FROM part, (VALUES ('pkgA', '/foo.go', false), ('pkgB', '/bar.go', false), ('pkgA', '/foo.go', true), ('pkgB', '/bar.go', true), ('pkgC', '/c.go', true)) AS t(folder, file, long), (VALUES (false, ''), (true, 'c')) AS u(far, part)
+, LATERAL (SELECT CASE WHEN far THEN ' -> c' || p_partkey ELSE '' END AS tail) WHERE far = long AND (NOT far OR p_partkey % 3 = 0)""")
+def go_package_cycles(spark, sf_dir):
+    """Go packages made from part: a and b import each other; of every third key a, b and c stand in a circle too."""
+    key = F.col("p_partkey").cast("string")
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    back = F.when(F.col("p_partkey") % 3 == 0, text('\n\t"c', key, '"')).otherwise(F.lit(""))
+    made = F.array(
+        F.struct(text("pkgA", key, "/foo.go").alias("p"), text("package a", key, '\n\nimport "x/b', key, '"\n').alias("c")),
+        F.struct(text("pkgB", key, "/bar.go").alias("p"), text("package b", key, '\n\nimport (\n\t"fmt"\n\t"a', key, '"', back, "\n)\n").alias("c")),
+        F.struct(text("pkgC", key, "/c.go").alias("p"), text("package c", key, '\nimport "a', key, '"\n').alias("c")),
+    )
+    rows = table(spark, sf_dir, "part").select(F.explode(made).alias("x"))
+    return relations.package_cycles(views.lines(as_files(rows, F.col("x.p"), F.col("x.c"))))
+
+
 @query(_ODD_FOLDS)
 def odd_fold_rules(spark, sf_dir):
     return _only(folds.all_folds(synthetic.files(spark, sf_dir, synthetic.ODD)), _ODD_FOLDS)
