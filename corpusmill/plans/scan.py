@@ -14,7 +14,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.operators import context_rules, folds, line_rules, relations, syntax, views
+from corpusmill.operators import context_rules, folds, headers, line_rules, relations, syntax, views
 from corpusmill.operators.project import config as read_config
 from corpusmill.operators.project import alias_names, config_lint, declared
 from corpusmill.plans import findings as P
@@ -109,6 +109,7 @@ detector("unused-exports")(lambda c: relations.unused_exports(c.exports, c.impor
 detector("architecture")(lambda c: relations.high_coupling(c.imports, c.config["quality"]["maxCoupling"]).unionByName(relations.layer_violation(c.imports)))
 detector("cycles")(lambda c: relations.circular_dependency(c.imports, c.files, c.config["imports"]["maxCircularDepth"]))
 detector("selectors")(lambda c: relations.unused_selectors(c.lines))
+detector("parameters")(lambda c: headers.parameter_rules(c.lines))
 detector("go-packages")(lambda c: relations.package_cycles(c.lines))
 detector("workspaces")(lambda c: relations.workspaces(c.files))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill import synthetic
 from corpusmill.functions.text import redact
-from corpusmill.operators import context_rules, folds, line_rules, relations, syntax, views
+from corpusmill.operators import context_rules, folds, headers, line_rules, relations, syntax, views
 from corpusmill.plans import findings as P
 from corpusmill.plans import fixes, reports
 from corpusmill.sources.files import as_files, language_counts, manifest_dependencies
@@ -905,6 +905,14 @@ def go_package_cycles(spark, sf_dir):
     return relations.package_cycles(views.lines(as_files(rows, F.col("x.p"), F.col("x.c"))))
 
 
+@query(_by_snippet([
+    (18, "python-deep/no-type-hint", "warning", 1, 1, "a"), (18, "python-deep/no-type-hint", "warning", 1, 1, "c"), (18, "python-deep/no-type-hint", "warning", 5, 1, "second"), (18, "python-deep/no-type-hint", "warning", 5, 1, "fourth"),
+    (18, "python-deep/mutable-default", "warning", 5, 1, "first"), (18, "python-deep/mutable-default", "warning", 5, 1, "fourth"),
+], synthetic.ODD))
+def parameter_rules(spark, sf_dir):
+    return headers.parameter_rules(views.lines(synthetic.files(spark, sf_dir, synthetic.ODD)))
+
+
 @query(_ODD_FOLDS)
 def odd_fold_rules(spark, sf_dir):
     return _only(folds.all_folds(synthetic.files(spark, sf_dir, synthetic.ODD)), _ODD_FOLDS)

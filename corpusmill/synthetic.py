@@ -65,6 +65,7 @@ ODD: list[tuple[str, str, str]] = [
     ("cmd/odd", "go", "package main\nfunc init() {\n\thttp.Get(u)\n}\nfunc Load$K(id string) {\n\tdb.Query(id)\n}\nfunc CloneThing(t *Thing) *Thing {\n\treturn t\n}\n"),
     ("src/merge", "ts", "function deepMerge(a, b) {\n  for (const k in b) { a[k] = deepMerge(a[k], b[k]) }\n  return a\n}\nfunction mergeDeep(a, b) {\n  for (const k of Object.keys(b)) {\n    a[k] = mergeDeep(a[k], b[k])\n  }\n}\nconst c$K = deepMerge({}, input)\nconst s = 'deepMerge(x)' // deepMerge(y)\n"),
     ("src/merge", "ts", "import { deepMerge } from '../utils/deep-merge'\nconst d$K = deepMerge({}, x)\nconst mergeDeep = function (a, b) {\n  return { ...a, ...b }\n}\n"),
+    ("tools/odd", "py", "def plain$K(a, b: int = 3, *rest, c=(1, 2), **more):\n    return f(a, [b,\n        c])\nclass T:\n    async def wrapped(\n        self,\n        first: dict[str, int] = {},  # one, two\n        second=\"x, (y\",\n        third: Callable[[int, str], bool] = None,\n        /,\n        *,\n        fourth=[],\n    ) -> tuple[int, str]:\n        pass\n    def none(self): pass\n"),
 ]
 
 

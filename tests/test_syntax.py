@@ -154,3 +154,19 @@ def test_columns_of_equal_matches_and_fine_names(spark):
     got = sorted((r.rule, r.line, r.col) for r in line_rules.detect(ls).collect() if r.rule in ("types/double-assertion", "syntax-deep/unicode-anomaly", "ast-slop/generic-name"))
     want = [("types/double-assertion", 1, 5), ("types/double-assertion", 1, 24), ("syntax-deep/unicode-anomaly", 2, 1), ("syntax-deep/unicode-anomaly", 2, 3)]
     assert got == sorted(want + [("ast-slop/generic-name", n, lines[n - 1].index("let bar" if "let bar" in lines[n - 1] else "const foo") + 1) for n in (3, 5, 6, 8, 9)])
+
+
+def test_split_balanced(spark):
+    from corpusmill.operators.headers import split_balanced
+
+    cases = {"f(a, b)": ["a", " b"], "f()": [], "f( )": [], "f(a=(1, 2), b=[x, {y: (z,)}], c='),')": ["a=(1, 2)", " b=[x, {y: (z,)}]", " c='),'"], "f(a,": ["a"], "no": [], "f(a) -> (b, c)": ["a"], 'f("\\"(", x,)': ['"\\"("', " x"], "f(" + "a, " * 3000 + "b)": ["a", *[" a"] * 2999, " b"]}
+    rows = spark.createDataFrame(list(enumerate(cases)), "i int, t string").select("t", split_balanced(F.col("t")).alias("x")).collect()
+    assert {r.t: r.x for r in rows} == cases
+
+
+def test_python_parameters(spark):
+    from corpusmill.operators.headers import python_parameters
+
+    text = "x = (\n  1,\ndef f(a: 'x=(', b=1 == 2,\n      c: D[int] = {  # no\n      }) :\n  g(h,\n    i)\ndef g(\nasync def h(self, *, k: int): ..."
+    rows = python_parameters(views.lines(_files(spark, text, ext="py"))).orderBy("num", "place").collect()
+    assert [(r.num, r.name, r.value, r.hinted) for r in rows] == [(3, "a", "", True), (3, "b", "1 == 2", False), (3, "c", "{       }", True), (9, "k", "", True)]
