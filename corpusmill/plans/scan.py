@@ -129,6 +129,7 @@ def findings(files: DataFrame, config: dict | None = None, engines: list[str] |
         scratch = Scratch(files.sparkSession, "scan")
         with ThreadPoolExecutor(at_once) as pool:
             rows = list(pool.map(lambda n: scratch.keep(REGISTRY[n](context).select(*COLUMNS), re.sub(r"\W+", "-", n)), names))
+        context.release()
     else:
         rows = [REGISTRY[n](context).select(*COLUMNS) for n in names]
     out = syntax.in_code(reduce(DataFrame.unionByName, rows), context.lines)

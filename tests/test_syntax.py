@@ -169,4 +169,4 @@ def test_python_parameters(spark):
 
     text = "x = (\n  1,\ndef f(a: 'x=(', b=1 == 2,\n      c: D[int] = {  # no\n      }) :\n  g(h,\n    i)\ndef g(\nasync def h(self, *, k: int): ..."
     rows = python_parameters(views.lines(_files(spark, text, ext="py"))).orderBy("num", "place").collect()
-    assert [(r.num, r.name, r.value, r.hinted) for r in rows] == [(3, "a", "", True), (3, "b", "1 == 2", False), (3, "c", "{       }", True), (9, "k", "", True)]
+    assert [(r.num, r.name, r.value.replace(" ", ""), r.hinted) for r in rows] == [(3, "a", "", True), (3, "b", "1==2", False), (3, "c", "{}", True), (9, "k", "", True)]
