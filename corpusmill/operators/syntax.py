@@ -138,8 +138,8 @@ _REGEX = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*+\]|[^/\[\\\n])++/[a-z
 _VALUE_ENDS = re.compile(r"[\w$)\]}\"'`]\Z")
 _BEFORE_VALUE = frozenset("return typeof case in of delete void throw new else do await yield instanceof".split())
 _MATES = {")": "(", "]": "[", "}": "{"}
-TOKENS = "path string, seq int, kind string, text string, line int, col int, parent int, mate int, head string, head_seq int"
-_TOKENS_ARROW = pa.schema([("path", pa.string()), ("seq", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("line", pa.int32()), ("col", pa.int32()), ("parent", pa.int32()), ("mate", pa.int32()), ("head", pa.string()), ("head_seq", pa.int32())])
+TOKENS = "path string, seq int, kind string, text string, line int, col int, parent int, mate int, mate_line int, head string, head_seq int, h_line int, h_col int, h_kind string, h_before string"
+_TOKENS_ARROW = pa.schema([(name, pa.string() if kind == "string" else pa.int32()) for name, kind in (c.split() for c in TOKENS.split(", "))])
 
 
 def _lex(content: str) -> Iterator[tuple[str, str, int]]:
@@ -177,18 +177,19 @@ def _file_tokens(path: str, content: str) -> list[tuple]:
     for seq, (kind, text, at) in enumerate(_lex(content)):
         while line + 1 < len(starts) and starts[line + 1] <= at:
             line += 1
-        row = [path, seq, kind, text, line + 1, at - starts[line] + 1, open_[-1] if open_ else -1, None, None, None]
+        row = [path, seq, kind, text, line + 1, at - starts[line] + 1, open_[-1] if open_ else -1, *[None] * 8]
         if kind == "mark" and text in _MATES:
             if open_ and rows[open_[-1]][3] == _MATES[text]:
-                row[7] = open_.pop()
-                rows[row[7]][7] = seq
-                row[6] = rows[row[7]][6]
+                mate = rows[open_.pop()]
+                row[6], row[7:9], row[9:] = mate[6], (mate[1], mate[4]), mate[9:]
+                mate[7:9] = seq, row[4]
         elif kind == "mark" and text in "([{":
             # The word before a bracket; before a brace behind brackets, the word before these.
             head = seq - 1
             if text == "{" and head >= 0 and rows[head][3] == ")" and rows[head][7] is not None:
                 head = rows[head][7] - 1
-            row[8:] = [rows[head][3], head] if head >= 0 else ["", -1]
+            at, named = rows[head] if head >= 0 else None, head > 0 and rows[head - 1][2] == "word"
+            row[9:] = [at[3], head, at[4], at[5], at[2], rows[head - 1][3] if named else None] if at else ["", -1, *[None] * 4]
             open_.append(seq)
         rows.append(row)
     return rows
@@ -198,8 +199,9 @@ def tokens(files: DataFrame) -> DataFrame:
     """path, seq, kind (word, number, string, template, regex, mark), text, line, col of all tokens but comments.
 
     parent is the place of the innermost open bracket (-1: none), mate that of a bracket's other half (null where it
-    has none), head the word or mark before an opening bracket and head_seq its place. Texts of any length are read
-    whole; null is empty; a file is lexed by one task, and only by it.
+    has none) and mate_line its line. A bracket, like its mate, also has what stands before the opening one: head (a word
+    or mark), head_seq, h_line, h_col and h_kind are that token, h_before is the word before it. Texts of any length are
+    read whole; null is empty; a file is lexed by one task, and only by it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,37 +218,38 @@ def tokens(files: DataFrame) -> DataFrame:
 _FLOW = ("if", "for", "while", "switch", "catch", "with")
 
 
-def blocks(toks: DataFrame) -> DataFrame:
-    """path, a and b (places of the two braces), parent, kind, line and col (of what begins the block).
-
-    kind: catch, finally, arrow, if, for, while, switch, try, else, do, function, class, object or block.
-    """
-    braces = toks.filter("text = '{' AND kind = 'mark' AND mate IS NOT NULL")
-    head = F.col("head")
-    before = toks.select("path", F.col("seq").alias("head_seq"), F.col("line").alias("h_line"), F.col("col").alias("h_col"))
-    named = toks.filter("kind = 'word'").select("path", (F.col("seq") + 1).alias("head_seq"), F.col("text").alias("h_before"))
-    kind = (
+def _block_kind() -> Column:
+    """The kind of a block, by what stands before its opening brace; the closing one knows that too."""
+    head, opened = F.col("head"), F.least("seq", "mate")
+    return (
         F.when(head.isin(*_FLOW, "finally", "try", "else", "do"), head)
         .when(head == "=>", "arrow")
         .when(F.col("h_before").isin("class", "interface", "enum", "extends", "implements", "namespace", "module"), "class")
-        .when((F.col("head_seq") + 1 < F.col("seq")) & (F.col("h_kind") == "word"), "function")
+        .when((F.col("head_seq") + 1 < opened) & (F.col("h_kind") == "word"), "function")
         .when(head.isin("=", "(", ",", ":", "[", "?", "return", "&&", "||", "??", "...", "in", "of", "new", "yield", "await", "default", "as", "import", "export", "${"), "object")
         .otherwise("block")
     )
-    rows = braces.join(before.join(toks.select("path", F.col("seq").alias("head_seq"), F.col("kind").alias("h_kind")), ["path", "head_seq"]), ["path", "head_seq"], "left").join(named, ["path", "head_seq"], "left")
-    return rows.select("path", F.col("seq").alias("a"), F.col("mate").alias("b"), "parent", kind.alias("kind"), F.coalesce("h_line", "line").alias("line"), F.coalesce("h_col", "col").alias("col"), "head_seq")
+
+
+def blocks(toks: DataFrame) -> DataFrame:
+    """path, a and b (places of the two braces), parent, kind, line and col (of what begins the block), first and last line.
+
+    kind: catch, finally, arrow, if, for, while, switch, try, else, do, function, class, object or block.
+    """
+    rows = toks.filter("text = '{' AND kind = 'mark' AND mate IS NOT NULL")
+    return rows.select("path", F.col("seq").alias("a"), F.col("mate").alias("b"), "parent", _block_kind().alias("kind"), F.coalesce("h_line", "line").alias("line"), F.coalesce("h_col", "col").alias("col"), "head_seq", F.col("line").alias("first"), F.col("mate_line").alias("last"))
 
 
 def _inside(rows: DataFrame, spans: DataFrame, how: str) -> DataFrame:
     """Rows (path, seq) joined to the spans (path, a, b) that they lie in: the join of a nested set."""
-    s = spans.select(F.col("path").alias("s_path"), F.col("a").alias("s_a"), F.col("b").alias("s_b"))
+    s = spans.select(F.col("path").alias("s_path"), F.col("a").alias("s_a"), F.col("b").alias("s_b")).hint("merge")
     return rows.join(s, (F.col("path") == F.col("s_path")) & (F.col("seq") > F.col("s_a")) & (F.col("seq") < F.col("s_b")), how)
 
 
 def _follow(toks: DataFrame, n: int) -> DataFrame:
-    """Tokens with the texts of the next n ones."""
+    """Tokens with the texts of the next n ones, and text and place of the one before."""
     w = Window.partitionBy("path").orderBy("seq")
-    return toks.select("*", *[F.lead("text", i).over(w).alias(f"t{i}") for i in range(1, n + 1)], F.lag("text").over(w).alias("before"))
+    return toks.select("*", *[F.lead("text", i).over(w).alias(f"t{i}") for i in range(1, n + 1)], *[F.lag(c).over(w).alias(name) for c, name in (("text", "before"), ("line", "before_line"), ("col", "before_col"))])
 
 
 def _out(rows: DataFrame, rule: str, severity: str, message: Column) -> DataFrame:
@@ -277,7 +280,7 @@ def tree_slop(toks: DataFrame, spans: DataFrame | None = None) -> DataFrame:
     bodies = spans.filter("kind IN ('function', 'arrow')").select("path", "a", "b").unionByName(bare_arrows(toks, spans))
     own = _inside(anys, bodies, "left").groupBy("path", "seq", "line", "col").agg(F.max(F.struct("s_a", "s_b")).alias("own"))
     excuse = toks.filter((F.col("kind") == "word") & F.col("text").rlike(_ORM)).select("path", "seq").unionByName(seen.filter("lower(text) LIKE '%parse' AND t1 = '('").select("path", "seq"))
-    e = excuse.select(F.col("path").alias("e_path"), F.col("seq").alias("e_seq"))
+    e = excuse.select(F.col("path").alias("e_path"), F.col("seq").alias("e_seq")).hint("merge")
     left = own.join(e, (F.col("path") == F.col("e_path")) & (F.col("e_seq") > F.col("own.s_a")) & (F.col("e_seq") < F.col("own.s_b")), "left_anti")
     out = out.unionByName(_out(left, "ast-slop/as-any", "warning", F.lit("as any")))
     twice = casts.filter(F.col("t3").isin(*_PRIMITIVE) & (F.col("t1") == "unknown") & (F.col("t2") == "as")).filter(~F.col("path").rlike(r"/src/(?:config|cli)/|/engines/[^/]+/rules/"))
@@ -297,9 +300,9 @@ def statements(toks: DataFrame, spans: DataFrame | None = None) -> DataFrame:
     comments, brackets over several lines and nested functions are nothing to it: they have other parents or no tokens.
     """
     spans = blocks(toks) if spans is None else spans
-    own = spans.filter(F.col("kind").isin(*_BLOCK_KINDS)).select("path", F.col("b").alias("seq"), F.col("kind").alias("closes"))
+    closes = F.when((F.col("kind") == "mark") & (F.col("text") == "}") & F.col("mate").isNotNull() & _block_kind().isin(*_BLOCK_KINDS), _block_kind())
     w = Window.partitionBy("path", "parent").orderBy("seq")
-    rows = toks.join(own, ["path", "seq"], "left")
+    rows = toks.select("path", "parent", "seq", "kind", "text", "line", "col", closes.alias("closes"))
     rows = rows.withColumn("prev", F.lag("text").over(w)).withColumn("prev_line", F.lag("line").over(w)).withColumn("prev_closes", F.lag("closes").over(w)).withColumn("prev_kind", F.lag("kind").over(w))
     text = F.col("text")
     new_line = (F.col("line") > F.col("prev_line")) & ~text.rlike(_GOES_ON) & ~F.when(F.col("prev_kind").isin("string", "template", "regex"), False).otherwise(F.col("prev").rlike(_WAITS))
@@ -369,9 +372,8 @@ def deep_merges(toks: DataFrame, spans: DataFrame, files: DataFrame, all_lines:
     rule = "security-deep/prototype-pollution"
     seen = _follow(toks, 4).withColumn("named", F.col("text").isin(*MERGES) & (F.col("kind") == "word"))
     heads = seen.filter("named").withColumn("lead", F.when((F.col("before") == "function") | F.col("before").isin("const", "let", "var") & F.col("t1").isin("=", ":") & (F.col("t2") == "function"), F.col("before"))).filter("lead IS NOT NULL")
-    starts = toks.select("path", (F.col("seq") + 1).alias("seq"), F.col("line").alias("d_line"), F.col("col").alias("d_col"))
-    heads = heads.join(starts, ["path", "seq"]).select("path", F.col("seq").alias("def"), "text", "d_line", "d_col", "parent")
-    bodies = spans.select("path", "a", "b", "parent").join(toks.select("path", F.col("seq").alias("a"), F.col("line").alias("first")), ["path", "a"]).join(toks.select("path", F.col("seq").alias("b"), F.col("line").alias("last")), ["path", "b"])
+    heads = heads.select("path", F.col("seq").alias("def"), "text", F.col("before_line").alias("d_line"), F.col("before_col").alias("d_col"), "parent")
+    bodies = spans.select("path", "a", "b", "parent", "first", "last")
     own = heads.join(bodies, ["path", "parent"]).filter("a > def").groupBy("path", "def", "text", "d_line", "d_col").agg(F.min(F.struct("a", "b", "first", "last")).alias("body")).select("path", "def", "text", "d_line", "d_col", "body.*")
     guard = all_lines.filter(F.col("lang").isin(*LANGS) & F.col("text").rlike("(?i)" + "|".join(MERGE_GUARDS))).select(F.col("path").alias("g_path"), F.col("num").alias("g_num"))
     held = (F.col("path") == F.col("g_path")) & (F.col("g_num") >= F.col("d_line")) & (F.col("g_num") <= F.col("last"))
