@@ -82,7 +82,7 @@ def in_ranges(found: DataFrame, changes: DataFrame, root: str = "") -> DataFrame
     rows = changes.filter("start <= stop").select(F.concat(F.lit(root), F.col("path")).alias("path"), "start", "stop")
     rows = rows.withColumn("reach", F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1)))
     rows = rows.withColumn("part", F.sum(F.when(F.col("start") > F.coalesce("reach", F.lit(-1)) + 1, 1).otherwise(0)).over(w))
-    merged = rows.groupBy("path", "part").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).select(F.col("path").alias("c_path"), "start", "stop")
+    merged = rows.groupBy("path", "part").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).select(F.col("path").alias("c_path"), "start", "stop").hint("merge")
     return found.join(merged, (F.col("path") == F.col("c_path")) & F.col("line").between(F.col("start"), F.col("stop")), "left_semi")
 
 
