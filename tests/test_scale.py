@@ -72,3 +72,29 @@ def test_lines_without_the_strings_of_a_rule_do_not_match(spark):
 
     bare = [replace(r, has=()) for r in line_rules.RULES]
     assert sorted(line_rules.detect(ls).collect()) == sorted(line_rules.detect(ls, bare).collect())
+
+
+def test_quick_tests_of_rules_spare_no_finding(spark):
+    """also, low, ends, least and gate stand before a pattern that finds the same without them."""
+    from dataclasses import replace
+
+    text = "db.Query('select * from t where id=' + id)\ndb.all(`Drop ${x}`)\nconst API_KEY = \"abcdefghijk\"\nconst Apikey = 'abcdefghijk'\nPassWord: 'abcdefghijk'\n// fixMe\n# Hack\n* xxx\n"
+    text += "let x: Promise < any > = 1 as Map<string, any>\nimport x from './locales/en.json'\nend \nend\t\nend \u00a0\na\u200bb\ufeff\u007f\u0001\né ß 漢\n" + "é" * 121 + "\n" + "y" * 120 + "\n" + "z" * 121 + "\n \n\t\n\n"
+    ls = views.lines(files.as_files(spark.createDataFrame([(f"x/e.{e}", text) for e in ("ts", "js", "py", "go", "rs", "html", "css", "md", "yaml")], "p string, c string"), F.col("p"), F.col("c")))
+    bare = [replace(r, also=(), low=(), ends=(), least=0, gate="") for r in line_rules.RULES]
+    found = sorted(line_rules.detect(ls).collect())
+    assert found == sorted(line_rules.detect(ls, bare).collect())
+    assert {r.rule for r in found} >= {r.id for r in line_rules.RULES if r.also or r.low or r.ends or r.least or r.gate}
+
+
+def test_a_language_is_asked_once_for_all_its_rules(spark, keys):
+    """A line meets one test for the rules of the same languages, not one a rule."""
+    same = [r for r in line_rules.RULES if r.langs == line_rules.JS][:8]
+    hits = [x for x in plan(line_rules.detect(views.lines(synthetic.files(spark, keys)), same)).split("\n") if "AS hits#" in x]
+    assert len(re.findall(r"lang#\d+ IN", hits[0])) == 1
+
+
+def test_compared_scans_read_each_scan_once(spark, keys):
+    rows = line_rules.detect(views.lines(synthetic.files(spark, keys)), line_rules.RULES[:3])
+    text = plan(P.compared(rows, P.override(rows, [("ast-slop/todo-stub", "error")])))
+    assert len(re.findall(r"Generate explode\(hits#", text)) + len(re.findall(r"Generate explode_outer\(hits#", text)) <= 4
