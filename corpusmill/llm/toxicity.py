@@ -21,6 +21,8 @@ ROWS, EXAMPLES, POSTINGS, BLOCK, NEIGHBOURS = 30_000, 1536, 1 << 23, 64, 15
 #: Terms that one in COMMON examples hold (the DENSE most frequent of them) are rows of a matrix instead of postings;
 #: GROUP texts are multiplied with it at once.
 COMMON, DENSE, GROUP = 32, 768, 128
+#: Once queries have met TRIED postings, bounds must have spared half of them, or else all postings are read without.
+TRIED = 1 << 20
 #: One in so many labelled rows calibrates the votes and is no example.
 FOLDS = 5
 #: How much a term's say grows with what its presence tells of the label (its log-likelihood ratio, in nats).
@@ -167,7 +169,8 @@ class Index:
         self.dense = np.zeros((len(common), self.blocks * BLOCK))
         at, n = _ranges(self.post[self.entry[common]], self.post[self.entry[common + 1]])
         self.dense[np.repeat(np.arange(len(common)), n), self.rows[at]] = self.weight[at]
-        self.read = 0  # postings that queries have looked at
+        self.places = self.begin = None  # for reading without bounds
+        self.read = self.met = 0  # postings that queries with bounds have looked at, and all of their terms
 
     def __getstate__(self) -> tuple:
         """What the index is made of, packed: a few bytes a posting travel, and each task's process makes the index."""
@@ -191,11 +194,28 @@ class Index:
         scores holds what the common terms give each example, if the terms are but the others. Each block has an upper
         bound: its highest such score and its entries' largest weights. The blocks of the highest bounds are read
         first; of the others only those whose bound reaches the k-th best cosine: other postings are not touched.
+        Where bounds have been seen to spare few postings, asking them takes longer than reading all: both are exact.
         """
         if scores is None:
             column = self.column[terms]
             scores = weights[column >= 0] @ self.dense[column[column >= 0]]
             terms, weights = terms[column < 0], weights[column < 0]
+        if self.met >= TRIED and 2 * self.read > self.met:
+            if self.places is None:
+                self.places, self.begin = self.rows.astype(np.intp), self.post[self.entry]
+            at, n = _ranges(self.begin[terms], self.begin[terms + 1])
+            said = self.weight.take(at)
+            said *= np.repeat(weights, n)
+            scores = scores + np.bincount(self.places.take(at), said, len(scores))
+        else:
+            scores = self._bounded(terms, weights, k, scores)
+        near = np.flatnonzero(scores >= max(self._least(scores, k) - 1e-9, 1e-15))
+        best = near[np.lexsort((near, -np.round(scores[near], 12)))][:k]
+        return best, scores[best]
+
+    def _bounded(self, terms: np.ndarray, weights: np.ndarray, k: int, scores: np.ndarray) -> np.ndarray:
+        """The scores, whole where a block's bound may reach the k best."""
+        self.met += int((self.post[self.entry[terms + 1]] - self.post[self.entry[terms]]).sum())
         entry, n = _ranges(self.entry[terms], self.entry[terms + 1])
         say, block = np.repeat(weights, n), self.block[entry]
         bound = scores.reshape(self.blocks, BLOCK).max(axis=1) + np.bincount(block, self.most[entry] * say, self.blocks)
@@ -206,9 +226,7 @@ class Index:
             at, m = _ranges(self.post[entry[own]], self.post[entry[own] + 1])
             self.read += len(at)
             scores = scores + np.bincount(self.rows[at], self.weight[at] * np.repeat(say[own], m), len(scores))
-        near = np.flatnonzero(scores >= max(self._least(scores, k) - 1e-9, 1e-15))
-        best = near[np.lexsort((near, -np.round(scores[near], 12)))][:k]
-        return best, scores[best]
+        return scores
 
     @staticmethod
     def _least(scores: np.ndarray, k: int) -> float:

@@ -746,6 +746,21 @@ def test_nearest_is_exact():
     assert index.read < 0.95 * postings  # blocks whose bound is too low are not read
 
 
+def test_toxicity_reads_all_postings_where_bounds_spare_few(monkeypatch):
+    """Bounds that spare little are no longer asked, and the nearest are the same."""
+    rng = np.random.default_rng(12)
+    rows, terms = np.repeat(np.arange(700), 6), np.concatenate([np.sort(rng.choice(300, 6, replace=False)) for _ in range(700)])
+    make = lambda: toxicity.Index(np.arange(1, 301, dtype=np.uint64), np.ones(300), rows, terms, np.ones(len(rows)), np.zeros(700), 0.3)
+    queries = [np.sort(rng.choice(300, 20, replace=False)) for _ in range(30)]
+    bounded, free = make(), make()
+    want = [bounded.nearest(q, np.full(20, 0.2), 15) for q in queries]
+    monkeypatch.setattr(toxicity, "TRIED", 1)
+    for q, (at, cosine) in zip(queries, want, strict=True):
+        got = free.nearest(q, np.full(20, 0.2), 15)
+        assert got[0].tolist() == at.tolist() and np.allclose(got[1], cosine)
+    assert 2 * bounded.read > bounded.met and 0 < free.read < bounded.read / 10
+
+
 def test_kernels():
     rng = np.random.default_rng(11)
     for v in (np.zeros(0, np.uint64), np.sort(rng.integers(0, 1 << 63, 1000).astype(np.uint64)), np.arange(5, dtype=np.uint64)):
