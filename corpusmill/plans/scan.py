@@ -22,13 +22,17 @@ from corpusmill.plans.storage import Scratch
 from corpusmill.sources.diffs import in_ranges
 
 COLUMNS = ["path", "rule", "severity", "line", "col", "message"]
+#: Characters of text whose lines one task keeps.
+CHARS = 1 << 21
 
 
 @dataclass
 class Context:
     """What detectors read: files and the relations made of them.
 
-    Lines are dealt and sorted by file once and kept, so that no window of a detector moves or sorts them again.
+    Lines are dealt and sorted by file once and kept, so that no window of a detector moves or sorts them again. They
+    are dealt to as many tasks as the text needs: every branch of every detector reads all of these, so that a fixed
+    number would be thousands of empty tasks on a small corpus, and too large ones on a large corpus.
     """
 
     files: DataFrame
@@ -41,7 +45,8 @@ class Context:
         self.imports.unpersist()
 
     def __post_init__(self):
-        self.lines = views.lines(self.files).repartition("path").sortWithinPartitions("path", "num").persist(StorageLevel.MEMORY_AND_DISK)
+        n = -(-(self.files.agg(F.sum(F.length("content"))).first()[0] or 1) // CHARS)
+        self.lines = views.lines(self.files).repartition(n, "path").sortWithinPartitions("path", "num").persist(StorageLevel.MEMORY_AND_DISK)
         self.imports = views.imports(self.lines).persist(StorageLevel.MEMORY_AND_DISK)
         self.exports = views.exports(self.lines)
 

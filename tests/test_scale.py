@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill import synthetic
 from corpusmill.operators import context_rules, line_rules, relations, syntax, views
-from corpusmill.plans import fixes
+from corpusmill.plans import fixes, scan
 from corpusmill.plans import findings as P
 from corpusmill.sources import diffs, files
 
@@ -98,3 +98,18 @@ def test_compared_scans_read_each_scan_once(spark, keys):
     rows = line_rules.detect(views.lines(synthetic.files(spark, keys)), line_rules.RULES[:3])
     text = plan(P.compared(rows, P.override(rows, [("ast-slop/todo-stub", "error")])))
     assert len(re.findall(r"Generate explode\(hits#", text)) + len(re.findall(r"Generate explode_outer\(hits#", text)) <= 4
+
+
+def test_kept_lines_are_dealt_by_their_text(spark, keys, monkeypatch):
+    """A scan keeps its lines in as many parts as their text needs, not in the session's number of shuffle partitions."""
+    f = synthetic.files(spark, keys)
+    n_chars = f.agg(F.sum(F.length("content"))).first()[0]
+    for parts in (1, 7):
+        monkeypatch.setattr(scan, "CHARS", -(-n_chars // parts))
+        context = scan.Context(f, scan.read_config(None))
+        assert context.lines.rdd.getNumPartitions() == parts
+        assert context.lines.count() == views.lines(f).count()
+        context.release()
+    empty = scan.Context(f.filter("path IS NULL"), scan.read_config(None))
+    assert empty.lines.count() == 0
+    empty.release()
