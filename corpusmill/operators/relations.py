@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,10 +50,10 @@ def similar_blocks(all_blocks: DataFrame, num: int = 90, den: int = 100) -> Data
     """Pairs of distinct window texts of token sets alike, each with its first place; equal texts are one before the join."""
     one = all_blocks.filter(~is_boilerplate(F.col("text"))).groupBy("key").agg(F.min(F.struct("path", "start")).alias("first"), F.first("text").alias("text"))
     tokens = F.filter(F.array_distinct(F.split("text", r"[^A-Za-z0-9_]+")), lambda t: t != "")
-    pairs = similar_sets(one.select(F.col("key").alias("id"), tokens.alias("tokens")).filter(F.size("tokens") > 0), num, den)
-    place = one.select("key", F.col("first.path").alias("path"), F.col("first.start").alias("start"))
-    left, right = place.toDF("a", "path_a", "start_a"), place.toDF("b", "path_b", "start_b")
-    return pairs.join(left, "a").join(right, "b").filter("path_a <> path_b").select("path_a", "start_a", "path_b", "start_b", "n_both", "n_either")
+    # The place is a part of the id, so that it needs no join of its own.
+    sets = one.select(F.struct("key", F.col("first.path").alias("path"), F.col("first.start").alias("start")).alias("id"), tokens.alias("tokens"))
+    pairs = similar_sets(sets.filter(F.size("tokens") > 0), num, den).filter("a.path <> b.path")
+    return pairs.select(*[F.col(f"{x}.{c}").alias(f"{c}_{x}") for x in "ab" for c in ("path", "start")], "n_both", "n_either")
 
 
 def merged_regions(all_blocks: DataFrame) -> DataFrame:
@@ -71,25 +73,39 @@ def merged_regions(all_blocks: DataFrame) -> DataFrame:
     return shared.select("path", F.explode(F.aggregate("spans", empty, add)).alias("r")).select("path", "r.start", "r.stop")
 
 
+def set_candidates(sets: DataFrame, num: int = 90, den: int = 100) -> DataFrame:
+    """(a, b) of ids a < b whose sets may be similar; all that are stand here.
+
+    Sets na and nb that are similar differ in (na + nb) (den - num) / (den + num) tokens at most. Cut by the tokens'
+    hashes into one part more than that, they agree in a whole part, so that the hashes of parts are the join key: at
+    num/den = 0.9 some nine tokens at once, where one token alone would be that of a share of all sets. Sizes go in
+    classes, so that similar sets lie in the same or in neighbouring ones and are cut alike: each set is cut as those of
+    its class and as those of the next one are.
+    """
+    # A little more than the logarithm of the ratio of sizes, so that no rounding parts sets by two classes.
+    step = max(math.log(den / num), 1e-6) * (1 + 1e-6)
+    n, e = F.size("tokens"), F.col("e")
+    own = sets.filter(n > 0).select("id", n.alias("n"), "tokens", F.floor(F.ln(n) / step).alias("c"))
+    cut = own.select("id", "n", "c", F.explode(F.array("c", F.col("c") + 1)).alias("e"), "tokens")
+    largest = F.floor(F.exp((e + 1) * step)) + 1
+    cut = cut.withColumn("m", F.floor(largest * 2 * (den - num) / (den + num)) + 1)
+    part = F.transform("tokens", lambda t: F.struct(F.pmod(F.xxhash64(t), F.col("m")).alias("p"), F.xxhash64(t).alias("x")))
+    # Parts without a token are parts too.
+    bare = F.transform(F.sequence(F.lit(0).cast("long"), F.col("m") - 1), lambda p: F.struct(p.alias("p"), F.lit(0).cast("long").alias("x")))
+    rows = cut.select("id", "n", "c", "e", F.explode(F.concat(part, bare)).alias("t")).select("id", "n", "c", "e", "t.p", "t.x")
+    keys = rows.groupBy("id", "n", "c", "e", "p").agg(F.bit_xor("x").alias("x"))
+    a, b = (keys.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("c").alias(f"c{x}"), "e", "p", "x") for x in "ab")
+    near = a.join(b, ["e", "p", "x"]).filter("a < b").filter(F.greatest("ca", "cb") == e)
+    return near.filter(F.least("na", "nb") * den >= F.greatest("na", "nb") * num).select("a", "b").distinct()
+
+
 def similar_sets(sets: DataFrame, num: int = 90, den: int = 100) -> DataFrame:
-    """(a, b, n_both, n_either) for ids a < b whose token sets have Jaccard num/den or more: an exact prefix-filter join.
+    """(a, b, n_both, n_either) for ids a < b whose token sets have Jaccard num/den or more: exact, see set_candidates.
 
-    ``sets`` has id and tokens (an array of distinct tokens). Rare tokens come first; two similar sets share one of
-    their first tokens, so those are the join key; sizes, and the places of the first token in common, prune before
-    sets are compared.
+    ``sets`` has id and tokens (an array of distinct tokens).
     """
-    df = sets.select("id", F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
-    n = F.col("n")
-    ranked = sets.withColumn("n", F.size("tokens")).select("id", "n", F.explode("tokens").alias("t")).join(df, "t").filter("df > 1")
-    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "t"))
-    shared = F.count("*").over(Window.partitionBy("id"))
-    first = ranked.withColumn("r", place + (n - shared)).filter(F.col("r") <= n - F.ceil(n * num / den) + 1).select("id", "n", "t", "r")
-    a, b = (first.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("r").alias(f"r{x}"), "t") for x in "ab")
-    near = a.join(b, "t").filter("a < b").filter((F.least("na", "nb") * den >= F.greatest("na", "nb") * num))
-    # Behind their first common token two sets can share no more than what either has left.
-    near = near.filter((1 + F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb"))) * (num + den) >= num * (F.col("na") + F.col("nb"))).select("a", "b").distinct()
     left, right = sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
-    rows = near.join(left, "a").join(right, "b").withColumn("n_both", F.size(F.array_intersect("ta", "tb")).cast("long"))
+    rows = set_candidates(sets, num, den).join(left, "a").join(right, "b").withColumn("n_both", F.size(F.array_intersect("ta", "tb")).cast("long"))
     rows = rows.withColumn("n_either", (F.size("ta") + F.size("tb") - F.col("n_both")).cast("long"))
     return rows.filter(F.col("n_both") * den >= F.col("n_either") * num).select("a", "b", "n_both", "n_either")
 
