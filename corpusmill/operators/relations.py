@@ -49,10 +49,10 @@ def is_boilerplate(text: Column) -> Column:
 def similar_blocks(all_blocks: DataFrame, num: int = 90, den: int = 100) -> DataFrame:
     """Pairs of distinct window texts of token sets alike, each with its first place; equal texts are one before the join."""
     one = all_blocks.filter(~is_boilerplate(F.col("text"))).groupBy("key").agg(F.min(F.struct("path", "start")).alias("first"), F.first("text").alias("text"))
-    tokens = F.filter(F.array_distinct(F.split("text", r"[^A-Za-z0-9_]+")), lambda t: t != "")
+    tokens = F.array_distinct(F.regexp_extract_all("text", F.lit("([A-Za-z0-9_]+)"), 1))
     # The place is a part of the id, so that it needs no join of its own.
     sets = one.select(F.struct("key", F.col("first.path").alias("path"), F.col("first.start").alias("start")).alias("id"), tokens.alias("tokens"))
-    pairs = similar_sets(sets.filter(F.size("tokens") > 0), num, den).filter("a.path <> b.path")
+    pairs = similar_sets(sets, num, den).filter("a.path <> b.path")
     return pairs.select(*[F.col(f"{x}.{c}").alias(f"{c}_{x}") for x in "ab" for c in ("path", "start")], "n_both", "n_either")
 
 
@@ -85,14 +85,16 @@ def set_candidates(sets: DataFrame, num: int = 90, den: int = 100) -> DataFrame:
     # A little more than the logarithm of the ratio of sizes, so that no rounding parts sets by two classes.
     step = max(math.log(den / num), 1e-6) * (1 + 1e-6)
     n, e = F.size("tokens"), F.col("e")
-    own = sets.filter(n > 0).select("id", n.alias("n"), "tokens", F.floor(F.ln(n) / step).alias("c"))
+    # Sets that are empty have no logarithm, so no class, and none here asks for their tokens before these are made.
+    own = sets.select("id", n.alias("n"), "tokens", F.floor(F.ln(n) / step).alias("c"))
     cut = own.select("id", "n", "c", F.explode(F.array("c", F.col("c") + 1)).alias("e"), "tokens")
     largest = F.floor(F.exp((e + 1) * step)) + 1
     cut = cut.withColumn("m", F.floor(largest * 2 * (den - num) / (den + num)) + 1)
     part = F.transform("tokens", lambda t: F.struct(F.pmod(F.xxhash64(t), F.col("m")).alias("p"), F.xxhash64(t).alias("x")))
     # Parts without a token are parts too.
     bare = F.transform(F.sequence(F.lit(0).cast("long"), F.col("m") - 1), lambda p: F.struct(p.alias("p"), F.lit(0).cast("long").alias("x")))
-    rows = cut.select("id", "n", "c", "e", F.explode(F.concat(part, bare)).alias("t")).select("id", "n", "c", "e", "t.p", "t.x")
+    # The outer explode keeps Spark from asking whether there are parts by a filter that makes them once more.
+    rows = cut.select("id", "n", "c", "e", F.explode_outer(F.concat(part, bare)).alias("t")).select("id", "n", "c", "e", "t.p", "t.x")
     keys = rows.groupBy("id", "n", "c", "e", "p").agg(F.bit_xor("x").alias("x"))
     a, b = (keys.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("c").alias(f"c{x}"), "e", "p", "x") for x in "ab")
     near = a.join(b, ["e", "p", "x"]).filter("a < b").filter(F.greatest("ca", "cb") == e)

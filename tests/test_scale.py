@@ -122,7 +122,7 @@ def test_frequent_tokens_make_no_candidates(spark):
     sets = [(i, rng.sample(range(90), rng.randint(1, 60))) for i in range(600)]
     sets += [(1000 + i, sorted(set(s) - set(rng.sample(s, len(s) // 20)) | set(rng.sample(range(90), len(s) // 25)))) for i, s in sets]
     like = {(a, b) for a, x in sets for b, y in sets if a < b and 10 * len(set(x) & set(y)) >= 9 * len(set(x) | set(y))}
-    rows = spark.createDataFrame(sets, "id int, tokens array<int>")
+    rows = spark.createDataFrame([*sets, (5000, []), (5001, []), (5002, None)], "id int, tokens array<int>")
     near = {(r.a, r.b) for r in relations.set_candidates(rows).collect()}
     assert like <= near and len(like) > 300 and len(near) < len(sets) ** 2 // 2 // 50
     assert {(r.a, r.b) for r in relations.similar_sets(rows).collect()} == like
