@@ -126,3 +126,11 @@ def test_frequent_tokens_make_no_candidates(spark):
     near = {(r.a, r.b) for r in relations.set_candidates(rows).collect()}
     assert like <= near and len(like) > 300 and len(near) < len(sets) ** 2 // 2 // 50
     assert {(r.a, r.b) for r in relations.similar_sets(rows).collect()} == like
+
+
+def test_tasks_of_large_tables_take_more_rows(spark, monkeypatch):
+    monkeypatch.setattr(files, "ROWS", 10)
+    monkeypatch.setattr(files, "TASKS", 4, raising=False)
+    for n, tasks in ((10, 1), (40, 4), (100, 4), (400, 10)):
+        rows = files.spread(spark.range(n).coalesce(1), "id")
+        assert rows.rdd.getNumPartitions() == tasks and rows.count() == n
