@@ -10,6 +10,7 @@ from corpusmill import synthetic
 from corpusmill.operators import context_rules, line_rules, relations, syntax, views
 from corpusmill.plans import fixes, scan
 from corpusmill.plans import findings as P
+from corpusmill.queries import QUERIES
 from corpusmill.sources import diffs, files
 
 
@@ -101,6 +102,20 @@ def test_compared_scans_read_each_scan_once(spark, keys):
     assert len(re.findall(r"Generate explode\(hits#", text)) + len(re.findall(r"Generate explode_outer\(hits#", text)) <= 4
 
 
+def test_fix_steps_read_the_lines_once(spark, keys):
+    """Findings bring the text of their line, and only rules that can be fixed are tested; the steps are those of a join with all findings."""
+    text = plan(QUERIES["fix_plan"](spark, keys))
+    assert "Join" not in text and len(re.findall(r"Generate explode\(hits#", text)) == 1 and len(re.findall(r"Exchange hashpartitioning\(path#", text)) == 1
+    assert "ast-slop/decorative-comment" in text and "security-deep/" not in text
+    ls = views.lines(synthetic.files(spark, keys))
+    joined = fixes.plan(fixes.propose(line_rules.detect(ls), ls))
+    carried = fixes.plan(fixes.propose(line_rules.detect(ls, with_text=True)))
+    steps = QUERIES["fix_plan"](spark, keys)
+    assert steps.columns == joined.columns == carried.columns and steps.count() > 1000
+    for other in (joined, carried):
+        assert steps.exceptAll(other).isEmpty() and other.exceptAll(steps).isEmpty()
+
+
 def test_kept_lines_are_dealt_by_their_text(spark, keys, monkeypatch):
     """A scan keeps its lines in as many parts as their text needs, not in the session's number of shuffle partitions."""
     f = synthetic.files(spark, keys)
