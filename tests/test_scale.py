@@ -116,6 +116,16 @@ def test_fix_steps_read_the_lines_once(spark, keys):
         assert steps.exceptAll(other).isEmpty() and other.exceptAll(steps).isEmpty()
 
 
+@pytest.mark.parametrize(("by", "mode"), [(("engine",), "logarithmic"), ((), "linear")])
+def test_a_score_makes_its_findings_once(spark, keys, by, mode):
+    """Ranking and counting read the same exchange, whichever columns each needs."""
+    rows = line_rules.detect(views.lines(synthetic.files(spark, keys)), line_rules.RULES[:3]).withColumn("engine", P.engine())
+    out = P.score(rows, 100, by=by, mode=mode)
+    out.collect()
+    final = plan(out).split("Initial Plan")[0]
+    assert "ReusedExchange" in final and len(re.findall(r"Generate explode(?:_outer)?\(hits#", final)) == 1
+
+
 def test_kept_lines_are_dealt_by_their_text(spark, keys, monkeypatch):
     """A scan keeps its lines in as many parts as their text needs, not in the session's number of shuffle partitions."""
     f = synthetic.files(spark, keys)
