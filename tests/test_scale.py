@@ -159,3 +159,23 @@ def test_tasks_of_large_tables_take_more_rows(spark, monkeypatch):
     for n, tasks in ((10, 1), (40, 4), (100, 4), (400, 10)):
         rows = files.spread(spark.range(n).coalesce(1), "id")
         assert rows.rdd.getNumPartitions() == tasks and rows.count() == n
+
+
+def _lexed(text):
+    return len(re.findall(r"MapInArrow run\(path", text))
+
+
+@pytest.mark.parametrize(("name", "rules"), [("tree_slop", ("slop",)), ("tree_unreachable", ("dead",))])
+def test_tree_rules_lex_a_file_once(spark, keys, name, rules):
+    """No join, no tokens moved; the findings are those in a table of tokens, also of files that are not lexed."""
+    text = plan(QUERIES[name](spark, keys))
+    assert "Join" not in text and "hashpartitioning(path" not in text and _lexed(text) == 1
+    snippets = [*synthetic.SNIPPETS, *synthetic.MODULES, *synthetic.ODD]
+    f = files.as_files(spark.createDataFrame([(f"{folder}/f{i}.{ext}", t) for i, (folder, ext, t) in enumerate(snippets)], "p string, c string"), F.col("p"), F.col("c"))
+    found = sorted(syntax.tree_rules(f, rules).collect())
+    assert found == sorted(MADE[name](f, views.lines(f)).collect()) and found
+
+
+def test_a_scan_lexes_a_file_once(spark, keys):
+    text = plan(syntax.tree_rules(synthetic.files(spark, keys, synthetic.MODULES)))
+    assert "Join" not in text and _lexed(text) == 1
