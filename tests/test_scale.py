@@ -165,7 +165,7 @@ def _lexed(text):
     return len(re.findall(r"MapInArrow run\(path", text))
 
 
-@pytest.mark.parametrize(("name", "rules"), [("tree_slop", ("slop",)), ("tree_unreachable", ("dead",))])
+@pytest.mark.parametrize(("name", "rules"), [("tree_slop", ("slop",)), ("tree_unreachable", ("dead",)), ("unguarded_merges", ("merges",))])
 def test_tree_rules_lex_a_file_once(spark, keys, name, rules):
     """No join, no tokens moved; the findings are those in a table of tokens, also of files that are not lexed."""
     text = plan(QUERIES[name](spark, keys))
