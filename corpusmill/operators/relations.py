@@ -12,6 +12,8 @@ from corpusmill.operators.context_rules import _found
 from corpusmill.operators.folds import COMMON_NAMES, COPIED_LINES
 from corpusmill.operators.views import words
 
+#: Windows that are cut from a file at once.
+WINDOWS = 1000
 SUFFIXES = ("", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.js", ".py")
 
 
@@ -22,14 +24,22 @@ def normalised(text: Column) -> Column:
     return trim_all(F.regexp_replace(text, r"(?://|#).*\z", ""))
 
 
-def blocks(files: DataFrame, window: int = 14, step: int = 5, least: int = 10, most_lines: int = 2000) -> DataFrame:
-    """path, start, stop, text (joined normalised lines), key: windows of lines, every ``step`` lines."""
-    all_ = F.split("content", "\n", -1)
-    rows = files.select("path", all_.alias("ls")).filter((F.size("ls") >= window) & (F.size("ls") <= most_lines))
-    starts = F.explode(F.sequence(F.lit(0), F.size("ls") - window, F.lit(step)))
-    rows = rows.select("path", "ls", starts.alias("s"))
-    text = F.array_join(F.filter(F.transform(F.slice("ls", F.col("s") + 1, window), normalised), lambda x: x != ""), "\n")
-    rows = rows.select("path", (F.col("s") + 1).cast("int").alias("start"), (F.col("s") + window).cast("int").alias("stop"), text.alias("text"))
+def blocks(files: DataFrame, window: int = 14, step: int = 5, least: int = 10, most_lines: int | None = 2000) -> DataFrame:
+    """path, start, stop, text (joined normalised lines), key: windows of lines, every ``step`` lines.
+
+    Files of more than ``most_lines`` lines have none, if that is given. Of a file, stretches of WINDOWS windows are cut
+    first, then windows of these: a row for each window, with all lines to cut it from, would be the square of a file.
+    """
+    stretch = step * WINDOWS
+    rows = files.select("path", F.lit(0).alias("at"), F.split("content", "\n", -1).alias("ls")).filter(F.size("ls") >= window)
+    if most_lines is not None:
+        rows = rows.filter(F.size("ls") <= most_lines)
+    for every, length in ((stretch, stretch - step + window), (step, window)):
+        cut = F.transform(F.sequence(F.lit(0), F.size("ls") - window, F.lit(every)), lambda s: F.struct((F.col("at") + s).alias("at"), F.slice("ls", s + 1, length).alias("ls")))  # noqa: B023
+        # The outer explode keeps Spark from asking whether there are pieces by a filter that cuts them once more.
+        rows = rows.select("path", F.explode_outer(cut).alias("p")).select("path", "p.at", "p.ls")
+    text = F.array_join(F.filter(F.transform("ls", normalised), lambda x: x != ""), "\n")
+    rows = rows.select("path", (F.col("at") + 1).cast("int").alias("start"), (F.col("at") + window).cast("int").alias("stop"), text.alias("text"))
     return rows.filter(F.length("text") >= least).withColumn("key", F.md5("text"))
 
 
@@ -47,12 +57,20 @@ def is_boilerplate(text: Column) -> Column:
 
 
 def similar_blocks(all_blocks: DataFrame, num: int = 90, den: int = 100) -> DataFrame:
-    """Pairs of distinct window texts of token sets alike, each with its first place; equal texts are one before the join."""
-    one = all_blocks.filter(~is_boilerplate(F.col("text"))).groupBy("key").agg(F.min(F.struct("path", "start")).alias("first"), F.first("text").alias("text"))
+    """Pairs of distinct window texts of token sets alike that stand in two files, each with a place; equal texts are one before the join.
+
+    The places are the first ones; where these are in one file, that of b, else that of a, is the first in its last file.
+    A pair is left out only if all places of both texts are in one file.
+    """
+    place = lambda c: F.struct(F.col(f"{c}.path").alias("path"), F.abs(f"{c}.start").alias("start"))
+    seen = all_blocks.filter(~is_boilerplate(F.col("text"))).groupBy("key").agg(F.min(F.struct("path", "start")).alias("first"), F.max(F.struct("path", (-F.col("start")).alias("start"))).alias("last"), F.first("text").alias("text"))
     tokens = F.array_distinct(F.regexp_extract_all("text", F.lit("([A-Za-z0-9_]+)"), 1))
-    # The place is a part of the id, so that it needs no join of its own.
-    sets = one.select(F.struct("key", F.col("first.path").alias("path"), F.col("first.start").alias("start")).alias("id"), tokens.alias("tokens"))
-    pairs = similar_sets(sets, num, den).filter("a.path <> b.path")
+    # The places are a part of the id, so that they need no join of their own.
+    sets = seen.select(F.struct("key", place("first").alias("first"), place("last").alias("last")).alias("id"), tokens.alias("tokens"))
+    first, other = F.col("a.first.path"), F.col("b.first.path")
+    at_a = F.when((first == other) & (F.col("b.last.path") == first), F.col("a.last")).otherwise(F.col("a.first"))
+    at_b = F.when((first == other) & (F.col("b.last.path") != first), F.col("b.last")).otherwise(F.col("b.first"))
+    pairs = similar_sets(sets, num, den).select(at_a.alias("a"), at_b.alias("b"), "n_both", "n_either").filter("a.path <> b.path")
     return pairs.select(*[F.col(f"{x}.{c}").alias(f"{c}_{x}") for x in "ab" for c in ("path", "start")], "n_both", "n_either")
 
 

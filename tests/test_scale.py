@@ -179,3 +179,29 @@ def test_tree_rules_lex_a_file_once(spark, keys, name, rules):
 def test_a_scan_lexes_a_file_once(spark, keys):
     text = plan(syntax.tree_rules(synthetic.files(spark, keys, synthetic.MODULES)))
     assert "Join" not in text and _lexed(text) == 1
+
+
+def test_windows_of_files_of_any_length(spark, monkeypatch):
+    """Windows are cut in stretches, none is left out, and none is made without most_lines alone."""
+    monkeypatch.setattr(relations, "WINDOWS", 3, raising=False)
+    texts = {f"f{n}.ts": "\n".join(f"line {n} of {i}" for i in range(n)) for n in (13, 14, 18, 19, 28, 29, 33, 34, 100, 2501)}
+    f = files.as_files(spark.createDataFrame(list(texts.items()), "p string, c string"), F.col("p"), F.col("c"))
+    want = {(p, s + 1, s + 14, "\n".join(ls[s : s + 14])) for p, t in texts.items() for ls in [t.split("\n")] for s in range(0, len(ls) - 13, 5)}
+    got = relations.blocks(f, most_lines=None).select("path", "start", "stop", "text").collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    assert {tuple(r) for r in relations.blocks(f).select("path", "start", "stop", "text").collect()} == {w for w in want if w[0] != "f2501.ts"}
+
+
+def test_similar_blocks_of_long_files_and_of_one_first_file(spark, tmp_path):
+    """Files of more than 2,000 lines take part, and so do texts whose first places are in one file, but others are not."""
+    block = lambda odd, name="v": "\n".join([f"{name}{i} = call{i}(x{i}, y{i})" for i in range(13)] + [odd])
+    fill = lambda n, name: "\n".join(f"{name}_{i} {name}__{i} = {name}___{i}" for i in range(n))
+    rows = [(1, fill(2500, "p") + "\n" + block("one")), (2, block("two"))]
+    # 3 has both texts, of which another file has the second, then the first one; 6 alone has both of its texts.
+    near = (block("u", "w"), block("t", "w"))
+    rows += [(3, near[0] + "\n" + fill(1, "q") + "\n" + near[1]), (4, near[1])]
+    rows += [(6, block("u", "z") + "\n" + fill(1, "s") + "\n" + block("t", "z"))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {frozenset({(r.path_a, r.start_a), (r.path_b, r.start_b)}) for r in QUERIES["similar_blocks"](spark, str(tmp_path)).collect()}
+    assert {frozenset({("docs/1.ts", 2501), ("docs/2.ts", 1)}), frozenset({("docs/3.ts", 1), ("docs/4.ts", 1)})} <= got
+    assert all(len({p for p, _ in pair}) == 2 for pair in got) and not any(p == "docs/6.ts" for pair in got for p, _ in pair)
