@@ -11,6 +11,7 @@ from corpusmill.functions.text import extract, matches, trim_all
 from corpusmill.operators.context_rules import _found
 from corpusmill.operators.folds import COMMON_NAMES, COPIED_LINES
 from corpusmill.operators.views import words
+from corpusmill.plans.storage import Scratch
 
 #: Windows that are cut from a file at once.
 WINDOWS = 1000
@@ -310,7 +311,7 @@ def cycles(edges: DataFrame, deepest: int = 5) -> DataFrame:
 
 def circular_dependency(imports: DataFrame, files: DataFrame, deepest: int = 5) -> DataFrame:
     """Cycles of imports, each at the import of its smallest file; those of one import are told together."""
-    to = import_targets(imports, files)
+    to = Scratch(files.sparkSession, "targets").keep(import_targets(imports, files), "targets").hint("merge")
     rows = cycle_members(to.select("src", "dst"), deepest)
     rows = rows.select(F.element_at("members", 1).alias("src"), F.coalesce(F.try_element_at("members", F.lit(2)), F.element_at("members", 1)).alias("dst"), F.array_join("members", " > ").alias("cycle"))
     by = rows.join(to, ["src", "dst"]).groupBy(F.col("src").alias("path"), "num").agg(F.array_join(F.array_sort(F.collect_set("cycle")), ", ").alias("cycles"))
@@ -321,17 +322,22 @@ def cycle_members(edges: DataFrame, deepest: int = 5) -> DataFrame:
     """members: the vertices of each cycle of at most ``deepest`` edges, from the smallest.
 
     Paths grow by one join a step and keep to vertices larger than their start, so that each cycle grows once; the
-    number of steps is fixed. Vertices without an edge in or out are on no cycle and go first.
+    number of steps is fixed. Vertices without an edge in or out are on no cycle and go first. Edges and steps are
+    written to scratch tables: as one plan, each step would make all edges and all steps before it anew.
     """
+    scratch = Scratch(edges.sparkSession, "cycles")
+    edges = scratch.keep(edges.select("src", "dst"), "edges").hint("merge")
     e = edges.filter("src <> dst")
-    for _ in range(2):
-        e = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+    for i in range(2):
+        kept = e.join(e.select(F.col("dst").alias("src")).distinct().hint("merge"), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct().hint("merge"), "dst", "left_semi").select("src", "dst")
+        e = scratch.keep(kept, f"live-{i}").hint("merge")
     paths = e.filter("src < dst").select(F.col("src").alias("start"), F.col("dst").alias("last"), F.array("src", "dst").alias("members"))
     out = edges.filter("src = dst").select(F.array("src").alias("members"))
-    for _ in range(deepest - 1):
-        step = paths.join(e.withColumnRenamed("src", "last").withColumnRenamed("dst", "next"), "last")
+    for i in range(deepest - 1):
+        step = paths.join(e.withColumnRenamed("src", "last").withColumnRenamed("dst", "next"), "last").filter((F.col("next") == F.col("start")) | (F.col("next") > F.col("start")) & ~F.array_contains("members", F.col("next")))
+        step = scratch.keep(step.select("start", "next", "members"), f"step-{i}").hint("merge")
         out = out.unionByName(step.filter("next = start").select("members"))
-        paths = step.filter("next > start").filter(~F.array_contains("members", F.col("next"))).select("start", F.col("next").alias("last"), F.concat("members", F.array("next")).alias("members"))
+        paths = step.filter("next > start").select("start", F.col("next").alias("last"), F.concat("members", F.array("next")).alias("members"))
     return out.distinct()
 
 

@@ -205,3 +205,12 @@ def test_similar_blocks_of_long_files_and_of_one_first_file(spark, tmp_path):
     got = {frozenset({(r.path_a, r.start_a), (r.path_b, r.start_b)}) for r in QUERIES["similar_blocks"](spark, str(tmp_path)).collect()}
     assert {frozenset({("docs/1.ts", 2501), ("docs/2.ts", 1)}), frozenset({("docs/3.ts", 1), ("docs/4.ts", 1)})} <= got
     assert all(len({p for p, _ in pair}) == 2 for pair in got) and not any(p == "docs/6.ts" for pair in got for p, _ in pair)
+
+
+def test_cycles_make_their_edges_once(spark, keys):
+    """Edges and steps are written: the plan that is left reads them, and does not make lines, edges and steps anew for each step."""
+    f = synthetic.files(spark, keys)
+    ls = views.lines(f)
+    for found in (relations.circular_dependency(views.imports(ls), f), relations.package_cycles(ls)):
+        text = plan(found)
+        assert len(re.findall(r"\w+Join\b", text)) <= 2 and len(re.findall(r"Generate posexplode", text)) <= 1
